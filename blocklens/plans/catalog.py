@@ -42,12 +42,12 @@ RAW_HEAD_ROWS = 100
 @query("raw_head")
 def q_raw_head(spark, sf_dir):
     """The first lines of the log (top-k by line id, the feature)."""
-    return parse_ops.head_lines(LogContext(spark, sf_dir).lines, RAW_HEAD_ROWS)
+    return parse_ops.head_lines(LogContext.of(spark, sf_dir).lines, RAW_HEAD_ROWS)
 
 
 @query("parse_header")
 def q_parse_header(spark, sf_dir):
-    p = LogContext(spark, sf_dir).parsed
+    p = LogContext.of(spark, sf_dir).parsed
     return p.select("line_id", "event_date", "event_time", "pid", "level", "component",
                     "content")
 
@@ -55,45 +55,45 @@ def q_parse_header(spark, sf_dir):
 @query("parse_stats")
 def q_parse_stats(spark, sf_dir):
     """Matched, unmatched, keyed lines and distinct masks in one pass."""
-    return parse_ops.parse_stats(LogContext(spark, sf_dir).lines, with_templates=True)
+    return parse_ops.parse_stats(LogContext.of(spark, sf_dir).lines, with_templates=True)
 
 
 @query("extract_block_id")
 def q_extract_block_id(spark, sf_dir):
-    return LogContext(spark, sf_dir).parsed.select("line_id", "block_id")
+    return LogContext.of(spark, sf_dir).parsed.select("line_id", "block_id")
 
 
 @query("drop_unkeyed")
 def q_drop_unkeyed(spark, sf_dir):
-    return parse_ops.drop_unkeyed(LogContext(spark, sf_dir).parsed).select("line_id", "block_id")
+    return parse_ops.drop_unkeyed(LogContext.of(spark, sf_dir).parsed).select("line_id", "block_id")
 
 
 @query("mask_content")
 def q_mask_content(spark, sf_dir):
-    return LogContext(spark, sf_dir).masked.select("line_id", "template")
+    return LogContext.of(spark, sf_dir).masked.select("line_id", "template")
 
 
 @query("mask_templates")
 def q_mask_templates(spark, sf_dir):
-    t = tpl_ops.mask_templates(LogContext(spark, sf_dir).masked)
+    t = tpl_ops.mask_templates(LogContext.of(spark, sf_dir).masked)
     return t.select("event_id", "event_template", "occurrences")
 
 
 @query("template_counts")
 def q_template_counts(spark, sf_dir):
-    return tpl_ops.template_counts(LogContext(spark, sf_dir).assigned)
+    return tpl_ops.template_counts(LogContext.of(spark, sf_dir).assigned)
 
 
 @query("assign_events")
 def q_assign_events(spark, sf_dir):
-    a = LogContext(spark, sf_dir).assigned
+    a = LogContext.of(spark, sf_dir).assigned
     return a.select("line_id", "block_id", "event_id", "event_template", "event_date",
                     "event_time")
 
 
 @query("distinct_blocks")
 def q_distinct_blocks(spark, sf_dir):
-    p = LogContext(spark, sf_dir).parsed
+    p = LogContext.of(spark, sf_dir).parsed
     return p.agg(F.count_distinct("block_id").alias("n_blocks"))
 
 
@@ -102,24 +102,24 @@ def q_distinct_blocks(spark, sf_dir):
 
 @query("block_sequences")
 def q_block_sequences(spark, sf_dir):
-    s = seq_ops.with_sequence_text(LogContext(spark, sf_dir).sequences)
+    s = seq_ops.with_sequence_text(LogContext.of(spark, sf_dir).sequences)
     return s.select("block_id", "event_sequence", "sequence_length")
 
 
 @query("sequences_labeled")
 def q_sequences_labeled(spark, sf_dir):
-    s = seq_ops.with_sequence_text(LogContext(spark, sf_dir).labeled)
+    s = seq_ops.with_sequence_text(LogContext.of(spark, sf_dir).labeled)
     return s.select("block_id", "event_sequence", "sequence_length", "label")
 
 
 @query("unlabeled_count")
 def q_unlabeled_count(spark, sf_dir):
-    return seq_ops.unlabeled_count(LogContext(spark, sf_dir).labeled)
+    return seq_ops.unlabeled_count(LogContext.of(spark, sf_dir).labeled)
 
 
 @query("label_counts")
 def q_label_counts(spark, sf_dir):
-    labels = LogContext(spark, sf_dir).labels
+    labels = LogContext.of(spark, sf_dir).labels
     return labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -131,7 +131,7 @@ def q_label_lookup(spark, sf_dir):
     line, else Normal) in line order -- a label file with repeated keys.
     """
     from blocklens.sources.labels import labels_lookup
-    keyed = parse_ops.drop_unkeyed(LogContext(spark, sf_dir).parsed)
+    keyed = parse_ops.drop_unkeyed(LogContext.of(spark, sf_dir).parsed)
     rows = keyed.select(
         "block_id",
         F.when(F.col("content").startswith("write failed "), F.lit("Anomaly"))
@@ -142,23 +142,87 @@ def q_label_lookup(spark, sf_dir):
 
 @query("event_positions")
 def q_event_positions(spark, sf_dir):
-    return seq_ops.event_positions(LogContext(spark, sf_dir).sequences)
+    return seq_ops.event_positions(LogContext.of(spark, sf_dir).sequences)
 
 
 @query("event_labels")
 def q_event_labels(spark, sf_dir):
-    s = LogContext(spark, sf_dir).sequences
+    s = LogContext.of(spark, sf_dir).sequences
     return s.select("block_id", F.array_join(T.event_labels(F.col("events")), " ")
                     .alias("event_labels"))
 
 
 @query("event_chain")
 def q_event_chain(spark, sf_dir):
-    s = LogContext(spark, sf_dir).sequences
+    s = LogContext.of(spark, sf_dir).sequences
     return s.select("block_id", T.event_chain(F.col("events")).alias("event_chain"))
 
 
 @query("text_sequences")
 def q_text_sequences(spark, sf_dir):
-    ctx = LogContext(spark, sf_dir)
+    ctx = LogContext.of(spark, sf_dir)
     return seq_ops.text_sequences(ctx.sequences, ctx.templates)
+
+
+# --- split, sample, features -------------------------------------------------
+
+
+@query("stratified_split")
+def q_stratified_split(spark, sf_dir):
+    return LogContext.of(spark, sf_dir).split_ids.select("block_id", "label", "split")
+
+
+@query("stratified_sample")
+def q_stratified_sample(spark, sf_dir):
+    return LogContext.of(spark, sf_dir).sample_ids.select("block_id", "label")
+
+
+@query("anomaly_rate")
+def q_anomaly_rate(spark, sf_dir):
+    """Share of Anomaly per split and in the sample."""
+    ctx = LogContext.of(spark, sf_dir)
+    parts = ctx.split_ids.select("split", "label").unionByName(
+        ctx.sample_ids.select(F.lit("sample").alias("split"), "label"))
+    return parts.groupBy("split").agg(
+        F.count(F.lit(1)).alias("n_blocks"),
+        F.count_if(F.col("label") == "Anomaly").alias("n_anomaly"),
+        F.avg((F.col("label") == "Anomaly").cast("int")).alias("anomaly_rate"))
+
+
+@query("restrict_to_ids")
+def q_restrict_to_ids(spark, sf_dir):
+    """Sequences of the test blocks only (semi-join with the id list)."""
+    ctx = LogContext.of(spark, sf_dir)
+    test = ctx.split_ids.where(F.col("split") == "test").select("block_id")
+    s = seq_ops.with_sequence_text(ctx.labeled.join(test, "block_id", "left_semi"))
+    return s.select("block_id", "event_sequence", "label")
+
+
+@query("normal_only")
+def q_normal_only(spark, sf_dir):
+    """P5: the training rows an unsupervised detector may see."""
+    ids = LogContext.of(spark, sf_dir).split_ids
+    return ids.where((F.col("split") == "train") & (F.col("label") == "Normal")) \
+        .select("block_id")
+
+
+@query("class_weights")
+def q_class_weights(spark, sf_dir):
+    from blocklens.operators.features import class_weights
+    return class_weights(LogContext.of(spark, sf_dir).split_ids)
+
+
+@query("train_vocabulary")
+def q_train_vocabulary(spark, sf_dir):
+    return LogContext.of(spark, sf_dir).vocabulary
+
+
+@query("count_matrix_long")
+def q_count_matrix_long(spark, sf_dir):
+    return LogContext.of(spark, sf_dir).long_counts.select(
+        "block_id", "split", "label", "feature_name", "n")
+
+
+@query("count_matrix_wide")
+def q_count_matrix_wide(spark, sf_dir):
+    return LogContext.of(spark, sf_dir).wide_counts()[0]

@@ -1,8 +1,9 @@
-"""Lazily built, shared DataFrames for one input folder.
+"""Shared, staged DataFrames for one input folder.
 
 Every query in the catalog starts from the driver tables of one scale-factor
-folder.  The context only *declares* DataFrames (nothing runs until an action),
-so a query pays only for the parts it touches and Catalyst prunes the rest.
+folder.  Reused intermediate results are written once as Parquet stages below
+the shared checkpoint folder (see :mod:`blocklens.plans.stages`) and read
+back, so each query plan stays small and no stage is computed twice.
 """
 
 from __future__ import annotations
@@ -15,14 +16,27 @@ from pyspark.sql import functions as F
 from blocklens.operators import parse as parse_ops
 from blocklens.operators import sequences as seq_ops
 from blocklens.operators import templates as tpl_ops
+from blocklens.plans.stages import StageStore
 from blocklens.sources import fixtures
 
+_CONTEXTS: dict[tuple, "LogContext"] = {}
+
 
 class LogContext:
     def __init__(self, spark: SparkSession, sf_dir: str, miner: str = "mask"):
         self.spark = spark
         self.sf_dir = sf_dir
         self.miner = miner
+        self.store = StageStore.for_inputs(spark, "v1", sf_dir, miner)
+
+    @classmethod
+    def of(cls, spark: SparkSession, sf_dir: str, miner: str = "mask") -> "LogContext":
+        key = (spark.sparkContext.applicationId, sf_dir, miner)
+        if key not in _CONTEXTS:
+            _CONTEXTS[key] = cls(spark, sf_dir, miner)
+        return _CONTEXTS[key]
+
+    # --- per-line stages ----------------------------------------------------
 
     @cached_property
     def lines(self) -> DataFrame:
@@ -30,17 +44,28 @@ class LogContext:
 
     @cached_property
     def parsed(self) -> DataFrame:
-        return parse_ops.parse_lines(self.lines)
+        """Parsed + masked lines (S5), written once."""
+        return self.store.materialize(
+            "parsed", lambda: tpl_ops.with_masks(parse_ops.parse_lines(self.lines)))
 
-    @cached_property
+    @property
     def masked(self) -> DataFrame:
-        return tpl_ops.with_masks(self.parsed)
+        return self.parsed
 
     @cached_property
     def _mined(self) -> tuple[DataFrame, DataFrame]:
         if self.miner == "drain":
-            return tpl_ops.drain_templates(self.masked)
-        templates = tpl_ops.mask_templates(self.masked)
+            built = {}
+
+            def both():
+                if not built:
+                    built["t"], built["m"] = tpl_ops.drain_templates(self.masked)
+                return built
+            templates = self.store.materialize("templates", lambda: both()["t"])
+            m2e = self.store.materialize("mask_to_event", lambda: both()["m"])
+            return templates, m2e
+        templates = self.store.materialize(
+            "templates", lambda: tpl_ops.mask_templates(self.masked))
         return templates, tpl_ops.mask_to_event_from(templates)
 
     @property
@@ -55,13 +80,17 @@ class LogContext:
     def assigned(self) -> DataFrame:
         return tpl_ops.assign_events(self.masked, self.mask_to_event)
 
+    # --- per-block stages ---------------------------------------------------
+
     @cached_property
     def sequences(self) -> DataFrame:
-        return seq_ops.block_sequences(self.assigned)
+        return self.store.materialize("sequences",
+                                      lambda: seq_ops.block_sequences(self.assigned))
 
     @cached_property
     def labels(self) -> DataFrame:
-        return fixtures.block_labels_from_parsed(self.parsed)
+        return self.store.materialize(
+            "labels", lambda: fixtures.block_labels_from_parsed(self.parsed))
 
     @cached_property
     def labeled(self) -> DataFrame:
@@ -71,3 +100,40 @@ class LogContext:
     def block_ids(self) -> DataFrame:
         """Labelled blocks as (block_id, label) -- the input of the split."""
         return self.labeled.where(F.col("label").isNotNull()).select("block_id", "label")
+
+    # --- split, sample, features ------------------------------------------
+
+    @cached_property
+    def block_events(self) -> DataFrame:
+        return seq_ops.block_events(self.assigned)
+
+    @cached_property
+    def split_ids(self) -> DataFrame:
+        """(block_id, label, split) -- exact stratified 80/20, written once."""
+        from blocklens.operators.sampling import stratified_split
+        return self.store.materialize("split_ids", lambda: stratified_split(self.block_ids))
+
+    @cached_property
+    def sample_ids(self) -> DataFrame:
+        """(block_id, label) -- exact stratified sample of the test split."""
+        from blocklens.operators.sampling import stratified_sample
+        test = self.split_ids.where(F.col("split") == "test").select("block_id", "label")
+        return self.store.materialize("sample_ids", lambda: stratified_sample(test))
+
+    @cached_property
+    def vocabulary(self) -> DataFrame:
+        from blocklens.operators.features import train_vocabulary
+        return self.store.materialize(
+            "vocabulary", lambda: train_vocabulary(self.block_events, self.split_ids))
+
+    @cached_property
+    def long_counts(self) -> DataFrame:
+        from blocklens.operators.features import count_matrix_long
+        return self.store.materialize(
+            "long_counts",
+            lambda: count_matrix_long(self.block_events, self.split_ids, self.vocabulary))
+
+    def wide_counts(self) -> tuple[DataFrame, list[str]]:
+        from blocklens.operators.features import count_matrix_wide, vocabulary_names
+        names = vocabulary_names(self.vocabulary)
+        return count_matrix_wide(self.long_counts, self.split_ids, names), names

@@ -201,3 +201,98 @@ FROM (
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)
+
+
+# --- split, sample, features ---------------------------------------------------
+
+def _quota_sql(name: str, src: str, n_draws: str) -> str:
+    """Approximate-mode quotas over (label, n_c) of ``src``; ``n_draws`` may use n_total."""
+    return f"""
+{name}_counts AS (SELECT label, count(*) AS n_c FROM {src} GROUP BY label),
+{name}_tot AS (SELECT sum(n_c) AS n_total FROM {name}_counts),
+{name}_cont AS (
+  SELECT c.label, c.n_c, t.n_total, CAST({n_draws} AS BIGINT) AS n_draws,
+         (CAST(c.n_c AS DOUBLE) / t.n_total) * CAST({n_draws} AS BIGINT) AS cv
+  FROM {name}_counts c, {name}_tot t
+),
+{name}_fl AS (SELECT *, floor(cv) AS fv FROM {name}_cont),
+{name}_need AS (
+  SELECT *, n_draws - sum(fv) OVER () AS need,
+         row_number() OVER (ORDER BY cv - fv DESC, label) AS r
+  FROM {name}_fl
+),
+{name}_quota AS (
+  SELECT label, CAST(fv + CASE WHEN r <= need THEN 1 ELSE 0 END AS BIGINT) AS quota
+  FROM {name}_need
+)"""
+
+
+SPLIT = _quota_sql("tr", "labeled WHERE label IS NOT NULL",
+                   "n_total - ceil(CAST(0.2 AS DOUBLE) * n_total)") + """,
+ranked AS (
+  SELECT block_id, label,
+         row_number() OVER (PARTITION BY label ORDER BY md5(block_id || ':42'), block_id) AS rk
+  FROM labeled WHERE label IS NOT NULL
+),
+split_ids AS (
+  SELECT r.block_id, r.label, CASE WHEN r.rk <= q.quota THEN 'train' ELSE 'test' END AS split
+  FROM ranked r JOIN tr_quota q USING (label)
+),
+test_ids AS (SELECT block_id, label FROM split_ids WHERE split = 'test'),""" + \
+    _quota_sql("sm", "test_ids", "least(1000, n_total)") + """,
+sample_ids AS (
+  SELECT block_id, label FROM (
+    SELECT t.block_id, t.label, q.quota,
+           row_number() OVER (PARTITION BY t.label ORDER BY md5(t.block_id || ':42'), t.block_id)
+             AS rk
+    FROM test_ids t JOIN sm_quota q USING (label)
+  ) WHERE rk <= quota
+),
+be AS (
+  SELECT block_id, line_id, event_id FROM assigned WHERE block_id IS NOT NULL AND block_id <> ''
+),
+vocab AS (
+  SELECT CAST(row_number() OVER (ORDER BY CAST(event_id AS VARCHAR)) AS INTEGER) AS feature_index,
+         event_id, 'E' || CAST(event_id AS VARCHAR) AS feature_name
+  FROM (SELECT DISTINCT event_id FROM be JOIN split_ids USING (block_id) WHERE split = 'train')
+),
+long_counts AS (
+  SELECT c.block_id, s.split, s.label, v.feature_index, v.feature_name, c.n
+  FROM (SELECT block_id, event_id, count(*) AS n FROM be GROUP BY block_id, event_id) c
+  JOIN split_ids s USING (block_id) JOIN vocab v USING (event_id)
+)"""
+
+ORACLE["stratified_split"] = _with(SPLIT) + "SELECT block_id, label, split FROM split_ids"
+
+ORACLE["stratified_sample"] = _with(SPLIT) + "SELECT block_id, label FROM sample_ids"
+
+ORACLE["anomaly_rate"] = _with(SPLIT) + """
+SELECT split, count(*) AS n_blocks, count(*) FILTER (WHERE label = 'Anomaly') AS n_anomaly,
+       avg(CASE WHEN label = 'Anomaly' THEN 1 ELSE 0 END) AS anomaly_rate
+FROM (SELECT split, label FROM split_ids UNION ALL SELECT 'sample', label FROM sample_ids)
+GROUP BY split"""
+
+ORACLE["restrict_to_ids"] = _with(SPLIT) + """
+SELECT l.block_id, l.event_sequence, l.label
+FROM labeled l SEMI JOIN test_ids t ON l.block_id = t.block_id"""
+
+ORACLE["normal_only"] = _with(SPLIT) + """
+SELECT block_id FROM split_ids WHERE split = 'train' AND label = 'Normal'"""
+
+ORACLE["class_weights"] = _with(SPLIT) + """
+SELECT label, n_c, CAST(sum(n_c) OVER () AS DOUBLE) / (count(*) OVER () * n_c) AS weight
+FROM (SELECT label, count(*) AS n_c FROM split_ids WHERE split = 'train' GROUP BY label)"""
+
+ORACLE["train_vocabulary"] = _with(SPLIT) + """
+SELECT feature_index, event_id, feature_name FROM vocab"""
+
+ORACLE["count_matrix_long"] = _with(SPLIT) + """
+SELECT block_id, split, label, feature_name, n FROM long_counts"""
+
+ORACLE["count_matrix_wide"] = _with(SPLIT) + """,
+dense AS (
+  SELECT s.block_id, s.split, s.label, v.feature_name, coalesce(l.n, 0) AS n
+  FROM split_ids s CROSS JOIN vocab v
+  LEFT JOIN long_counts l ON l.block_id = s.block_id AND l.feature_name = v.feature_name
+)
+SELECT * FROM (PIVOT dense ON feature_name USING first(n) GROUP BY block_id, split, label)"""
