@@ -226,3 +226,178 @@ def q_count_matrix_long(spark, sf_dir):
 @query("count_matrix_wide")
 def q_count_matrix_wide(spark, sf_dir):
     return LogContext.of(spark, sf_dir).wide_counts()[0]
+
+
+# --- predictions: metrics, scores, alerts, reports -----------------------------
+
+MODELS = ("isolation_forest", "random_forest", "text")
+TOP_ALERTS_PER_MODEL = 20
+
+
+def _preds(spark, sf_dir, model):
+    from blocklens.sources import fixtures
+    return fixtures.predictions(spark, sf_dir, model)
+
+
+def _pred_sample_ids(spark, sf_dir):
+    """The common evaluation sample, drawn from the prediction ids."""
+    from blocklens.operators.sampling import stratified_sample
+    base = _preds(spark, sf_dir, "isolation_forest").select("block_id", "label")
+    return stratified_sample(base)
+
+
+@query("binary_metrics")
+def q_binary_metrics(spark, sf_dir):
+    from blocklens.operators.metrics import compute_metrics
+    return compute_metrics(_preds(spark, sf_dir, "isolation_forest"))
+
+
+@query("metrics_full")
+def q_metrics_full(spark, sf_dir):
+    from blocklens.operators.metrics import evaluate_full
+    return evaluate_full({m: _preds(spark, sf_dir, m) for m in MODELS[:2]})
+
+
+@query("metrics_sample")
+def q_metrics_sample(spark, sf_dir):
+    from blocklens.operators.metrics import evaluate_on_sample
+    ids = _pred_sample_ids(spark, sf_dir)
+    text = _preds(spark, sf_dir, "text").join(ids.select("block_id"), "block_id", "left_semi")
+    return evaluate_on_sample({m: _preds(spark, sf_dir, m) for m in MODELS[:2]},
+                              {"text": text}, ids)
+
+
+@query("crosstab")
+def q_crosstab(spark, sf_dir):
+    from blocklens.operators.metrics import crosstab
+    return crosstab(_preds(spark, sf_dir, "isolation_forest"))
+
+
+@query("headline")
+def q_headline(spark, sf_dir):
+    """R2: M1 plus the number of detected anomalies, per model."""
+    from blocklens.operators.metrics import compute_metrics
+    out = None
+    for m in MODELS:
+        p = _preds(spark, sf_dir, m).withColumn("model", F.lit(m))
+        part = compute_metrics(p, ["model"]).join(
+            p.groupBy("model").agg(F.count_if(F.col("classification") == "Anomaly")
+                                   .alias("n_detected")), "model")
+        out = part if out is None else out.unionByName(part)
+    return out.select("model", "n_total", "n_detected", "precision", "recall", "f1", "fpr",
+                      "mean_inference_sec")
+
+
+@query("normalize_scores")
+def q_normalize_scores(spark, sf_dir):
+    from blocklens.functions import scores as S
+    out = None
+    for m in MODELS[:2]:
+        part = _preds(spark, sf_dir, m).select(
+            F.lit(m).alias("model"), "block_id", S.normalized_score(m).alias("norm_score"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("normalize_confidence")
+def q_normalize_confidence(spark, sf_dir):
+    from blocklens.functions import scores as S
+    return _preds(spark, sf_dir, "text").select(
+        "block_id", "confidence", S.normalize_confidence(F.col("confidence")).alias("norm_score"))
+
+
+# --- fixed value: raw class spellings a text model may answer with -------------
+RAW_CLASS_SPELLINGS = ("NORMAL", " anomaly ", "Anômalo", "anomalo", "anomalous", "Normal\t")
+
+
+@query("normalize_class")
+def q_normalize_class(spark, sf_dir):
+    """F12 over raw answers derived from ``labels`` (one spelling per row)."""
+    from blocklens.functions import scores as S
+    from blocklens.sources import fixtures
+    lab = fixtures.read_table(spark, sf_dir, "labels")
+    spell = F.array(*[F.lit(s) for s in RAW_CLASS_SPELLINGS])
+    raw = F.element_at(spell, (F.col("doc_id") % len(RAW_CLASS_SPELLINGS) + 1).cast("int"))
+    return lab.select(F.concat(F.lit("blk_"), F.col("doc_id").cast("string")).alias("block_id"),
+                      raw.alias("raw_class")).withColumn(
+        "classification", S.normalize_class(F.col("raw_class")))
+
+
+@query("severity")
+def q_severity(spark, sf_dir):
+    from blocklens.functions import scores as S
+    out = None
+    for m in MODELS:
+        norm = S.normalized_score(m)
+        part = _preds(spark, sf_dir, m).select(
+            F.lit(m).alias("model"), "block_id", norm.alias("norm_score"),
+            S.severity(norm).alias("severity"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _all_alerts(spark, sf_dir):
+    from blocklens.operators.alerts import generate_alerts
+    seqs = LogContext.of(spark, sf_dir).sequences
+    out = None
+    for m in MODELS:
+        part = generate_alerts(_preds(spark, sf_dir, m), m, seqs)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("alerts")
+def q_alerts(spark, sf_dir):
+    a = _all_alerts(spark, sf_dir)
+    return a.select("block_id", "classification", "score", "model",
+                    F.array_join("events", " ").alias("events"), "severity")
+
+
+@query("severity_counts")
+def q_severity_counts(spark, sf_dir):
+    from blocklens.operators.alerts import severity_counts
+    return severity_counts(_all_alerts(spark, sf_dir))
+
+
+def _alert_tables(spark, sf_dir):
+    from blocklens.operators.alerts import alert_table
+    out = None
+    for m in MODELS:
+        part = alert_table(_preds(spark, sf_dir, m), m).select(
+            F.lit(m).alias("model"), "block_id", "norm_score", "risk")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("alerts_by_risk")
+def q_alerts_by_risk(spark, sf_dir):
+    from blocklens.operators.alerts import filter_by_risk
+    return filter_by_risk(_alert_tables(spark, sf_dir))
+
+
+@query("top_alerts")
+def q_top_alerts(spark, sf_dir):
+    from blocklens.operators.alerts import filter_by_risk, top_alerts
+    return top_alerts(filter_by_risk(_alert_tables(spark, sf_dir)), TOP_ALERTS_PER_MODEL)
+
+
+@query("block_detail")
+def q_block_detail(spark, sf_dir):
+    from blocklens.operators.alerts import block_detail
+    seqs = LogContext.of(spark, sf_dir).sequences
+    out = None
+    for m in MODELS:
+        part = block_detail(_preds(spark, sf_dir, m), m, seqs)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("resume_remaining")
+def q_resume_remaining(spark, sf_dir):
+    """The work list (one block per document) minus the blocks an
+    earlier run already wrote (the text predictions)."""
+    from blocklens.sources import fixtures
+    from blocklens.sources.sinks import remaining_work
+    docs = fixtures.read_table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("blk_"), F.col("doc_id").cast("string")).alias("block_id"))
+    return remaining_work(docs, _preds(spark, sf_dir, "text"))

@@ -296,3 +296,196 @@ dense AS (
   LEFT JOIN long_counts l ON l.block_id = s.block_id AND l.feature_name = v.feature_name
 )
 SELECT * FROM (PIVOT dense ON feature_name USING first(n) GROUP BY block_id, split, label)"""
+
+
+# --- predictions ----------------------------------------------------------------
+
+PREDS = """
+preds_base AS (
+  SELECT doc_id, 'blk_' || CAST(doc_id AS VARCHAR) AS block_id,
+         CASE WHEN doc_id % 37 = 0 THEN NULL WHEN quality = 0 THEN 'Anomaly' ELSE 'Normal' END
+           AS classification,
+         CASE WHEN toxic = 1 THEN 'Anomaly' ELSE 'Normal' END AS label
+  FROM labels
+),
+if_preds AS (
+  SELECT block_id, 0.5 - CAST(doc_id % 101 AS DOUBLE) / 100.0 AS score, classification, label,
+         CAST(doc_id % 7 + 1 AS DOUBLE) / 1048576.0 AS inference_time_sec, doc_id
+  FROM preds_base
+),
+rf_preds AS (
+  SELECT block_id, CAST(doc_id % 101 AS DOUBLE) / 100.0 AS anomaly_probability, classification,
+         label, CAST(doc_id % 5 + 1 AS DOUBLE) / 4194304.0 AS inference_time_sec, doc_id
+  FROM preds_base
+),
+text_preds AS (
+  SELECT block_id, classification,
+         CASE WHEN classification IS NULL THEN NULL
+              WHEN doc_id % 11 = 0 THEN NULL
+              WHEN doc_id % 13 = 0 THEN 'high'
+              WHEN doc_id % 2 = 0 THEN CAST(doc_id % 101 AS VARCHAR) || '%'
+              ELSE '0.' || lpad(CAST(doc_id % 100 AS VARCHAR), 2, '0') END AS confidence,
+         'rule ' || CAST(doc_id % 3 AS VARCHAR) AS explanation,
+         CASE WHEN classification IS NULL THEN 3 ELSE CAST(doc_id % 3 + 1 AS INTEGER) END AS attempts,
+         classification IS NULL AS parse_failed, label,
+         CAST(doc_id % 9 + 1 AS DOUBLE) * 0.5 AS inference_time_sec, doc_id
+  FROM preds_base
+),
+norm_scores AS (
+  SELECT 'isolation_forest' AS model, block_id, classification, label,
+         CASE WHEN score IS NULL THEN NULL ELSE greatest(0.0, least(1.0, 0.5 - score)) END AS norm_score
+  FROM if_preds
+  UNION ALL
+  SELECT 'random_forest', block_id, classification, label,
+         CASE WHEN anomaly_probability IS NULL THEN NULL
+              ELSE greatest(0.0, least(1.0, anomaly_probability)) END
+  FROM rf_preds
+  UNION ALL
+  SELECT 'text', block_id, classification, label, conf_norm FROM (
+    SELECT *, CASE WHEN v IS NULL THEN NULL ELSE greatest(0.0, least(1.0, v)) END AS conf_norm
+    FROM (
+      SELECT *, CASE WHEN ends_with(s, '%')
+                     THEN TRY_CAST(regexp_replace(regexp_replace(s, '%+$', ''), '^\\s+|\\s+$', '', 'g')
+                                   AS DOUBLE) / 100.0
+                     ELSE TRY_CAST(s AS DOUBLE) END AS v
+      FROM (SELECT *, regexp_replace(confidence, '^\\s+|\\s+$', '', 'g') AS s FROM text_preds)
+    )
+  )
+),
+sev AS (
+  SELECT *, CASE WHEN norm_score IS NULL THEN 'UNKNOWN' WHEN norm_score >= 0.8 THEN 'HIGH'
+                 WHEN norm_score >= 0.6 THEN 'MEDIUM' WHEN norm_score >= 0.4 THEN 'LOW'
+                 ELSE 'NORMAL' END AS severity
+  FROM norm_scores
+),
+all_preds AS (
+  SELECT 'isolation_forest' AS approach, block_id, classification, label, inference_time_sec FROM if_preds
+  UNION ALL SELECT 'random_forest', block_id, classification, label, inference_time_sec FROM rf_preds
+  UNION ALL SELECT 'text', block_id, classification, label, inference_time_sec FROM text_preds
+)"""
+
+
+def _metrics_sql(src: str, group: str | None) -> str:
+    g = f"{group}, " if group else ""
+    gb = f"GROUP BY {group}" if group else ""
+    return f"""
+SELECT {g}n_total, n_invalid,
+  CASE WHEN tp + fp > 0 THEN CAST(tp AS DOUBLE) / (tp + fp) ELSE 0.0 END AS precision,
+  CASE WHEN tp + fn > 0 THEN CAST(tp AS DOUBLE) / (tp + fn) ELSE 0.0 END AS recall,
+  CASE WHEN 2 * tp + fp + fn > 0 THEN CAST(2 * tp AS DOUBLE) / (2 * tp + fp + fn) ELSE 0.0 END AS f1,
+  CASE WHEN fp + tn > 0 THEN CAST(fp AS DOUBLE) / (fp + tn) ELSE 0.0 END AS fpr,
+  tp, fp, tn, fn, mean_inference_sec
+FROM (
+  SELECT {g}count(*) AS n_total,
+    count(*) FILTER (WHERE classification IS NULL) AS n_invalid,
+    count(*) FILTER (WHERE classification = 'Anomaly' AND label = 'Anomaly') AS tp,
+    count(*) FILTER (WHERE classification = 'Anomaly' AND label <> 'Anomaly') AS fp,
+    count(*) FILTER (WHERE classification = 'Normal' AND label = 'Normal') AS tn,
+    count(*) FILTER (WHERE classification IS NOT NULL AND classification <> 'Anomaly'
+                     AND label = 'Anomaly') AS fn,
+    avg(inference_time_sec) FILTER (WHERE classification IS NOT NULL) AS mean_inference_sec
+  FROM {src} {gb}
+)"""
+
+
+PBASE = "WITH " + PREDS.strip() + "\n"
+PLOG = _with(PREDS)
+
+ORACLE["binary_metrics"] = PBASE + _metrics_sql("if_preds", None)
+
+ORACLE["metrics_full"] = PBASE + _metrics_sql(
+    "(SELECT * FROM all_preds WHERE approach <> 'text')", "approach")
+
+ORACLE["metrics_sample"] = PBASE.rstrip() + ",\n" + _quota_sql(
+    "ps", "(SELECT block_id, label FROM if_preds)", "least(1000, n_total)").strip() + """,
+psample AS (
+  SELECT block_id FROM (
+    SELECT p.block_id, q.quota,
+           row_number() OVER (PARTITION BY p.label ORDER BY md5(p.block_id || ':42'), p.block_id)
+             AS rk
+    FROM if_preds p JOIN ps_quota q USING (label)
+  ) WHERE rk <= quota
+)
+""" + _metrics_sql("(SELECT * FROM all_preds SEMI JOIN psample USING (block_id))", "approach")
+
+ORACLE["crosstab"] = PBASE + """
+SELECT label, classification, count(*) AS n FROM if_preds
+WHERE label IS NOT NULL AND classification IS NOT NULL GROUP BY label, classification"""
+
+ORACLE["headline"] = PBASE + """
+SELECT m.approach AS model, m.n_total, d.n_detected, m.precision, m.recall, m.f1, m.fpr,
+       m.mean_inference_sec
+FROM (""" + _metrics_sql("all_preds", "approach") + """) m
+JOIN (SELECT approach, count(*) FILTER (WHERE classification = 'Anomaly') AS n_detected
+      FROM all_preds GROUP BY approach) d USING (approach)"""
+
+ORACLE["normalize_scores"] = PBASE + """
+SELECT model, block_id, norm_score FROM norm_scores WHERE model <> 'text'"""
+
+ORACLE["normalize_confidence"] = PBASE + """
+SELECT t.block_id, t.confidence, n.norm_score
+FROM text_preds t JOIN norm_scores n ON n.model = 'text' AND n.block_id = t.block_id"""
+
+_SPELL = ", ".join(_q(s) for s in __import__(
+    "blocklens.plans.catalog", fromlist=["RAW_CLASS_SPELLINGS"]).RAW_CLASS_SPELLINGS)
+ORACLE["normalize_class"] = f"""
+SELECT block_id, raw_class,
+  CASE WHEN upper(regexp_replace(raw_class, '^\\s+|\\s+$', '', 'g')) IN ('NORMAL') THEN 'Normal'
+       WHEN upper(regexp_replace(raw_class, '^\\s+|\\s+$', '', 'g'))
+            IN ('ANOMALO', 'ANÔMALO', 'ANOMALY') THEN 'Anomaly' END AS classification
+FROM (SELECT 'blk_' || CAST(doc_id AS VARCHAR) AS block_id,
+             [{_SPELL}][doc_id % 6 + 1] AS raw_class FROM labels)"""
+
+ORACLE["severity"] = PBASE + "SELECT model, block_id, norm_score, severity FROM sev"
+
+ALERTS = """
+alerts AS (
+  SELECT s.block_id, 'ANOMALY' AS classification, round(s.norm_score, 4) AS score, s.model,
+         coalesce(array_to_string(list_transform(b.events, lambda x: 'E' || CAST(x AS VARCHAR)), ' '),
+                  '') AS events,
+         s.severity
+  FROM sev s LEFT JOIN block_seq b USING (block_id)
+  WHERE s.classification = 'Anomaly'
+)"""
+
+ORACLE["alerts"] = _with(PREDS, ALERTS) + """
+SELECT block_id, classification, score, model, events, severity FROM alerts"""
+
+ORACLE["severity_counts"] = _with(PREDS, ALERTS) + """
+SELECT model, severity, count(*) AS n FROM alerts GROUP BY model, severity"""
+
+ORACLE["alerts_by_risk"] = PBASE + """
+SELECT model, block_id, norm_score, severity AS risk FROM sev
+WHERE classification = 'Anomaly' AND severity IN ('HIGH', 'MEDIUM', 'LOW', 'UNKNOWN')"""
+
+ORACLE["top_alerts"] = PBASE + """
+SELECT * FROM (
+  SELECT model, block_id, norm_score, severity AS risk,
+         row_number() OVER (PARTITION BY model ORDER BY norm_score DESC NULLS LAST, block_id)
+           AS rank
+  FROM sev
+  WHERE classification = 'Anomaly' AND severity IN ('HIGH', 'MEDIUM', 'LOW', 'UNKNOWN')
+) WHERE rank <= 20"""
+
+ORACLE["block_detail"] = _with(PREDS) + f"""
+SELECT p.model, p.block_id, p.raw_score, p.classification, p.label,
+       p.classification = p.label AS correct,
+       array_to_string(list_transform(b.events[1:{TX.CHAIN_MAX_EVENTS}],
+                                      lambda x: 'E' || CAST(x AS VARCHAR)), {_ARROW}) ||
+       CASE WHEN len(b.events) > {TX.CHAIN_MAX_EVENTS}
+            THEN {_q(_MORE_A)} || CAST(len(b.events) - {TX.CHAIN_MAX_EVENTS} AS VARCHAR) || {_q(_MORE_B)}
+            ELSE '' END AS event_chain,
+       p.explanation
+FROM (
+  SELECT 'isolation_forest' AS model, block_id, printf('%.6f', score) AS raw_score, classification,
+         label, CAST(NULL AS VARCHAR) AS explanation FROM if_preds
+  UNION ALL
+  SELECT 'random_forest', block_id, printf('%.6f', anomaly_probability), classification, label,
+         NULL FROM rf_preds
+  UNION ALL
+  SELECT 'text', block_id, confidence, classification, label, explanation FROM text_preds
+) p LEFT JOIN block_seq b USING (block_id)"""
+
+ORACLE["resume_remaining"] = PBASE + """
+SELECT 'blk_' || CAST(doc_id AS VARCHAR) AS block_id FROM documents
+WHERE 'blk_' || CAST(doc_id AS VARCHAR) NOT IN (SELECT block_id FROM text_preds)"""

@@ -97,7 +97,7 @@ def if_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
         "block_id",
         (F.lit(0.5) - (F.col("doc_id") % 101) / F.lit(100.0)).alias("score"),
         "classification", "label",
-        ((F.col("doc_id") % 7 + 1) * F.lit(1e-6)).alias("inference_time_sec"),
+        ((F.col("doc_id") % 7 + 1) / F.lit(1048576.0)).alias("inference_time_sec"),
     )
 
 
@@ -108,7 +108,7 @@ def rf_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
         "block_id",
         ((F.col("doc_id") % 101) / F.lit(100.0)).alias("anomaly_probability"),
         "classification", "label",
-        ((F.col("doc_id") % 5 + 1) * F.lit(1e-6)).alias("inference_time_sec"),
+        ((F.col("doc_id") % 5 + 1) / F.lit(4194304.0)).alias("inference_time_sec"),
     )
 
 
