@@ -401,3 +401,52 @@ def q_resume_remaining(spark, sf_dir):
     docs = fixtures.read_table(spark, sf_dir, "documents").select(
         F.concat(F.lit("blk_"), F.col("doc_id").cast("string")).alias("block_id"))
     return remaining_work(docs, _preds(spark, sf_dir, "text"))
+
+
+# --- template mining and detectors (rows-only checks) ---------------------------
+
+
+@query("mine_templates")
+def q_mine_templates(spark, sf_dir):
+    """Drain clusters over the distinct masks."""
+    t = LogContext.of(spark, sf_dir, miner="drain").templates
+    return t.select("event_id", "event_template", "occurrences")
+
+
+@query("iforest_train")
+def q_iforest_train(spark, sf_dir):
+    nodes, _ = LogContext.of(spark, sf_dir).iforest
+    return nodes.groupBy("tree_id").agg(
+        F.count(F.lit(1)).alias("n_nodes"),
+        F.count_if(F.col("feature") < 0).alias("n_leaves"),
+        F.max("depth").alias("depth"))
+
+
+@query("iforest_score")
+def q_iforest_score(spark, sf_dir):
+    from blocklens.operators.iforest import score_isolation_forest
+    ctx = LogContext.of(spark, sf_dir)
+    nodes, psi = ctx.iforest
+    wide, names = ctx.wide
+    return score_isolation_forest(spark, nodes, psi, wide, names)
+
+
+@query("rf_train")
+def q_rf_train(spark, sf_dir):
+    from blocklens.operators.forest import describe_trees
+    return describe_trees(spark, LogContext.of(spark, sf_dir).rf_model)
+
+
+@query("rf_score")
+def q_rf_score(spark, sf_dir):
+    from blocklens.operators.forest import predict_random_forest
+    ctx = LogContext.of(spark, sf_dir)
+    wide, names = ctx.wide
+    return predict_random_forest(ctx.rf_model, wide, names)
+
+
+@query("rf_top_features")
+def q_rf_top_features(spark, sf_dir):
+    from blocklens.operators.forest import feature_importances
+    ctx = LogContext.of(spark, sf_dir)
+    return feature_importances(spark, ctx.rf_model, ctx.wide[1], top=10)

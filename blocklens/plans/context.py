@@ -137,3 +137,26 @@ class LogContext:
         from blocklens.operators.features import count_matrix_wide, vocabulary_names
         names = vocabulary_names(self.vocabulary)
         return count_matrix_wide(self.long_counts, self.split_ids, names), names
+
+    # --- detectors ------------------------------------------------------------
+
+    @cached_property
+    def wide(self) -> tuple[DataFrame, list[str]]:
+        from blocklens.operators.features import count_matrix_wide, vocabulary_names
+        names = vocabulary_names(self.vocabulary)
+        wide = self.store.materialize(
+            "wide_counts", lambda: count_matrix_wide(self.long_counts, self.split_ids, names))
+        return wide, names
+
+    @cached_property
+    def rf_model(self):
+        from blocklens.operators.forest import train_random_forest
+        wide, names = self.wide
+        return train_random_forest(wide, names)
+
+    @cached_property
+    def iforest(self) -> tuple[DataFrame, int]:
+        from blocklens.operators.iforest import train_isolation_forest
+        wide, names = self.wide
+        nodes, psi = train_isolation_forest(self.spark, wide, names)
+        return self.store.materialize("iforest_nodes", lambda: nodes), psi
