@@ -450,3 +450,26 @@ def q_rf_top_features(spark, sf_dir):
     from blocklens.operators.forest import feature_importances
     ctx = LogContext.of(spark, sf_dir)
     return feature_importances(spark, ctx.rf_model, ctx.wide[1], top=10)
+
+
+# --- text-model detector ----------------------------------------------------------
+
+
+@query("build_prompts")
+def q_build_prompts(spark, sf_dir):
+    from blocklens.operators.text_classifier import build_prompts
+    return build_prompts(LogContext.of(spark, sf_dir).texts).select("block_id", "prompt")
+
+
+@query("text_classify")
+def q_text_classify(spark, sf_dir):
+    """D7/D8 with the built-in rule backend over every labelled block."""
+    p = LogContext.of(spark, sf_dir).text_predictions
+    return p.select("block_id", "classification", "confidence", "explanation", "attempts",
+                    "parse_failed", "label")
+
+
+@query("classify_failures")
+def q_classify_failures(spark, sf_dir):
+    from blocklens.operators.text_classifier import failure_count
+    return failure_count(LogContext.of(spark, sf_dir).text_predictions)

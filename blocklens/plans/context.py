@@ -160,3 +160,15 @@ class LogContext:
         wide, names = self.wide
         nodes, psi = train_isolation_forest(self.spark, wide, names)
         return self.store.materialize("iforest_nodes", lambda: nodes), psi
+
+    @cached_property
+    def texts(self) -> DataFrame:
+        """(block_id, text_sequence, label) for every labelled block."""
+        return self.store.materialize("texts", lambda: seq_ops.text_sequences(
+            self.sequences, self.templates).join(self.block_ids, "block_id"))
+
+    @cached_property
+    def text_predictions(self) -> DataFrame:
+        from blocklens.operators.text_classifier import classify, rule_backend
+        return self.store.materialize("text_predictions",
+                                      lambda: classify(self.texts, rule_backend))

@@ -489,3 +489,56 @@ FROM (
 ORACLE["resume_remaining"] = PBASE + """
 SELECT 'blk_' || CAST(doc_id AS VARCHAR) AS block_id FROM documents
 WHERE 'blk_' || CAST(doc_id AS VARCHAR) NOT IN (SELECT block_id FROM text_preds)"""
+
+
+# --- text-model detector (built-in rule backend) ------------------------------------
+
+from blocklens.operators import text_classifier as TC  # noqa: E402
+
+_PRE, _POST = TC.PROMPT_TEMPLATE.split("{sequence}")
+TEXTS = f"""
+texts AS (
+  SELECT l.block_id, t.text_sequence, l.label, l.sequence_length
+  FROM labeled l JOIN (
+    SELECT block_id,
+      string_agg('Event ' || CAST(pos AS VARCHAR) || ': ' ||
+                 coalesce(event_template, {_q(SEQ.UNKNOWN_TEMPLATE)}), chr(10) ORDER BY pos)
+        AS text_sequence
+    FROM (SELECT block_id, event_template,
+                 row_number() OVER (PARTITION BY block_id ORDER BY line_id) AS pos
+          FROM assigned WHERE block_id IS NOT NULL AND block_id <> '')
+    GROUP BY block_id
+  ) t USING (block_id)
+  WHERE l.label IS NOT NULL
+),
+rule AS (
+  SELECT block_id, label, sequence_length AS n,
+         contains(text_sequence, {_q(TC.RULE_EXCEPTION_TOKEN)}) AS bad
+  FROM texts
+),
+text_cls AS (
+  SELECT block_id, label,
+    CASE WHEN n > {TC.RULE_LIMITS[2]} THEN NULL WHEN bad THEN 'Anomaly' ELSE 'Normal' END
+      AS classification,
+    CASE WHEN n <= {TC.RULE_LIMITS[0]} THEN (CASE WHEN bad THEN '90%' ELSE '0.8' END)
+         WHEN n <= {TC.RULE_LIMITS[1]} THEN '85%'
+         WHEN n <= {TC.RULE_LIMITS[2]} THEN (CASE WHEN bad THEN '0.7' ELSE '0.6' END) END
+      AS confidence,
+    CASE WHEN n <= {TC.RULE_LIMITS[0]} THEN 'first look'
+         WHEN n <= {TC.RULE_LIMITS[1]} THEN 'second look'
+         WHEN n <= {TC.RULE_LIMITS[2]} THEN 'third look' END AS explanation,
+    CAST(CASE WHEN n <= {TC.RULE_LIMITS[0]} THEN 1 WHEN n <= {TC.RULE_LIMITS[1]} THEN 2 ELSE 3 END
+         AS INTEGER) AS attempts,
+    n > {TC.RULE_LIMITS[2]} AS parse_failed
+  FROM rule
+)"""
+
+ORACLE["build_prompts"] = _with(TEXTS) + f"""
+SELECT block_id, {_q(_PRE)} || text_sequence || {_q(_POST)} AS prompt FROM texts"""
+
+ORACLE["text_classify"] = _with(TEXTS) + """
+SELECT block_id, classification, confidence, explanation, attempts, parse_failed, label
+FROM text_cls"""
+
+ORACLE["classify_failures"] = _with(TEXTS) + """
+SELECT count(*) FILTER (WHERE parse_failed) AS n_parse_failed, count(*) AS n_total FROM text_cls"""
