@@ -78,5 +78,7 @@ def normalize_tokens(text: Column) -> Column:
 
 
 def event_timestamp(event_date: Column, event_time: Column) -> Column:
-    """``yyMMdd`` + ``HHmmss`` as a timestamp (NULL when not a valid instant)."""
+    """``yyMMdd`` + ``HHmmss`` read in the session time zone (NULL when not a
+    valid date).  A zoned timestamp, because streaming watermarks need one;
+    reports turn window bounds back into wall-clock values."""
     return F.try_to_timestamp(F.concat(event_date, event_time), F.lit("yyMMddHHmmss"))

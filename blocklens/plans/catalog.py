@@ -473,3 +473,32 @@ def q_text_classify(spark, sf_dir):
 def q_classify_failures(spark, sf_dir):
     from blocklens.operators.text_classifier import failure_count
     return failure_count(LogContext.of(spark, sf_dir).text_predictions)
+
+
+# --- streaming (file-source stream run to completion) ------------------------------
+
+
+def _parsed_stream(spark, sf_dir):
+    from blocklens.streaming import live
+    lines = fixtures_log_lines_stream(spark, sf_dir)
+    return live.parse_stream(lines)
+
+
+def fixtures_log_lines_stream(spark, sf_dir):
+    from blocklens.sources import fixtures
+    from blocklens.streaming import live
+    return fixtures.log_lines_from_events(live.event_stream(spark, sf_dir))
+
+
+@query("stream_event_counts")
+def q_stream_event_counts(spark, sf_dir):
+    """Hourly line counts per level, computed by a streaming query."""
+    from blocklens.streaming import live
+    return live.run_to_table(live.level_rates(_parsed_stream(spark, sf_dir)), "level-rates")
+
+
+@query("stream_block_sessions")
+def q_stream_block_sessions(spark, sf_dir):
+    """Per-block sessions (30 min gap), computed by a streaming query."""
+    from blocklens.streaming import live
+    return live.run_to_table(live.block_sessions(_parsed_stream(spark, sf_dir)), "sessions")

@@ -542,3 +542,28 @@ FROM text_cls"""
 
 ORACLE["classify_failures"] = _with(TEXTS) + """
 SELECT count(*) FILTER (WHERE parse_failed) AS n_parse_failed, count(*) AS n_total FROM text_cls"""
+
+
+# --- streaming equivalents ----------------------------------------------------------
+
+EVENT_TS = """
+ts_lines AS (
+  SELECT block_id, level, strptime(event_date || event_time, '%y%m%d%H%M%S') AS event_ts
+  FROM parsed
+)"""
+
+ORACLE["stream_event_counts"] = _with(EVENT_TS) + """
+SELECT time_bucket(INTERVAL 1 hour, event_ts) AS window_start,
+       time_bucket(INTERVAL 1 hour, event_ts) + INTERVAL 1 hour AS window_end,
+       level, count(*) AS n
+FROM ts_lines GROUP BY ALL"""
+
+ORACLE["stream_block_sessions"] = _with(EVENT_TS) + """
+SELECT block_id, min(event_ts) AS session_start,
+       max(event_ts) + INTERVAL 30 minute AS session_end, count(*) AS n
+FROM (
+  SELECT *, sum(CASE WHEN prev IS NULL OR event_ts >= prev + INTERVAL 30 minute THEN 1 ELSE 0 END)
+              OVER (PARTITION BY block_id ORDER BY event_ts ROWS UNBOUNDED PRECEDING) AS sid
+  FROM (SELECT *, lag(event_ts) OVER (PARTITION BY block_id ORDER BY event_ts) AS prev
+        FROM ts_lines WHERE block_id IS NOT NULL)
+) GROUP BY block_id, sid"""
