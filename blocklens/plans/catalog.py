@@ -502,3 +502,30 @@ def q_stream_block_sessions(spark, sf_dir):
     """Per-block sessions (30 min gap), computed by a streaming query."""
     from blocklens.streaming import live
     return live.run_to_table(live.block_sessions(_parsed_stream(spark, sf_dir)), "sessions")
+
+
+# --- source round trips (text and CSV written to the shared folder, read back) -----
+
+
+@query("raw_scan")
+def q_raw_scan(spark, sf_dir):
+    """The derived log written as text files in line order (a range-
+    partitioned sort, many part files) and read back with dense line ids."""
+    from blocklens.session import scratch_path
+    from blocklens.sources.rawlog import read_raw_log
+    path = scratch_path(spark, "raw-log")
+    LogContext.of(spark, sf_dir).lines.orderBy("line_id").select("raw_content") \
+        .write.text(path)
+    return read_raw_log(spark, path).select("line_id", "raw_content")
+
+
+@query("label_scan")
+def q_label_scan(spark, sf_dir):
+    """S3: block labels written as a CSV with padded header names and read
+    back through the checked label loader."""
+    from blocklens.session import scratch_path
+    from blocklens.sources.labels import load_labels
+    path = scratch_path(spark, "labels-csv")
+    LogContext.of(spark, sf_dir).labels.toDF(" BlockId", "Label ") \
+        .write.option("header", True).csv(path)
+    return load_labels(spark, path)

@@ -567,3 +567,7 @@ FROM (
   FROM (SELECT *, lag(event_ts) OVER (PARTITION BY block_id ORDER BY event_ts) AS prev
         FROM ts_lines WHERE block_id IS NOT NULL)
 ) GROUP BY block_id, sid"""
+
+ORACLE["raw_scan"] = BASE + "SELECT line_id, raw_content FROM log_lines"
+
+ORACLE["label_scan"] = BASE + "SELECT block_id, label FROM block_labels"

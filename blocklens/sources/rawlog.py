@@ -8,7 +8,7 @@ task.  Dense, 1-based line numbers then need no global sort:
 1. tag every row with its range (file, range start) and a
    ``monotonically_increasing_id`` (consecutive inside a task);
 2. per range: row count and smallest id -- a tiny table, one row per range;
-3. prefix-sum the counts per file in range order and broadcast the result;
+3. prefix-sum the counts in (file, range) order and broadcast the result;
 4. line number = lines before the range + (id - smallest id in range) + 1.
 
 Numbers are assigned before empty lines are dropped, so they count every
@@ -32,8 +32,8 @@ def read_lines(spark: SparkSession, path: str | list[str], drop_empty: bool = Tr
     ).withColumn("_mid", F.monotonically_increasing_id())
     ranges = scan.groupBy("_file", "_start").agg(
         F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
-    before = Window.partitionBy("_file").orderBy("_start") \
-        .rowsBetween(Window.unboundedPreceding, -1)
+    # one row per byte range: a bounded table, so one window task is fine
+    before = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     numbered = scan.join(F.broadcast(ranges.drop("_n")), ["_file", "_start"]).select(
         (F.col("_off") + F.col("_mid") - F.col("_m0") + 1).alias("line_id"),
@@ -47,8 +47,8 @@ def read_lines(spark: SparkSession, path: str | list[str], drop_empty: bool = Tr
 
 def read_raw_log(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """S1 with the reference's contract: ``(line_id, raw_content)``, empty
-    lines skipped (whitespace-only lines kept).  For several files the line
-    number restarts per file, and ``source_file`` tells them apart."""
+    lines skipped (whitespace-only lines kept).  Several files are numbered
+    as one log, in path order; ``source_file`` tells them apart."""
     return read_lines(spark, path, drop_empty=True)
 
 
