@@ -20,10 +20,11 @@ def parse_lines(lines: DataFrame, keep_unmatched: bool = False) -> DataFrame:
     ``matched`` flag and NULL fields (used for the run statistics).
     """
     raw = F.col("raw_content")
-    staged = lines.select(
+    joined = lines.select("line_id", raw, P.header_joined(raw).alias("_j"))
+    staged = joined.select(
         "line_id",
-        P.header_matches(raw).alias("matched"),
-        P.header_fields(raw).alias("_f"),
+        (F.col("_j") != F.col("raw_content")).alias("matched"),
+        F.split(F.col("_j"), ":", 6).alias("_f"),
     )
     if not keep_unmatched:
         staged = staged.where("matched")
@@ -45,9 +46,10 @@ def parse_stats(lines: DataFrame, with_templates: bool = False) -> DataFrame:
     n_templates = number of distinct masks among matched lines.
     """
     raw = F.col("raw_content")
-    m = P.header_matches(raw)
-    content = F.when(m, F.try_element_at(P.header_fields(raw), F.lit(6)))
-    staged = lines.select(m.alias("m"), content.alias("content"))
+    joined = lines.select(raw, P.header_joined(raw).alias("_j"))
+    m = F.col("_j") != F.col("raw_content")
+    content = F.when(m, F.try_element_at(F.split(F.col("_j"), ":", 6), F.lit(6)))
+    staged = joined.select(m.alias("m"), content.alias("content"))
     aggs = [
         F.count_if("m").alias("n_processed"),
         F.count_if(~F.col("m")).alias("n_unmatched"),

@@ -141,18 +141,23 @@ def drain_buckets(masks: DataFrame, max_children: int = DRAIN_MAX_CHILDREN) -> D
                          key.alias("bucket"))
 
 
-def drain_templates(masked: DataFrame, sim_th: float = DRAIN_SIM_THRESHOLD,
-                    max_children: int = DRAIN_MAX_CHILDREN) -> tuple[DataFrame, DataFrame]:
-    """Drain clusters over distinct masks.
+def drain_clusters(masked: DataFrame, sim_th: float = DRAIN_SIM_THRESHOLD,
+                   max_children: int = DRAIN_MAX_CHILDREN) -> DataFrame:
+    """T2, clustering step: one row per distinct mask with its cluster
+    (identified by the first line of the mask that opened it) and the
+    cluster's final template.  Written once; templates and the mask mapping
+    are derived from it by :func:`drain_from_clusters`."""
+    routed = drain_buckets(distinct_masks(masked), max_children)
+    return routed.groupBy("n_tokens", "bucket").applyInPandas(
+        _drain_bucket(sim_th, P.WILDCARD), schema=_BUCKET_SCHEMA)
+
+
+def drain_from_clusters(clustered: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(templates, mask_to_event)`` from the clustering step.
 
-    Returns ``(templates, mask_to_event)``:
     templates = (event_id, event_template, occurrences, first_line_id);
     mask_to_event = (template, event_id, event_template).
     """
-    masks = distinct_masks(masked)
-    routed = drain_buckets(masks, max_children)
-    clustered = routed.groupBy("n_tokens", "bucket").applyInPandas(
-        _drain_bucket(sim_th, P.WILDCARD), schema=_BUCKET_SCHEMA)
     per_cluster = clustered.groupBy("cluster_first_line").agg(
         F.first("cluster_template").alias("event_template"),
         F.sum("occurrences").alias("occurrences"))
@@ -167,6 +172,13 @@ def drain_templates(masked: DataFrame, sim_th: float = DRAIN_SIM_THRESHOLD,
     return templates, mask_to_event
 
 
+def drain_templates(masked: DataFrame, sim_th: float = DRAIN_SIM_THRESHOLD,
+                    max_children: int = DRAIN_MAX_CHILDREN) -> tuple[DataFrame, DataFrame]:
+    """T2 in one call (the clustering is re-run by each consumer; stage it
+    with :func:`drain_clusters` when both outputs are used)."""
+    return drain_from_clusters(drain_clusters(masked, sim_th, max_children))
+
+
 def mask_to_event_from(templates: DataFrame) -> DataFrame:
     """Mapping table for T3 templates (the mask *is* the template)."""
     return templates.select(F.col("event_template").alias("template"), "event_id",

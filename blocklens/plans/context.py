@@ -27,7 +27,10 @@ class LogContext:
         self.spark = spark
         self.sf_dir = sf_dir
         self.miner = miner
-        self.store = StageStore.for_inputs(spark, "v1", sf_dir, miner)
+        # miner-independent stages (parsed lines, labels) are shared by all
+        # miners; stages that depend on the templates are named per miner
+        self.store = StageStore.for_inputs(spark, "v1", sf_dir)
+        self._p = "" if miner == "mask" else f"{miner}_"
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str, miner: str = "mask") -> "LogContext":
@@ -55,14 +58,11 @@ class LogContext:
     @cached_property
     def _mined(self) -> tuple[DataFrame, DataFrame]:
         if self.miner == "drain":
-            built = {}
-
-            def both():
-                if not built:
-                    built["t"], built["m"] = tpl_ops.drain_templates(self.masked)
-                return built
-            templates = self.store.materialize("templates", lambda: both()["t"])
-            m2e = self.store.materialize("mask_to_event", lambda: both()["m"])
+            clusters = self.store.materialize(
+                "drain_clusters", lambda: tpl_ops.drain_clusters(self.masked))
+            t, m = tpl_ops.drain_from_clusters(clusters)
+            templates = self.store.materialize("drain_templates", lambda: t)
+            m2e = self.store.materialize("drain_mask_to_event", lambda: m)
             return templates, m2e
         templates = self.store.materialize(
             "templates", lambda: tpl_ops.mask_templates(self.masked))
@@ -84,7 +84,7 @@ class LogContext:
 
     @cached_property
     def sequences(self) -> DataFrame:
-        return self.store.materialize("sequences",
+        return self.store.materialize(self._p + "sequences",
                                       lambda: seq_ops.block_sequences(self.assigned))
 
     @cached_property
@@ -111,26 +111,26 @@ class LogContext:
     def split_ids(self) -> DataFrame:
         """(block_id, label, split) -- exact stratified 80/20, written once."""
         from blocklens.operators.sampling import stratified_split
-        return self.store.materialize("split_ids", lambda: stratified_split(self.block_ids))
+        return self.store.materialize(self._p + "split_ids", lambda: stratified_split(self.block_ids))
 
     @cached_property
     def sample_ids(self) -> DataFrame:
         """(block_id, label) -- exact stratified sample of the test split."""
         from blocklens.operators.sampling import stratified_sample
         test = self.split_ids.where(F.col("split") == "test").select("block_id", "label")
-        return self.store.materialize("sample_ids", lambda: stratified_sample(test))
+        return self.store.materialize(self._p + "sample_ids", lambda: stratified_sample(test))
 
     @cached_property
     def vocabulary(self) -> DataFrame:
         from blocklens.operators.features import train_vocabulary
         return self.store.materialize(
-            "vocabulary", lambda: train_vocabulary(self.block_events, self.split_ids))
+            self._p + "vocabulary", lambda: train_vocabulary(self.block_events, self.split_ids))
 
     @cached_property
     def long_counts(self) -> DataFrame:
         from blocklens.operators.features import count_matrix_long
         return self.store.materialize(
-            "long_counts",
+            self._p + "long_counts",
             lambda: count_matrix_long(self.block_events, self.split_ids, self.vocabulary))
 
     def wide_counts(self) -> tuple[DataFrame, list[str]]:
@@ -145,7 +145,7 @@ class LogContext:
         from blocklens.operators.features import count_matrix_wide, vocabulary_names
         names = vocabulary_names(self.vocabulary)
         wide = self.store.materialize(
-            "wide_counts", lambda: count_matrix_wide(self.long_counts, self.split_ids, names))
+            self._p + "wide_counts", lambda: count_matrix_wide(self.long_counts, self.split_ids, names))
         return wide, names
 
     @cached_property
@@ -159,16 +159,16 @@ class LogContext:
         from blocklens.operators.iforest import train_isolation_forest
         wide, names = self.wide
         nodes, psi = train_isolation_forest(self.spark, wide, names)
-        return self.store.materialize("iforest_nodes", lambda: nodes), psi
+        return self.store.materialize(self._p + "iforest_nodes", lambda: nodes), psi
 
     @cached_property
     def texts(self) -> DataFrame:
         """(block_id, text_sequence, label) for every labelled block."""
-        return self.store.materialize("texts", lambda: seq_ops.text_sequences(
+        return self.store.materialize(self._p + "texts", lambda: seq_ops.text_sequences(
             self.sequences, self.templates).join(self.block_ids, "block_id"))
 
     @cached_property
     def text_predictions(self) -> DataFrame:
         from blocklens.operators.text_classifier import classify, rule_backend
-        return self.store.materialize("text_predictions",
+        return self.store.materialize(self._p + "text_predictions",
                                       lambda: classify(self.texts, rule_backend))

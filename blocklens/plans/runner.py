@@ -52,14 +52,11 @@ class DetectionRun:
         masked = self.store.materialize(
             "parsed", lambda: tpl_ops.with_masks(parse_ops.parse_lines(lines)))
         if self.miner == "drain":
-            built = {}
-
-            def mined():
-                if not built:
-                    built["t"], built["m"] = tpl_ops.drain_templates(masked)
-                return built
-            templates = self.store.materialize("templates", lambda: mined()["t"])
-            m2e = self.store.materialize("mask_to_event", lambda: mined()["m"])
+            clusters = self.store.materialize(
+                "drain_clusters", lambda: tpl_ops.drain_clusters(masked))
+            t, m = tpl_ops.drain_from_clusters(clusters)
+            templates = self.store.materialize("templates", lambda: t)
+            m2e = self.store.materialize("mask_to_event", lambda: m)
         else:
             templates = self.store.materialize("templates",
                                                lambda: tpl_ops.mask_templates(masked))

@@ -56,8 +56,18 @@ def log_lines_from_events(events: DataFrame) -> DataFrame:
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a scan that yields fewer partitions than the cluster has
+    cores (e.g. one small single-row-group file) before heavy per-row work.
+    Large inputs already split into many partitions and are left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
+
+
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return log_lines_from_events(read_table(spark, sf_dir, "events"))
+    return log_lines_from_events(spread(read_table(spark, sf_dir, "events")))
 
 
 def block_labels_from_parsed(parsed: DataFrame) -> DataFrame:
