@@ -20,10 +20,18 @@ FEATURE_PREFIX = "E"
 MAX_WIDE_FEATURES = 2048
 
 
-def train_vocabulary(block_events: DataFrame, split_ids: DataFrame) -> DataFrame:
-    """``(feature_index, event_id, feature_name)``, 1-based, string order."""
+def block_event_counts(block_events: DataFrame) -> DataFrame:
+    """``(block_id, event_id, n)``: the per-line table reduced by a partial
+    aggregation -- every later feature step starts from this, not the lines."""
+    return block_events.groupBy("block_id", "event_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def train_vocabulary(counts: DataFrame, split_ids: DataFrame) -> DataFrame:
+    """``(feature_index, event_id, feature_name)``, 1-based, string order.
+
+    ``counts`` is :func:`block_event_counts` (or the per-line table)."""
     train = split_ids.where(F.col("split") == "train").select("block_id")
-    ids = block_events.join(train, "block_id", "left_semi").select("event_id").distinct()
+    ids = counts.join(train, "block_id", "left_semi").select("event_id").distinct()
     keyed = ids.withColumn("_key", F.col("event_id").cast("string"))
     ranked = dense_ordinal(keyed, ["_key"], "feature_index")
     return ranked.select(
@@ -31,11 +39,12 @@ def train_vocabulary(block_events: DataFrame, split_ids: DataFrame) -> DataFrame
         F.concat(F.lit(FEATURE_PREFIX), F.col("_key")).alias("feature_name"))
 
 
-def count_matrix_long(block_events: DataFrame, split_ids: DataFrame,
+def count_matrix_long(counts: DataFrame, split_ids: DataFrame,
                       vocabulary: DataFrame) -> DataFrame:
     """G3 long form: ``(block_id, split, label, feature_index, feature_name, n)``
-    with n > 0, vocabulary events only."""
-    counts = block_events.groupBy("block_id", "event_id").agg(F.count(F.lit(1)).alias("n"))
+    with n > 0, vocabulary events only.  ``counts`` is
+    :func:`block_event_counts`.  The vocabulary (one row per template) is
+    broadcast by AQE from its measured size, not by a hint."""
     keyed = counts.join(split_ids.select("block_id", "split", "label"), "block_id")
     return keyed.join(vocabulary, "event_id").select(
         "block_id", "split", "label", "feature_index", "feature_name", "n")

@@ -2,10 +2,9 @@
 
 Spark ML has no isolation forest, so it is expressed as Spark jobs:
 
-* **sample** -- the Normal training rows get a dense index (no global sort,
-  see :mod:`blocklens.operators.ordinals`); the driver draws psi distinct
-  indices per tree (T x psi integers, a bounded table) and a broadcast join
-  pulls exactly those rows: no explode of the data, no shuffle of it.
+* **sample** -- per tree, the psi rows with the smallest seeded hash key
+  (:func:`sample_per_tree`): a uniform sample without replacement, found with
+  a map-side filter and a per-tree top-k -- no global sort, no N x T explode.
 * **grow** -- ``groupBy(tree_id).applyInPandas``: one task per tree, psi rows
   each (bounded), RNG seeded by (seed, tree_id) and rows sorted by index first
   so the tree does not depend on shuffle order.  Splits pick a random
@@ -24,12 +23,10 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from blocklens.operators.ordinals import dense_ordinal
-
 SEED = 42
 N_TREES = 100
 MAX_SAMPLES = 256
@@ -52,7 +49,7 @@ def average_path_length(n):
 
 def _grow(n_features: int, max_depth: int, seed: int):
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("row_idx", kind="mergesort")
+        pdf = pdf.sort_values(["row_idx", "block_id"], kind="mergesort")
         tree_id = int(pdf["tree_id"].iloc[0])
         x = np.vstack(pdf["features"].to_numpy()).astype(float) if len(pdf) else \
             np.zeros((0, n_features))
@@ -95,6 +92,40 @@ def features_array(wide: DataFrame, feature_names: list[str]) -> F.Column:
     return F.array(*[F.col(f"`{n}`").cast("double") for n in feature_names])
 
 
+def sample_per_tree(rows: DataFrame, n_rows: int, n_trees: int, psi: int, seed: int,
+                    key: str = "block_id", oversample: float = 4.0) -> DataFrame:
+    """Exactly ``psi`` distinct rows per tree, uniformly without replacement.
+
+    Every (tree, row) pair gets a seeded hash key u in [0, 1); a tree's sample
+    is its ``psi`` rows with the smallest keys.  Only pairs with
+    u < rate (about ``oversample * psi`` per tree) are materialised -- a
+    map-side filter, no N x T explode, no global sort -- and the per-tree rank
+    filter runs as a top-k before its shuffle.  A tree left with fewer than
+    ``psi`` candidates is redrawn with a doubled rate, so the result is exact.
+    """
+    rate = min(1.0, oversample * psi / max(n_rows, 1))
+    while True:
+        trees = F.sequence(F.lit(0), F.lit(n_trees - 1))
+        u = lambda t: (F.pmod(F.xxhash64(F.lit(seed), t, F.col(key)),
+                              F.lit(1 << 53)) / F.lit(float(1 << 53)))
+        cand = F.filter(F.transform(trees, lambda t: F.struct(t.alias("tree_id"),
+                                                            u(t).alias("u"))),
+                        lambda c: c["u"] < F.lit(rate))
+        exploded = rows.select("*", F.explode(cand).alias("_c")).select(
+            "*", F.col("_c.tree_id").cast("int").alias("tree_id"), F.col("_c.u").alias("u")) \
+            .drop("_c")
+        w = Window.partitionBy("tree_id").orderBy("u", key)
+        picked = exploded.withColumn("_rk", F.row_number().over(w)) \
+            .where(F.col("_rk") <= psi).drop("_rk")
+        if rate >= 1.0:
+            return picked
+        # trees with enough candidates: a partial count, one row per tree
+        n_ok = exploded.groupBy("tree_id").count().where(F.col("count") >= psi).count()
+        if n_ok == n_trees:
+            return picked
+        rate = min(1.0, rate * 2)
+
+
 def train_isolation_forest(spark: SparkSession, wide: DataFrame, feature_names: list[str],
                            n_trees: int = N_TREES, max_samples: int = MAX_SAMPLES,
                            seed: int = SEED, split: str = "train") -> tuple[DataFrame, int]:
@@ -104,16 +135,12 @@ def train_isolation_forest(spark: SparkSession, wide: DataFrame, feature_names:
     """
     normal = wide.where((F.col("split") == split) & (F.col("label") == "Normal")) \
         .select("block_id", features_array(wide, feature_names).alias("features"))
-    indexed = dense_ordinal(normal, ["block_id"], "row_idx")
-    n = indexed.agg(F.max("row_idx")).first()[0] or 0      # bounded: one number
+    n = normal.count()                      # one number (partial count)
     psi = int(min(max_samples, n))
     if psi < 1:
         raise ValueError("no Normal training rows to fit the isolation forest")
-    rng = np.random.default_rng(seed)
-    picks = [(t, int(i) + 1) for t in range(n_trees)
-             for i in rng.choice(n, size=psi, replace=False)]
-    pick_df = spark.createDataFrame(picks, "tree_id int, row_idx long")  # T x psi rows
-    sampled = indexed.join(F.broadcast(pick_df), "row_idx")
+    sampled = sample_per_tree(normal, n, n_trees, psi, seed) \
+        .withColumnRenamed("u", "row_idx")
     max_depth = int(math.ceil(math.log2(max(psi, 2))))
     nodes = sampled.groupBy("tree_id").applyInPandas(
         _grow(len(feature_names), max_depth, seed), schema=NODE_SCHEMA)

@@ -62,7 +62,9 @@ def rank_in_class(df: DataFrame, strata: str, key: str = "block_id",
         .rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("_before", F.coalesce(F.sum("_bn").over(before), F.lit(0)))
     in_bucket = Window.partitionBy(strata, "_b").orderBy("_h", key)
-    ranked = keyed.join(F.broadcast(sizes.drop("_bn")), [strata, "_b"]) \
+    # sizes: <= 16**HASH_PREFIX rows per class; AQE broadcasts it from its
+    # measured size (no hint: the class count is not bounded by us)
+    ranked = keyed.join(sizes.drop("_bn"), [strata, "_b"]) \
         .withColumn("class_rank", F.col("_before") + F.row_number().over(in_bucket))
     return ranked.drop("_h", "_b", "_before")
 

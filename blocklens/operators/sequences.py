@@ -73,7 +73,12 @@ def text_sequences(seqs: DataFrame, templates: DataFrame,
     named = pos.join(templates.select("event_id", "event_template"), "event_id", "left")
     line = F.concat(F.lit("Event "), F.col("position").cast("string"), F.lit(": "),
                     F.coalesce(F.col("event_template"), F.lit(unknown)))
-    lines = named.groupBy("block_id").agg(
-        F.array_sort(F.collect_list(F.struct("position", line.alias("l")))).alias("_ls"))
-    return lines.select("block_id", F.array_join(
-        F.transform("_ls", lambda x: x["l"]), "\n").alias("text_sequence"))
+    # two levels, as for sequences: bounded pieces, then ordered concatenation
+    pieces = named.groupBy("block_id", F.shiftright("position", CHUNK_BITS).alias("_chunk")) \
+        .agg(F.array_sort(F.collect_list(F.struct("position", line.alias("l")))).alias("_ls"))
+    pieces = pieces.select("block_id", "_chunk", F.array_join(
+        F.transform("_ls", lambda x: x["l"]), "\n").alias("_t"))
+    blocks = pieces.groupBy("block_id").agg(
+        F.array_sort(F.collect_list(F.struct("_chunk", "_t"))).alias("_ps"))
+    return blocks.select("block_id", F.array_join(
+        F.transform("_ps", lambda x: x["_t"]), "\n").alias("text_sequence"))

@@ -20,6 +20,7 @@ from blocklens.plans.stages import StageStore
 from blocklens.sources import fixtures
 
 _CONTEXTS: dict[tuple, "LogContext"] = {}
+_CONTEXTS_GUARD = __import__("threading").RLock()
 
 
 class LogContext:
@@ -35,9 +36,10 @@ class LogContext:
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str, miner: str = "mask") -> "LogContext":
         key = (spark.sparkContext.applicationId, sf_dir, miner)
-        if key not in _CONTEXTS:
-            _CONTEXTS[key] = cls(spark, sf_dir, miner)
-        return _CONTEXTS[key]
+        with _CONTEXTS_GUARD:
+            if key not in _CONTEXTS:
+                _CONTEXTS[key] = cls(spark, sf_dir, miner)
+            return _CONTEXTS[key]
 
     # --- per-line stages ----------------------------------------------------
 
@@ -120,18 +122,24 @@ class LogContext:
         test = self.split_ids.where(F.col("split") == "test").select("block_id", "label")
         return self.store.materialize(self._p + "sample_ids", lambda: stratified_sample(test))
 
+    @cached_property
+    def event_counts(self) -> DataFrame:
+        from blocklens.operators.features import block_event_counts
+        return self.store.materialize(
+            self._p + "event_counts", lambda: block_event_counts(self.block_events))
+
     @cached_property
     def vocabulary(self) -> DataFrame:
         from blocklens.operators.features import train_vocabulary
         return self.store.materialize(
-            self._p + "vocabulary", lambda: train_vocabulary(self.block_events, self.split_ids))
+            self._p + "vocabulary", lambda: train_vocabulary(self.event_counts, self.split_ids))
 
     @cached_property
     def long_counts(self) -> DataFrame:
         from blocklens.operators.features import count_matrix_long
         return self.store.materialize(
             self._p + "long_counts",
-            lambda: count_matrix_long(self.block_events, self.split_ids, self.vocabulary))
+            lambda: count_matrix_long(self.event_counts, self.split_ids, self.vocabulary))
 
     def wide_counts(self) -> tuple[DataFrame, list[str]]:
         from blocklens.operators.features import count_matrix_wide, vocabulary_names

@@ -79,12 +79,13 @@ class DetectionRun:
 
     # phase 6: features
     def features(self, assigned: DataFrame, split_ids: DataFrame):
-        events = seq_ops.block_events(assigned)
+        counts = self.store.materialize("event_counts", lambda: feat_ops.block_event_counts(
+            seq_ops.block_events(assigned)))
         vocab = self.store.materialize("vocabulary",
-                                       lambda: feat_ops.train_vocabulary(events, split_ids))
+                                       lambda: feat_ops.train_vocabulary(counts, split_ids))
         names = feat_ops.vocabulary_names(vocab)
         wide = self.store.materialize("features", lambda: feat_ops.count_matrix_wide(
-            feat_ops.count_matrix_long(events, split_ids, vocab), split_ids, names))
+            feat_ops.count_matrix_long(counts, split_ids, vocab), split_ids, names))
         return wide, names
 
     def _timed_predictions(self, name: str, build) -> DataFrame:

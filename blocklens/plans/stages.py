@@ -15,12 +15,22 @@ from __future__ import annotations
 
 import hashlib
 import os
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
 
 from blocklens.session import ensure_checkpoint_dir
 
 
+_LOCKS: dict[str, threading.Lock] = {}
+_LOCKS_GUARD = threading.Lock()
+
+
+def _lock_for(path: str) -> threading.Lock:
+    with _LOCKS_GUARD:
+        return _LOCKS.setdefault(path, threading.Lock())
+
+
 def _fs_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     jpath = jvm.org.apache.hadoop.fs.Path(path)
@@ -53,12 +63,13 @@ class StageStore:
     def materialize(self, name: str, build, partition_by: list[str] | None = None) -> DataFrame:
         """Read stage ``name`` if complete, else build, write and read it."""
         p = self.path(name)
-        if not is_complete(self.spark, p):
-            df = build()
-            w = df.write.mode("overwrite")
-            if partition_by:
-                w = w.partitionBy(*partition_by)
-            w.parquet(p)
+        with _lock_for(p):     # queries running in threads share one stage
+            if not is_complete(self.spark, p):
+                df = build()
+                w = df.write.mode("overwrite")
+                if partition_by:
+                    w = w.partitionBy(*partition_by)
+                w.parquet(p)
         return self.spark.read.parquet(p)
 
     def write_once(self, name: str, df: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ The batch operators are plain DataFrame functions, so the same code runs on a
 streaming DataFrame:
 
 * E1 :func:`parse_stream` -- lines -> parse -> mask -> stream-static join with
-  a frozen template table (small, broadcast).  Masks without a template keep a
+  a frozen template table.  Masks without a template keep a
   NULL event id; :func:`unseen_masks` collects them for the next mining run.
 * E2 :func:`block_sessions` -- per-block activity sessions
   (``session_window``), late data bounded by a watermark.
@@ -56,8 +56,9 @@ def parse_stream(lines: DataFrame, templates: DataFrame | None = None) -> DataFr
     masked = tpl_ops.with_masks(parse_ops.parse_lines(lines))
     if templates is None:
         return masked
-    lookup = F.broadcast(templates.select(F.col("event_template").alias("template"),
-                                          "event_id"))
+    # static side: one row per template; the planner broadcasts it from its
+    # file size when it is small
+    lookup = templates.select(F.col("event_template").alias("template"), "event_id")
     return masked.join(lookup, "template", "left")
 
 

@@ -2,7 +2,8 @@
 from pyspark.sql import functions as F
 
 from blocklens.functions.text import event_chain
-from blocklens.operators.features import count_matrix_long, count_matrix_wide, train_vocabulary
+from blocklens.operators.features import (block_event_counts, count_matrix_long,
+                                          count_matrix_wide, train_vocabulary)
 from blocklens.operators.sequences import block_events, block_sequences
 
 
@@ -26,7 +27,7 @@ def test_sequence_order_across_chunks(spark):
 
 
 def test_vocabulary_and_counts(spark):
-    ev = block_events(_lines(spark))
+    ev = block_event_counts(block_events(_lines(spark)))
     split = spark.createDataFrame([("a", "Normal", "train"), ("b", "Normal", "test")],
                                   "block_id string, label string, split string")
     vocab = train_vocabulary(ev, split)
