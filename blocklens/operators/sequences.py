@@ -35,6 +35,23 @@ def block_sequences(assigned: DataFrame, chunk_bits: int = CHUNK_BITS) -> DataFr
         "sequence_length", F.size("events"))
 
 
+def ordered_sequences(rows: DataFrame, key: str, order: list[str], value: str,
+                      chunk_bits: int = CHUNK_BITS) -> DataFrame:
+    """G1 for any table: per ``key`` the ``value`` column in ``order`` order.
+
+    ``order`` must make rows unique within a key (ties would be resolved by
+    the remaining struct fields only); its first column must be integral --
+    it defines the bounded pieces (``order[0] >> chunk_bits``)."""
+    fields = [F.col(c) for c in order] + [F.col(value).alias("_v")]
+    pieces = rows.groupBy(key, F.shiftright(F.col(order[0]), chunk_bits).alias("_chunk")).agg(
+        F.array_sort(F.collect_list(F.struct(*fields))).alias("_p"))
+    blocks = pieces.groupBy(key).agg(
+        F.array_sort(F.collect_list(F.struct("_chunk", "_p"))).alias("_ps"))
+    values = F.flatten(F.transform("_ps", lambda piece: F.transform(
+        piece["_p"], lambda e: e["_v"])))
+    return blocks.select(key, values.alias("values")).withColumn("n", F.size("values"))
+
+
 def with_sequence_text(seqs: DataFrame) -> DataFrame:
     """Export edge: the space-separated ``event_sequence`` string."""
     return seqs.withColumn("event_sequence", F.array_join(F.col("events"), " "))

@@ -17,8 +17,7 @@ and AQE turns the join into a broadcast from its measured size.
 
 from __future__ import annotations
 
-import re
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -73,43 +72,70 @@ def assign_events(masked: DataFrame, mask_to_event: DataFrame) -> DataFrame:
 # Drain over distinct masks
 # ----------------------------------------------------------------------------
 
-_DIGIT = re.compile(r"\d")
-
 _BUCKET_SCHEMA = ("template string, occurrences long, cluster_first_line long, "
                   "cluster_template string")
 
 
 def _drain_bucket(sim_th: float, wildcard: str):
+    """Sequential Drain over one prefix-tree leaf (all masks have the same
+    token count).  Cluster templates are rows of a token-id matrix, so each
+    message is compared with every cluster of the leaf in one NumPy step:
+    similarity = equal non-wildcard tokens / length, ties broken by more
+    wildcards, then by the older cluster."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("first_line_id", kind="mergesort")
-        clusters: list[list] = []   # [tokens, first_line_id of creating mask]
+        templates = pdf["template"].tolist()
+        n_tok = len(templates[0].split(" ")) if templates and templates[0] else 0
+        vocab: dict[str, int] = {}
+        wild = -1
+        cap = 16
+        mat = np.empty((cap, max(n_tok, 1)), dtype=np.int64)
+        first_lines: list[int] = []
+        n_clusters = 0
         members: list[int] = []
-        for tmpl, first in zip(pdf["template"], pdf["first_line_id"]):
-            toks = tmpl.split(" ") if tmpl else []
-            best, best_sim, best_params = -1, -1.0, -1
-            for ci, (ctoks, _) in enumerate(clusters):
-                params = 0
-                same = 0
-                for a, b in zip(ctoks, toks):
-                    if a == wildcard:
-                        params += 1
-                    elif a == b:
-                        same += 1
-                sim = 1.0 if not ctoks else same / len(ctoks)
-                if sim > best_sim or (sim == best_sim and params > best_params):
-                    best, best_sim, best_params = ci, sim, params
-            if best >= 0 and best_sim >= sim_th:
-                ctoks = clusters[best][0]
-                clusters[best][0] = [a if a == b else wildcard for a, b in zip(ctoks, toks)]
+        for tmpl, first in zip(templates, pdf["first_line_id"]):
+            if n_tok == 0:
+                ids = np.zeros(1, dtype=np.int64)
+            else:
+                ids = np.fromiter((vocab.setdefault(t, len(vocab)) for t in tmpl.split(" ")),
+                                  dtype=np.int64, count=n_tok)
+            best = -1
+            if n_clusters:
+                c = mat[:n_clusters]
+                if n_tok == 0:
+                    best = 0
+                else:
+                    params = (c == wild).sum(axis=1)
+                    same = ((c == ids) & (c != wild)).sum(axis=1)
+                    score = same * (n_tok + 1) + params
+                    cand = int(np.argmax(score))
+                    if same[cand] / n_tok >= sim_th:
+                        best = cand
+            if best >= 0:
+                row = mat[best]
+                row[row != ids] = wild
                 members.append(best)
             else:
-                clusters.append([toks, int(first)])
-                members.append(len(clusters) - 1)
+                if n_clusters == cap:
+                    cap *= 2
+                    grown = np.empty((cap, mat.shape[1]), dtype=np.int64)
+                    grown[:n_clusters] = mat[:n_clusters]
+                    mat = grown
+                mat[n_clusters] = ids
+                first_lines.append(int(first))
+                members.append(n_clusters)
+                n_clusters += 1
+        words = {v: k for k, v in vocab.items()}
+        words[wild] = wildcard
+
+        def text(ci: int) -> str:
+            return "" if n_tok == 0 else " ".join(words[int(t)] for t in mat[ci])
+        texts = [text(ci) for ci in range(n_clusters)]
         return pd.DataFrame({
             "template": pdf["template"].to_numpy(),
             "occurrences": pdf["occurrences"].to_numpy(),
-            "cluster_first_line": [clusters[m][1] for m in members],
-            "cluster_template": [" ".join(clusters[m][0]) for m in members],
+            "cluster_first_line": [first_lines[m] for m in members],
+            "cluster_template": [texts[m] for m in members],
         })
     return run
 
@@ -141,15 +167,40 @@ def drain_buckets(masks: DataFrame, max_children: int = DRAIN_MAX_CHILDREN) -> D
                          key.alias("bucket"))
 
 
+# distinct masks per Python call (leaves are packed into groups of about this size)
+DRAIN_MASKS_PER_GROUP = 20000
+
+
+def _drain_leaves(sim_th: float, wildcard: str):
+    """Run every leaf packed into one group, each leaf whole and in order."""
+    leaf = _drain_bucket(sim_th, wildcard)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = [leaf(g) for _, g in pdf.groupby(["n_tokens", "bucket"], sort=False)]
+        if not parts:
+            return pd.DataFrame({"template": [], "occurrences": [], "cluster_first_line": [],
+                                 "cluster_template": []})
+        return pd.concat(parts, ignore_index=True)
+    return run
+
+
 def drain_clusters(masked: DataFrame, sim_th: float = DRAIN_SIM_THRESHOLD,
                    max_children: int = DRAIN_MAX_CHILDREN) -> DataFrame:
     """T2, clustering step: one row per distinct mask with its cluster
     (identified by the first line of the mask that opened it) and the
     cluster's final template.  Written once; templates and the mask mapping
-    are derived from it by :func:`drain_from_clusters`."""
+    are derived from it by :func:`drain_from_clusters`.
+
+    Leaves are independent, so they are hashed into groups of roughly
+    ``DRAIN_MASKS_PER_GROUP`` distinct masks (at least 64 groups): one Python
+    call handles many small leaves, and only a leaf itself is sequential.
+    """
     routed = drain_buckets(distinct_masks(masked), max_children)
-    return routed.groupBy("n_tokens", "bucket").applyInPandas(
-        _drain_bucket(sim_th, P.WILDCARD), schema=_BUCKET_SCHEMA)
+    n_masks = routed.count()                       # one number
+    n_groups = max(64, -(-n_masks // DRAIN_MASKS_PER_GROUP))
+    group = F.pmod(F.xxhash64("n_tokens", "bucket"), F.lit(n_groups))
+    return routed.groupBy(group.alias("_g")).applyInPandas(
+        _drain_leaves(sim_th, P.WILDCARD), schema=_BUCKET_SCHEMA)
 
 
 def drain_from_clusters(clustered: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -529,3 +529,56 @@ def q_label_scan(spark, sf_dir):
     LogContext.of(spark, sf_dir).labels.toDF(" BlockId", "Label ") \
         .write.option("header", True).csv(path)
     return load_labels(spark, path)
+
+
+# --- volume inputs (FIXTURES 2.4) ---------------------------------------------------
+
+LINEITEM_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
+                  "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+
+
+@query("lineitem_sequences")
+def q_lineitem_sequences(spark, sf_dir):
+    """G1 at volume: per order, its part keys in line order."""
+    from blocklens.sources import fixtures
+    li = fixtures.read_table(spark, sf_dir, "lineitem")
+    s = seq_ops.ordered_sequences(li, "l_orderkey", LINEITEM_ORDER, "l_partkey")
+    return s.select("l_orderkey", F.array_join("values", " ").alias("part_sequence"),
+                    F.col("n").alias("n_lines"))
+
+
+def _document_lines(spark, sf_dir):
+    """Every non-empty line of every document: (doc_id, line_no, content)."""
+    from blocklens.sources import fixtures
+    docs = fixtures.spread(fixtures.read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("_i", "content"))
+    return lines.where(F.col("content") != "").select(
+        "doc_id", (F.col("_i") + 1).alias("line_no"), "content")
+
+
+@query("document_templates")
+def q_document_templates(spark, sf_dir):
+    """T1+T3 over wide, low-repetition text: document lines masked, distinct
+    masks ranked by first appearance (document, line)."""
+    lines = tpl_ops.with_masks(_document_lines(spark, sf_dir))
+    firsts = lines.groupBy("template").agg(
+        F.min(F.struct("doc_id", "line_no")).alias("_first"),
+        F.count(F.lit(1)).alias("occurrences"))
+    keyed = firsts.select("template", "occurrences", F.col("_first.doc_id").alias("_d"),
+                          F.col("_first.line_no").alias("_l"))
+    from blocklens.operators.ordinals import dense_ordinal
+    ranked = dense_ordinal(keyed, ["_d", "_l"], "event_id")
+    return ranked.select(F.col("event_id").cast("int"), F.col("template").alias("event_template"),
+                         "occurrences")
+
+
+@query("document_drain_templates")
+def q_document_drain_templates(spark, sf_dir):
+    """T2 over wide, low-repetition text: Drain over the distinct document
+    line masks (first appearance = global line order of (document, line))."""
+    lines = _document_lines(spark, sf_dir)
+    # first appearance only needs an order-preserving key, not a dense one
+    numbered = lines.withColumn(
+        "line_id", F.shiftleft("doc_id", 24) + F.col("line_no"))
+    t = tpl_ops.drain_templates(tpl_ops.with_masks(numbered))[0]
+    return t.select("event_id", "event_template", "occurrences")

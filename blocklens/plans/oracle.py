@@ -571,3 +571,21 @@ FROM (
 ORACLE["raw_scan"] = BASE + "SELECT line_id, raw_content FROM log_lines"
 
 ORACLE["label_scan"] = BASE + "SELECT block_id, label FROM block_labels"
+
+ORACLE["lineitem_sequences"] = """
+SELECT l_orderkey,
+       string_agg(CAST(l_partkey AS VARCHAR), ' ' ORDER BY l_linenumber, l_partkey, l_suppkey,
+                  l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus,
+                  l_shipdate) AS part_sequence,
+       count(*) AS n_lines
+FROM lineitem GROUP BY l_orderkey"""
+
+ORACLE["document_templates"] = f"""
+WITH doc_lines AS (
+  SELECT doc_id, i AS line_no, string_split(text, chr(10))[i] AS content
+  FROM documents, generate_series(1, len(string_split(text, chr(10)))) AS t(i)
+),
+m AS (SELECT doc_id, line_no, {_mask_sql('content')} AS template FROM doc_lines WHERE content <> '')
+SELECT CAST(row_number() OVER (ORDER BY min(doc_id * 1000000000 + line_no)) AS INTEGER) AS event_id,
+       template AS event_template, count(*) AS occurrences
+FROM m GROUP BY template"""

@@ -54,3 +54,43 @@ def test_mask_templates_rank_first_appearance(spark):
     t = {r["event_template"]: (r["event_id"], r["occurrences"])
          for r in mask_templates(masked).collect()}
     assert t == {"b": (1, 2), "a": (2, 1), "c": (3, 1)}
+
+
+def _reference_drain(masks, sim_th=0.4, wildcard="<*>"):
+    """Plain re-statement of the per-leaf loop, for a brute-force comparison."""
+    clusters, out = [], []
+    for toks in masks:
+        best, best_key = -1, None
+        for ci, c in enumerate(clusters):
+            params = sum(a == wildcard for a in c)
+            same = sum(a == b and a != wildcard for a, b in zip(c, toks))
+            key = (same, params)
+            if best_key is None or key > best_key:
+                best, best_key = ci, key
+        if best >= 0 and (best_key[0] / len(toks) if toks else 1.0) >= sim_th:
+            clusters[best] = [a if a == b else wildcard for a, b in zip(clusters[best], toks)]
+            out.append(best)
+        else:
+            clusters.append(list(toks))
+            out.append(len(clusters) - 1)
+    return [" ".join(clusters[i]) for i in out]
+
+
+def test_vectorised_leaf_equals_plain_loop(spark):
+    import random
+    rng = random.Random(3)
+    words = ["open", "close", "read", "write", "<NUM>", "<IP>", "ok", "fail", "x", "y"]
+    masks = []
+    for _ in range(400):
+        toks = ["op"] + [rng.choice(words) for _ in range(5)]
+        masks.append(" ".join(toks))
+    seen, uniq = set(), []
+    for m in masks:
+        if m not in seen:
+            seen.add(m)
+            uniq.append(m)
+    masked = _masked(spark, uniq)
+    _, m2e = drain_templates(masked)
+    got = {r["template"]: r["event_template"] for r in m2e.collect()}
+    want = dict(zip(uniq, _reference_drain([u.split(" ") for u in uniq])))
+    assert got == want

@@ -55,3 +55,16 @@ def test_event_chain(spark):
     got = [r[0] for r in df.select(event_chain(F.col("events"))).collect()]
     assert got[0].startswith("E1 → E2") and got[0].endswith("E15 → ... (+2 more)")
     assert got[1] == "E3 → E4"
+
+
+def test_dense_ordinal_on_fresh_aggregate(spark):
+    """Ordinals over a recomputed aggregate equal a plain global row_number."""
+    from pyspark.sql import Window
+
+    from blocklens.operators.ordinals import dense_ordinal
+    base = spark.range(0, 20000).select((F.col("id") * 7919 % 10007).alias("k"))
+    agg = base.repartition(13).groupBy("k").agg(F.count("*").alias("c"))
+    got = {r["k"]: r["o"] for r in dense_ordinal(agg, ["k"], "o", num_partitions=9).collect()}
+    want = {r["k"]: r["o"] for r in agg.select(
+        "k", F.row_number().over(Window.orderBy("k")).alias("o")).collect()}
+    assert got == want
