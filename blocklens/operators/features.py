@@ -81,3 +81,22 @@ def class_weights(split_ids: DataFrame, split: str = "train") -> DataFrame:
     return counts.select(
         "label", "n_c",
         (F.sum("n_c").over(w) / (F.count(F.lit(1)).over(w) * F.col("n_c"))).alias("weight"))
+
+
+def count_vectors(seqs: DataFrame, split_ids: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """G3 vector form for any vocabulary width: ``(block_id, split, label,
+    features)`` with a sparse count vector in vocabulary order.
+
+    ``CountVectorizerModel.from_vocabulary`` counts the block's event tokens
+    JVM-side and drops tokens outside the training vocabulary.  The vocabulary
+    list lives in the model (one entry per template).
+    """
+    from pyspark.ml.feature import CountVectorizerModel
+    names = [r[0] for r in vocabulary.orderBy("feature_index").select("event_id").collect()]
+    model = CountVectorizerModel.from_vocabulary(
+        [str(n) for n in names], inputCol="_tokens", outputCol="features")
+    tokens = seqs.select("block_id", F.transform("events", lambda x: x.cast("string"))
+                         .alias("_tokens"))
+    keyed = split_ids.select("block_id", "split", "label").join(tokens, "block_id", "left") \
+        .withColumn("_tokens", F.coalesce("_tokens", F.array().cast("array<string>")))
+    return model.transform(keyed).drop("_tokens")

@@ -25,8 +25,12 @@ RF_PARAMS = dict(numTrees=100, maxDepth=30, maxBins=256, featureSubsetStrategy="
                  impurity="gini", bootstrap=True, minInstancesPerNode=1, seed=SEED)
 
 
-def assemble(wide: DataFrame, feature_names: list[str]) -> DataFrame:
-    """Wide count columns -> one ``features`` vector (JVM-side)."""
+def assemble(wide: DataFrame, feature_names: list[str] | None) -> DataFrame:
+    """Wide count columns -> one ``features`` vector (JVM-side).  With
+    ``feature_names=None`` the frame already carries ``features`` (the sparse
+    vector form of :func:`blocklens.operators.features.count_vectors`)."""
+    if feature_names is None:
+        return wide
     va = VectorAssembler(inputCols=feature_names, outputCol="features", handleInvalid="keep")
     return va.transform(wide)
 
@@ -65,16 +69,24 @@ def predict_random_forest(model: RandomForestClassificationModel, wide: DataFram
 
 
 def feature_importances(spark: SparkSession, model: RandomForestClassificationModel,
-                        feature_names: list[str], top: int | None = 10) -> DataFrame:
-    """Importances by feature name, highest first (the model already lives
-    on the driver; its size is the vocabulary width)."""
+                        feature_names: list[str] | None, top: int | None = 10,
+                        vocabulary: DataFrame | None = None) -> DataFrame:
+    """Importances by feature name, highest first.  The importance vector
+    is part of the model (on the driver, one value per feature); names come
+    from ``feature_names`` or, for the sparse form, from ``vocabulary``."""
     imp = model.featureImportances.toArray().tolist()
-    rows = sorted(zip(feature_names, imp), key=lambda r: (-r[1], r[0]))
+    rows = sorted(enumerate(imp, start=1), key=lambda r: (-r[1], r[0]))
     if top is not None:
         rows = rows[:top]
-    return spark.createDataFrame(
-        [(i + 1, n, float(v)) for i, (n, v) in enumerate(rows)],
-        "rank int, feature_name string, importance double")
+    ranked = spark.createDataFrame(
+        [(i + 1, idx, float(v)) for i, (idx, v) in enumerate(rows)],
+        "rank int, feature_index int, importance double")
+    if feature_names is not None:
+        names = spark.createDataFrame(list(enumerate(feature_names, start=1)),
+                                      "feature_index int, feature_name string")
+    else:
+        names = vocabulary.select("feature_index", "feature_name")
+    return ranked.join(names, "feature_index").select("rank", "feature_name", "importance")
 
 
 def describe_trees(spark: SparkSession, model: RandomForestClassificationModel) -> DataFrame:

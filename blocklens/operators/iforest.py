@@ -88,7 +88,12 @@ def _grow(n_features: int, max_depth: int, seed: int):
     return grow
 
 
-def features_array(wide: DataFrame, feature_names: list[str]) -> F.Column:
+def features_array(wide: DataFrame, feature_names: list[str] | None) -> F.Column:
+    """Per-row feature values: wide count columns, or (``feature_names=None``)
+    the ``features`` vector of the sparse form."""
+    if feature_names is None:
+        from pyspark.ml.functions import vector_to_array
+        return vector_to_array(F.col("features"))
     return F.array(*[F.col(f"`{n}`").cast("double") for n in feature_names])
 
 
@@ -142,8 +147,10 @@ def train_isolation_forest(spark: SparkSession, wide: DataFrame, feature_names:
     sampled = sample_per_tree(normal, n, n_trees, psi, seed) \
         .withColumnRenamed("u", "row_idx")
     max_depth = int(math.ceil(math.log2(max(psi, 2))))
+    width = len(feature_names) if feature_names is not None else \
+        len(normal.select("features").first()[0])
     nodes = sampled.groupBy("tree_id").applyInPandas(
-        _grow(len(feature_names), max_depth, seed), schema=NODE_SCHEMA)
+        _grow(width, max_depth, seed), schema=NODE_SCHEMA)
     return nodes, psi
 
 
@@ -200,7 +207,7 @@ def score_isolation_forest(spark: SparkSession, nodes: DataFrame, psi: int, wide
     @F.pandas_udf(T.DoubleType())
     def decision(features: pd.Series) -> pd.Series:
         x = np.vstack(features.to_numpy()).astype(float) if len(features) else \
-            np.zeros((0, len(feature_names)))
+            np.zeros((0, 1))
         return pd.Series(bc.value.decision(x))
 
     part = wide if split is None else wide.where(F.col("split") == split)

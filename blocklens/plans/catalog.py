@@ -449,7 +449,8 @@ def q_rf_score(spark, sf_dir):
 def q_rf_top_features(spark, sf_dir):
     from blocklens.operators.forest import feature_importances
     ctx = LogContext.of(spark, sf_dir)
-    return feature_importances(spark, ctx.rf_model, ctx.wide[1], top=10)
+    return feature_importances(spark, ctx.rf_model, ctx.wide[1], top=10,
+                               vocabulary=ctx.vocabulary)
 
 
 # --- text-model detector ----------------------------------------------------------

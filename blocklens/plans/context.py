@@ -149,11 +149,20 @@ class LogContext:
     # --- detectors ------------------------------------------------------------
 
     @cached_property
-    def wide(self) -> tuple[DataFrame, list[str]]:
-        from blocklens.operators.features import count_matrix_wide, vocabulary_names
-        names = vocabulary_names(self.vocabulary)
+    def wide(self) -> tuple[DataFrame, list[str] | None]:
+        """Model input: one column per event while the vocabulary is narrow,
+        else the sparse vector form (names None)."""
+        from blocklens.operators.features import (count_matrix_wide, count_vectors,
+                                                  vocabulary_names)
+        try:
+            names = vocabulary_names(self.vocabulary)
+        except ValueError:
+            vec = self.store.materialize(self._p + "count_vectors", lambda: count_vectors(
+                self.sequences, self.split_ids, self.vocabulary))
+            return vec, None
         wide = self.store.materialize(
-            self._p + "wide_counts", lambda: count_matrix_wide(self.long_counts, self.split_ids, names))
+            self._p + "wide_counts",
+            lambda: count_matrix_wide(self.long_counts, self.split_ids, names))
         return wide, names
 
     @cached_property

@@ -83,7 +83,12 @@ class DetectionRun:
             seq_ops.block_events(assigned)))
         vocab = self.store.materialize("vocabulary",
                                        lambda: feat_ops.train_vocabulary(counts, split_ids))
-        names = feat_ops.vocabulary_names(vocab)
+        try:
+            names = feat_ops.vocabulary_names(vocab)
+        except ValueError:      # too wide for one column per event: sparse vectors
+            seqs = self.spark.read.parquet(self.store.path("block_sequences"))
+            return self.store.materialize("features", lambda: feat_ops.count_vectors(
+                seqs, split_ids, vocab)), None
         wide = self.store.materialize("features", lambda: feat_ops.count_matrix_wide(
             feat_ops.count_matrix_long(counts, split_ids, vocab), split_ids, names))
         return wide, names

@@ -58,3 +58,37 @@ def test_random_forest_separates(spark, wide):
     assert (pred["classification"] == pred["label"]).all()
     top = feature_importances(spark, model, NAMES, top=1).first()
     assert top["feature_name"] in ("E1", "E3")
+
+
+def test_sparse_vector_form_matches_wide(spark):
+    """Both feature forms give the same counts and the same forest."""
+    from blocklens.operators.features import (block_event_counts, count_matrix_long,
+                                              count_matrix_wide, count_vectors,
+                                              train_vocabulary)
+    from blocklens.operators.sequences import block_events, block_sequences
+    rng = random.Random(11)
+    rows, lid = [], 0
+    for b in range(300):
+        for _ in range(rng.randint(1, 8)):
+            lid += 1
+            ev = 9 if b % 15 == 0 and rng.random() < 0.5 else rng.randint(1, 4)
+            rows.append((lid, f"b{b}", ev))
+    lines = spark.createDataFrame(rows, "line_id long, block_id string, event_id int")
+    split = spark.createDataFrame(
+        [(f"b{b}", "Anomaly" if b % 15 == 0 else "Normal", "train" if b < 240 else "test")
+         for b in range(300)], "block_id string, label string, split string")
+    counts = block_event_counts(block_events(lines))
+    vocab = train_vocabulary(counts, split)
+    names = [r[0] for r in vocab.orderBy("feature_index").select("feature_name").collect()]
+    wide = count_matrix_wide(count_matrix_long(counts, split, vocab), split, names)
+    vec = count_vectors(block_sequences(lines), split, vocab)
+    w = {r["block_id"]: [float(r[n]) for n in names] for r in wide.collect()}
+    v = {r["block_id"]: r["features"].toArray().tolist() for r in vec.collect()}
+    assert w == v
+    m1 = train_random_forest(wide, names, numTrees=10)
+    m2 = train_random_forest(vec, None, numTrees=10)
+    p1 = predict_random_forest(m1, wide, names).orderBy("block_id").collect()
+    p2 = predict_random_forest(m2, vec, None).orderBy("block_id").collect()
+    assert p1 == p2
+    nodes, psi = train_isolation_forest(spark, vec, None, n_trees=5)
+    assert score_isolation_forest(spark, nodes, psi, vec, None).count() == 60
