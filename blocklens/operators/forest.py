@@ -21,8 +21,12 @@ from blocklens.operators.features import class_weights
 SEED = 42
 # Library-default forest: 100 trees, sqrt(features) per split, Gini, bootstrap.
 # Spark caps depth at 30; bins are raised so integer counts split exactly.
+# Execution settings: bigger node batches mean fewer passes over the data;
+# cached node ids (checkpointed every 10 iterations into the shared folder)
+# keep deep trees from recomputing their path for every row.
 RF_PARAMS = dict(numTrees=100, maxDepth=30, maxBins=256, featureSubsetStrategy="sqrt",
-                 impurity="gini", bootstrap=True, minInstancesPerNode=1, seed=SEED)
+                 impurity="gini", bootstrap=True, minInstancesPerNode=1, seed=SEED,
+                 maxMemoryInMB=1024, cacheNodeIds=True, checkpointInterval=10)
 
 
 def assemble(wide: DataFrame, feature_names: list[str] | None) -> DataFrame:

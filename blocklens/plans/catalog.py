@@ -486,6 +486,7 @@ def _parsed_stream(spark, sf_dir):
 
 
 def fixtures_log_lines_stream(spark, sf_dir):
+    """The derived log as a stream of the events file."""
     from blocklens.sources import fixtures
     from blocklens.streaming import live
     return fixtures.log_lines_from_events(live.event_stream(spark, sf_dir))
