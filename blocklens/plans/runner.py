@@ -36,12 +36,14 @@ MODELS = ("isolation_forest", "random_forest", "text")
 
 class DetectionRun:
     def __init__(self, spark: SparkSession, out: str, miner: str = "drain",
-                 backend: tc.Backend = tc.rule_backend, sample_size: int = sampling.SAMPLE_SIZE):
+                 backend: tc.Backend = tc.rule_backend, sample_size: int = sampling.SAMPLE_SIZE,
+                 text_chunks: int = 4):
         self.spark = spark
         self.store = StageStore(spark, out)
         self.miner = miner
         self.backend = backend
         self.sample_size = sample_size
+        self.text_chunks = text_chunks
         self.log: list[str] = []
 
     def _note(self, msg: str) -> None:
@@ -145,7 +147,7 @@ class DetectionRun:
             .join(sample, "block_id"))
         preds = sinks.append_resumable(
             self.spark, texts, self.store.path("predictions_text"),
-            lambda remaining: tc.classify(remaining, self.backend))
+            lambda remaining: tc.classify(remaining, self.backend), chunks=self.text_chunks)
         return preds, sample
 
     # phase 8 / 9: alerts and metrics (always recomputed)

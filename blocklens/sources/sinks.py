@@ -33,19 +33,27 @@ def remaining_work(todo: DataFrame, done: DataFrame, key: str = "block_id") -> D
 
 
 def append_resumable(spark: SparkSession, todo: DataFrame, path: str, compute,
-                     key: str = "block_id") -> DataFrame:
+                     key: str = "block_id", chunks: int = 1) -> DataFrame:
     """Compute only the keys not yet in ``path`` and append them.
 
-    ``compute(remaining) -> DataFrame`` produces output rows.  Each append is
-    one job whose files become visible atomically, so an aborted run keeps
-    every finished append and a rerun resumes with the rest.
+    ``compute(remaining) -> DataFrame`` produces output rows.  The remaining
+    keys are cut into ``chunks`` hash buckets, each appended by its own job;
+    a job's files become visible atomically, so an aborted run keeps every
+    finished chunk and a rerun resumes with the rest (executor loss inside a
+    chunk is handled by task retry).
     """
     if _fs_exists(spark, path):
         done = spark.read.parquet(path)
         remaining = remaining_work(todo, done, key)
     else:
         remaining = todo
-    compute(remaining).write.mode("append").parquet(path)
+    if chunks <= 1:
+        compute(remaining).write.mode("append").parquet(path)
+    else:
+        bucket = F.pmod(F.xxhash64(F.col(key)), F.lit(chunks))
+        for c in range(chunks):
+            part = remaining.where(bucket == c)
+            compute(part).write.mode("append").parquet(path)
     return spark.read.parquet(path)
 
 

@@ -45,3 +45,22 @@ def test_stage_is_reused(spark, tmp_dir):
     assert store.materialize("s", build).count() == 5
     assert store.materialize("s", build).count() == 5
     assert calls == [1] and store.exists("s")
+
+
+def test_aborted_run_keeps_finished_chunks(spark, tmp_dir):
+    todo = spark.createDataFrame([(f"b{i}",) for i in range(40)], "block_id string")
+    out = os.path.join(tmp_dir, "chunked")
+    state = {"calls": 0}
+
+    def flaky(rem):
+        state["calls"] += 1
+        if state["calls"] == 3:
+            raise RuntimeError("model server went away")
+        return rem.withColumn("v", F.lit(1))
+
+    with pytest.raises(RuntimeError):
+        append_resumable(spark, todo, out, flaky, chunks=4)
+    kept = spark.read.parquet(out).count()
+    assert 0 < kept < 40
+    final = append_resumable(spark, todo, out, lambda r: r.withColumn("v", F.lit(1)), chunks=4)
+    assert final.count() == 40 and final.select("block_id").distinct().count() == 40
