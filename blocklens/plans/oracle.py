@@ -10,7 +10,6 @@ come from the same constants as the Spark side.
 from __future__ import annotations
 
 from blocklens.functions import parsing as P
-from blocklens.functions import scores as S
 from blocklens.functions import text as TX
 from blocklens.operators import sequences as SEQ
 

@@ -68,3 +68,12 @@ def test_dense_ordinal_on_fresh_aggregate(spark):
     want = {r["k"]: r["o"] for r in agg.select(
         "k", F.row_number().over(Window.orderBy("k")).alias("o")).collect()}
     assert got == want
+
+
+def test_sequences_independent_of_partitioning(spark):
+    rows = [(i, f"b{i % 37}", (i * 13) % 11) for i in range(1, 4001)]
+    df = spark.createDataFrame(rows, "line_id long, block_id string, event_id int")
+    a = {r["block_id"]: r["events"] for r in block_sequences(df.repartition(1)).collect()}
+    b = {r["block_id"]: r["events"] for r in
+         block_sequences(df.repartition(17, "event_id"), chunk_bits=5).collect()}
+    assert a == b and sum(len(v) for v in a.values()) == 4000

@@ -2,7 +2,6 @@
 import datetime as dt
 import os
 
-from pyspark.sql import functions as F
 
 from blocklens.operators.parse import parse_lines
 from blocklens.operators.templates import with_masks
