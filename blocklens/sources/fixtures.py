@@ -57,12 +57,18 @@ def log_lines_from_events(events: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a scan that yields fewer partitions than the cluster has
-    cores (e.g. one small single-row-group file) before heavy per-row work.
-    Large inputs already split into many partitions and are left alone."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
+    """Redistribute a scan that yields fewer partitions than the cluster has
+    cores (one single-row-group file, one non-splittable archive) before heavy
+    per-row work.  The round-robin result is checkpointed into the shared
+    folder: that cuts the lineage and keeps Catalyst from pushing the later
+    filters (and their regexes) back into the single scan task.  Inputs that
+    already split into enough partitions are left alone."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
+        from blocklens.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(spark)
+        return df.repartition(cores).checkpoint(eager=True)
     return df
 
 
