@@ -54,8 +54,15 @@ def q_parse_header(spark, sf_dir):
 
 @query("parse_stats")
 def q_parse_stats(spark, sf_dir):
-    """Matched, unmatched, keyed lines and distinct masks in one pass."""
-    return parse_ops.parse_stats(LogContext.of(spark, sf_dir).lines, with_templates=True)
+    """Matched, unmatched, keyed lines and distinct masks, aggregated
+    from the parsed-line stage (the same figures as
+    :func:`blocklens.operators.parse.parse_stats` on the raw lines)."""
+    p = LogContext.of(spark, sf_dir).parsed_all
+    return p.agg(F.count_if("matched").alias("n_processed"),
+                 F.count_if(~F.col("matched")).alias("n_unmatched"),
+                 F.count_if(F.col("block_id").isNotNull()).alias("n_with_block"),
+                 F.count_distinct(F.when(F.col("matched"), F.col("template")))
+                 .alias("n_templates"))
 
 
 @query("extract_block_id")

@@ -47,11 +47,17 @@ class LogContext:
     def lines(self) -> DataFrame:
         return fixtures.log_lines(self.spark, self.sf_dir)
 
+    @cached_property
+    def parsed_all(self) -> DataFrame:
+        """Every line parsed + masked, unmatched ones flagged (S5), written once:
+        the run statistics and all later stages read this one pass."""
+        return self.store.materialize("parsed", lambda: tpl_ops.with_masks(
+            parse_ops.parse_lines(self.lines, keep_unmatched=True)))
+
     @cached_property
     def parsed(self) -> DataFrame:
-        """Parsed + masked lines (S5), written once."""
-        return self.store.materialize(
-            "parsed", lambda: tpl_ops.with_masks(parse_ops.parse_lines(self.lines)))
+        """Header-matching lines only."""
+        return self.parsed_all.where("matched").drop("matched")
 
     @property
     def masked(self) -> DataFrame:
