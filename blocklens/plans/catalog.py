@@ -591,3 +591,30 @@ def q_document_drain_templates(spark, sf_dir):
         "line_id", F.shiftleft("doc_id", 24) + F.col("line_no"))
     t = tpl_ops.drain_templates(tpl_ops.with_masks(numbered))[0]
     return t.select("event_id", "event_template", "occurrences")
+
+
+@query("stream_alerts")
+def q_stream_alerts(spark, sf_dir):
+    """E1+E2+E4: the log stream is parsed against the frozen templates,
+    counted per block session, scored by the trained isolation forest inside
+    ``foreachBatch`` and written as alerts (one folder per micro-batch)."""
+    from blocklens.session import scratch_path
+    from blocklens.streaming import live
+    ctx = LogContext.of(spark, sf_dir)
+    nodes, psi = ctx.iforest
+    wide, names = ctx.wide
+    vocab = [int(n[1:]) for n in names]
+    parsed = live.parse_stream(fixtures_log_lines_stream(spark, sf_dir), ctx.templates)
+    counts = live.session_counts(parsed, vocab)
+    out = scratch_path(spark, "stream-alerts")
+    # append: a session is scored once, when the watermark has closed it
+    q = (counts.writeStream.outputMode("append")
+         .foreachBatch(live.scoring_alert_sink(out, nodes, psi, names))
+         .option("checkpointLocation", out + "-checkpoint").trigger(availableNow=True).start())
+    q.awaitTermination()
+    from blocklens.plans.stages import _fs_exists
+    if not _fs_exists(spark, out):       # no session closed with an anomaly
+        return spark.createDataFrame([], "block_id string, session_start timestamp_ntz, "
+                                         "session_end timestamp_ntz, n_events long, "
+                                         "score double, severity string")
+    return spark.read.parquet(out).drop("batch_id")

@@ -112,3 +112,41 @@ def idempotent_alert_sink(path: str):
         batch.dropDuplicates(keys).write.mode("overwrite").parquet(
             os.path.join(path, f"batch_id={batch_id}"))
     return write
+
+
+def session_counts(parsed: DataFrame, vocabulary: list[int], gap: str = SESSION_GAP,
+                   watermark: str = WATERMARK) -> DataFrame:
+    """E2 + G3 on a stream: per (block, session) one count column per
+    training event id (a static list of aggregates, so no pivot is needed)."""
+    keyed = parsed.where(F.col("block_id").isNotNull() & F.col("event_id").isNotNull())
+    aggs = [F.sum(F.when(F.col("event_id") == k, 1).otherwise(0)).alias(f"E{k}")
+            for k in vocabulary]
+    return (keyed.withWatermark("event_ts", watermark)
+            .groupBy(F.session_window("event_ts", gap).alias("s"), "block_id")
+            .agg(F.count(F.lit(1)).alias("n_events"), *aggs)
+            .select("block_id", F.col("s.start").cast("timestamp_ntz").alias("session_start"),
+                    F.col("s.end").cast("timestamp_ntz").alias("session_end"), "n_events",
+                    *[f"E{k}" for k in vocabulary]))
+
+
+def scoring_alert_sink(path: str, nodes: DataFrame, psi: int, feature_names: list[str]):
+    """``foreachBatch`` body that scores each micro-batch of session
+    counts with a frozen isolation forest (model broadcast once per batch)
+    and writes the anomalous sessions as alerts, replacing the batch's output
+    so a replayed batch cannot duplicate them."""
+    from blocklens.functions import scores as S
+    from blocklens.operators.iforest import score_isolation_forest
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        scored = score_isolation_forest(spark, nodes, psi, batch.withColumn(
+            "label", F.lit(None).cast("string")), feature_names, split=None)
+        norm = S.normalize_isolation_score(F.col("score"))
+        alerts = (scored.where(F.col("classification") == "Anomaly")
+                  .join(batch.select("block_id", "session_start", "session_end", "n_events"),
+                        "block_id")
+                  .select("block_id", "session_start", "session_end", "n_events",
+                          S.round_score(norm).alias("score"), S.severity(norm).alias("severity"))
+                  .dropDuplicates(["block_id", "session_start"]))
+        alerts.write.mode("overwrite").parquet(os.path.join(path, f"batch_id={batch_id}"))
+    return write

@@ -55,3 +55,13 @@ def test_late_rows_dropped(spark, tmp_dir):
     # 16:30 is within the 1-hour delay of the 17:00 watermark: kept in the 16:00 window
     assert res[dt.datetime(2024, 1, 10, 16, 0)] == 1
     assert res[dt.datetime(2024, 1, 10, 17, 0)] == 1
+
+
+def test_stream_alerts_score_closed_sessions(spark):
+    import __spark_entry__ as E
+    alerts = E.queries()["stream_alerts"](spark, SF_SMALL)
+    rows = alerts.collect()
+    # isolation-forest alerts always have s > 0.5, so never below LOW
+    assert all(r["severity"] in ("HIGH", "MEDIUM", "LOW") for r in rows)
+    keys = [(r["block_id"], r["session_start"]) for r in rows]
+    assert len(keys) == len(set(keys))
