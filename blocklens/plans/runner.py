@@ -1,7 +1,7 @@
 """End-to-end detection job with phase checkpointing.
 
     python -m blocklens.plans.runner --log 'hdfs://.../HDFS*.log' \\
-        --labels hdfs://.../anomaly_label.csv --out hdfs://.../run1
+        --labels hdfs://.../block_labels.csv --out hdfs://.../run1
     python -m blocklens.plans.runner --demo-sf /root/testdata/sf0.01 --out /tmp/run1
 
 Each phase writes Parquet below ``--out`` and is skipped when its ``_SUCCESS``
