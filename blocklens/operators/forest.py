@@ -62,7 +62,10 @@ def predict_random_forest(model: RandomForestClassificationModel, wide: DataFram
                           feature_names: list[str], split: str | None = "test") -> DataFrame:
     """``(block_id, anomaly_probability, classification, label)``."""
     part = wide if split is None else wide.where(F.col("split") == split)
-    scored = model.transform(assemble(part, feature_names))
+    # only P(Anomaly) and the class are needed: skip the raw-prediction column
+    scorer = model.copy()
+    scorer.setRawPredictionCol("")
+    scored = scorer.transform(assemble(part, feature_names))
     return scored.select(
         "block_id",
         vector_to_array("probability")[0].alias("anomaly_probability"),
