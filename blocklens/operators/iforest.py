@@ -177,6 +177,16 @@ class _Forest:
         self.c_psi = float(average_path_length([psi])[0]) or 1.0
 
     def decision(self, x: np.ndarray) -> np.ndarray:
+        """Decision scores of the rows of ``x``.  Count vectors repeat a lot,
+        so only the distinct rows of the batch are walked (exact: equal rows
+        get equal scores); each tree is walked level by level over the rows
+        still at an inner node."""
+        if len(x) == 0:
+            return np.zeros(0)
+        uniq, inverse = np.unique(x, axis=0, return_inverse=True)
+        return self._walk(uniq)[inverse.reshape(-1)]
+
+    def _walk(self, x: np.ndarray) -> np.ndarray:
         n = len(x)
         total = np.zeros(n)
         rows = np.arange(n)
@@ -189,13 +199,11 @@ class _Forest:
                     break
                 xa = x[rows[active], f[active]]
                 go_left = xa <= self.threshold[ti, node[active]]
-                nxt = np.where(go_left, self.left[ti, node[active]],
-                               self.right[ti, node[active]])
-                node[active] = nxt
+                node[active] = np.where(go_left, self.left[ti, node[active]],
+                                        self.right[ti, node[active]])
             total += self.value[ti, node]
         mean_h = total / self.feature.shape[0]
-        s = np.power(2.0, -mean_h / self.c_psi)
-        return 0.5 - s
+        return 0.5 - np.power(2.0, -mean_h / self.c_psi)
 
 
 def score_isolation_forest(spark: SparkSession, nodes: DataFrame, psi: int, wide: DataFrame,

@@ -92,3 +92,13 @@ def test_sparse_vector_form_matches_wide(spark):
     assert p1 == p2
     nodes, psi = train_isolation_forest(spark, vec, None, n_trees=5)
     assert score_isolation_forest(spark, nodes, psi, vec, None).count() == 60
+
+
+def test_distinct_row_scoring_is_exact(spark, wide):
+    import numpy as np
+
+    from blocklens.operators.iforest import _Forest
+    nodes, psi = train_isolation_forest(spark, wide, NAMES, n_trees=20)
+    forest = _Forest(nodes.toPandas(), psi)
+    x = np.array([[r["E1"], r["E2"], r["E3"]] for r in wide.collect()], dtype=float)
+    assert np.array_equal(forest.decision(x), forest._walk(x))
