@@ -618,3 +618,27 @@ def q_stream_alerts(spark, sf_dir):
                                          "session_end timestamp_ntz, n_events long, "
                                          "score double, severity string")
     return spark.read.parquet(out).drop("batch_id")
+
+
+@query("classification_counts")
+def q_classification_counts(spark, sf_dir):
+    """Value counts of the predicted class per model (NULL = invalid)."""
+    out = None
+    for m in MODELS:
+        part = _preds(spark, sf_dir, m).groupBy(F.lit(m).alias("model"), "classification") \
+            .agg(F.count(F.lit(1)).alias("n"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("alert_summary")
+def q_alert_summary(spark, sf_dir):
+    """A4: alerts out of all predictions, per model."""
+    out = None
+    for m in MODELS:
+        part = _preds(spark, sf_dir, m).agg(
+            F.lit(m).alias("model"),
+            F.count_if(F.col("classification") == "Anomaly").alias("n_alerts"),
+            F.count(F.lit(1)).alias("n_predictions"))
+        out = part if out is None else out.unionByName(part)
+    return out

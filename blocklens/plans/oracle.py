@@ -588,3 +588,12 @@ m AS (SELECT doc_id, line_no, {_mask_sql('content')} AS template FROM doc_lines
 SELECT CAST(row_number() OVER (ORDER BY min(doc_id * 1000000000 + line_no)) AS INTEGER) AS event_id,
        template AS event_template, count(*) AS occurrences
 FROM m GROUP BY template"""
+
+ORACLE["classification_counts"] = PBASE + """
+SELECT approach AS model, classification, count(*) AS n FROM all_preds
+GROUP BY approach, classification"""
+
+ORACLE["alert_summary"] = PBASE + """
+SELECT approach AS model, count(*) FILTER (WHERE classification = 'Anomaly') AS n_alerts,
+       count(*) AS n_predictions
+FROM all_preds GROUP BY approach"""
