@@ -41,15 +41,14 @@ def load_labels_with_order(spark: SparkSession, path: str, key_col: str = KEY_CO
                            label_col: str = LABEL_COL) -> DataFrame:
     """Label rows plus their physical order (for :func:`labels_lookup`)."""
     from blocklens.sources.rawlog import read_lines
-    lines = read_lines(spark, path, drop_empty=True)
-    header = lines.where(F.col("line_id") == 1).select("raw_content").first()
-    if header is None:
-        raise SchemaError(f"{path}: empty label file")
-    names = [c.strip() for c in header[0].split(",")]
+    # header names from the CSV reader (it reads only the first line)
+    names = [c.strip() for c in
+             spark.read.option("header", True).option("inferSchema", False).csv(path).columns]
     if key_col not in names or label_col not in names:
         raise SchemaError(f"expected columns {[key_col, label_col]}, found {names}")
     ki, li = names.index(key_col), names.index(label_col)
     parts = F.split(F.col("raw_content"), ",")
+    lines = read_lines(spark, path, drop_empty=True)
     body = lines.where(F.col("line_id") > 1)
     return body.select(F.try_element_at(parts, F.lit(ki + 1)).alias("block_id"),
                        F.try_element_at(parts, F.lit(li + 1)).alias("label"),
