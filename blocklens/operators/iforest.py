@@ -138,6 +138,8 @@ def train_isolation_forest(spark: SparkSession, wide: DataFrame, feature_names:
 
     Returns ``(nodes, psi)``; ``nodes`` has one row per tree node.
     """
+    from blocklens.session import ship_package
+    ship_package(spark)
     normal = wide.where((F.col("split") == split) & (F.col("label") == "Normal")) \
         .select("block_id", features_array(wide, feature_names).alias("features"))
     n = normal.count()                      # one number (partial count)
@@ -209,6 +211,8 @@ class _Forest:
 def score_isolation_forest(spark: SparkSession, nodes: DataFrame, psi: int, wide: DataFrame,
                            feature_names: list[str], split: str | None = "test") -> DataFrame:
     """``(block_id, score, classification, label)``; score = decision."""
+    from blocklens.session import ship_package
+    ship_package(spark)                 # workers unpickle the model class
     nodes_pdf = nodes.toPandas()      # bounded: <= T x (2 psi - 1) rows
     bc = spark.sparkContext.broadcast(_Forest(nodes_pdf, psi))
 

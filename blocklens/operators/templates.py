@@ -195,6 +195,8 @@ def drain_clusters(masked: DataFrame, sim_th: float = DRAIN_SIM_THRESHOLD,
     ``DRAIN_MASKS_PER_GROUP`` distinct masks (at least 64 groups): one Python
     call handles many small leaves, and only a leaf itself is sequential.
     """
+    from blocklens.session import ship_package
+    ship_package(masked.sparkSession)
     routed = drain_buckets(distinct_masks(masked), max_children)
     n_masks = routed.count()                       # one number
     n_groups = max(64, -(-n_masks // DRAIN_MASKS_PER_GROUP))

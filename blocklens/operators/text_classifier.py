@@ -137,6 +137,8 @@ def build_prompts(texts: DataFrame, template: str = PROMPT_TEMPLATE) -> DataFram
 def classify(texts: DataFrame, backend: Backend, template: str = PROMPT_TEMPLATE,
              temperatures=TEMPERATURES) -> DataFrame:
     """Classify every row of ``(block_id, text_sequence, label)``."""
+    from blocklens.session import ship_package
+    ship_package(texts.sparkSession)
     prompts = build_prompts(texts, template)
     return prompts.mapInPandas(classify_batches(backend, temperatures), OUTPUT_SCHEMA)
 

@@ -47,6 +47,7 @@ def get_session(master: str | None = None, app_name: str = "blocklens",
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -78,3 +79,47 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder below the shared checkpoint folder."""
     root = ensure_checkpoint_dir(spark)
     return os.path.join(root, "scratch", f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``blocklens`` importable by the Python workers (once per app).
+
+    The package sources are zipped in memory, written to the shared
+    checkpoint folder and registered with ``addPyFile``; Spark distributes
+    the archive to every executor and puts it on the workers' path.  Needed
+    for the steps that run Python on executors (tree growth and scoring,
+    Drain, the text model) when the package is not installed there.
+    """
+    import hashlib
+    import io
+    import zipfile
+
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    base = os.path.dirname(pkg_dir)
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _dirs, files in sorted(os.walk(pkg_dir)):
+            for name in sorted(files):
+                if name.endswith(".py"):
+                    full = os.path.join(root, name)
+                    z.write(full, os.path.relpath(full, base))
+    data = buf.getvalue()
+    digest = hashlib.sha1(data).hexdigest()[:12]
+    target = os.path.join(ensure_checkpoint_dir(spark), "pyfiles", f"blocklens-{digest}.zip")
+    jvm = sc._jvm
+    jpath = jvm.org.apache.hadoop.fs.Path(target)
+    fs = jpath.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not fs.exists(jpath):
+        out = fs.create(jpath, True)
+        try:
+            out.write(bytearray(data))
+        finally:
+            out.close()
+    sc.addPyFile(target)
+    _SHIPPED.add(sc.applicationId)
