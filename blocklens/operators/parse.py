@@ -11,13 +11,16 @@ from pyspark.sql import functions as F
 from blocklens.functions import parsing as P
 
 
-def parse_lines(lines: DataFrame, keep_unmatched: bool = False) -> DataFrame:
+def parse_lines(lines: DataFrame, keep_unmatched: bool = False,
+                limit: int | None = None) -> DataFrame:
     """``(line_id, raw_content)`` -> one row per header-matching line.
 
     Output: line_id, event_date, event_time, pid, level, component, content,
     block_id (NULL when the content has no block id), event_ts.
     With ``keep_unmatched`` the non-matching lines are kept with a false
     ``matched`` flag and NULL fields (used for the run statistics).
+    ``limit`` keeps the first ``limit`` *matched* lines by line id (a top-k,
+    planned per partition and merged, not a global sort).
     """
     raw = F.col("raw_content")
     joined = lines.select("line_id", raw, P.header_joined(raw).alias("_j"))
@@ -36,7 +39,11 @@ def parse_lines(lines: DataFrame, keep_unmatched: bool = False) -> DataFrame:
         P.block_id(F.col("content")).alias("block_id"),
         P.event_timestamp(F.col("event_date"), F.col("event_time")).alias("event_ts"),
     )
-    return parsed if keep_unmatched else parsed.drop("matched")
+    out = parsed if keep_unmatched else parsed.drop("matched")
+    if limit is not None:
+        out = out.where(F.col("matched")) if keep_unmatched else out
+        out = out.orderBy("line_id").limit(limit)
+    return out
 
 
 def parse_stats(lines: DataFrame, with_templates: bool = False) -> DataFrame:

@@ -84,3 +84,13 @@ def test_block_id_first_occurrence(spark):
     df = spark.createDataFrame([("x blk_5 y blk_-6",), ("none",)], "c string")
     got = [r[0] for r in df.select(P.block_id(F.col("c"))).collect()]
     assert got == ["blk_5", None]
+
+
+def test_limit_counts_matched_lines_only(spark):
+    lines = spark.createDataFrame([(i + 1, g[0]) for i, g in enumerate(GOLDEN)],
+                                  "line_id long, raw_content string")
+    got = [r["line_id"] for r in parse_lines(lines, limit=3).collect()]
+    assert sorted(got) == [1, 2, 3]
+    # lines 10 and 11 do not match, so the last 9 matched lines are 1..9
+    assert sorted(r["line_id"] for r in parse_lines(lines, limit=20).collect()) == \
+        list(range(1, 10))
