@@ -150,3 +150,15 @@ def scoring_alert_sink(path: str, nodes: DataFrame, psi: int, feature_names: lis
                   .dropDuplicates(["block_id", "session_start"]))
         alerts.write.mode("overwrite").parquet(os.path.join(path, f"batch_id={batch_id}"))
     return write
+
+
+def read_upserted(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """Current state of an ``update``-mode output written by
+    :func:`idempotent_alert_sink`: per key the row of the latest micro-batch
+    (a partial ``max_by`` aggregate -- no key gathers its versions in one
+    place)."""
+    rows = spark.read.parquet(path)
+    values = [c for c in rows.columns if c not in keys and c != "batch_id"]
+    latest = rows.groupBy(*keys).agg(
+        F.max_by(F.struct(*values), "batch_id").alias("_v"))
+    return latest.select(*keys, *[F.col(f"_v.{c}").alias(c) for c in values])

@@ -52,3 +52,14 @@ def test_replayed_batch_does_not_duplicate(spark, tmp_dir):
     write(batch, 7)
     write(batch, 7)   # the same micro-batch again after a failure
     assert spark.read.parquet(out).count() == 2
+
+
+def test_update_mode_upsert(spark, tmp_dir):
+    out = os.path.join(tmp_dir, "upd")
+    write = live.idempotent_alert_sink(out)
+    schema = "block_id string, window_start string, n int"
+    write(spark.createDataFrame([("b1", "w1", 1), ("b2", "w1", 5)], schema), 0)
+    write(spark.createDataFrame([("b1", "w1", 3)], schema), 1)   # b1/w1 re-emitted
+    got = {(r["block_id"], r["window_start"]): r["n"] for r in
+           live.read_upserted(spark, out, ["block_id", "window_start"]).collect()}
+    assert got == {("b1", "w1"): 3, ("b2", "w1"): 5}
