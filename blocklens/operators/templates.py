@@ -167,6 +167,93 @@ def drain_buckets(masks: DataFrame, max_children: int = DRAIN_MAX_CHILDREN) -> D
                          key.alias("bucket"))
 
 
+def _has_digit(token: str) -> bool:
+    return any(ch.isdigit() for ch in token)
+
+
+def _drain_length_group(sim_th: float, wildcard: str, max_children: int):
+    """Exact-tree variant: every distinct mask of one token count, in
+    first-appearance order, through the full first-token layer of the tree
+    (literal children up to the children limit, the wildcard child for digit
+    tokens and overflow, wildcard fallback when a literal child is missing)."""
+    def one_group(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("first_line_id", kind="mergesort")
+        templates = pdf["template"].tolist()
+        n_tok = len(templates[0].split(" ")) if templates and templates[0] else 0
+        vocab: dict[str, int] = {}
+        wild = -1
+        mat = np.empty((max(len(templates), 1), max(n_tok, 1)), dtype=np.int64)
+        first_lines: list[int] = []
+        children: dict[str, list[int]] = {}
+        length_node: list[int] = []
+        members: list[int] = []
+        for tmpl, first in zip(templates, pdf["first_line_id"]):
+            toks = tmpl.split(" ") if tmpl else []
+            ids = (np.fromiter((vocab.setdefault(t, len(vocab)) for t in toks),
+                               dtype=np.int64, count=n_tok) if n_tok else
+                   np.zeros(1, dtype=np.int64))
+            if n_tok <= 1:
+                leaf = length_node
+            else:
+                leaf = children.get(toks[0], children.get(wildcard))
+            best = -1
+            if leaf:
+                if n_tok == 0:
+                    best = leaf[0]
+                else:
+                    idx = np.asarray(leaf)
+                    c = mat[idx]
+                    params = (c == wild).sum(axis=1)
+                    same = ((c == ids) & (c != wild)).sum(axis=1)
+                    cand = int(np.argmax(same * (n_tok + 1) + params))
+                    if same[cand] / n_tok >= sim_th:
+                        best = int(idx[cand])
+            if best >= 0:
+                row = mat[best]
+                row[row != ids] = wild
+                members.append(best)
+                continue
+            ci = len(first_lines)
+            mat[ci] = ids
+            first_lines.append(int(first))
+            members.append(ci)
+            if n_tok <= 1:
+                length_node.append(ci)
+                continue
+            t = toks[0]
+            if t in children:
+                children[t].append(ci)
+            elif _has_digit(t):
+                children.setdefault(wildcard, []).append(ci)
+            elif wildcard in children:
+                if len(children) < max_children:
+                    children[t] = [ci]
+                else:
+                    children[wildcard].append(ci)
+            elif len(children) + 1 < max_children:
+                children[t] = [ci]
+            else:
+                children[wildcard] = [ci]
+        words = {v: k for k, v in vocab.items()}
+        words[wild] = wildcard
+        texts = ["" if n_tok == 0 else " ".join(words[int(t)] for t in mat[ci])
+                 for ci in range(len(first_lines))]
+        return pd.DataFrame({
+            "template": pdf["template"].to_numpy(),
+            "occurrences": pdf["occurrences"].to_numpy(),
+            "cluster_first_line": [first_lines[m] for m in members],
+            "cluster_template": [texts[m] for m in members],
+        })
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = [one_group(g) for _, g in pdf.groupby("n_tokens", sort=False)]
+        if not parts:
+            return pd.DataFrame({"template": [], "occurrences": [], "cluster_first_line": [],
+                                 "cluster_template": []})
+        return pd.concat(parts, ignore_index=True)
+    return run
+
+
 # distinct masks per Python call (leaves are packed into groups of about this size)
 DRAIN_MASKS_PER_GROUP = 20000
 
@@ -185,7 +272,8 @@ def _drain_leaves(sim_th: float, wildcard: str):
 
 
 def drain_clusters(masked: DataFrame, sim_th: float = DRAIN_SIM_THRESHOLD,
-                   max_children: int = DRAIN_MAX_CHILDREN) -> DataFrame:
+                   max_children: int = DRAIN_MAX_CHILDREN, exact_tree: bool = False
+                   ) -> DataFrame:
     """T2, clustering step: one row per distinct mask with its cluster
     (identified by the first line of the mask that opened it) and the
     cluster's final template.  Written once; templates and the mask mapping
@@ -194,15 +282,24 @@ def drain_clusters(masked: DataFrame, sim_th: float = DRAIN_SIM_THRESHOLD,
     Leaves are independent, so they are hashed into groups of roughly
     ``DRAIN_MASKS_PER_GROUP`` distinct masks (at least 64 groups): one Python
     call handles many small leaves, and only a leaf itself is sequential.
+
+    ``exact_tree=True`` runs each token-count group through the full
+    first-token layer instead (children limit and wildcard fallback exactly
+    as the online tree); the sequential unit is then the whole token-count
+    group, so use it where the distinct masks per length are few (logs).
     """
     from blocklens.session import ship_package
     ship_package(masked.sparkSession)
     routed = drain_buckets(distinct_masks(masked), max_children)
     n_masks = routed.count()                       # one number
     n_groups = max(64, -(-n_masks // DRAIN_MASKS_PER_GROUP))
-    group = F.pmod(F.xxhash64("n_tokens", "bucket"), F.lit(n_groups))
-    return routed.groupBy(group.alias("_g")).applyInPandas(
-        _drain_leaves(sim_th, P.WILDCARD), schema=_BUCKET_SCHEMA)
+    if exact_tree:
+        group = F.pmod(F.xxhash64("n_tokens"), F.lit(n_groups))
+        body = _drain_length_group(sim_th, P.WILDCARD, max_children)
+    else:
+        group = F.pmod(F.xxhash64("n_tokens", "bucket"), F.lit(n_groups))
+        body = _drain_leaves(sim_th, P.WILDCARD)
+    return routed.groupBy(group.alias("_g")).applyInPandas(body, schema=_BUCKET_SCHEMA)
 
 
 def drain_from_clusters(clustered: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -226,10 +323,11 @@ def drain_from_clusters(clustered: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def drain_templates(masked: DataFrame, sim_th: float = DRAIN_SIM_THRESHOLD,
-                    max_children: int = DRAIN_MAX_CHILDREN) -> tuple[DataFrame, DataFrame]:
+                    max_children: int = DRAIN_MAX_CHILDREN, exact_tree: bool = False
+                    ) -> tuple[DataFrame, DataFrame]:
     """T2 in one call (the clustering is re-run by each consumer; stage it
     with :func:`drain_clusters` when both outputs are used)."""
-    return drain_from_clusters(drain_clusters(masked, sim_th, max_children))
+    return drain_from_clusters(drain_clusters(masked, sim_th, max_children, exact_tree))
 
 
 def mask_to_event_from(templates: DataFrame) -> DataFrame:

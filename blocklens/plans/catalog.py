@@ -642,3 +642,12 @@ def q_alert_summary(spark, sf_dir):
             F.count(F.lit(1)).alias("n_predictions"))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+@query("mine_templates_tree")
+def q_mine_templates_tree(spark, sf_dir):
+    """T2 with the exact first-token tree per token count (children limit
+    and wildcard fallback as in the online miner)."""
+    masked = LogContext.of(spark, sf_dir).masked
+    t = tpl_ops.drain_templates(masked, exact_tree=True)[0]
+    return t.select("event_id", "event_template", "occurrences")

@@ -94,3 +94,70 @@ def test_vectorised_leaf_equals_plain_loop(spark):
     got = {r["template"]: r["event_template"] for r in m2e.collect()}
     want = dict(zip(uniq, _reference_drain([u.split(" ") for u in uniq])))
     assert got == want
+
+
+def _plain_tree_drain(masks, sim_th=0.4, wildcard="<*>", max_children=100):
+    """Plain re-statement of the first-token tree over ordered distinct masks."""
+    clusters, out, roots = [], [], {}
+    for m in masks:
+        toks = m.split(" ") if m else []
+        node = roots.setdefault(len(toks), {"children": {}, "own": []})
+        if len(toks) <= 1:
+            leaf = node["own"]
+        else:
+            leaf = node["children"].get(toks[0], node["children"].get(wildcard))
+        best, key = -1, None
+        for ci in (leaf or []):
+            c = clusters[ci]
+            k = (sum(a == b and a != wildcard for a, b in zip(c, toks)),
+                 sum(a == wildcard for a in c))
+            if key is None or k > key:
+                best, key = ci, k
+        ok = best >= 0 and (not toks or key[0] / len(toks) >= sim_th)
+        if ok:
+            clusters[best] = [a if a == b else wildcard for a, b in zip(clusters[best], toks)]
+            out.append(best)
+            continue
+        clusters.append(list(toks))
+        ci = len(clusters) - 1
+        out.append(ci)
+        if len(toks) <= 1:
+            node["own"].append(ci)
+            continue
+        ch, t = node["children"], toks[0]
+        if t in ch:
+            ch[t].append(ci)
+        elif any(x.isdigit() for x in t):
+            ch.setdefault(wildcard, []).append(ci)
+        elif wildcard in ch:
+            if len(ch) < max_children:
+                ch[t] = [ci]
+            else:
+                ch[wildcard].append(ci)
+        elif len(ch) + 1 < max_children:
+            ch[t] = [ci]
+        else:
+            ch[wildcard] = [ci]
+    return [" ".join(clusters[i]) for i in out]
+
+
+def test_exact_tree_mode_matches_plain_tree(spark):
+    import random
+    rng = random.Random(5)
+    masks = []
+    # digit-first tokens open the wildcard child; then new literal first
+    # tokens may join wildcard clusters; a small children limit overflows
+    for i in range(300):
+        first = rng.choice([f"t{rng.randint(0, 9)}x", f"w{rng.randint(0, 30)}", "op"])
+        rest = [rng.choice(["a", "b", "<NUM>", "c"]) for _ in range(3)]
+        masks.append(" ".join([first] + rest))
+    seen, uniq = set(), []
+    for m in masks:
+        if m not in seen:
+            seen.add(m)
+            uniq.append(m)
+    masked = _masked(spark, uniq)
+    _, m2e = drain_templates(masked, max_children=8, exact_tree=True)
+    got = {r["template"]: r["event_template"] for r in m2e.collect()}
+    want = dict(zip(uniq, _plain_tree_drain(uniq, max_children=8)))
+    assert got == want
