@@ -33,3 +33,26 @@ def format_prompt(template: str, text: Column, slot: str = "{sequence}") -> Colu
     """fill the single ``slot`` of ``template`` with ``text``."""
     before, after = template.split(slot, 1)
     return F.concat(F.lit(before), text, F.lit(after))
+
+
+def answer_class(raw: Column) -> Column:
+    """F11 + F12 as native expressions, for model answers stored in tables.
+
+    The text from the first '{' to the last '}' must parse as exactly one
+    JSON object (strict: no single quotes, nothing between two objects);
+    keys are compared trimmed and lower-cased and the last ``classification``
+    key wins; its value is mapped by :func:`blocklens.functions.scores.
+    normalize_class`.  Non-string values map to NULL.
+    """
+    from blocklens.functions.scores import normalize_class
+    body = F.regexp_extract(raw, r"(?s)\{.*\}", 0)
+    as_list = F.from_json(F.concat(F.lit("["), body, F.lit("]")),
+                          "array<map<string,string>>",
+                          {"allowSingleQuotes": "false", "mode": "PERMISSIVE"})
+    one = F.when((body != "") & (F.size(as_list) == 1), as_list[0])
+    entries = F.filter(F.map_entries(one), lambda e: F.lower(F.trim(e["key"])) ==
+                       "classification")
+    last = F.try_element_at(entries, F.lit(-1))
+    # numbers, arrays and objects arrive as their JSON text and never equal a
+    # class spelling, so they map to NULL like any other non-class value
+    return normalize_class(last["value"])

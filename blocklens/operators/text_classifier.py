@@ -187,3 +187,11 @@ def rule_backend(prompts: pd.Series, temperature: float) -> pd.Series:
             out.append(f'{{"classification": "{word}", "confidence": {conf}, '
                        f'"explanation": "third look"}}')
     return pd.Series(out, dtype="object")
+
+
+def answer_udf(backend: Backend, temperature: float):
+    """The backend as an Arrow-batched column function (one answer per prompt)."""
+    @F.pandas_udf("string")
+    def answer(prompts: pd.Series) -> pd.Series:
+        return backend(prompts, temperature)
+    return answer

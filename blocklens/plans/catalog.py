@@ -651,3 +651,17 @@ def q_mine_templates_tree(spark, sf_dir):
     masked = LogContext.of(spark, sf_dir).masked
     t = tpl_ops.drain_templates(masked, exact_tree=True)[0]
     return t.select("event_id", "event_template", "occurrences")
+
+
+@query("extract_json")
+def q_extract_json(spark, sf_dir):
+    """F11/F12 natively: the rule model's first-attempt answers for every
+    labelled block, parsed with JVM expressions."""
+    from blocklens.functions.text import answer_class
+    from blocklens.operators.text_classifier import answer_udf, build_prompts, rule_backend
+
+    prompts = build_prompts(LogContext.of(spark, sf_dir).texts)
+    first_answer = answer_udf(rule_backend, 0.0)
+    answers = prompts.select("block_id", first_answer("prompt").alias("raw_answer"))
+    return answers.select("block_id", "raw_answer",
+                          answer_class(F.col("raw_answer")).alias("classification"))

@@ -597,3 +597,13 @@ ORACLE["alert_summary"] = PBASE + """
 SELECT approach AS model, count(*) FILTER (WHERE classification = 'Anomaly') AS n_alerts,
        count(*) AS n_predictions
 FROM all_preds GROUP BY approach"""
+
+ORACLE["extract_json"] = _with(TEXTS) + f"""
+SELECT block_id,
+  CASE WHEN n > {TC.RULE_LIMITS[0]} THEN 'I cannot tell from this sequence.'
+       ELSE 'Answer: {{"classification": "' || (CASE WHEN bad THEN 'ANOMALY' ELSE 'NORMAL' END)
+            || '", "confidence": ' || (CASE WHEN bad THEN '"90%"' ELSE '0.8' END)
+            || ', "explanation": "first look"}} -- done' END AS raw_answer,
+  CASE WHEN n > {TC.RULE_LIMITS[0]} THEN NULL WHEN bad THEN 'Anomaly' ELSE 'Normal' END
+    AS classification
+FROM rule"""

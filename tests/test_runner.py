@@ -46,3 +46,12 @@ def test_full_run_and_restart(spark, tmp_dir):
     alerts = spark.read.json(os.path.join(out, "alerts_isolation_forest"))
     assert set(alerts.columns) >= {"block_id", "classification", "score", "model", "events",
                                    "severity"}
+
+
+def test_cli_demo_run(spark, tmp_dir, capsys):
+    from blocklens.plans.runner import main
+    out = os.path.join(tmp_dir, "cli")
+    main(["--demo-sf", SF_SMALL, "--out", out, "--skip-text", "--miner", "mask"])
+    printed = capsys.readouterr().out
+    assert "metrics_full" in printed
+    assert os.path.exists(os.path.join(out, "predictions_random_forest", "_SUCCESS"))

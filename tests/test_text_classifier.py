@@ -66,3 +66,13 @@ def test_rule_backend_shapes():
     assert TC.extract_json(TC.rule_backend(pd.Series([seq(9)]), 0.0)[0]) is None
     b = TC.extract_json(TC.rule_backend(pd.Series([seq(9)]), 0.3)[0])
     assert TC.normalize_class(b["classification"]) == "Normal"
+
+
+@pytest.mark.parametrize("raw,want", ANSWERS + [('{"a":1,"a":2,"classification":"NORMAL"}', "Normal"),
+                                                (None, None), ("", None), ("{}", None)])
+def test_native_answer_parser(spark, raw, want):
+    from pyspark.sql import functions as F
+
+    from blocklens.functions.text import answer_class
+    df = spark.createDataFrame([(raw,)], "raw string")
+    assert df.select(answer_class(F.col("raw"))).first()[0] == want
