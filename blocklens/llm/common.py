@@ -55,6 +55,28 @@ def by_ids(docs: DataFrame, ids: DataFrame, how: str, key: str = "doc_id") -> Da
     return docs.join(ids, docs[key].eqNullSafe(ids["_id"]), how)
 
 
+def keep_rows(docs: DataFrame, verdicts: DataFrame, with_key) -> DataFrame:
+    """The rows of ``docs`` that ``verdicts`` (doc_id, key, kept) keep, all columns.
+
+    A doc_id that stands on one row is settled by its id alone, so no text is
+    shuffled.  Ids on several rows are settled by id and key (``with_key`` adds
+    the key as ``_key``), and equal (id, key) rows count as one.
+    """
+    per_id = verdicts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"),
+                                            F.sum(F.col("kept").cast("int")).alias("stay"))
+    several = stage(per_id.where("rows > 1").select("doc_id"), "several")
+    gone = stage(per_id.where("rows > 1 or stay = 0").select("doc_id"), "gone")
+    out = by_ids(docs, gone, "left_anti")
+    if several.count():
+        stay = by_ids(verdicts.where("kept"), several, "left_semi").select(
+            F.col("doc_id").alias("_i"), F.col("key").alias("_k")).distinct()
+        again = with_key(by_ids(docs, several, "left_semi")).dropDuplicates(["doc_id", "_key"])
+        again = again.join(stay, again["doc_id"].eqNullSafe(stay["_i"])
+                           & (again["_key"] == stay["_k"]), "left_semi")
+        out = out.unionByName(again.select(docs.columns))
+    return out
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of the undirected ``edges`` (a, b longs).
 

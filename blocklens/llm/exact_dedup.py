@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from blocklens.llm.common import by_ids, session, stage, texts
+from blocklens.llm.common import by_ids, keep_rows, session, stage, texts
 
 #: documents of a part: bounds a message and a task's buffer
 PART_DOCS = 65_536
@@ -205,19 +205,6 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that :func:`exact_dedup` does not keep, all columns."""
     session(docs)
     found = stage(exact_dedup(docs), "verdicts")
-    per_id = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"),
-                                         F.sum(F.col("kept").cast("int")).alias("stay"))
-    several = stage(per_id.where("rows > 1").select("doc_id"), "several")
-    gone = stage(per_id.where("rows = 1 and stay = 0").select("doc_id")
-                 .union(several), "gone")
-    out = by_ids(docs, gone, "left_anti")
-    if several.count():     # ids that stand on several rows are settled by id and content
-        stay = by_ids(found.where("kept"), several, "left_semi").select(
-            F.col("doc_id").alias("_i"), F.col("text_sha256").alias("_s")).distinct()
-        again = by_ids(docs, several, "left_semi").withColumn(
-            "_sha", F.sha2(F.coalesce("text", F.lit("")), 256))
-        again = again.dropDuplicates(["doc_id", "_sha"])
-        again = again.join(stay, again["doc_id"].eqNullSafe(stay["_i"])
-                           & (again["_sha"] == stay["_s"]), "left_semi")
-        out = out.unionByName(again.drop("_sha"))
-    return out
+    return keep_rows(docs, found.select("doc_id", F.col("text_sha256").alias("key"), "kept"),
+                     lambda some: some.withColumn(
+                         "_key", F.sha2(F.coalesce("text", F.lit("")), 256)))

@@ -11,13 +11,35 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blocklens.llm import exact_dedup, language_id
+from blocklens.llm import bpe, exact_dedup, language_id, packing, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _word_bpe() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
+                        "component_id")
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every piece of every document in sequences of 2048 tokens."""
+    return packing.pack(_table(spark, sf_dir, "documents"), _word_bpe())
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's ids and of what they decode to."""
+    return bpe.digest_documents(_table(spark, sf_dir, "documents"), _word_bpe())
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document; two of three folds are learned from."""
     return language_id.identify(_table(spark, sf_dir, "documents"))
@@ -38,6 +60,9 @@ WINDOW same AS (PARTITION BY coalesce(text, ''))
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_simhash": op3_simhash,
+        "op5_packing": op5_packing,
+        "op7_bpe": op7_bpe,
         "op9_language_id": op9_language_id,
         "op10_exact_dedup": op10_exact_dedup,
     }
