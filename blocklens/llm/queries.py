@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blocklens.llm import bpe, exact_dedup, language_id, packing, simhash
+from blocklens.llm import bpe, exact_dedup, hmm, language_id, packing, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,11 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "component_id")
 
 
+def op4_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and hidden-Markov log10 probability of every document."""
+    return hmm.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of every piece of every document in sequences of 2048 tokens."""
     return packing.pack(_table(spark, sf_dir, "documents"), _word_bpe())
@@ -61,6 +66,7 @@ WINDOW same AS (PARTITION BY coalesce(text, ''))
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_simhash": op3_simhash,
+        "op4_hmm_scoring": op4_hmm_scoring,
         "op5_packing": op5_packing,
         "op7_bpe": op7_bpe,
         "op9_language_id": op9_language_id,
