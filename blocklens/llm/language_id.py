@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blocklens.llm.common import session
+from blocklens.llm.common import session, stage
 
 DIMENSIONS = 512
 SEED = 9
@@ -238,7 +238,7 @@ def identify(docs: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
     Rows without a doc_id are neither learned from nor held out for learning.
     """
     train = docs.where(is_training(F.col("doc_id"))).select("text", "lang")
-    prototypes = train_prototypes(train, dimensions)
+    prototypes = stage(train_prototypes(train, dimensions), "prototypes")
     rows = docs.select("doc_id", "text", (F.crc32(F.col("doc_id").cast("string")) % 3 == 1)
                        .alias("held_out"))
     return predict_languages(rows, prototypes, dimensions).select(

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blocklens.llm import bpe, exact_dedup, hmm, language_id, packing, simhash
+from blocklens.llm import bpe, exact_dedup, hmm, language_id, packing, simhash, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,25 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), _word_bpe())
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record after the way through ARC and WARC archives."""
+    return warc.archive_pages(_table(spark, sf_dir, "pages")).drop("record_id", "url")
+
+
+OP6_SQL = """
+WITH sized AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, coalesce(html, '') AS body FROM pages
+), grouped AS (
+  SELECT *, max(page_id) OVER (PARTITION BY body) AS last FROM sized
+)
+SELECT page_id, payload_bytes, sha1(body) AS payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END
+         AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id < last THEN last END AS refers_to
+FROM grouped
+"""
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of what they decode to."""
     return bpe.digest_documents(_table(spark, sf_dir, "documents"), _word_bpe())
@@ -68,6 +87,7 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_simhash": op3_simhash,
         "op4_hmm_scoring": op4_hmm_scoring,
         "op5_packing": op5_packing,
+        "op6_warc": op6_warc,
         "op7_bpe": op7_bpe,
         "op9_language_id": op9_language_id,
         "op10_exact_dedup": op10_exact_dedup,
@@ -75,4 +95,4 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": OP10_SQL}
+    return {"op6_warc": OP6_SQL, "op10_exact_dedup": OP10_SQL}
