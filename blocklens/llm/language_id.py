@@ -16,7 +16,7 @@ everything is ``und``; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -134,7 +134,7 @@ def bundles(texts: list[str], dimensions: int = DIMENSIONS) -> np.ndarray:
     return out
 
 
-def _chunks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _chunks(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         size = frame["text"].str.len().fillna(0).to_numpy()
         start, chars = 0, 0
@@ -182,49 +182,48 @@ def train_prototypes(docs: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame
                                              lambda x: x["value"]).alias("prototype")))
 
 
-def _compare(names: list[str], prototypes: np.ndarray, dimensions: int, columns: list[str]):
+def _compare(names: list[str], prototypes: np.ndarray, dimensions: int):
+    """Texts -> the nearest of some prototypes and its cosine."""
     unit = prototypes / np.linalg.norm(prototypes, axis=1, keepdims=True)
 
-    def run(frames):
-        for frame in _chunks(frames):
-            bundle = bundles(frame["text"].fillna("").tolist(), dimensions).astype(np.float64)
+    def nearest(text: pd.Series) -> pd.DataFrame:
+        parts = []
+        for chunk in _chunks([text.to_frame("text")]):
+            bundle = bundles(chunk["text"].fillna("").tolist(), dimensions).astype(np.float64)
             norm = np.linalg.norm(bundle, axis=1)
             cosine = (bundle / np.maximum(norm, 1e-300)[:, None]) @ unit.T
             best = cosine.argmax(axis=1)
-            some = norm > 0
-            out = frame[columns].copy()
-            out["lang_pred"] = np.where(some, np.array(names, object)[best], UNKNOWN)
-            out["score"] = np.where(some, np.clip(cosine[np.arange(len(best)), best], 0, 1), 0.0)
-            yield out
-    return run
+            score = np.clip(cosine[np.arange(len(best)), best], 0, 1)
+            parts.append(pd.DataFrame({
+                "lang_pred": np.where(norm > 0, np.array(names, object)[best], UNKNOWN),
+                "score": np.where(norm > 0, score, 0.0)}))
+        if not parts:
+            return pd.DataFrame({"lang_pred": [], "score": []})
+        return pd.concat(parts, ignore_index=True)
+    return F.pandas_udf(nearest, "lang_pred string, score double")
 
 
 def predict_languages(docs: DataFrame, prototypes: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
-    """``docs`` without its text, with lang_pred and score (the best cosine, 0 to 1).
+    """``docs`` with a struct _language (lang_pred, score: the best cosine, 0 to 1).
 
     Prototypes reach the tasks ``LANGUAGES_PER_PASS`` at a time (4 MB with 512
-    dimensions); with more languages, each pass keeps a document's best.
+    dimensions); with more languages, each pass is compared with the best so far.
     """
     session(docs)
-    columns = [c for c in docs.columns if c != "text"]
     names = [r[0] for r in prototypes.select("lang").orderBy("lang").toLocalIterator()]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields
-                        if f.name != "text"] + ["lang_pred string", "score double"])
-    passes = []
+    best = F.struct(F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+    out = docs.withColumn("_language", best)
     for at in range(0, len(names), LANGUAGES_PER_PASS):
         some = names[at:at + LANGUAGES_PER_PASS]
         own = dict(prototypes.where(F.col("lang").between(some[0], some[-1])).collect())
         matrix = np.array([own[n] for n in some], np.float64)
-        passes.append(docs.mapInPandas(_compare(some, matrix, dimensions, columns), schema))
-    if not passes:
-        return docs.drop("text").withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
-    if len(passes) == 1:
-        return passes[0]
-    every = passes[0]
-    for more in passes[1:]:
-        every = every.unionByName(more)
-    best = F.max_by(F.struct("lang_pred", "score"), F.col("score")).alias("best")
-    return every.groupBy(*columns).agg(best).select(*columns, "best.*")
+        out = out.withColumn("_pass", _compare(some, matrix, dimensions)(F.col("text")))
+        if at:
+            out = out.withColumn("_pass", F.when(
+                F.col("_pass.score") > F.col("_language.score"), F.col("_pass"))
+                .otherwise(F.col("_language")))
+        out = out.withColumn("_language", F.col("_pass")).drop("_pass")
+    return out
 
 
 def is_training(doc_id: Column, folds: int = 3, held_out: int = 1) -> Column:
@@ -232,14 +231,27 @@ def is_training(doc_id: Column, folds: int = 3, held_out: int = 1) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds != held_out, F.lit(False))
 
 
+def learned(docs: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
+    """Prototypes learned from the training fold of (doc_id, text, lang)."""
+    train = docs.where(is_training(F.col("doc_id"))).select("text", "lang")
+    return stage(train_prototypes(train, dimensions), "prototypes")
+
+
 def identify(docs: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
     """(doc_id, held_out, lang_pred, score): learns from the training fold, predicts all.
 
-    Rows without a doc_id are neither learned from nor held out for learning.
+    Rows without a doc_id are not learned from; their held_out is null.
     """
-    train = docs.where(is_training(F.col("doc_id"))).select("text", "lang")
-    prototypes = stage(train_prototypes(train, dimensions), "prototypes")
     rows = docs.select("doc_id", "text", (F.crc32(F.col("doc_id").cast("string")) % 3 == 1)
                        .alias("held_out"))
-    return predict_languages(rows, prototypes, dimensions).select(
-        "doc_id", "held_out", "lang_pred", "score")
+    return predict_languages(rows, learned(docs, dimensions), dimensions).select(
+        "doc_id", "held_out", "_language.lang_pred", "_language.score")
+
+
+def keep_identified(docs: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
+    """``docs`` in some language, all columns: rejected are texts without a letter
+    and texts no nearer to any language than random vectors are to one another
+    (a cosine below one over the root of the dimensions)."""
+    found = predict_languages(docs, learned(docs, dimensions), dimensions)
+    return found.where((F.col("_language.lang_pred") != UNKNOWN)
+                       & (F.col("_language.score") >= dimensions ** -0.5)).select(docs.columns)

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blocklens.llm import bpe, exact_dedup, hmm, language_id, packing, simhash, warc
+from blocklens.llm import bpe, embedding_dedup, exact_dedup, hmm, language_id, packing, simhash, suffix_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,34 @@ def _word_bpe() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector at cosine 0.9."""
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+OP2_SQL = """
+WITH RECURSIVE vectors AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+), valid AS (
+  SELECT * FROM vectors WHERE v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(v, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM valid a JOIN valid b
+    ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+   AND list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) >= 0.9
+), reach AS (
+  SELECT vec_id AS node, vec_id AS seen FROM vectors
+  UNION SELECT r.node, l.b FROM reach r JOIN links l ON r.seen = l.a
+), component AS (
+  SELECT node, min(seen) AS component_id FROM reach GROUP BY node
+), degree AS (
+  SELECT a, count(*) AS n FROM links GROUP BY a
+)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM vectors JOIN component ON vec_id = node LEFT JOIN degree ON vec_id = a
+"""
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -64,6 +92,11 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(_table(spark, sf_dir, "documents"), _word_bpe())
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes that every document loses to strings of 200 bytes that stand twice."""
+    return suffix_dedup.suffix_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document; two of three folds are learned from."""
     return language_id.identify(_table(spark, sf_dir, "documents"))
@@ -84,15 +117,17 @@ WINDOW same AS (PARTITION BY coalesce(text, ''))
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_embedding_dedup": op2_embedding_dedup,
         "op3_simhash": op3_simhash,
         "op4_hmm_scoring": op4_hmm_scoring,
         "op5_packing": op5_packing,
         "op6_warc": op6_warc,
         "op7_bpe": op7_bpe,
+        "op8_suffix_dedup": op8_suffix_dedup,
         "op9_language_id": op9_language_id,
         "op10_exact_dedup": op10_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc": OP6_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op2_embedding_dedup": OP2_SQL, "op6_warc": OP6_SQL, "op10_exact_dedup": OP10_SQL}
