@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blocklens.llm import bpe, embedding_dedup, exact_dedup, hmm, language_id, packing, simhash, suffix_dedup, warc
+from blocklens.llm import bpe, embedding_dedup, exact_dedup, hmm, language_id, packing, paragraph_dedup, simhash, suffix_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,11 @@ def _word_bpe() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document loses to paragraphs that stand elsewhere before."""
+    return paragraph_dedup.paragraph_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and component of every vector at cosine 0.9."""
     return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
@@ -117,6 +122,7 @@ WINDOW same AS (PARTITION BY coalesce(text, ''))
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_paragraph_dedup": op1_paragraph_dedup,
         "op2_embedding_dedup": op2_embedding_dedup,
         "op3_simhash": op3_simhash,
         "op4_hmm_scoring": op4_hmm_scoring,
