@@ -35,14 +35,16 @@ def format_prompt(template: str, text: Column, slot: str = "{sequence}") -> Colu
     return F.concat(F.lit(before), text, F.lit(after))
 
 
-def answer_class(raw: Column) -> Column:
-    """F11 + F12 as native expressions, for model answers stored in tables.
+def answer_fields(raw: Column) -> Column:
+    """F11 + F12 on raw model answers: a struct (classification, confidence,
+    explanation).
 
     The text from the first '{' to the last '}' must parse as exactly one
     JSON object (strict: no single quotes, nothing between two objects);
-    keys are compared trimmed and lower-cased and the last ``classification``
-    key wins; its value is mapped by :func:`blocklens.functions.scores.
-    normalize_class`.  Non-string values map to NULL.
+    keys are compared trimmed and lower-cased and the last of a key wins; the
+    class is mapped by :func:`blocklens.functions.scores.normalize_class`.
+    Numbers, arrays and objects arrive as their JSON text and never equal a
+    class spelling.
     """
     from blocklens.functions.scores import normalize_class
     body = F.regexp_extract(raw, r"(?s)\{.*\}", 0)
@@ -50,9 +52,16 @@ def answer_class(raw: Column) -> Column:
                           "array<map<string,string>>",
                           {"allowSingleQuotes": "false", "mode": "PERMISSIVE"})
     one = F.when((body != "") & (F.size(as_list) == 1), as_list[0])
-    entries = F.filter(F.map_entries(one), lambda e: F.lower(F.trim(e["key"])) ==
-                       "classification")
-    last = F.try_element_at(entries, F.lit(-1))
-    # numbers, arrays and objects arrive as their JSON text and never equal a
-    # class spelling, so they map to NULL like any other non-class value
-    return normalize_class(last["value"])
+
+    def last(name: str) -> Column:
+        own = F.filter(F.map_entries(one), lambda e: F.lower(F.trim(e["key"])) == name)
+        return F.try_element_at(own, F.lit(-1))["value"]
+
+    return F.struct(normalize_class(last("classification")).alias("classification"),
+                    last("confidence").alias("confidence"),
+                    last("explanation").alias("explanation"))
+
+
+def answer_class(raw: Column) -> Column:
+    """The class of a raw answer, NULL when there is none."""
+    return answer_fields(raw)["classification"]

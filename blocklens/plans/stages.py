@@ -16,10 +16,12 @@ from __future__ import annotations
 import hashlib
 import os
 import threading
+import time
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from blocklens.session import ensure_checkpoint_dir
+from blocklens.session import shared_root
 
 
 _LOCKS: dict[str, threading.Lock] = {}
@@ -42,6 +44,20 @@ def is_complete(spark: SparkSession, path: str) -> bool:
     return _fs_exists(spark, path.rstrip("/") + "/_SUCCESS")
 
 
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """Digest of the names, sizes and times of the files below ``path``."""
+    jvm = spark.sparkContext._jvm
+    jpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(jpath):
+        return "missing"
+    files, found = fs.listFiles(jpath, True), []
+    while files.hasNext():
+        f = files.next()
+        found.append(f"{f.getPath().getName()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.sha1("\n".join(sorted(found)).encode()).hexdigest()
+
+
 class StageStore:
     """Parquet stages under one root (one root per input + settings)."""
 
@@ -50,9 +66,12 @@ class StageStore:
         self.root = root
 
     @classmethod
-    def for_inputs(cls, spark: SparkSession, *parts: str) -> "StageStore":
-        tag = hashlib.sha1("|".join(parts).encode()).hexdigest()[:16]
-        return cls(spark, os.path.join(ensure_checkpoint_dir(spark), "stages", tag))
+    def for_inputs(cls, spark: SparkSession, version: str, *inputs: str) -> "StageStore":
+        """A store named by its input folders and the state of their files, so a
+        restarted application finds its stages and changed inputs get new ones."""
+        key = "|".join([version, *(f"{p}:{fingerprint(spark, p)}" for p in inputs)])
+        tag = hashlib.sha1(key.encode()).hexdigest()[:16]
+        return cls(spark, os.path.join(shared_root(spark), "stages", tag))
 
     def path(self, name: str) -> str:
         return os.path.join(self.root, name)
@@ -60,8 +79,10 @@ class StageStore:
     def exists(self, name: str) -> bool:
         return is_complete(self.spark, self.path(name))
 
-    def materialize(self, name: str, build, partition_by: list[str] | None = None) -> DataFrame:
-        """Read stage ``name`` if complete, else build, write and read it."""
+    def materialize(self, name: str, build, partition_by: list[str] | None = None,
+                    schema=None) -> DataFrame:
+        """Read stage ``name`` if complete, else build, write and read it (with
+        ``schema`` when its types are not those of the files)."""
         p = self.path(name)
         with _lock_for(p):     # queries running in threads share one stage
             if not is_complete(self.spark, p):
@@ -70,12 +91,30 @@ class StageStore:
                 if partition_by:
                     w = w.partitionBy(*partition_by)
                 w.parquet(p)
+        return (self.spark.read.schema(schema) if schema else self.spark.read).parquet(p)
+
+    def timed(self, name: str, build) -> DataFrame:
+        """Stage ``name`` of scored rows with ``inference_time_sec`` per row.
+
+        The rows are written and timed, then rewritten with the time in one
+        atomic step; a run that dies in between scores (and times) again.
+        """
+        p, draft = self.path(name), self.path(name + "_draft")
+        with _lock_for(p):
+            if not is_complete(self.spark, p):
+                began = time.perf_counter()
+                build().write.mode("overwrite").parquet(draft)
+                spent = time.perf_counter() - began
+                rows = self.spark.read.parquet(draft)
+                rows.withColumn("inference_time_sec", F.lit(spent / max(1, rows.count()))) \
+                    .write.mode("overwrite").parquet(p)
         return self.spark.read.parquet(p)
 
     def write_once(self, name: str, df: DataFrame) -> DataFrame:
-        """Refuse to replace an existing stage (``errorifexists``)."""
+        """Refuse to replace a complete stage; what a write that died has
+        left is no stage and is written over."""
         p = self.path(name)
-        if _fs_exists(self.spark, p):
+        if is_complete(self.spark, p):
             raise FileExistsError(f"{p} already exists; it is written only once")
-        df.write.mode("errorifexists").parquet(p)
+        df.write.mode("overwrite").parquet(p)
         return self.spark.read.parquet(p)

@@ -66,6 +66,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder, creating a local one only when unset."""
     root = checkpoint_root(spark)
     if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         local = tempfile.mkdtemp(prefix="blocklens-ckpt-")
         spark.sparkContext.setCheckpointDir(local)
         root = spark.sparkContext.getCheckpointDir()
@@ -75,6 +77,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return root
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The configured shared folder itself, the same for every application; on
+    a local master without one, the session's own folder."""
+    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    return configured or ensure_checkpoint_dir(spark)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder below the shared checkpoint folder."""
     root = ensure_checkpoint_dir(spark)

@@ -25,12 +25,16 @@ def _s(c: Column) -> Column:
     return c.cast("string")
 
 
+def _block_of_event() -> Column:
+    uid = F.col("user_id")
+    day_b = F.dayofmonth("ts") + F.lit(100) * uid
+    return F.concat(F.lit("blk_"), _s(F.when(uid % 2 == 0, -day_b).otherwise(day_b)))
+
+
 def log_lines_from_events(events: DataFrame) -> DataFrame:
     """``(line_id long, raw_content string)``: one HDFS-style line per event."""
     eid, uid, etype = F.col("event_id"), F.col("user_id"), F.col("event_type")
-    day_b = F.dayofmonth("ts") + F.lit(100) * uid
-    b = F.when(uid % 2 == 0, -day_b).otherwise(day_b)
-    blk = F.concat(F.lit("blk_"), _s(b))
+    blk = _block_of_event()
     subnet = _s(uid % 256)
     body = (
         F.when(eid % 97 == 0, F.concat(F.lit("heartbeat "), _s(eid), F.lit(" ok")))
@@ -56,24 +60,9 @@ def log_lines_from_events(events: DataFrame) -> DataFrame:
     )
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Redistribute a scan that yields fewer partitions than the cluster has
-    cores (one single-row-group file, one non-splittable archive) before heavy
-    per-row work.  The round-robin result is checkpointed into the shared
-    folder: that cuts the lineage and keeps Catalyst from pushing the later
-    filters (and their regexes) back into the single scan task.  Inputs that
-    already split into enough partitions are left alone."""
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        from blocklens.session import ensure_checkpoint_dir
-        ensure_checkpoint_dir(spark)
-        return df.repartition(cores).checkpoint(eager=True)
-    return df
-
-
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return log_lines_from_events(spread(read_table(spark, sf_dir, "events")))
+    events = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
+    return log_lines_from_events(events.repartition(spark.sparkContext.defaultParallelism))
 
 
 def block_labels_from_parsed(parsed: DataFrame) -> DataFrame:
@@ -94,10 +83,17 @@ def block_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_labels_from_parsed(parse_lines(log_lines(spark, sf_dir)))
 
 
-def _base_predictions(labels: DataFrame) -> DataFrame:
+def _base_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One prediction for each log block that a labelled document's event (the
+    event with its number) belongs to; the smallest document speaks for it."""
+    labels = read_table(spark, sf_dir, "labels")
+    events = read_table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("doc_id"), _block_of_event().alias("block_id"))
+    one = labels.join(events, "doc_id").groupBy("block_id").agg(
+        F.min_by(F.struct("doc_id", "quality", "toxic"), "doc_id").alias("d"))
     doc = F.col("doc_id")
-    return labels.select(
-        F.concat(F.lit("blk_"), _s(doc)).alias("block_id"),
+    return one.select("block_id", "d.*").select(
+        "block_id",
         F.when(doc % 37 == 0, F.lit(None).cast("string"))
         .when(F.col("quality") == 0, F.lit("Anomaly")).otherwise(F.lit("Normal"))
         .alias("classification"),
@@ -108,7 +104,7 @@ def _base_predictions(labels: DataFrame) -> DataFrame:
 
 def if_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Isolation-forest shaped predictions: decision score in [-0.5, 0.5]."""
-    base = _base_predictions(read_table(spark, sf_dir, "labels"))
+    base = _base_predictions(spark, sf_dir)
     return base.select(
         "block_id",
         (F.lit(0.5) - (F.col("doc_id") % 101) / F.lit(100.0)).alias("score"),
@@ -119,7 +115,7 @@ def if_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rf_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Random-forest shaped predictions: P(Anomaly) in [0, 1]."""
-    base = _base_predictions(read_table(spark, sf_dir, "labels"))
+    base = _base_predictions(spark, sf_dir)
     return base.select(
         "block_id",
         ((F.col("doc_id") % 101) / F.lit(100.0)).alias("anomaly_probability"),
@@ -128,10 +124,10 @@ def rf_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def text_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def llm_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text-classifier shaped predictions: confidence as raw text, written
     either as a fraction ('0.07'), a percentage ('7%') or not at all."""
-    base = _base_predictions(read_table(spark, sf_dir, "labels"))
+    base = _base_predictions(spark, sf_dir)
     doc = F.col("doc_id")
     pct = _s(doc % 101)
     frac = F.concat(F.lit("0."), F.lpad(_s(doc % 100), 2, "0"))
@@ -156,5 +152,39 @@ def predictions(spark: SparkSession, sf_dir: str, model: str) -> DataFrame:
     return {
         "isolation_forest": if_predictions,
         "random_forest": rf_predictions,
-        "text": text_predictions,
+        "llm": llm_predictions,
     }[model](spark, sf_dir)
+
+
+# --- fixed values: the shapes of model answers (%d stands for a number) ---------
+ANSWER_SHAPES = (
+    'ok {"classification":"NORMAL","confidence":0.9} end',
+    '{" Classification ":" anomaly ","confidence":"%d%"}',
+    '{"classification":"ANÔMALO"}',
+    '{"classification":"anomalo","explanation":"case %d"}',
+    '{"classification":"anomalous"}',
+    '{"classification":1}',
+    '{"classification":["NORMAL"]}',
+    '{"label":"NORMAL"}',
+    'no braces in answer %d',
+    "{'classification':'NORMAL'}",
+    '{"classification":"NORMAL"} {"a":1}',
+    '{"Classification":"NORMAL","classification":"ANOMALY"}',
+    '```json\n{\n "classification": "normal"\n}\n```',
+    '{"classification":"NORMAL"}, {"a":1}',
+    '',
+)
+# --------------------------------------------------------------------------------
+
+
+def model_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(block_id, attempt, raw_answer)``: recorded answers of three attempts for
+    every block with a prediction, in the shapes above."""
+    doc = F.col("doc_id")
+    shapes = F.array(*[F.lit(x) for x in ANSWER_SHAPES])
+    base = _base_predictions(spark, sf_dir).select(
+        "block_id", "doc_id", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("attempt"))
+    shape = F.element_at(shapes, (((doc + F.lit(4) * (F.col("attempt") - 1)) % len(ANSWER_SHAPES)) + 1)
+                         .cast("int"))
+    return base.select("block_id", "attempt",
+                       F.replace(shape, F.lit("%d"), _s(doc % 100)).alias("raw_answer"))

@@ -39,17 +39,17 @@ def labels_lookup(rows: DataFrame, order_col: str) -> DataFrame:
 
 def load_labels_with_order(spark: SparkSession, path: str, key_col: str = KEY_COL,
                            label_col: str = LABEL_COL) -> DataFrame:
-    """Label rows plus their physical order (for :func:`labels_lookup`)."""
-    from blocklens.sources.rawlog import read_lines
-    # header names from the CSV reader (it reads only the first line)
-    names = [c.strip() for c in
-             spark.read.option("header", True).option("inferSchema", False).csv(path).columns]
+    """Label rows plus their physical order (for :func:`labels_lookup`).
+
+    The CSV reader takes quoted fields and each file's header; the order is that
+    of files by path and of rows within them (the reader's own row ids).
+    """
+    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    names = [c.strip() for c in raw.columns]
     if key_col not in names or label_col not in names:
         raise SchemaError(f"expected columns {[key_col, label_col]}, found {names}")
-    ki, li = names.index(key_col), names.index(label_col)
-    parts = F.split(F.col("raw_content"), ",")
-    lines = read_lines(spark, path, drop_empty=True)
-    body = lines.where(F.col("line_id") > 1)
-    return body.select(F.try_element_at(parts, F.lit(ki + 1)).alias("block_id"),
-                       F.try_element_at(parts, F.lit(li + 1)).alias("label"),
-                       F.col("line_id").alias("row_order"))
+    tagged = raw.toDF(*names).select(
+        F.col(key_col).alias("block_id"), F.col(label_col).alias("label"),
+        F.struct(F.input_file_name(), F.input_file_block_start(),
+                 F.monotonically_increasing_id()).alias("row_order"))
+    return tagged

@@ -8,7 +8,8 @@ task.  Dense, 1-based line numbers then need no global sort:
 1. tag every row with its range (file, range start) and a
    ``monotonically_increasing_id`` (consecutive inside a task);
 2. per range: row count and smallest id -- a tiny table, one row per range;
-3. prefix-sum the counts in (file, range) order and broadcast the result;
+3. prefix-sum the counts in (file, range) order (Spark broadcasts the result
+   while its measured size is small, and shuffles beyond);
 4. line number = lines before the range + (id - smallest id in range) + 1.
 
 Numbers are assigned before empty lines are dropped, so they count every
@@ -35,7 +36,7 @@ def read_lines(spark: SparkSession, path: str | list[str], drop_empty: bool = Tr
     # one row per byte range: a bounded table, so one window task is fine
     before = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    numbered = scan.join(F.broadcast(ranges.drop("_n")), ["_file", "_start"]).select(
+    numbered = scan.join(ranges.drop("_n"), ["_file", "_start"]).select(
         (F.col("_off") + F.col("_mid") - F.col("_m0") + 1).alias("line_id"),
         F.make_valid_utf8("value").alias("raw_content"),
         F.col("_file").alias("source_file"),

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blocklens.plans.stages import _fs_exists
+from blocklens.plans.stages import _fs_exists, is_complete
 
 
 def write_overwrite(df: DataFrame, path: str, fmt: str = "parquet") -> None:
@@ -22,9 +22,9 @@ def write_once(df: DataFrame, path: str, *others: str) -> None:
     with it -- already exists."""
     spark = df.sparkSession
     for p in (path, *others):
-        if _fs_exists(spark, p):
+        if is_complete(spark, p):
             raise FileExistsError(f"{p} already exists; it is written only once")
-    df.write.mode("errorifexists").parquet(path)
+    df.write.mode("overwrite").parquet(path)
 
 
 def remaining_work(todo: DataFrame, done: DataFrame, key: str = "block_id") -> DataFrame:
@@ -42,18 +42,19 @@ def append_resumable(spark: SparkSession, todo: DataFrame, path: str, compute,
     finished chunk and a rerun resumes with the rest (executor loss inside a
     chunk is handled by task retry).
     """
+    remaining = todo
     if _fs_exists(spark, path):
-        done = spark.read.parquet(path)
-        remaining = remaining_work(todo, done, key)
-    else:
-        remaining = todo
+        remaining = remaining_work(todo, spark.read.parquet(path), key)
     if chunks <= 1:
         compute(remaining).write.mode("append").parquet(path)
-    else:
-        bucket = F.pmod(F.xxhash64(F.col(key)), F.lit(chunks))
+    else:       # the work list is made once, and each chunk reads its own folder of it
+        from blocklens.session import scratch_path
+        listed = scratch_path(spark, "remaining")
+        remaining.withColumn("_chunk", F.pmod(F.xxhash64(F.col(key)), F.lit(chunks)).cast("int")) \
+            .write.partitionBy("_chunk").parquet(listed)
+        rows = spark.read.schema(remaining.schema.add("_chunk", "integer")).parquet(listed)
         for c in range(chunks):
-            part = remaining.where(bucket == c)
-            compute(part).write.mode("append").parquet(path)
+            compute(rows.where(F.col("_chunk") == c).drop("_chunk")).write.mode("append").parquet(path)
     return spark.read.parquet(path)
 
 

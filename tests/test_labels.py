@@ -31,3 +31,15 @@ def test_last_duplicate_wins(spark, tmp_dir):
     got = {r[0]: r[1] for r in labels_lookup(load_labels_with_order(spark, p),
                                              "row_order").collect()}
     assert got == {"blk_1": "Anomaly", "blk_2": "Normal"}
+
+
+def test_quoted_fields_and_each_files_header(spark, tmp_dir):
+    import os
+    from blocklens.sources.labels import labels_lookup, load_labels_with_order
+    for name, rows in (("a.csv", ['b1,"x, y",Normal', "b2,z,Normal"]), ("b.csv", ["b1,w,Anomaly"])):
+        with open(os.path.join(tmp_dir, name), "w") as f:
+            f.write("\n".join([" BlockId,note,Label ", *rows]) + "\n")
+    rows = load_labels_with_order(spark, tmp_dir)
+    assert rows.count() == 3
+    got = {r.block_id: r.label for r in labels_lookup(rows, "row_order").collect()}
+    assert got == {"b1": "Anomaly", "b2": "Normal"}
