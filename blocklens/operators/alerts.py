@@ -67,7 +67,7 @@ def top_alerts(table: DataFrame, k: int, score_col: str = "norm_score",
 def block_detail(preds: DataFrame, model: str, sequences: DataFrame) -> DataFrame:
     """Per block the raw score, class, ground truth, correct flag (P11),
     event chain (L5) and explanation when the model gives one."""
-    score_col = S.SCORE_COLUMNS[model]
+    score_col = S.MODEL_SCORES[model][0]
     raw = F.col(score_col)
     if dict(preds.dtypes)[score_col] != "string":
         raw = F.format_string("%.6f", raw)

@@ -9,15 +9,14 @@ are ignored and absent counts are 0.
 
 from __future__ import annotations
 
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from blocklens.operators.ordinals import dense_ordinal
 
 FEATURE_PREFIX = "E"
-# Above this width the wide (one column per event) form is refused and the
-# sparse vector form must be used instead.
-MAX_WIDE_FEATURES = 2048
 
 
 def block_event_counts(block_events: DataFrame) -> DataFrame:
@@ -50,21 +49,36 @@ def count_matrix_long(counts: DataFrame, split_ids: DataFrame,
         "block_id", "split", "label", "feature_index", "feature_name", "n")
 
 
-def vocabulary_names(vocabulary: DataFrame, limit: int = MAX_WIDE_FEATURES) -> list[str]:
-    """Feature names in order -- a bounded collect (refused above ``limit``)."""
-    rows = vocabulary.orderBy("feature_index").select("feature_name").limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"vocabulary wider than {limit}; use the sparse vector form")
-    return [r[0] for r in rows]
+def sparse_counts(long_counts: DataFrame, split_ids: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """G3 for the detectors, at any width: ``(block_id, split, label, features)``.
+
+    ``features`` has the layout of a sparse ML vector (type, size, indices,
+    values), built from the counts; written as Parquet and read with
+    :func:`vector_schema` it is one, with no Python in between.  Every block of
+    ``split_ids`` appears.  A block's entries are its distinct events.
+    """
+    width = vocabulary.agg(F.count(F.lit(1)).cast("int").alias("width"))
+    entry = F.struct((F.col("feature_index") - 1).alias("i"), F.col("n").cast("double").alias("v"))
+    own = long_counts.groupBy("block_id").agg(F.array_sort(F.collect_list(entry)).alias("e"))
+    full = split_ids.select("block_id", "split", "label").join(own, "block_id", "left") \
+        .crossJoin(F.broadcast(width))                          # one row
+    entries = F.coalesce("e", F.array().cast("array<struct<i:int,v:double>>"))
+    return full.select("block_id", "split", "label", F.struct(
+        F.lit(0).cast("byte").alias("type"), F.col("width").alias("size"),
+        F.transform(entries, lambda x: x["i"]).alias("indices"),
+        F.transform(entries, lambda x: x["v"]).alias("values")).alias("features"))
+
+
+def vector_schema() -> T.StructType:
+    return T.StructType([T.StructField("block_id", T.StringType()), T.StructField("split", T.StringType()),
+                         T.StructField("label", T.StringType()),
+                         T.StructField("features", VectorUDT())])
 
 
 def count_matrix_wide(long_counts: DataFrame, split_ids: DataFrame,
                       names: list[str]) -> DataFrame:
-    """G3 wide form: ``block_id, split, label, E<id>...`` (0 where absent).
-
-    Every block of ``split_ids`` appears, also those without any vocabulary
-    event.  The pivot values are given, so no extra job discovers them.
-    """
+    """G3 wide form, an export: ``block_id, split, label`` and one column for each
+    of ``names`` (0 where absent).  Every block of ``split_ids`` appears."""
     wide = long_counts.groupBy("block_id").pivot("feature_name", names).agg(F.sum("n"))
     full = split_ids.select("block_id", "split", "label").join(wide, "block_id", "left")
     return full.select("block_id", "split", "label",
@@ -81,22 +95,3 @@ def class_weights(split_ids: DataFrame, split: str = "train") -> DataFrame:
     return counts.select(
         "label", "n_c",
         (F.sum("n_c").over(w) / (F.count(F.lit(1)).over(w) * F.col("n_c"))).alias("weight"))
-
-
-def count_vectors(seqs: DataFrame, split_ids: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """G3 vector form for any vocabulary width: ``(block_id, split, label,
-    features)`` with a sparse count vector in vocabulary order.
-
-    ``CountVectorizerModel.from_vocabulary`` counts the block's event tokens
-    JVM-side and drops tokens outside the training vocabulary.  The vocabulary
-    list lives in the model (one entry per template).
-    """
-    from pyspark.ml.feature import CountVectorizerModel
-    names = [r[0] for r in vocabulary.orderBy("feature_index").select("event_id").collect()]
-    model = CountVectorizerModel.from_vocabulary(
-        [str(n) for n in names], inputCol="_tokens", outputCol="features")
-    tokens = seqs.select("block_id", F.transform("events", lambda x: x.cast("string"))
-                         .alias("_tokens"))
-    keyed = split_ids.select("block_id", "split", "label").join(tokens, "block_id", "left") \
-        .withColumn("_tokens", F.coalesce("_tokens", F.array().cast("array<string>")))
-    return model.transform(keyed).drop("_tokens")

@@ -20,7 +20,9 @@ from blocklens.operators.features import class_weights
 
 SEED = 42
 # Library-default forest: 100 trees, sqrt(features) per split, Gini, bootstrap.
-# Spark caps depth at 30; bins are raised so integer counts split exactly.
+# Spark's own ceiling for depth is 30.  ``maxBins`` bounds the split candidates of
+# one feature: counts with up to that many distinct values split exactly, wider
+# ones at that many quantiles (pass a larger value for exact splits there).
 # Execution settings: bigger node batches mean fewer passes over the data;
 # cached node ids (checkpointed every 10 iterations into the shared folder)
 # keep deep trees from recomputing their path for every row.
@@ -32,7 +34,7 @@ RF_PARAMS = dict(numTrees=100, maxDepth=30, maxBins=256, featureSubsetStrategy="
 def assemble(wide: DataFrame, feature_names: list[str] | None) -> DataFrame:
     """Wide count columns -> one ``features`` vector (JVM-side).  With
     ``feature_names=None`` the frame already carries ``features`` (the sparse
-    vector form of :func:`blocklens.operators.features.count_vectors`)."""
+    vector form of :func:`blocklens.operators.features.sparse_counts`)."""
     if feature_names is None:
         return wide
     va = VectorAssembler(inputCols=feature_names, outputCol="features", handleInvalid="keep")
@@ -43,7 +45,7 @@ def _label_index(label: F.Column) -> F.Column:
     return F.when(label == "Anomaly", F.lit(0.0)).otherwise(F.lit(1.0))
 
 
-def train_random_forest(wide: DataFrame, feature_names: list[str],
+def train_random_forest(wide: DataFrame, feature_names: list[str] | None,
                         split: str = "train", **overrides) -> RandomForestClassificationModel:
     """D3: fit on the training split (Normal and Anomaly) with D4 weights."""
     part = wide.where(F.col("split") == split)
@@ -100,3 +102,11 @@ def describe_trees(spark: SparkSession, model: RandomForestClassificationModel)
     """Per-tree size summary of a fitted forest."""
     rows = [(i, t.numNodes, t.depth) for i, t in enumerate(model.trees)]
     return spark.createDataFrame(rows, "tree_id int, n_nodes int, depth int")
+
+
+def stored_forest(store, name: str, vectors: DataFrame) -> RandomForestClassificationModel:
+    """The forest saved in ``store`` under ``name``, fitted first if it is not there."""
+    path = store.path(name)
+    if not store.exists(name + "/metadata") or not store.exists(name + "/treesMetadata"):
+        train_random_forest(vectors, None).write().overwrite().save(path)
+    return RandomForestClassificationModel.load(path)

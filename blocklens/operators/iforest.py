@@ -208,9 +208,9 @@ class _Forest:
         return 0.5 - np.power(2.0, -mean_h / self.c_psi)
 
 
-def score_isolation_forest(spark: SparkSession, nodes: DataFrame, psi: int, wide: DataFrame,
-                           feature_names: list[str], split: str | None = "test") -> DataFrame:
-    """``(block_id, score, classification, label)``; score = decision."""
+def forest_scorer(spark: SparkSession, nodes: DataFrame, psi: int):
+    """``features array<double> -> decision score``; the trees are broadcast once,
+    and every use of the returned function shares them."""
     from blocklens.session import ship_package
     ship_package(spark)                 # workers unpickle the model class
     nodes_pdf = nodes.toPandas()      # bounded: <= T x (2 psi - 1) rows
@@ -221,12 +221,29 @@ def score_isolation_forest(spark: SparkSession, nodes: DataFrame, psi: int, wide
         x = np.vstack(features.to_numpy()).astype(float) if len(features) else \
             np.zeros((0, 1))
         return pd.Series(bc.value.decision(x))
+    return decision
+
+
+def class_of_score(score: F.Column) -> F.Column:
+    return F.when(score < 0, F.lit("Anomaly")).otherwise(F.lit("Normal"))
 
+
+def score_isolation_forest(spark: SparkSession, nodes: DataFrame, psi: int, wide: DataFrame,
+                           feature_names: list[str] | None, split: str | None = "test") -> DataFrame:
+    """``(block_id, score, classification, label)``; score = decision."""
+    decision = forest_scorer(spark, nodes, psi)
     part = wide if split is None else wide.where(F.col("split") == split)
     scored = part.select("block_id", "label",
                          decision(features_array(wide, feature_names)).alias("score"))
-    return scored.select(
-        "block_id", "score",
-        F.when(F.col("score") < 0, F.lit("Anomaly")).otherwise(F.lit("Normal"))
-        .alias("classification"),
-        "label")
+    return scored.select("block_id", "score", class_of_score(F.col("score")).alias("classification"),
+                         "label")
+
+
+def stored_isolation_forest(store, name: str, vectors: DataFrame) -> tuple[DataFrame, int]:
+    """``(nodes, psi)`` saved in ``store`` under ``name``, trained first if they are
+    not there; psi stands beside the nodes."""
+    def build():
+        nodes, psi = train_isolation_forest(store.spark, vectors, None)
+        return nodes.withColumn("psi", F.lit(psi))
+    saved = store.materialize(name, build)
+    return saved.drop("psi"), saved.select("psi").first()[0]

@@ -5,9 +5,8 @@ the lines to their *distinct* masks with a partial (map-side) aggregation, and
 only then run anything order-dependent.  Two miners share that front end:
 
 * :func:`mask_templates` -- the masked string itself is the template (T3).
-* :func:`drain_templates` -- Drain clustering (fixed-depth prefix tree,
-  similarity threshold) over the distinct masks, one ``applyInPandas`` group
-  per (token count, first-token key) bucket (T2).
+* :func:`mined_masks` -- masks grouped by token count and first token; a token
+  that too few masks of the group share becomes a wildcard (T2).
 
 Event ids are the rank of the template's first line (``first_line_id``),
 computed with :func:`blocklens.operators.ordinals.dense_ordinal`.  Lines get
@@ -17,19 +16,15 @@ and AQE turns the join into a broadcast from its measured size.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blocklens.functions import parsing as P
 from blocklens.operators.ordinals import dense_ordinal
 
-# --- fixed values: Drain defaults the miner runs with ------------------------
-DRAIN_SIM_THRESHOLD = 0.4
-DRAIN_DEPTH = 4            # root + token-count layer + (depth - 2) token layers
-DRAIN_MAX_CHILDREN = 100
-# -----------------------------------------------------------------------------
+# --- fixed values: the miner's defaults ---------------------------------------
+SHARE_THRESHOLD = 0.4
+# ------------------------------------------------------------------------------
 
 
 def with_masks(parsed: DataFrame, masks=P.MASKS) -> DataFrame:
@@ -69,267 +64,62 @@ def assign_events(masked: DataFrame, mask_to_event: DataFrame) -> DataFrame:
 
 
 # ----------------------------------------------------------------------------
-# Drain over distinct masks
+# Mined templates over distinct masks
 # ----------------------------------------------------------------------------
 
-_BUCKET_SCHEMA = ("template string, occurrences long, cluster_first_line long, "
-                  "cluster_template string")
 
+def _token_groups(masks: DataFrame) -> DataFrame:
+    """Distinct masks with their tokens and group: the token count and the first
+    token (one wildcard group for first tokens that hold a digit)."""
+    toks = F.when(F.col("template") == "", F.array().cast("array<string>")) \
+        .otherwise(F.split("template", " "))
+    first = F.coalesce(F.try_element_at(toks, F.lit(1)), F.lit(""))
+    key = F.when(first.rlike(P.java_regex(r"\d")), F.lit(P.WILDCARD)).otherwise(first)
+    return masks.select("template", "first_line_id", "occurrences", toks.alias("tokens"),
+                        F.size(toks).alias("n_tokens"), key.alias("first_token"))
 
-def _drain_bucket(sim_th: float, wildcard: str):
-    """Sequential Drain over one prefix-tree leaf (all masks have the same
-    token count).  Cluster templates are rows of a token-id matrix, so each
-    message is compared with every cluster of the leaf in one NumPy step:
-    similarity = equal non-wildcard tokens / length, ties broken by more
-    wildcards, then by the older cluster."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("first_line_id", kind="mergesort")
-        templates = pdf["template"].tolist()
-        n_tok = len(templates[0].split(" ")) if templates and templates[0] else 0
-        vocab: dict[str, int] = {}
-        wild = -1
-        cap = 16
-        mat = np.empty((cap, max(n_tok, 1)), dtype=np.int64)
-        first_lines: list[int] = []
-        n_clusters = 0
-        members: list[int] = []
-        for tmpl, first in zip(templates, pdf["first_line_id"]):
-            if n_tok == 0:
-                ids = np.zeros(1, dtype=np.int64)
-            else:
-                ids = np.fromiter((vocab.setdefault(t, len(vocab)) for t in tmpl.split(" ")),
-                                  dtype=np.int64, count=n_tok)
-            best = -1
-            if n_clusters:
-                c = mat[:n_clusters]
-                if n_tok == 0:
-                    best = 0
-                else:
-                    params = (c == wild).sum(axis=1)
-                    same = ((c == ids) & (c != wild)).sum(axis=1)
-                    score = same * (n_tok + 1) + params
-                    cand = int(np.argmax(score))
-                    if same[cand] / n_tok >= sim_th:
-                        best = cand
-            if best >= 0:
-                row = mat[best]
-                row[row != ids] = wild
-                members.append(best)
-            else:
-                if n_clusters == cap:
-                    cap *= 2
-                    grown = np.empty((cap, mat.shape[1]), dtype=np.int64)
-                    grown[:n_clusters] = mat[:n_clusters]
-                    mat = grown
-                mat[n_clusters] = ids
-                first_lines.append(int(first))
-                members.append(n_clusters)
-                n_clusters += 1
-        words = {v: k for k, v in vocab.items()}
-        words[wild] = wildcard
 
-        def text(ci: int) -> str:
-            return "" if n_tok == 0 else " ".join(words[int(t)] for t in mat[ci])
-        texts = [text(ci) for ci in range(n_clusters)]
-        return pd.DataFrame({
-            "template": pdf["template"].to_numpy(),
-            "occurrences": pdf["occurrences"].to_numpy(),
-            "cluster_first_line": [first_lines[m] for m in members],
-            "cluster_template": [texts[m] for m in members],
-        })
-    return run
+def mined_masks(masked: DataFrame, share: float = SHARE_THRESHOLD) -> DataFrame:
+    """``(template, first_line_id, occurrences, event_template)`` for every
+    distinct mask.
 
-
-def drain_buckets(masks: DataFrame, max_children: int = DRAIN_MAX_CHILDREN) -> DataFrame:
-    """Route every distinct mask to its prefix-tree leaf.
-
-    The leaf is (token count, first token); a first token containing a digit,
-    or one that arrives after the token-count node is full, goes to the
-    wildcard child.  Only ``max_children - 2`` literal children fit (one slot
-    is kept for the wildcard), decided by first appearance.
+    Masks of a group agree on their fixed words and differ in their variables.
+    A token stays where at least ``share`` of its group's masks have it at that
+    place, and is a wildcard elsewhere.  Counts are partial aggregates over the
+    long form (group, place, token); no group meets in one task.
     """
-    toks = F.split(F.col("template"), " ")
-    staged = masks.select(
-        "*",
-        F.when(F.col("template") == "", F.lit(0)).otherwise(F.size(toks)).alias("n_tokens"),
-        F.when(F.col("template") == "", F.lit("")).otherwise(toks[0]).alias("first_token"),
-    )
-    literal = staged.where(~F.col("first_token").rlike(P.java_regex(r"\d")))
-    firsts = literal.groupBy("n_tokens", "first_token").agg(F.min("first_line_id").alias("_f"))
-    w = Window.partitionBy("n_tokens").orderBy("_f")
-    kept = (firsts.withColumn("_r", F.row_number().over(w))
-            .where(F.col("_r") <= max_children - 2)       # WindowGroupLimit: top-k pre-shuffle
-            .select("n_tokens", "first_token", F.lit(True).alias("_own")))
-    routed = staged.join(kept, ["n_tokens", "first_token"], "left")
-    key = F.when(F.col("n_tokens") <= 1, F.lit("")) \
-        .when(F.col("_own"), F.col("first_token")).otherwise(F.lit(P.WILDCARD))
-    return routed.select("template", "first_line_id", "occurrences", "n_tokens",
-                         key.alias("bucket"))
-
-
-def _has_digit(token: str) -> bool:
-    return any(ch.isdigit() for ch in token)
-
-
-def _drain_length_group(sim_th: float, wildcard: str, max_children: int):
-    """Exact-tree variant: every distinct mask of one token count, in
-    first-appearance order, through the full first-token layer of the tree
-    (literal children up to the children limit, the wildcard child for digit
-    tokens and overflow, wildcard fallback when a literal child is missing)."""
-    def one_group(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("first_line_id", kind="mergesort")
-        templates = pdf["template"].tolist()
-        n_tok = len(templates[0].split(" ")) if templates and templates[0] else 0
-        vocab: dict[str, int] = {}
-        wild = -1
-        mat = np.empty((max(len(templates), 1), max(n_tok, 1)), dtype=np.int64)
-        first_lines: list[int] = []
-        children: dict[str, list[int]] = {}
-        length_node: list[int] = []
-        members: list[int] = []
-        for tmpl, first in zip(templates, pdf["first_line_id"]):
-            toks = tmpl.split(" ") if tmpl else []
-            ids = (np.fromiter((vocab.setdefault(t, len(vocab)) for t in toks),
-                               dtype=np.int64, count=n_tok) if n_tok else
-                   np.zeros(1, dtype=np.int64))
-            if n_tok <= 1:
-                leaf = length_node
-            else:
-                leaf = children.get(toks[0], children.get(wildcard))
-            best = -1
-            if leaf:
-                if n_tok == 0:
-                    best = leaf[0]
-                else:
-                    idx = np.asarray(leaf)
-                    c = mat[idx]
-                    params = (c == wild).sum(axis=1)
-                    same = ((c == ids) & (c != wild)).sum(axis=1)
-                    cand = int(np.argmax(same * (n_tok + 1) + params))
-                    if same[cand] / n_tok >= sim_th:
-                        best = int(idx[cand])
-            if best >= 0:
-                row = mat[best]
-                row[row != ids] = wild
-                members.append(best)
-                continue
-            ci = len(first_lines)
-            mat[ci] = ids
-            first_lines.append(int(first))
-            members.append(ci)
-            if n_tok <= 1:
-                length_node.append(ci)
-                continue
-            t = toks[0]
-            if t in children:
-                children[t].append(ci)
-            elif _has_digit(t):
-                children.setdefault(wildcard, []).append(ci)
-            elif wildcard in children:
-                if len(children) < max_children:
-                    children[t] = [ci]
-                else:
-                    children[wildcard].append(ci)
-            elif len(children) + 1 < max_children:
-                children[t] = [ci]
-            else:
-                children[wildcard] = [ci]
-        words = {v: k for k, v in vocab.items()}
-        words[wild] = wildcard
-        texts = ["" if n_tok == 0 else " ".join(words[int(t)] for t in mat[ci])
-                 for ci in range(len(first_lines))]
-        return pd.DataFrame({
-            "template": pdf["template"].to_numpy(),
-            "occurrences": pdf["occurrences"].to_numpy(),
-            "cluster_first_line": [first_lines[m] for m in members],
-            "cluster_template": [texts[m] for m in members],
-        })
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [one_group(g) for _, g in pdf.groupby("n_tokens", sort=False)]
-        if not parts:
-            return pd.DataFrame({"template": [], "occurrences": [], "cluster_first_line": [],
-                                 "cluster_template": []})
-        return pd.concat(parts, ignore_index=True)
-    return run
-
-
-# distinct masks per Python call (leaves are packed into groups of about this size)
-DRAIN_MASKS_PER_GROUP = 20000
-
-
-def _drain_leaves(sim_th: float, wildcard: str):
-    """Run every leaf packed into one group, each leaf whole and in order."""
-    leaf = _drain_bucket(sim_th, wildcard)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [leaf(g) for _, g in pdf.groupby(["n_tokens", "bucket"], sort=False)]
-        if not parts:
-            return pd.DataFrame({"template": [], "occurrences": [], "cluster_first_line": [],
-                                 "cluster_template": []})
-        return pd.concat(parts, ignore_index=True)
-    return run
-
-
-def drain_clusters(masked: DataFrame, sim_th: float = DRAIN_SIM_THRESHOLD,
-                   max_children: int = DRAIN_MAX_CHILDREN, exact_tree: bool = False
-                   ) -> DataFrame:
-    """T2, clustering step: one row per distinct mask with its cluster
-    (identified by the first line of the mask that opened it) and the
-    cluster's final template.  Written once; templates and the mask mapping
-    are derived from it by :func:`drain_from_clusters`.
-
-    Leaves are independent, so they are hashed into groups of roughly
-    ``DRAIN_MASKS_PER_GROUP`` distinct masks (at least 64 groups): one Python
-    call handles many small leaves, and only a leaf itself is sequential.
-
-    ``exact_tree=True`` runs each token-count group through the full
-    first-token layer instead (children limit and wildcard fallback exactly
-    as the online tree); the sequential unit is then the whole token-count
-    group, so use it where the distinct masks per length are few (logs).
+    grouped = _token_groups(distinct_masks(masked))
+    group = ["n_tokens", "first_token"]
+    sizes = grouped.groupBy(*group).agg(F.count(F.lit(1)).alias("n_masks"))
+    long = grouped.select("template", *group, F.posexplode("tokens").alias("place", "token"))
+    counts = long.groupBy(*group, "place", "token").agg(F.count(F.lit(1)).alias("n"))
+    fixed = counts.join(sizes, group).where(F.col("n") >= F.lit(share) * F.col("n_masks")) \
+        .select(*group, "place", "token", F.lit(True).alias("fixed"))
+    kept = long.join(fixed, [*group, "place", "token"], "left").groupBy("template").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(
+            "place", F.when(F.col("fixed"), F.col("token")).otherwise(F.lit(P.WILDCARD))
+            .alias("word")))), lambda x: x["word"]), " ").alias("event_template"))
+    return grouped.select("template", "first_line_id", "occurrences").join(
+        kept, "template", "left").withColumn(
+        "event_template", F.coalesce("event_template", F.lit("")))
+
+
+def mined_from_masks(mined: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(templates, mask_to_event)`` from (staged) :func:`mined_masks`.
+
+    templates = (event_id, event_template, occurrences, first_line_id), ids by
+    first appearance; mask_to_event = (template, event_id, event_template).
     """
-    from blocklens.session import ship_package
-    ship_package(masked.sparkSession)
-    routed = drain_buckets(distinct_masks(masked), max_children)
-    n_masks = routed.count()                       # one number
-    n_groups = max(64, -(-n_masks // DRAIN_MASKS_PER_GROUP))
-    if exact_tree:
-        group = F.pmod(F.xxhash64("n_tokens"), F.lit(n_groups))
-        body = _drain_length_group(sim_th, P.WILDCARD, max_children)
-    else:
-        group = F.pmod(F.xxhash64("n_tokens", "bucket"), F.lit(n_groups))
-        body = _drain_leaves(sim_th, P.WILDCARD)
-    return routed.groupBy(group.alias("_g")).applyInPandas(body, schema=_BUCKET_SCHEMA)
-
-
-def drain_from_clusters(clustered: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(templates, mask_to_event)`` from the clustering step.
-
-    templates = (event_id, event_template, occurrences, first_line_id);
-    mask_to_event = (template, event_id, event_template).
-    """
-    per_cluster = clustered.groupBy("cluster_first_line").agg(
-        F.first("cluster_template").alias("event_template"),
-        F.sum("occurrences").alias("occurrences"))
-    ranked = dense_ordinal(per_cluster, ["cluster_first_line"], "event_id")
-    templates = ranked.select(
-        F.col("event_id").cast("int"), "event_template", "occurrences",
-        F.col("cluster_first_line").alias("first_line_id"))
-    mask_to_event = clustered.join(
-        templates.select(F.col("first_line_id").alias("cluster_first_line"), "event_id",
-                         "event_template"),
-        "cluster_first_line").select("template", "event_id", "event_template")
+    per = mined.groupBy("event_template").agg(F.min("first_line_id").alias("first_line_id"),
+                                              F.sum("occurrences").alias("occurrences"))
+    templates = dense_ordinal(per, ["first_line_id"], "event_id").select(
+        F.col("event_id").cast("int"), "event_template", "occurrences", "first_line_id")
+    mask_to_event = mined.select("template", "event_template").join(
+        templates.select("event_template", "event_id"), "event_template").select(
+        "template", "event_id", "event_template")
     return templates, mask_to_event
 
 
-def drain_templates(masked: DataFrame, sim_th: float = DRAIN_SIM_THRESHOLD,
-                    max_children: int = DRAIN_MAX_CHILDREN, exact_tree: bool = False
-                    ) -> tuple[DataFrame, DataFrame]:
-    """T2 in one call (the clustering is re-run by each consumer; stage it
-    with :func:`drain_clusters` when both outputs are used)."""
-    return drain_from_clusters(drain_clusters(masked, sim_th, max_children, exact_tree))
-
-
 def mask_to_event_from(templates: DataFrame) -> DataFrame:
     """Mapping table for T3 templates (the mask *is* the template)."""
     return templates.select(F.col("event_template").alias("template"), "event_id",

@@ -1,34 +1,28 @@
-"""Text-model detector: prompt -> answer -> class, with retries.
-
-The model is a pluggable *backend*: ``backend(prompts: pd.Series, temperature:
-float) -> pd.Series`` of raw answers.  Classification runs in ``mapInPandas``:
-each Arrow batch is sent to the backend at the first temperature, answers are
-parsed, and only the rows still unresolved are sent again at the next
-temperature -- so every row costs at most three backend calls, all inside one
-task, and the batch size bounds the memory.  Parsing is a small per-row helper
-(strict JSON, as a model answer must be checked exactly).
-
-:func:`rule_backend` is a deterministic built-in backend (no network); it is
-what the registered queries and tests use.
+"""Text-model detector: prompt -> answer -> class, with retries.
+
+The model is the caller's *backend*: ``backend(prompt: Column, temperature) ->
+Column`` of raw answers (an Arrow-batched function that calls a service, or a
+lookup).  Answers are parsed by JVM expressions.  Every attempt is a stage of
+its own: its answers are written once, and only the blocks still without a
+class are asked again at the next temperature.
+
+Answers that were recorded before (block, attempt, text) need no backend:
+:func:`classify_recorded` settles them in one aggregation.
 """
 
 from __future__ import annotations
 
-import json
-import re
 import time
 from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blocklens.functions.text import format_prompt
+from blocklens.functions.text import answer_fields, format_prompt
+from blocklens.session import scratch_path
 
 # --- fixed values -------------------------------------------------------------
 TEMPERATURES = (0.0, 0.3, 0.5)
-NORMAL_SPELLINGS = ("NORMAL",)
-ANOMALY_SPELLINGS = ("ANOMALO", "ANÔMALO", "ANOMALY")
 # -----------------------------------------------------------------------------
 
 # Our own prompt wording (the single slot is filled with the text sequence).
@@ -41,91 +35,10 @@ PROMPT_TEMPLATE = (
     "Sequence:\n{sequence}\n"
 )
 
-Backend = Callable[[pd.Series, float], pd.Series]
-
-_OBJECT = re.compile(r"\{.*\}", re.DOTALL)
-
-
-def extract_json(raw) -> dict | None:
-    """the text from the first '{' to the last '}' must be one JSON
-    object; keys are trimmed and lower-cased (a later key wins) and
-    ``classification`` must be present."""
-    if not isinstance(raw, str):
-        return None
-    m = _OBJECT.search(raw)
-    if not m:
-        return None
-    try:
-        data = json.loads(m.group(0))
-    except json.JSONDecodeError:
-        return None
-    if not isinstance(data, dict):
-        return None
-    norm = {str(k).strip().lower(): v for k, v in data.items()}
-    return norm if "classification" in norm else None
-
-
-def normalize_class(value) -> str | None:
-    """F12 for a parsed value: only strings count."""
-    if not isinstance(value, str):
-        return None
-    v = value.strip().upper()
-    if v in NORMAL_SPELLINGS:
-        return "Normal"
-    if v in ANOMALY_SPELLINGS:
-        return "Anomaly"
-    return None
-
-
-def _as_text(v) -> str | None:
-    if v is None:
-        return None
-    return v if isinstance(v, str) else json.dumps(v)
-
-
-OUTPUT_SCHEMA = ("block_id string, classification string, confidence string, "
-                 "explanation string, attempts int, parse_failed boolean, label string, "
-                 "inference_time_sec double")
-
-
-def classify_batches(backend: Backend, temperatures=TEMPERATURES):
-    """The ``mapInPandas`` body: (block_id, prompt, label) -> predictions."""
-    def run(batches):
-        for pdf in batches:
-            n = len(pdf)
-            cls = [None] * n
-            conf = [None] * n
-            expl = [None] * n
-            attempts = [len(temperatures)] * n
-            spent = [0.0] * n
-            todo = list(range(n))
-            for k, temp in enumerate(temperatures, start=1):
-                if not todo:
-                    break
-                t0 = time.perf_counter()
-                answers = backend(pdf["prompt"].iloc[todo].reset_index(drop=True), temp)
-                per_row = (time.perf_counter() - t0) / len(todo)
-                left = []
-                for pos, ans in zip(todo, answers):
-                    spent[pos] += per_row
-                    parsed = extract_json(ans)
-                    c = normalize_class(parsed.get("classification")) if parsed else None
-                    if c is None:
-                        left.append(pos)
-                        continue
-                    cls[pos], attempts[pos] = c, k
-                    conf[pos] = _as_text(parsed.get("confidence"))
-                    expl[pos] = _as_text(parsed.get("explanation"))
-                todo = left
-            yield pd.DataFrame({
-                "block_id": pdf["block_id"].to_numpy(),
-                "classification": cls, "confidence": conf, "explanation": expl,
-                "attempts": pd.Series(attempts, dtype="int32"),
-                "parse_failed": pd.Series([c is None for c in cls], dtype="bool"),
-                "label": pdf["label"].to_numpy(),
-                "inference_time_sec": spent,
-            })
-    return run
+Backend = Callable[[Column, float], Column]
+
+RESULT = ("block_id", "classification", "confidence", "explanation", "attempts", "parse_failed",
+          "label", "inference_time_sec")
 
 
 def build_prompts(texts: DataFrame, template: str = PROMPT_TEMPLATE) -> DataFrame:
@@ -136,62 +49,51 @@ def build_prompts(texts: DataFrame, template: str = PROMPT_TEMPLATE) -> DataFram
 
 def classify(texts: DataFrame, backend: Backend, template: str = PROMPT_TEMPLATE,
              temperatures=TEMPERATURES) -> DataFrame:
-    """Classify every row of ``(block_id, text_sequence, label)``."""
-    from blocklens.session import ship_package
-    ship_package(texts.sparkSession)
-    prompts = build_prompts(texts, template)
-    return prompts.mapInPandas(classify_batches(backend, temperatures), OUTPUT_SCHEMA)
+    """Classify every row of ``(block_id, text_sequence, label)``.
+
+    ``inference_time_sec`` is the time of the attempts that a block took part
+    in, shared evenly among the blocks of each.
+    """
+    spark = texts.sparkSession
+    left = build_prompts(texts, template).withColumn("spent", F.lit(0.0))
+    out = None
+    for k, temperature in enumerate(temperatures, start=1):
+        path, began = scratch_path(spark, f"answers-{k}"), time.perf_counter()
+        left.withColumn("raw_answer", backend(F.col("prompt"), temperature)).write.parquet(path)
+        asked = spark.read.parquet(path)
+        share = (time.perf_counter() - began) / max(1, asked.count())
+        asked = asked.withColumn("spent", F.col("spent") + F.lit(share)).withColumn(
+            "a", answer_fields(F.col("raw_answer")))
+        last = k == len(temperatures)
+        done = asked if last else asked.where("a.classification is not null")
+        found = F.col("a.classification").isNotNull()
+        part = done.select(
+            "block_id", "a.classification", F.when(found, F.col("a.confidence")).alias("confidence"),
+            F.when(found, F.col("a.explanation")).alias("explanation"),
+            F.lit(k).alias("attempts"), (~found).alias("parse_failed"), "label",
+            F.col("spent").alias("inference_time_sec"))
+        out = part if out is None else out.unionByName(part)
+        left = asked.where("a.classification is null").drop("raw_answer", "a")
+    return out
+
+
+def classify_recorded(blocks: DataFrame, answers: DataFrame,
+                      attempts: int = len(TEMPERATURES)) -> DataFrame:
+    """D7 over recorded answers ``(block_id, attempt, raw_answer)``: a block's
+    class is that of its first attempt with one, else it counts as failed.
+    ``blocks`` is (block_id, label)."""
+    parsed = answers.where(F.col("attempt") <= attempts).select(
+        "block_id", "attempt", answer_fields(F.col("raw_answer")).alias("a"))
+    first = parsed.where("a.classification is not null").groupBy("block_id").agg(
+        F.min_by(F.struct("attempt", "a.classification", "a.confidence", "a.explanation"),
+                 "attempt").alias("f"))
+    return blocks.select("block_id", "label").join(first, "block_id", "left").select(
+        "block_id", "f.classification", "f.confidence", "f.explanation",
+        F.coalesce("f.attempt", F.lit(attempts)).alias("attempts"),
+        F.col("f.classification").isNull().alias("parse_failed"), "label")
 
 
 def failure_count(preds: DataFrame) -> DataFrame:
     """D9."""
     return preds.agg(F.count_if("parse_failed").alias("n_parse_failed"),
                      F.count(F.lit(1)).alias("n_total"))
-
-
-# --- built-in deterministic backend ------------------------------------------
-
-RULE_EXCEPTION_TOKEN = "<EXCEPTION_DETAIL>"
-RULE_LIMITS = (6, 12, 20)     # event count above which attempt 1/2/3 misfires
-
-
-def rule_backend(prompts: pd.Series, temperature: float) -> pd.Series:
-    """A stand-in model with model-like answer shapes.
-
-    A sequence holding an exception template is an anomaly.  Answers get
-    messier for longer sequences: at 0.0 prose without JSON above 6 events, at
-    0.3 single-quoted pseudo-JSON above 12, at 0.5 an unknown class above 20
-    (so those rows end as parse failures).
-    """
-    step = TEMPERATURES.index(temperature) if temperature in TEMPERATURES else 2
-    limit = RULE_LIMITS[step]
-    out = []
-    for p in prompts:
-        n = p.count("\nEvent ")
-        bad = RULE_EXCEPTION_TOKEN in p
-        if n > limit:
-            out.append(("I cannot tell from this sequence.",
-                        "{'classification': 'NORMAL'}",
-                        '{"classification": "anomalous", "confidence": 0.5}')[step])
-            continue
-        word = "ANOMALY" if bad else "NORMAL"
-        if step == 0:
-            conf = '"90%"' if bad else "0.8"
-            out.append(f'Answer: {{"classification": "{word}", "confidence": {conf}, '
-                       f'"explanation": "first look"}} -- done')
-        elif step == 1:
-            out.append(f'```json\n{{"Classification ": " {word.lower()} ", '
-                       f'"confidence": "85%", "explanation": "second look"}}\n```')
-        else:
-            conf = "0.7" if bad else "0.6"
-            out.append(f'{{"classification": "{word}", "confidence": {conf}, '
-                       f'"explanation": "third look"}}')
-    return pd.Series(out, dtype="object")
-
-
-def answer_udf(backend: Backend, temperature: float):
-    """The backend as an Arrow-batched column function (one answer per prompt)."""
-    @F.pandas_udf("string")
-    def answer(prompts: pd.Series) -> pd.Series:
-        return backend(prompts, temperature)
-    return answer

@@ -35,6 +35,8 @@ def registry() -> dict[str, Query]:
 
 
 RAW_HEAD_ROWS = 100
+#: features of the wide export
+EXPORTED_FEATURES = tuple(f"E{i}" for i in range(1, 9))
 
 # --- log lines ---------------------------------------------------------------
 
@@ -232,12 +234,13 @@ def q_count_matrix_long(spark, sf_dir):
 
 @query("count_matrix_wide")
 def q_count_matrix_wide(spark, sf_dir):
-    return LogContext.of(spark, sf_dir).wide_counts()[0]
+    """G3 wide form: the export of a stated list of features."""
+    return LogContext.of(spark, sf_dir).wide_counts(list(EXPORTED_FEATURES))
 
 
 # --- predictions: metrics, scores, alerts, reports -----------------------------
 
-MODELS = ("isolation_forest", "random_forest", "text")
+MODELS = ("isolation_forest", "random_forest", "llm")
 TOP_ALERTS_PER_MODEL = 20
 
 
@@ -269,9 +272,9 @@ def q_metrics_full(spark, sf_dir):
 def q_metrics_sample(spark, sf_dir):
     from blocklens.operators.metrics import evaluate_on_sample
     ids = _pred_sample_ids(spark, sf_dir)
-    text = _preds(spark, sf_dir, "text").join(ids.select("block_id"), "block_id", "left_semi")
+    llm = _preds(spark, sf_dir, "llm").join(ids.select("block_id"), "block_id", "left_semi")
     return evaluate_on_sample({m: _preds(spark, sf_dir, m) for m in MODELS[:2]},
-                              {"text": text}, ids)
+                              {"llm": llm}, ids)
 
 
 @query("crosstab")
@@ -309,7 +312,7 @@ def q_normalize_scores(spark, sf_dir):
 @query("normalize_confidence")
 def q_normalize_confidence(spark, sf_dir):
     from blocklens.functions import scores as S
-    return _preds(spark, sf_dir, "text").select(
+    return _preds(spark, sf_dir, "llm").select(
         "block_id", "confidence", S.normalize_confidence(F.col("confidence")).alias("norm_score"))
 
 
@@ -401,13 +404,63 @@ def q_block_detail(spark, sf_dir):
 
 @query("resume_remaining")
 def q_resume_remaining(spark, sf_dir):
-    """The work list (one block per document) minus the blocks an
-    earlier run already wrote (the text predictions)."""
-    from blocklens.sources import fixtures
+    """The work list (every block of the log) minus the blocks an
+    earlier run already wrote (the language-model predictions)."""
     from blocklens.sources.sinks import remaining_work
-    docs = fixtures.read_table(spark, sf_dir, "documents").select(
-        F.concat(F.lit("blk_"), F.col("doc_id").cast("string")).alias("block_id"))
-    return remaining_work(docs, _preds(spark, sf_dir, "text"))
+    blocks = LogContext.of(spark, sf_dir).parsed.where("block_id is not null").select(
+        "block_id").distinct()
+    return remaining_work(blocks, _preds(spark, sf_dir, "llm"))
+
+
+@query("append_resumed")
+def q_append_resumed(spark, sf_dir):
+    """Sequence lengths computed for a third of the blocks by a first run,
+    then resumed in chunks by a second; read back."""
+    from blocklens.session import scratch_path
+    from blocklens.sources.sinks import append_resumable
+    seqs = LogContext.of(spark, sf_dir).sequences
+    path = scratch_path(spark, "appended")
+    compute = lambda todo: todo.select("block_id", F.size("events").alias("sequence_length"))
+    append_resumable(spark, seqs.where(F.pmod(F.xxhash64("block_id"), F.lit(3)) == 0), path, compute)
+    return append_resumable(spark, seqs, path, compute, chunks=2)
+
+
+@query("write_once_read_back")
+def q_write_once(spark, sf_dir):
+    """The split written once and read back; a second write is refused."""
+    from blocklens.session import scratch_path
+    from blocklens.sources.sinks import write_once
+    path = scratch_path(spark, "once")
+    ids = LogContext.of(spark, sf_dir).split_ids
+    write_once(ids, path)
+    try:
+        write_once(ids.limit(0), path)
+    except FileExistsError:
+        return spark.read.parquet(path).select("block_id", "label", "split")
+    raise AssertionError("a complete output was written over")
+
+
+@query("alerts_json_read_back")
+def q_alerts_json(spark, sf_dir):
+    """Alerts written as JSON lines and read back."""
+    from blocklens.session import scratch_path
+    from blocklens.sources.sinks import write_alerts_json
+    path = scratch_path(spark, "alerts-json")
+    write_alerts_json(_all_alerts(spark, sf_dir), path)
+    back = spark.read.schema("block_id string, classification string, score double, model string, "
+                             "events array<string>, severity string").json(path)
+    return back.select("block_id", "classification", "score", "model",
+                       F.array_join("events", " ").alias("events"), "severity")
+
+
+@query("lookup_blocks")
+def q_lookup_blocks(spark, sf_dir):
+    """The detail rows of the one block that comes first in the log."""
+    from blocklens.operators.alerts import block_detail, lookup_block
+    ctx = LogContext.of(spark, sf_dir)
+    preds = _preds(spark, sf_dir, "random_forest")
+    one = preds.agg(F.min("block_id")).first()[0]
+    return lookup_block(block_detail(preds, "random_forest", ctx.sequences), one or "")
 
 
 # --- template mining and detectors (rows-only checks) ---------------------------
@@ -415,11 +468,25 @@ def q_resume_remaining(spark, sf_dir):
 
 @query("mine_templates")
 def q_mine_templates(spark, sf_dir):
-    """Drain clusters over the distinct masks."""
-    t = LogContext.of(spark, sf_dir, miner="drain").templates
+    """Templates mined from the distinct masks."""
+    t = LogContext.of(spark, sf_dir, miner="mined").templates
     return t.select("event_id", "event_template", "occurrences")
 
 
+@query("mined_events")
+def q_mined_events(spark, sf_dir):
+    """T5 with mined ids: the event of every line."""
+    a = LogContext.of(spark, sf_dir, miner="mined").assigned
+    return a.select("line_id", "block_id", "event_id", "event_template")
+
+
+@query("mined_sequences")
+def q_mined_sequences(spark, sf_dir):
+    """G1 with mined ids: the event sequence of every block."""
+    s = seq_ops.with_sequence_text(LogContext.of(spark, sf_dir, miner="mined").sequences)
+    return s.select("block_id", "event_sequence", "sequence_length")
+
+
 @query("iforest_train")
 def q_iforest_train(spark, sf_dir):
     nodes, _ = LogContext.of(spark, sf_dir).iforest
@@ -431,11 +498,89 @@ def q_iforest_train(spark, sf_dir):
 
 @query("iforest_score")
 def q_iforest_score(spark, sf_dir):
-    from blocklens.operators.iforest import score_isolation_forest
+    return LogContext.of(spark, sf_dir).detector_predictions["isolation_forest"]
+
+
+@query("iforest_facts")
+def q_iforest_facts(spark, sf_dir):
+    """Per tree its sample size and whether its depth keeps the bound."""
+    nodes, psi = LogContext.of(spark, sf_dir).iforest
+    bound = F.ceil(F.log2(F.greatest(F.lit(psi), F.lit(2)).cast("double")))
+    return nodes.groupBy("tree_id").agg(
+        F.max(F.when(F.col("depth") == 0, F.col("n_samples"))).cast("long").alias("n_sampled"),
+        (F.sum(F.when(F.col("feature") < 0, F.col("n_samples"))) == F.lit(psi)).alias("leaves_add_up"),
+        (F.max("depth") <= bound).alias("depth_kept"))
+
+
+def _score_facts(spark, sf_dir, model, score, agrees):
+    """Scored blocks with: does the class follow the score, do equal vectors
+    get equal scores, is there a time per row."""
     ctx = LogContext.of(spark, sf_dir)
-    nodes, psi = ctx.iforest
-    wide, names = ctx.wide
-    return score_isolation_forest(spark, nodes, psi, wide, names)
+    preds = ctx.detector_predictions[model].join(
+        ctx.long_counts.groupBy("block_id").agg(F.xxhash64(F.array_sort(F.collect_list(
+            F.struct("feature_index", "n")))).alias("vector")), "block_id", "left")
+    same = preds.groupBy("vector").agg((F.min(score) == F.max(score)).alias("equal_scores"))
+    return preds.join(same, preds["vector"].eqNullSafe(same["vector"])).select(
+        "block_id", "label", agrees.alias("class_follows"), "equal_scores",
+        (F.col("inference_time_sec") > 0).alias("timed"))
+
+
+@query("iforest_score_facts")
+def q_iforest_score_facts(spark, sf_dir):
+    """D2 over the whole test split."""
+    return _score_facts(spark, sf_dir, "isolation_forest", "score",
+                        (F.col("score") < 0) == (F.col("classification") == "Anomaly"))
+
+
+@query("rf_score_facts")
+def q_rf_score_facts(spark, sf_dir):
+    """D5 over the whole test split (a tie goes to Anomaly)."""
+    return _score_facts(spark, sf_dir, "random_forest", "anomaly_probability",
+                        (F.col("anomaly_probability") >= 0.5) == (F.col("classification") == "Anomaly"))
+
+
+@query("rf_facts")
+def q_rf_facts(spark, sf_dir):
+    """The number of trees, and importances that add up to one over as
+    many features as the vocabulary has."""
+    from blocklens.operators.forest import describe_trees, feature_importances
+    ctx = LogContext.of(spark, sf_dir)
+    trees = describe_trees(spark, ctx.rf_model).agg(F.count(F.lit(1)).alias("n_trees"))
+    every = feature_importances(spark, ctx.rf_model, None, top=None, vocabulary=ctx.vocabulary)
+    sums = every.agg(F.count(F.lit(1)).alias("n_features"),
+                     (F.abs(F.sum("importance") - 1) < 1e-9).alias("adds_up"))
+    return trees.crossJoin(sums)        # one row each
+
+
+@query("detector_alerts")
+def q_detector_alerts(spark, sf_dir):
+    """A3 on the detectors' own predictions, with the blocks' events."""
+    from blocklens.operators.alerts import generate_alerts
+    ctx = LogContext.of(spark, sf_dir)
+    out = None
+    for m, p in ctx.detector_predictions.items():
+        part = generate_alerts(p, m, ctx.sequences)
+        out = part if out is None else out.unionByName(part)
+    return out.select("block_id", "classification", "score", "model",
+                      F.array_join("events", " ").alias("events"), "severity")
+
+
+@query("detector_metrics")
+def q_detector_metrics(spark, sf_dir):
+    """M2 on the detectors' own predictions."""
+    from blocklens.operators.metrics import evaluate_full
+    return evaluate_full(LogContext.of(spark, sf_dir).detector_predictions)
+
+
+@query("detector_crosstab_totals")
+def q_detector_crosstab(spark, sf_dir):
+    """G8 on the detectors' own predictions, summed by label."""
+    from blocklens.operators.metrics import crosstab
+    out = None
+    for m, p in LogContext.of(spark, sf_dir).detector_predictions.items():
+        part = crosstab(p).groupBy("label").agg(F.sum("n").alias("n")).withColumn("model", F.lit(m))
+        out = part if out is None else out.unionByName(part)
+    return out.select("model", "label", "n")
 
 
 @query("rf_train")
@@ -446,18 +591,14 @@ def q_rf_train(spark, sf_dir):
 
 @query("rf_score")
 def q_rf_score(spark, sf_dir):
-    from blocklens.operators.forest import predict_random_forest
-    ctx = LogContext.of(spark, sf_dir)
-    wide, names = ctx.wide
-    return predict_random_forest(ctx.rf_model, wide, names)
+    return LogContext.of(spark, sf_dir).detector_predictions["random_forest"]
 
 
 @query("rf_top_features")
 def q_rf_top_features(spark, sf_dir):
     from blocklens.operators.forest import feature_importances
     ctx = LogContext.of(spark, sf_dir)
-    return feature_importances(spark, ctx.rf_model, ctx.wide[1], top=10,
-                               vocabulary=ctx.vocabulary)
+    return feature_importances(spark, ctx.rf_model, None, top=10, vocabulary=ctx.vocabulary)
 
 
 # --- text-model detector ----------------------------------------------------------
@@ -469,48 +610,97 @@ def q_build_prompts(spark, sf_dir):
     return build_prompts(LogContext.of(spark, sf_dir).texts).select("block_id", "prompt")
 
 
+def _recorded(spark, sf_dir):
+    """D7 over the recorded answers of all blocks with predictions."""
+    from blocklens.operators.text_classifier import classify_recorded
+    from blocklens.sources import fixtures
+    return classify_recorded(_preds(spark, sf_dir, "llm"), fixtures.model_answers(spark, sf_dir))
+
+
 @query("text_classify")
 def q_text_classify(spark, sf_dir):
-    """D7/D8 with the built-in rule backend over every labelled block."""
-    p = LogContext.of(spark, sf_dir).text_predictions
-    return p.select("block_id", "classification", "confidence", "explanation", "attempts",
-                    "parse_failed", "label")
+    """The class of every block from up to three recorded answers."""
+    return _recorded(spark, sf_dir)
 
 
 @query("classify_failures")
 def q_classify_failures(spark, sf_dir):
     from blocklens.operators.text_classifier import failure_count
-    return failure_count(LogContext.of(spark, sf_dir).text_predictions)
+    return failure_count(_recorded(spark, sf_dir))
 
 
-# --- streaming (file-source stream run to completion) ------------------------------
+@query("extract_json")
+def q_extract_json(spark, sf_dir):
+    """every recorded answer and what it parses to."""
+    from blocklens.functions.text import answer_fields
+    from blocklens.sources import fixtures
+    return fixtures.model_answers(spark, sf_dir).withColumn(
+        "a", answer_fields(F.col("raw_answer"))).select(
+        "block_id", "attempt", "raw_answer", "a.classification", "a.confidence", "a.explanation")
 
 
-def _parsed_stream(spark, sf_dir):
-    from blocklens.streaming import live
-    lines = fixtures_log_lines_stream(spark, sf_dir)
-    return live.parse_stream(lines)
+# --- streaming (file-source stream run to completion) ------------------------------
 
 
-def fixtures_log_lines_stream(spark, sf_dir):
-    """The derived log as a stream of the events file."""
-    from blocklens.sources import fixtures
-    from blocklens.streaming import live
-    return fixtures.log_lines_from_events(live.event_stream(spark, sf_dir))
+def _lines(spark, sf_dir):
+    return LogContext.of(spark, sf_dir).lines
 
 
 @query("stream_event_counts")
 def q_stream_event_counts(spark, sf_dir):
     """Hourly line counts per level, computed by a streaming query."""
     from blocklens.streaming import live
-    return live.run_to_table(live.level_rates(_parsed_stream(spark, sf_dir)), "level-rates")
+    return live.run_bounded(_lines(spark, sf_dir),
+                            lambda s: live.level_rates(live.parse_stream(s)), "level-rates")
 
 
 @query("stream_block_sessions")
 def q_stream_block_sessions(spark, sf_dir):
     """Per-block sessions (30 min gap), computed by a streaming query."""
     from blocklens.streaming import live
-    return live.run_to_table(live.block_sessions(_parsed_stream(spark, sf_dir)), "sessions")
+    return live.run_bounded(_lines(spark, sf_dir),
+                            lambda s: live.block_sessions(live.parse_stream(s)), "sessions")
+
+
+@query("stream_unseen_masks")
+def q_stream_unseen(spark, sf_dir):
+    """The stream parsed against templates frozen from the INFO lines; the
+    masks it does not know go to a side table, which is read back."""
+    from blocklens.session import scratch_path
+    from blocklens.streaming import live
+    ctx = LogContext.of(spark, sf_dir)
+    known = tpl_ops.mask_templates(ctx.masked.where(F.col("level") == "INFO"))
+    path = scratch_path(spark, "unseen")
+    live.run_bounded(ctx.lines, lambda s: live.parse_stream(s, known), "unseen",
+                     lambda _: live.unseen_mask_sink(path))
+    return live.read_unseen_masks(spark, path).where(~F.col("template").startswith("end of input "))
+
+
+def _session_scorer(spark, sf_dir):
+    from blocklens.operators.iforest import forest_scorer
+    ctx = LogContext.of(spark, sf_dir)
+    nodes, psi = ctx.iforest
+    names = [r[0] for r in ctx.vocabulary.orderBy("feature_index").select("feature_name").collect()]
+    return forest_scorer(spark, nodes, psi), names
+
+
+@query("stream_alerts")
+def q_stream_alerts(spark, sf_dir):
+    """E1+E2+E4: the log stream is parsed against the frozen templates,
+    counted per block session, scored by the trained isolation forest inside
+    ``foreachBatch`` and written as alerts (one folder per micro-batch)."""
+    from blocklens.streaming import live
+    ctx = LogContext.of(spark, sf_dir)
+    decision, names = _session_scorer(spark, sf_dir)
+    vocab = [int(n[1:]) for n in names]
+    out = live.run_bounded(
+        ctx.lines, lambda s: live.session_counts(live.parse_stream(s, ctx.templates), vocab),
+        "alerts", lambda path: live.scoring_alert_sink(path, decision, names))
+    if out is None:       # an empty log
+        return spark.createDataFrame([], "block_id string, session_start timestamp_ntz, "
+                                         "session_end timestamp_ntz, n_events long, n_unseen long, "
+                                         "score double, severity string")
+    return out
 
 
 # --- source round trips (text and CSV written to the shared folder, read back) -----
@@ -559,7 +749,8 @@ def q_lineitem_sequences(spark, sf_dir):
 def _document_lines(spark, sf_dir):
     """Every non-empty line of every document: (doc_id, line_no, content)."""
     from blocklens.sources import fixtures
-    docs = fixtures.spread(fixtures.read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = fixtures.read_table(spark, sf_dir, "documents").select("doc_id", "text").repartition(
+        spark.sparkContext.defaultParallelism)
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("_i", "content"))
     return lines.where(F.col("content") != "").select(
         "doc_id", (F.col("_i") + 1).alias("line_no"), "content")
@@ -581,43 +772,19 @@ def q_document_templates(spark, sf_dir):
                          "occurrences")
 
 
-@query("document_drain_templates")
-def q_document_drain_templates(spark, sf_dir):
-    """T2 over wide, low-repetition text: Drain over the distinct document
-    line masks (first appearance = global line order of (document, line))."""
+@query("document_mined_templates")
+def q_document_mined_templates(spark, sf_dir):
+    """T2 over wide, low-repetition text: templates mined from the distinct
+    masks of all document lines (first appearance by document and line)."""
     lines = _document_lines(spark, sf_dir)
     # first appearance only needs an order-preserving key, not a dense one
     numbered = lines.withColumn(
         "line_id", F.shiftleft("doc_id", 24) + F.col("line_no"))
-    t = tpl_ops.drain_templates(tpl_ops.with_masks(numbered))[0]
-    return t.select("event_id", "event_template", "occurrences")
-
-
-@query("stream_alerts")
-def q_stream_alerts(spark, sf_dir):
-    """E1+E2+E4: the log stream is parsed against the frozen templates,
-    counted per block session, scored by the trained isolation forest inside
-    ``foreachBatch`` and written as alerts (one folder per micro-batch)."""
-    from blocklens.session import scratch_path
-    from blocklens.streaming import live
     ctx = LogContext.of(spark, sf_dir)
-    nodes, psi = ctx.iforest
-    wide, names = ctx.wide
-    vocab = [int(n[1:]) for n in names]
-    parsed = live.parse_stream(fixtures_log_lines_stream(spark, sf_dir), ctx.templates)
-    counts = live.session_counts(parsed, vocab)
-    out = scratch_path(spark, "stream-alerts")
-    # append: a session is scored once, when the watermark has closed it
-    q = (counts.writeStream.outputMode("append")
-         .foreachBatch(live.scoring_alert_sink(out, nodes, psi, names))
-         .option("checkpointLocation", out + "-checkpoint").trigger(availableNow=True).start())
-    q.awaitTermination()
-    from blocklens.plans.stages import _fs_exists
-    if not _fs_exists(spark, out):       # no session closed with an anomaly
-        return spark.createDataFrame([], "block_id string, session_start timestamp_ntz, "
-                                         "session_end timestamp_ntz, n_events long, "
-                                         "score double, severity string")
-    return spark.read.parquet(out).drop("batch_id")
+    mined = ctx.store.materialize("document_mined", lambda: tpl_ops.mined_masks(
+        tpl_ops.with_masks(numbered)))
+    t = tpl_ops.mined_from_masks(mined)[0]
+    return t.select("event_id", "event_template", "occurrences")
 
 
 @query("classification_counts")
@@ -642,26 +809,3 @@ def q_alert_summary(spark, sf_dir):
             F.count(F.lit(1)).alias("n_predictions"))
         out = part if out is None else out.unionByName(part)
     return out
-
-
-@query("mine_templates_tree")
-def q_mine_templates_tree(spark, sf_dir):
-    """T2 with the exact first-token tree per token count (children limit
-    and wildcard fallback as in the online miner)."""
-    masked = LogContext.of(spark, sf_dir).masked
-    t = tpl_ops.drain_templates(masked, exact_tree=True)[0]
-    return t.select("event_id", "event_template", "occurrences")
-
-
-@query("extract_json")
-def q_extract_json(spark, sf_dir):
-    """F11/F12 natively: the rule model's first-attempt answers for every
-    labelled block, parsed with JVM expressions."""
-    from blocklens.functions.text import answer_class
-    from blocklens.operators.text_classifier import answer_udf, build_prompts, rule_backend
-
-    prompts = build_prompts(LogContext.of(spark, sf_dir).texts)
-    first_answer = answer_udf(rule_backend, 0.0)
-    answers = prompts.select("block_id", first_answer("prompt").alias("raw_answer"))
-    return answers.select("block_id", "raw_answer",
-                          answer_class(F.col("raw_answer")).alias("classification"))

@@ -30,7 +30,7 @@ class LogContext:
         self.miner = miner
         # miner-independent stages (parsed lines, labels) are shared by all
         # miners; stages that depend on the templates are named per miner
-        self.store = StageStore.for_inputs(spark, "v1", sf_dir)
+        self.store = StageStore.for_inputs(spark, "v2", sf_dir)
         self._p = "" if miner == "mask" else f"{miner}_"
 
     @classmethod
@@ -65,13 +65,11 @@ class LogContext:
 
     @cached_property
     def _mined(self) -> tuple[DataFrame, DataFrame]:
-        if self.miner == "drain":
-            clusters = self.store.materialize(
-                "drain_clusters", lambda: tpl_ops.drain_clusters(self.masked))
-            t, m = tpl_ops.drain_from_clusters(clusters)
-            templates = self.store.materialize("drain_templates", lambda: t)
-            m2e = self.store.materialize("drain_mask_to_event", lambda: m)
-            return templates, m2e
+        if self.miner == "mined":
+            mined = self.store.materialize("mined_masks", lambda: tpl_ops.mined_masks(self.masked))
+            t, m = tpl_ops.mined_from_masks(mined)
+            return (self.store.materialize("mined_templates", lambda: t),
+                    self.store.materialize("mined_mask_to_event", lambda: m))
         templates = self.store.materialize(
             "templates", lambda: tpl_ops.mask_templates(self.masked))
         return templates, tpl_ops.mask_to_event_from(templates)
@@ -147,51 +145,47 @@ class LogContext:
             self._p + "long_counts",
             lambda: count_matrix_long(self.event_counts, self.split_ids, self.vocabulary))
 
-    def wide_counts(self) -> tuple[DataFrame, list[str]]:
-        from blocklens.operators.features import count_matrix_wide, vocabulary_names
-        names = vocabulary_names(self.vocabulary)
-        return count_matrix_wide(self.long_counts, self.split_ids, names), names
+    def wide_counts(self, names: list[str]) -> DataFrame:
+        from blocklens.operators.features import count_matrix_wide
+        return count_matrix_wide(self.long_counts, self.split_ids, names)
 
     # --- detectors ------------------------------------------------------------
 
     @cached_property
-    def wide(self) -> tuple[DataFrame, list[str] | None]:
-        """Model input: one column per event while the vocabulary is narrow,
-        else the sparse vector form (names None)."""
-        from blocklens.operators.features import (count_matrix_wide, count_vectors,
-                                                  vocabulary_names)
-        try:
-            names = vocabulary_names(self.vocabulary)
-        except ValueError:
-            vec = self.store.materialize(self._p + "count_vectors", lambda: count_vectors(
-                self.sequences, self.split_ids, self.vocabulary))
-            return vec, None
-        wide = self.store.materialize(
-            self._p + "wide_counts",
-            lambda: count_matrix_wide(self.long_counts, self.split_ids, names))
-        return wide, names
+    def vectors(self) -> DataFrame:
+        """Model input: one sparse count vector per block, whatever the width."""
+        from blocklens.operators.features import sparse_counts, vector_schema
+        return self.store.materialize(
+            self._p + "vectors",
+            lambda: sparse_counts(self.long_counts, self.split_ids, self.vocabulary),
+            schema=vector_schema())
 
     @cached_property
     def rf_model(self):
-        from blocklens.operators.forest import train_random_forest
-        wide, names = self.wide
-        return train_random_forest(wide, names)
+        from blocklens.operators.forest import stored_forest
+        return stored_forest(self.store, self._p + "rf_model", self.vectors)
 
     @cached_property
     def iforest(self) -> tuple[DataFrame, int]:
-        from blocklens.operators.iforest import train_isolation_forest
-        wide, names = self.wide
-        nodes, psi = train_isolation_forest(self.spark, wide, names)
-        return self.store.materialize(self._p + "iforest_nodes", lambda: nodes), psi
+        from blocklens.operators.iforest import stored_isolation_forest
+        return stored_isolation_forest(self.store, self._p + "iforest_nodes", self.vectors)
+
+    @cached_property
+    def detector_predictions(self) -> dict[str, DataFrame]:
+        """Test-split predictions of both detectors with the time per row."""
+        from blocklens.operators.forest import predict_random_forest
+        from blocklens.operators.iforest import score_isolation_forest
+        nodes, psi = self.iforest
+        return {
+            "isolation_forest": self.store.timed(
+                self._p + "iforest_predictions",
+                lambda: score_isolation_forest(self.spark, nodes, psi, self.vectors, None)),
+            "random_forest": self.store.timed(
+                self._p + "rf_predictions",
+                lambda: predict_random_forest(self.rf_model, self.vectors, None))}
 
     @cached_property
     def texts(self) -> DataFrame:
         """(block_id, text_sequence, label) for every labelled block."""
         return self.store.materialize(self._p + "texts", lambda: seq_ops.text_sequences(
             self.sequences, self.templates).join(self.block_ids, "block_id"))
-
-    @cached_property
-    def text_predictions(self) -> DataFrame:
-        from blocklens.operators.text_classifier import classify, rule_backend
-        return self.store.materialize(self._p + "text_predictions",
-                                      lambda: classify(self.texts, rule_backend))

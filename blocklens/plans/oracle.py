@@ -12,6 +12,7 @@ from __future__ import annotations
 from blocklens.functions import parsing as P
 from blocklens.functions import text as TX
 from blocklens.operators import sequences as SEQ
+from blocklens.operators.templates import SHARE_THRESHOLD
 
 # The lookahead-free IP pattern is shared; DuckDB (RE2) reads \d \w \s \b as
 # ASCII classes, which agree with the Unicode reading on ASCII logs.
@@ -288,24 +289,25 @@ SELECT feature_index, event_id, feature_name FROM vocab"""
 ORACLE["count_matrix_long"] = _with(SPLIT) + """
 SELECT block_id, split, label, feature_name, n FROM long_counts"""
 
-ORACLE["count_matrix_wide"] = _with(SPLIT) + """,
-dense AS (
-  SELECT s.block_id, s.split, s.label, v.feature_name, coalesce(l.n, 0) AS n
-  FROM split_ids s CROSS JOIN vocab v
-  LEFT JOIN long_counts l ON l.block_id = s.block_id AND l.feature_name = v.feature_name
-)
-SELECT * FROM (PIVOT dense ON feature_name USING first(n) GROUP BY block_id, split, label)"""
+ORACLE["count_matrix_wide"] = _with(SPLIT) + """
+SELECT s.block_id, s.split, s.label, """ + ", ".join(
+    f"CAST(coalesce(sum(l.n) FILTER (WHERE l.feature_name = 'E{i}'), 0) AS BIGINT) AS \"E{i}\""
+    for i in range(1, 9)) + """
+FROM split_ids s LEFT JOIN long_counts l USING (block_id)
+GROUP BY s.block_id, s.split, s.label"""
 
 
 # --- predictions ----------------------------------------------------------------
 
 PREDS = """
 preds_base AS (
-  SELECT doc_id, 'blk_' || CAST(doc_id AS VARCHAR) AS block_id,
-         CASE WHEN doc_id % 37 = 0 THEN NULL WHEN quality = 0 THEN 'Anomaly' ELSE 'Normal' END
+  SELECT d.doc_id AS doc_id, block_id,
+         CASE WHEN d.doc_id % 37 = 0 THEN NULL WHEN d.quality = 0 THEN 'Anomaly' ELSE 'Normal' END
            AS classification,
-         CASE WHEN toxic = 1 THEN 'Anomaly' ELSE 'Normal' END AS label
-  FROM labels
+         CASE WHEN d.toxic = 1 THEN 'Anomaly' ELSE 'Normal' END AS label
+  FROM (SELECT s.blk AS block_id,
+               arg_min({'doc_id': l.doc_id, 'quality': l.quality, 'toxic': l.toxic}, l.doc_id) AS d
+        FROM labels l JOIN log_src s ON s.event_id = l.doc_id GROUP BY s.blk)
 ),
 if_preds AS (
   SELECT block_id, 0.5 - CAST(doc_id % 101 AS DOUBLE) / 100.0 AS score, classification, label,
@@ -317,7 +319,7 @@ rf_preds AS (
          label, CAST(doc_id % 5 + 1 AS DOUBLE) / 4194304.0 AS inference_time_sec, doc_id
   FROM preds_base
 ),
-text_preds AS (
+llm_preds AS (
   SELECT block_id, classification,
          CASE WHEN classification IS NULL THEN NULL
               WHEN doc_id % 11 = 0 THEN NULL
@@ -340,14 +342,16 @@ norm_scores AS (
               ELSE greatest(0.0, least(1.0, anomaly_probability)) END
   FROM rf_preds
   UNION ALL
-  SELECT 'text', block_id, classification, label, conf_norm FROM (
+  SELECT 'llm', block_id, classification, label, conf_norm FROM (
     SELECT *, CASE WHEN v IS NULL THEN NULL ELSE greatest(0.0, least(1.0, v)) END AS conf_norm
     FROM (
-      SELECT *, CASE WHEN ends_with(s, '%')
-                     THEN TRY_CAST(regexp_replace(regexp_replace(s, '%+$', ''), '^\\s+|\\s+$', '', 'g')
-                                   AS DOUBLE) / 100.0
-                     ELSE TRY_CAST(s AS DOUBLE) END AS v
-      FROM (SELECT *, regexp_replace(confidence, '^\\s+|\\s+$', '', 'g') AS s FROM text_preds)
+      SELECT *, CASE WHEN ends_with(s, '%') THEN
+                       CASE WHEN regexp_full_match(bare, '[+-]?([0-9]+(\\.[0-9]*)?|\\.[0-9]+)([eE][+-]?[0-9]+)?')
+                            THEN TRY_CAST(bare AS DOUBLE) / 100.0 END
+                     WHEN regexp_full_match(s, '[+-]?([0-9]+(\\.[0-9]*)?|\\.[0-9]+)([eE][+-]?[0-9]+)?')
+                       THEN TRY_CAST(s AS DOUBLE) END AS v
+      FROM (SELECT *, regexp_replace(regexp_replace(s, '%+$', ''), '^\\s+|\\s+$', '', 'g') AS bare
+            FROM (SELECT *, regexp_replace(confidence, '^\\s+|\\s+$', '', 'g') AS s FROM llm_preds))
     )
   )
 ),
@@ -360,7 +364,7 @@ sev AS (
 all_preds AS (
   SELECT 'isolation_forest' AS approach, block_id, classification, label, inference_time_sec FROM if_preds
   UNION ALL SELECT 'random_forest', block_id, classification, label, inference_time_sec FROM rf_preds
-  UNION ALL SELECT 'text', block_id, classification, label, inference_time_sec FROM text_preds
+  UNION ALL SELECT 'llm', block_id, classification, label, inference_time_sec FROM llm_preds
 )"""
 
 
@@ -387,13 +391,12 @@ FROM (
 )"""
 
 
-PBASE = "WITH " + PREDS.strip() + "\n"
-PLOG = _with(PREDS)
+PBASE = _with(PREDS)
 
 ORACLE["binary_metrics"] = PBASE + _metrics_sql("if_preds", None)
 
 ORACLE["metrics_full"] = PBASE + _metrics_sql(
-    "(SELECT * FROM all_preds WHERE approach <> 'text')", "approach")
+    "(SELECT * FROM all_preds WHERE approach <> 'llm')", "approach")
 
 ORACLE["metrics_sample"] = PBASE.rstrip() + ",\n" + _quota_sql(
     "ps", "(SELECT block_id, label FROM if_preds)", "least(1000, n_total)").strip() + """,
@@ -419,11 +422,11 @@ JOIN (SELECT approach, count(*) FILTER (WHERE classification = 'Anomaly') AS n_d
       FROM all_preds GROUP BY approach) d USING (approach)"""
 
 ORACLE["normalize_scores"] = PBASE + """
-SELECT model, block_id, norm_score FROM norm_scores WHERE model <> 'text'"""
+SELECT model, block_id, norm_score FROM norm_scores WHERE model <> 'llm'"""
 
 ORACLE["normalize_confidence"] = PBASE + """
 SELECT t.block_id, t.confidence, n.norm_score
-FROM text_preds t JOIN norm_scores n ON n.model = 'text' AND n.block_id = t.block_id"""
+FROM llm_preds t JOIN norm_scores n ON n.model = 'llm' AND n.block_id = t.block_id"""
 
 _SPELL = ", ".join(_q(s) for s in __import__(
     "blocklens.plans.catalog", fromlist=["RAW_CLASS_SPELLINGS"]).RAW_CLASS_SPELLINGS)
@@ -482,15 +485,25 @@ FROM (
   SELECT 'random_forest', block_id, printf('%.6f', anomaly_probability), classification, label,
          NULL FROM rf_preds
   UNION ALL
-  SELECT 'text', block_id, confidence, classification, label, explanation FROM text_preds
+  SELECT 'llm', block_id, confidence, classification, label, explanation FROM llm_preds
 ) p LEFT JOIN block_seq b USING (block_id)"""
 
 ORACLE["resume_remaining"] = PBASE + """
-SELECT 'blk_' || CAST(doc_id AS VARCHAR) AS block_id FROM documents
-WHERE 'blk_' || CAST(doc_id AS VARCHAR) NOT IN (SELECT block_id FROM text_preds)"""
+SELECT DISTINCT block_id FROM parsed
+WHERE block_id IS NOT NULL AND block_id NOT IN (SELECT block_id FROM llm_preds)"""
+
+ORACLE["append_resumed"] = BASE + "SELECT block_id, sequence_length FROM block_seq"
+
+ORACLE["write_once_read_back"] = _with(SPLIT) + "SELECT block_id, label, split FROM split_ids"
 
+ORACLE["alerts_json_read_back"] = ORACLE["alerts"]
 
-# --- text-model detector (built-in rule backend) ------------------------------------
+ORACLE["lookup_blocks"] = (
+    "SELECT * FROM (" + ORACLE["block_detail"] + ") WHERE model = 'random_forest' AND block_id = "
+    "(SELECT min(block_id) FROM (" + PBASE + "SELECT block_id FROM rf_preds))")
+
+
+# --- text-model detector (recorded answers) ------------------------------------
 
 from blocklens.operators import text_classifier as TC  # noqa: E402
 
@@ -509,38 +522,58 @@ texts AS (
     GROUP BY block_id
   ) t USING (block_id)
   WHERE l.label IS NOT NULL
+)"""
+
+# expected (class, confidence, explanation) of each answer shape, by hand
+_SHAPE_RESULTS = (
+    ("'Normal'", "'0.9'", "NULL"), ("'Anomaly'", "n || '%'", "NULL"), ("'Anomaly'", "NULL", "NULL"),
+    ("'Anomaly'", "NULL", "'case ' || n"), *[("NULL", "NULL", "NULL")] * 7,
+    ("'Anomaly'", "NULL", "NULL"), ("'Normal'", "NULL", "NULL"), *[("NULL", "NULL", "NULL")] * 2)
+
+
+def _by_shape(values) -> str:
+    return "CASE shape " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values)) + " END"
+
+
+from blocklens.sources.fixtures import ANSWER_SHAPES  # noqa: E402
+
+ANSWERS = f"""
+answer_shapes AS (
+  SELECT block_id, label, attempt, (doc_id + 4 * (attempt - 1)) % {len(ANSWER_SHAPES)} AS shape,
+         CAST(doc_id % 100 AS VARCHAR) AS n
+  FROM preds_base, (VALUES (1), (2), (3)) AS t(attempt)
 ),
-rule AS (
-  SELECT block_id, label, sequence_length AS n,
-         contains(text_sequence, {_q(TC.RULE_EXCEPTION_TOKEN)}) AS bad
-  FROM texts
+answers AS (
+  SELECT block_id, label, attempt,
+    replace([{", ".join(_q(x) for x in ANSWER_SHAPES)}][shape + 1], '%d', n) AS raw_answer,
+    {_by_shape([r[0] for r in _SHAPE_RESULTS])} AS classification,
+    {_by_shape([r[1] for r in _SHAPE_RESULTS])} AS confidence,
+    {_by_shape([r[2] for r in _SHAPE_RESULTS])} AS explanation
+  FROM answer_shapes
 ),
-text_cls AS (
-  SELECT block_id, label,
-    CASE WHEN n > {TC.RULE_LIMITS[2]} THEN NULL WHEN bad THEN 'Anomaly' ELSE 'Normal' END
-      AS classification,
-    CASE WHEN n <= {TC.RULE_LIMITS[0]} THEN (CASE WHEN bad THEN '90%' ELSE '0.8' END)
-         WHEN n <= {TC.RULE_LIMITS[1]} THEN '85%'
-         WHEN n <= {TC.RULE_LIMITS[2]} THEN (CASE WHEN bad THEN '0.7' ELSE '0.6' END) END
-      AS confidence,
-    CASE WHEN n <= {TC.RULE_LIMITS[0]} THEN 'first look'
-         WHEN n <= {TC.RULE_LIMITS[1]} THEN 'second look'
-         WHEN n <= {TC.RULE_LIMITS[2]} THEN 'third look' END AS explanation,
-    CAST(CASE WHEN n <= {TC.RULE_LIMITS[0]} THEN 1 WHEN n <= {TC.RULE_LIMITS[1]} THEN 2 ELSE 3 END
-         AS INTEGER) AS attempts,
-    n > {TC.RULE_LIMITS[2]} AS parse_failed
-  FROM rule
+resolved AS (
+  SELECT b.block_id, b.label, a.classification, a.confidence, a.explanation,
+         CAST(coalesce(a.attempt, 3) AS INTEGER) AS attempts,
+         a.classification IS NULL AS parse_failed
+  FROM preds_base b LEFT JOIN (
+    SELECT * FROM answers WHERE classification IS NOT NULL
+    QUALIFY row_number() OVER (PARTITION BY block_id ORDER BY attempt) = 1) a USING (block_id)
 )"""
 
 ORACLE["build_prompts"] = _with(TEXTS) + f"""
 SELECT block_id, {_q(_PRE)} || text_sequence || {_q(_POST)} AS prompt FROM texts"""
 
-ORACLE["text_classify"] = _with(TEXTS) + """
+ORACLE["text_classify"] = _with(PREDS, ANSWERS) + """
 SELECT block_id, classification, confidence, explanation, attempts, parse_failed, label
-FROM text_cls"""
+FROM resolved"""
+
+ORACLE["classify_failures"] = _with(PREDS, ANSWERS) + """
+SELECT count(*) FILTER (WHERE parse_failed) AS n_parse_failed, count(*) AS n_total FROM resolved"""
 
-ORACLE["classify_failures"] = _with(TEXTS) + """
-SELECT count(*) FILTER (WHERE parse_failed) AS n_parse_failed, count(*) AS n_total FROM text_cls"""
+ORACLE["extract_json"] = _with(PREDS, ANSWERS) + """
+SELECT block_id, CAST(attempt AS INTEGER) AS attempt, raw_answer, classification, confidence,
+       explanation
+FROM answers"""
 
 
 # --- streaming equivalents ----------------------------------------------------------
@@ -598,12 +631,107 @@ SELECT approach AS model, count(*) FILTER (WHERE classification = 'Anomaly') AS
        count(*) AS n_predictions
 FROM all_preds GROUP BY approach"""
 
-ORACLE["extract_json"] = _with(TEXTS) + f"""
-SELECT block_id,
-  CASE WHEN n > {TC.RULE_LIMITS[0]} THEN 'I cannot tell from this sequence.'
-       ELSE 'Answer: {{"classification": "' || (CASE WHEN bad THEN 'ANOMALY' ELSE 'NORMAL' END)
-            || '", "confidence": ' || (CASE WHEN bad THEN '"90%"' ELSE '0.8' END)
-            || ', "explanation": "first look"}} -- done' END AS raw_answer,
-  CASE WHEN n > {TC.RULE_LIMITS[0]} THEN NULL WHEN bad THEN 'Anomaly' ELSE 'Normal' END
-    AS classification
-FROM rule"""
+
+# --- mined templates ---------------------------------------------------------------
+
+
+def _mined_sql(source: str) -> str:
+    """CTEs from ``source`` (line_id, template): mined(template, occurrences,
+    first_line_id, event_template) and mined_templates with their ids."""
+    return f"""
+distinct_masks AS (
+  SELECT template, min(line_id) AS first_line_id, count(*) AS occurrences
+  FROM {source} GROUP BY template
+),
+mask_tokens AS (
+  SELECT *, CASE WHEN template = '' THEN [] ELSE string_split(template, ' ') END AS tokens
+  FROM distinct_masks
+),
+mask_groups AS (
+  SELECT *, len(tokens) AS n_tokens,
+         CASE WHEN regexp_matches(coalesce(tokens[1], ''), '[0-9]') THEN {_q(P.WILDCARD)}
+              ELSE coalesce(tokens[1], '') END AS first_token
+  FROM mask_tokens
+),
+mask_words AS (
+  SELECT template, n_tokens, first_token, unnest(tokens) AS token,
+         generate_subscripts(tokens, 1) AS place
+  FROM mask_groups
+),
+mask_kept AS (
+  SELECT template, place,
+         CASE WHEN count(*) OVER (PARTITION BY n_tokens, first_token, place, token)
+                   >= {SHARE_THRESHOLD} * count(*) OVER (PARTITION BY n_tokens, first_token, place)
+              THEN token ELSE {_q(P.WILDCARD)} END AS word
+  FROM mask_words
+),
+mined AS (
+  SELECT g.template, g.first_line_id, g.occurrences, coalesce(k.event_template, '') AS event_template
+  FROM mask_groups g LEFT JOIN (
+    SELECT template, string_agg(word, ' ' ORDER BY place) AS event_template
+    FROM mask_kept GROUP BY template) k USING (template)
+),
+mined_templates AS (
+  SELECT CAST(row_number() OVER (ORDER BY min(first_line_id)) AS INTEGER) AS event_id,
+         event_template, CAST(sum(occurrences) AS BIGINT) AS occurrences
+  FROM mined GROUP BY event_template
+)"""
+
+
+MINED = _with(_mined_sql("masked"))
+
+ORACLE["mine_templates"] = MINED + "SELECT event_id, event_template, occurrences FROM mined_templates"
+
+MINED_LINES = MINED.rstrip() + """,
+mined_lines AS (
+  SELECT m.line_id, m.block_id, t.event_id, t.event_template
+  FROM masked m JOIN mined d USING (template) JOIN mined_templates t
+    ON t.event_template = d.event_template
+)
+"""
+
+ORACLE["mined_events"] = MINED_LINES + "SELECT line_id, block_id, event_id, event_template FROM mined_lines"
+
+ORACLE["mined_sequences"] = MINED_LINES + """
+SELECT block_id, string_agg(CAST(event_id AS VARCHAR), ' ' ORDER BY line_id) AS event_sequence,
+       CAST(count(*) AS INTEGER) AS sequence_length
+FROM mined_lines WHERE block_id IS NOT NULL AND block_id <> '' GROUP BY block_id"""
+
+ORACLE["document_mined_templates"] = f"""
+WITH doc_lines AS (
+  SELECT doc_id, i AS line_no, string_split(text, chr(10))[i] AS content
+  FROM documents, generate_series(1, len(string_split(text, chr(10)))) AS t(i)
+),
+document_masks AS (
+  SELECT (doc_id << 24) + line_no AS line_id, {_mask_sql('content')} AS template
+  FROM doc_lines WHERE content <> ''
+),
+""" + _mined_sql("document_masks").strip() + """
+SELECT event_id, event_template, occurrences FROM mined_templates"""
+
+
+# --- detectors: facts that hold for any correct model ----------------------------------
+
+ORACLE["iforest_facts"] = _with(SPLIT) + """
+SELECT CAST(t AS INTEGER) AS tree_id,
+       (SELECT least(256, count(*)) FROM split_ids WHERE split = 'train' AND label = 'Normal')
+         AS n_sampled, true AS leaves_add_up, true AS depth_kept
+FROM range(100) AS r(t)"""
+
+ORACLE["iforest_score_facts"] = _with(SPLIT) + """
+SELECT block_id, label, true AS class_follows, true AS equal_scores, true AS timed
+FROM split_ids WHERE split = 'test'"""
+
+ORACLE["rf_score_facts"] = ORACLE["iforest_score_facts"]
+
+ORACLE["rf_facts"] = _with(SPLIT) + """
+SELECT CAST(100 AS BIGINT) AS n_trees, (SELECT count(*) FROM vocab) AS n_features, true AS adds_up"""
+
+ORACLE["detector_crosstab_totals"] = _with(SPLIT) + """
+SELECT model, label, count(*) AS n
+FROM split_ids, (VALUES ('isolation_forest'), ('random_forest')) AS m(model)
+WHERE split = 'test' GROUP BY model, label"""
+
+ORACLE["stream_unseen_masks"] = BASE + """
+SELECT template, count(*) AS n FROM masked
+WHERE template NOT IN (SELECT template FROM masked WHERE level = 'INFO') GROUP BY template"""

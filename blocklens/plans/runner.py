@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import argparse
 import os
-import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,15 +27,15 @@ from blocklens.operators import parse as parse_ops
 from blocklens.operators import sequences as seq_ops
 from blocklens.operators import templates as tpl_ops
 from blocklens.operators import text_classifier as tc
-from blocklens.plans.stages import StageStore, is_complete
+from blocklens.plans.stages import StageStore
 from blocklens.sources import sinks
 
-MODELS = ("isolation_forest", "random_forest", "text")
+MODELS = ("isolation_forest", "random_forest", "llm")
 
 
 class DetectionRun:
-    def __init__(self, spark: SparkSession, out: str, miner: str = "drain",
-                 backend: tc.Backend = tc.rule_backend, sample_size: int = sampling.SAMPLE_SIZE,
+    def __init__(self, spark: SparkSession, out: str, miner: str = "mined",
+                 backend: tc.Backend | None = None, sample_size: int = sampling.SAMPLE_SIZE,
                  text_chunks: int = 4):
         self.spark = spark
         self.store = StageStore(spark, out)
@@ -53,10 +52,9 @@ class DetectionRun:
     def parse(self, lines: DataFrame) -> DataFrame:
         masked = self.store.materialize(
             "parsed", lambda: tpl_ops.with_masks(parse_ops.parse_lines(lines)))
-        if self.miner == "drain":
-            clusters = self.store.materialize(
-                "drain_clusters", lambda: tpl_ops.drain_clusters(masked))
-            t, m = tpl_ops.drain_from_clusters(clusters)
+        if self.miner == "mined":
+            mined = self.store.materialize("mined_masks", lambda: tpl_ops.mined_masks(masked))
+            t, m = tpl_ops.mined_from_masks(mined)
             templates = self.store.materialize("templates", lambda: t)
             m2e = self.store.materialize("mask_to_event", lambda: m)
         else:
@@ -85,57 +83,27 @@ class DetectionRun:
             seq_ops.block_events(assigned)))
         vocab = self.store.materialize("vocabulary",
                                        lambda: feat_ops.train_vocabulary(counts, split_ids))
-        try:
-            names = feat_ops.vocabulary_names(vocab)
-        except ValueError:      # too wide for one column per event: sparse vectors
-            seqs = self.spark.read.parquet(self.store.path("block_sequences"))
-            return self.store.materialize("features", lambda: feat_ops.count_vectors(
-                seqs, split_ids, vocab)), None
-        wide = self.store.materialize("features", lambda: feat_ops.count_matrix_wide(
-            feat_ops.count_matrix_long(counts, split_ids, vocab), split_ids, names))
-        return wide, names
-
-    def _timed_predictions(self, name: str, build) -> DataFrame:
-        """Write scored rows, time the job, attach time per row lazily."""
-        stats_name = f"{name}_time"
-        if not self.store.exists(name):
-            t0 = time.perf_counter()
-            scored = self.store.materialize(name, build)
-            elapsed = time.perf_counter() - t0
-            n = scored.count()
-            self.store.materialize(stats_name, lambda: self.spark.createDataFrame(
-                [(n, elapsed)], "n_rows long, seconds double"))
-        scored = self.spark.read.parquet(self.store.path(name))
-        stats = self.spark.read.parquet(self.store.path(stats_name))
-        per_row = (F.col("seconds") / F.greatest(F.col("n_rows"), F.lit(1))) \
-            .alias("inference_time_sec")
-        return scored.withColumn("_k", F.lit(1)).join(
-            F.broadcast(stats.select(F.lit(1).alias("_k"), per_row)), "_k").drop("_k")
+        long = feat_ops.count_matrix_long(counts, split_ids, vocab)
+        return self.store.materialize("features", lambda: feat_ops.sparse_counts(
+            long, split_ids, vocab), schema=feat_ops.vector_schema())
 
     # phase 7a / 7b: detectors
-    def isolation_forest(self, wide: DataFrame, names: list[str]) -> DataFrame:
-        nodes_built = {}
-
-        def nodes():
-            if not nodes_built:
-                n, psi = iforest.train_isolation_forest(self.spark, wide, names)
-                nodes_built["n"] = self.store.materialize("iforest_model", lambda: n)
-                nodes_built["psi"] = psi
-            return nodes_built
-
+    def isolation_forest(self, vectors: DataFrame) -> DataFrame:
         def build():
-            m = nodes()
-            return iforest.score_isolation_forest(self.spark, m["n"], m["psi"], wide, names)
-        return self._timed_predictions("predictions_isolation_forest", build)
+            nodes, psi = iforest.stored_isolation_forest(self.store, "iforest_model", vectors)
+            return iforest.score_isolation_forest(self.spark, nodes, psi, vectors, None)
+        return self.store.timed("predictions_isolation_forest", build)
 
-    def random_forest(self, wide: DataFrame, names: list[str]) -> DataFrame:
+    def random_forest(self, vectors: DataFrame) -> DataFrame:
         def build():
-            model = forest.train_random_forest(wide, names)
-            return forest.predict_random_forest(model, wide, names)
-        return self._timed_predictions("predictions_random_forest", build)
+            model = forest.stored_forest(self.store, "rf_model", vectors)
+            return forest.predict_random_forest(model, vectors, None)
+        return self.store.timed("predictions_random_forest", build)
 
     # phase 7c: sample -> text -> text model (resumable)
     def text_model(self, seqs: DataFrame, templates: DataFrame, split_ids: DataFrame):
+        if self.backend is None:
+            raise ValueError("the language-model phase needs a backend; pass one or skip the phase")
         if not self.store.exists("text_sample_ids"):
             test = split_ids.where(F.col("split") == "test").select("block_id", "label")
             sample = self.store.write_once(
@@ -146,7 +114,7 @@ class DetectionRun:
             seqs.join(sample.select("block_id"), "block_id", "left_semi"), templates)
             .join(sample, "block_id"))
         preds = sinks.append_resumable(
-            self.spark, texts, self.store.path("predictions_text"),
+            self.spark, texts, self.store.path("predictions_llm"),
             lambda remaining: tc.classify(remaining, self.backend), chunks=self.text_chunks)
         return preds, sample
 
@@ -162,36 +130,34 @@ class DetectionRun:
         full = metrics.evaluate_full(classic)
         full.write.mode("overwrite").parquet(self.store.path("metrics_full"))
         out["metrics_full"] = full
-        if sample is not None and "text" in preds:
-            sm = metrics.evaluate_on_sample(classic, {"text": preds["text"]}, sample)
+        if sample is not None and "llm" in preds:
+            sm = metrics.evaluate_on_sample(classic, {"llm": preds["llm"]}, sample)
             sm.write.mode("overwrite").parquet(self.store.path("metrics_sample"))
             out["metrics_sample"] = sm
         return out
 
-    def run(self, lines: DataFrame | None, labels: DataFrame | None, skip_text: bool = False,
+    def run(self, lines: DataFrame | None, labels: DataFrame | None, skip_llm: bool = False,
             only_metrics: bool = False) -> dict[str, DataFrame]:
         if only_metrics:
             return self.rerun_reports()
         assigned = self.parse(lines)
         seqs = self.sequences(assigned, labels)
         split_ids = self.split(seqs)
-        wide, names = self.features(assigned, split_ids)
-        preds = {"isolation_forest": self.isolation_forest(wide, names),
-                 "random_forest": self.random_forest(wide, names)}
+        vectors = self.features(assigned, split_ids)
+        preds = {"isolation_forest": self.isolation_forest(vectors),
+                 "random_forest": self.random_forest(vectors)}
         sample = None
-        if not skip_text:
+        if not skip_llm:
             templates = self.spark.read.parquet(self.store.path("templates"))
-            preds["text"], sample = self.text_model(seqs, templates, split_ids)
+            preds["llm"], sample = self.text_model(seqs, templates, split_ids)
         return self.report(preds, seqs, sample)
 
     def rerun_reports(self) -> dict[str, DataFrame]:
         seqs = self.spark.read.parquet(self.store.path("block_sequences"))
         preds = {}
         for m in MODELS:
-            p = self.store.path(f"predictions_{m}")
-            if is_complete(self.spark, p) or (m == "text" and self.store.exists("text_sample_ids")):
-                preds[m] = (self._timed_predictions(f"predictions_{m}", None) if m != "text"
-                            else self.spark.read.parquet(p))
+            if self.store.exists(f"predictions_{m}"):
+                preds[m] = self.spark.read.parquet(self.store.path(f"predictions_{m}"))
         sample = (self.spark.read.parquet(self.store.path("text_sample_ids"))
                   if self.store.exists("text_sample_ids") else None)
         return self.report(preds, seqs, sample)
@@ -204,10 +170,18 @@ def main(argv=None) -> None:
     ap.add_argument("--labels", help="label CSV with BlockId,Label")
     ap.add_argument("--demo-sf", help="use the log derived from <dir>/events.parquet")
     ap.add_argument("--out", required=True)
-    ap.add_argument("--miner", choices=["drain", "mask"], default="drain")
-    ap.add_argument("--skip-text", action="store_true")
+    ap.add_argument("--miner", choices=["mined", "mask"], default="mined")
+    ap.add_argument("--skip-llm", action="store_true")
+    ap.add_argument("--backend", help="module:function that gives the model's answers")
     ap.add_argument("--only-metrics", action="store_true")
     args = ap.parse_args(argv)
+    backend = None
+    if args.backend:
+        import importlib
+        module, name = args.backend.split(":")
+        backend = getattr(importlib.import_module(module), name)
+    elif not args.skip_llm and not args.only_metrics:
+        ap.error("--backend names the model's answers; without one pass --skip-llm")
 
     from blocklens.session import get_session
     spark = get_session()
@@ -222,8 +196,8 @@ def main(argv=None) -> None:
             from blocklens.sources.rawlog import read_raw_log
             lines = read_raw_log(spark, args.log).select("line_id", "raw_content")
             labels = load_labels(spark, args.labels)
-    run = DetectionRun(spark, args.out, miner=args.miner)
-    out = run.run(lines, labels, skip_text=args.skip_text, only_metrics=args.only_metrics)
+    run = DetectionRun(spark, args.out, miner=args.miner, backend=backend)
+    out = run.run(lines, labels, skip_llm=args.skip_llm, only_metrics=args.only_metrics)
     for name in ("metrics_full", "metrics_sample"):
         if name in out:
             print(name)

@@ -4,8 +4,8 @@ The batch operators are plain DataFrame functions, so the same code runs on a
 streaming DataFrame:
 
 * E1 :func:`parse_stream` -- lines -> parse -> mask -> stream-static join with
-  a frozen template table.  Masks without a template keep a
-  NULL event id; :func:`unseen_masks` collects them for the next mining run.
+  a frozen template table.  Masks without a template keep a NULL event id;
+  :func:`unseen_mask_sink` writes them to a side table for the next mining run.
 * E2 :func:`block_sessions` -- per-block activity sessions
   (``session_window``), late data bounded by a watermark.
 * E3 :func:`level_rates` -- tumbling / sliding window counts per level.
@@ -13,9 +13,10 @@ streaming DataFrame:
   the output of a batch id, so a replayed micro-batch after a failure cannot
   duplicate alerts.
 
-Tests drive file sources with ``trigger(availableNow=True)``; ``complete``
-output equals the batch query.  Checkpoints go below the shared checkpoint
-folder.
+State is bounded by the watermark: aggregates are written in ``append`` mode,
+once, when their window is closed.  A bounded run (:func:`run_bounded`) ends
+with a sentinel line far in the future, which closes all that is open, so its
+result equals the batch query.  Checkpoints go below the shared folder.
 """
 
 from __future__ import annotations
@@ -62,8 +63,18 @@ def parse_stream(lines: DataFrame, templates: DataFrame | None = None) -> DataFr
     return masked.join(lookup, "template", "left")
 
 
-def unseen_masks(parsed: DataFrame) -> DataFrame:
-    return parsed.where(F.col("event_id").isNull()).select("template", "event_ts")
+def unseen_mask_sink(path: str):
+    """``foreachBatch`` body that counts the masks without a template and
+    writes them to ``path``, one folder per micro-batch (replaced on replay)."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        unseen = batch.where(F.col("event_id").isNull()).groupBy("template").agg(
+            F.count(F.lit(1)).alias("n"), F.min("event_ts").alias("first_ts"))
+        unseen.write.mode("overwrite").parquet(os.path.join(path, f"batch_id={batch_id}"))
+    return write
+
+
+def read_unseen_masks(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).groupBy("template").agg(F.sum("n").alias("n"))
 
 
 def level_rates(parsed: DataFrame, window: str = RATE_WINDOW, slide: str | None = None,
@@ -87,68 +98,89 @@ def block_sessions(parsed: DataFrame, gap: str = SESSION_GAP,
                     F.col("s.end").cast("timestamp_ntz").alias("session_end"), "n"))
 
 
-def run_to_table(df: DataFrame, name: str, output_mode: str = "complete") -> DataFrame:
-    """Run a streaming query over everything available, write the result as
-    Parquet below the shared folder (checkpointed), and read it back."""
-    spark = df.sparkSession
-    out = scratch_path(spark, f"stream-{name}")
-    ckpt = out + "-checkpoint"
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        # complete mode: each batch is the full result; replace it.
-        batch.write.mode("overwrite").parquet(out)
-
-    q = (df.writeStream.outputMode(output_mode).foreachBatch(write)
-         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(out)
+#: block of the line that ends a bounded run; its own windows stay open
+SENTINEL_BLOCK = "blk_0"
+
+
+def run_bounded(lines: DataFrame, build, name: str, sink=None) -> DataFrame | None:
+    """Stream a bounded set of lines through ``build`` (lines stream -> appended
+    rows) to its end and read the result.
+
+    The lines go to a folder as files; a first run takes them, then a sentinel
+    line later than any watermark and gap is added, and a second run from the
+    same checkpoint closes every window.  ``sink(path)`` gives the
+    ``foreachBatch`` body (default: one folder per micro-batch).
+    """
+    spark = lines.sparkSession
+    folder = scratch_path(spark, f"stream-{name}")
+    lines.write.parquet(folder + "/in/data")
+    stream = spark.readStream.schema(lines.schema).parquet(folder + "/in/*")
+    last = parse_ops.parse_lines(spark.read.parquet(folder + "/in/data")).agg(
+        F.max("event_ts").alias("t"))
+    stamp = F.date_format(F.col("t") + F.expr("INTERVAL 3 DAYS"), "yyMMdd HHmmss")
+    sentinel = last.where("t is not null").select(
+        F.lit(None).cast("long").alias("line_id"),
+        F.concat(stamp, F.lit(f" 0 END sentinel: end of input {SENTINEL_BLOCK}")).alias("raw_content"))
+    out = folder + "/out"
+    body = (sink or idempotent_alert_sink)(out)
+    for closing in (False, True):
+        if closing:
+            sentinel.write.parquet(folder + "/in/end")
+        query = (build(stream).writeStream.outputMode("append").foreachBatch(body)
+                 .option("checkpointLocation", folder + "/checkpoint")
+                 .trigger(availableNow=True).start())
+        query.awaitTermination()
+    from blocklens.plans.stages import _fs_exists
+    return spark.read.parquet(out).drop("batch_id") if _fs_exists(spark, out) else None
 
 
 def idempotent_alert_sink(path: str):
     """``foreachBatch`` function writing each micro-batch to its own
     ``batch_id=<n>`` folder with overwrite, deduplicated on (block_id, window)."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        keys = [c for c in ("block_id", "window_start", "session_start") if c in batch.columns]
-        batch.dropDuplicates(keys).write.mode("overwrite").parquet(
+        keys = [c for c in ("block_id", "window_start", "session_start", "level")
+                if c in batch.columns]
+        rows = batch.dropDuplicates(keys) if keys else batch
+        rows.write.mode("overwrite").parquet(
             os.path.join(path, f"batch_id={batch_id}"))
     return write
 
 
 def session_counts(parsed: DataFrame, vocabulary: list[int], gap: str = SESSION_GAP,
                    watermark: str = WATERMARK) -> DataFrame:
-    """E2 + G3 on a stream: per (block, session) one count column per
-    training event id (a static list of aggregates, so no pivot is needed)."""
-    keyed = parsed.where(F.col("block_id").isNotNull() & F.col("event_id").isNotNull())
-    aggs = [F.sum(F.when(F.col("event_id") == k, 1).otherwise(0)).alias(f"E{k}")
-            for k in vocabulary]
+    """E2 + G3 on a stream: per (block, session) the number of lines, of lines
+    without a known template, and one count column per training event id (a
+    static list of aggregates, so no pivot is needed)."""
+    keyed = parsed.where(F.col("block_id").isNotNull())
+    aggs = [F.count_if(F.col("event_id") == k).alias(f"E{k}") for k in vocabulary]
     return (keyed.withWatermark("event_ts", watermark)
             .groupBy(F.session_window("event_ts", gap).alias("s"), "block_id")
-            .agg(F.count(F.lit(1)).alias("n_events"), *aggs)
+            .agg(F.count(F.lit(1)).alias("n_events"),
+                 F.count_if(F.col("event_id").isNull()).alias("n_unseen"), *aggs)
             .select("block_id", F.col("s.start").cast("timestamp_ntz").alias("session_start"),
                     F.col("s.end").cast("timestamp_ntz").alias("session_end"), "n_events",
-                    *[f"E{k}" for k in vocabulary]))
+                    "n_unseen", *[f"E{k}" for k in vocabulary]))
 
 
-def scoring_alert_sink(path: str, nodes: DataFrame, psi: int, feature_names: list[str]):
-    """``foreachBatch`` body that scores each micro-batch of session
-    counts with a frozen isolation forest (model broadcast once per batch)
-    and writes the anomalous sessions as alerts, replacing the batch's output
-    so a replayed batch cannot duplicate them."""
+def score_sessions(sessions: DataFrame, decision, feature_names: list[str]) -> DataFrame:
+    """Alerts of scored sessions: each session keeps its own score."""
     from blocklens.functions import scores as S
-    from blocklens.operators.iforest import score_isolation_forest
-
+    from blocklens.operators.iforest import class_of_score, features_array
+    scored = sessions.withColumn("decision", decision(features_array(sessions, feature_names)))
+    norm = S.normalize_isolation_score(F.col("decision"))
+    return scored.where(class_of_score(F.col("decision")) == "Anomaly").select(
+        "block_id", "session_start", "session_end", "n_events", "n_unseen",
+        S.round_score(norm).alias("score"), S.severity(norm).alias("severity"))
+
+
+def scoring_alert_sink(path: str, decision, feature_names: list[str]):
+    """``foreachBatch`` body that scores each micro-batch of session counts
+    with a frozen isolation forest (``decision``: one broadcast for the whole
+    query) and writes the anomalous sessions, replacing the batch's output so
+    that a replayed batch cannot duplicate them."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        scored = score_isolation_forest(spark, nodes, psi, batch.withColumn(
-            "label", F.lit(None).cast("string")), feature_names, split=None)
-        norm = S.normalize_isolation_score(F.col("score"))
-        alerts = (scored.where(F.col("classification") == "Anomaly")
-                  .join(batch.select("block_id", "session_start", "session_end", "n_events"),
-                        "block_id")
-                  .select("block_id", "session_start", "session_end", "n_events",
-                          S.round_score(norm).alias("score"), S.severity(norm).alias("severity"))
-                  .dropDuplicates(["block_id", "session_start"]))
-        alerts.write.mode("overwrite").parquet(os.path.join(path, f"batch_id={batch_id}"))
+        score_sessions(batch, decision, feature_names).write.mode("overwrite").parquet(
+            os.path.join(path, f"batch_id={batch_id}"))
     return write
 
 

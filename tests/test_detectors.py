@@ -60,12 +60,13 @@ def test_random_forest_separates(spark, wide):
     assert top["feature_name"] in ("E1", "E3")
 
 
-def test_sparse_vector_form_matches_wide(spark):
+def test_sparse_vector_form_matches_wide(spark, tmp_dir):
     """Both feature forms give the same counts and the same forest."""
     from blocklens.operators.features import (block_event_counts, count_matrix_long,
-                                              count_matrix_wide, count_vectors,
-                                              train_vocabulary)
-    from blocklens.operators.sequences import block_events, block_sequences
+                                              count_matrix_wide, sparse_counts, train_vocabulary,
+                                              vector_schema)
+    from blocklens.operators.sequences import block_events
+    from blocklens.plans.stages import StageStore
     rng = random.Random(11)
     rows, lid = [], 0
     for b in range(300):
@@ -80,8 +81,10 @@ def test_sparse_vector_form_matches_wide(spark):
     counts = block_event_counts(block_events(lines))
     vocab = train_vocabulary(counts, split)
     names = [r[0] for r in vocab.orderBy("feature_index").select("feature_name").collect()]
-    wide = count_matrix_wide(count_matrix_long(counts, split, vocab), split, names)
-    vec = count_vectors(block_sequences(lines), split, vocab)
+    long = count_matrix_long(counts, split, vocab)
+    wide = count_matrix_wide(long, split, names)
+    vec = StageStore(spark, tmp_dir).materialize("v", lambda: sparse_counts(long, split, vocab),
+                                                 schema=vector_schema())
     w = {r["block_id"]: [float(r[n]) for n in names] for r in wide.collect()}
     v = {r["block_id"]: r["features"].toArray().tolist() for r in vec.collect()}
     assert w == v
@@ -102,3 +105,27 @@ def test_distinct_row_scoring_is_exact(spark, wide):
     forest = _Forest(nodes.toPandas(), psi)
     x = np.array([[r["E1"], r["E2"], r["E3"]] for r in wide.collect()], dtype=float)
     assert np.array_equal(forest.decision(x), forest._walk(x))
+
+
+def test_a_vocabulary_of_thousands_has_one_form(spark, tmp_dir):
+    """Wider than any limit there was: the same sparse path, and the forest trains on it."""
+    from blocklens.operators.features import (block_event_counts, count_matrix_long,
+                                              sparse_counts, train_vocabulary, vector_schema)
+    from blocklens.plans.stages import StageStore
+    lines = spark.range(12000).selectExpr("id AS line_id", "concat('b', id % 60) AS block_id",
+                                          "cast(id % 3000 AS int) AS event_id")
+    split = spark.createDataFrame([(f"b{b}", "Anomaly" if b % 6 == 0 else "Normal",
+                                    "train" if b < 50 else "test") for b in range(60)],
+                                  "block_id string, label string, split string")
+    counts = block_event_counts(lines)
+    vocab = train_vocabulary(counts, split)
+    width = vocab.count()
+    assert width > 2048
+    vec = StageStore(spark, tmp_dir).materialize("v", lambda: sparse_counts(
+        count_matrix_long(counts, split, vocab), split, vocab), schema=vector_schema())
+    first = vec.first().features
+    assert first.size == width and len(first.indices) == 50
+    model = train_random_forest(vec, None, numTrees=3, maxDepth=4)
+    assert predict_random_forest(model, vec, None).count() == 10
+    nodes, psi = train_isolation_forest(spark, vec, None, n_trees=3)
+    assert score_isolation_forest(spark, nodes, psi, vec, None).count() == 10

@@ -1,163 +1,57 @@
-"""Drain clustering over distinct masks."""
-from blocklens.operators.templates import drain_templates, mask_templates
+"""Mined templates: a token stays where enough masks of its group share it."""
+import collections
+import random
 
+import pytest
 
-def _masked(spark, contents):
-    rows = [(i + 1, c) for i, c in enumerate(contents)]
-    return spark.createDataFrame(rows, "line_id long, template string")
+from blocklens.operators import templates as tpl
 
 
-def test_similar_messages_merge(spark):
-    masked = _masked(spark, [
-        "Receiving block <BLOCK_ID> src: <IP> dest: <IP>",
-        "PacketResponder <NUM> for block <BLOCK_ID> terminating",
-        "PacketResponder <NUM> for block <BLOCK_ID> interrupted",
-        "Receiving block <BLOCK_ID> src: <IP> dest: <IP>",
-        "Deleting block <BLOCK_ID> file /a/b",
-        "Deleting block <BLOCK_ID> file /c/d",
-        "short",
-    ])
-    t, m2e = drain_templates(masked)
-    got = {r["event_id"]: (r["event_template"], r["occurrences"]) for r in t.collect()}
-    assert got == {
-        1: ("Receiving block <BLOCK_ID> src: <IP> dest: <IP>", 2),
-        2: ("PacketResponder <NUM> for block <BLOCK_ID> <*>", 2),
-        3: ("Deleting block <BLOCK_ID> file <*>", 2),
-        4: ("short", 1),
-    }
-    mapping = {r["template"]: r["event_id"] for r in m2e.collect()}
-    assert mapping["PacketResponder <NUM> for block <BLOCK_ID> interrupted"] == 2
-
-
-def test_different_lengths_never_merge(spark):
-    masked = _masked(spark, ["a b c", "a b c d"])
-    t, _ = drain_templates(masked)
-    assert t.count() == 2
-
-
-def test_dissimilar_same_prefix_split(spark):
-    # same first token and length, but only 1 of 4 tokens equal (< 0.4)
-    masked = _masked(spark, ["open x y z", "open p q r"])
-    t, _ = drain_templates(masked)
-    assert sorted(r[0] for r in t.select("event_template").collect()) == \
-        ["open p q r", "open x y z"]
-
-
-def test_digit_first_tokens_share_wildcard_leaf(spark):
-    masked = _masked(spark, ["10ms took op a", "20ms took op a"])
-    t, _ = drain_templates(masked)
-    assert [r[0] for r in t.select("event_template").collect()] == ["<*> took op a"]
-
-
-def test_mask_templates_rank_first_appearance(spark):
-    masked = _masked(spark, ["b", "a", "b", "c"])
-    t = {r["event_template"]: (r["event_id"], r["occurrences"])
-         for r in mask_templates(masked).collect()}
-    assert t == {"b": (1, 2), "a": (2, 1), "c": (3, 1)}
-
-
-def _reference_drain(masks, sim_th=0.4, wildcard="<*>"):
-    """Plain re-statement of the per-leaf loop, for a brute-force comparison."""
-    clusters, out = [], []
-    for toks in masks:
-        best, best_key = -1, None
-        for ci, c in enumerate(clusters):
-            params = sum(a == wildcard for a in c)
-            same = sum(a == b and a != wildcard for a, b in zip(c, toks))
-            key = (same, params)
-            if best_key is None or key > best_key:
-                best, best_key = ci, key
-        if best >= 0 and (best_key[0] / len(toks) if toks else 1.0) >= sim_th:
-            clusters[best] = [a if a == b else wildcard for a, b in zip(clusters[best], toks)]
-            out.append(best)
-        else:
-            clusters.append(list(toks))
-            out.append(len(clusters) - 1)
-    return [" ".join(clusters[i]) for i in out]
-
-
-def test_vectorised_leaf_equals_plain_loop(spark):
-    import random
-    rng = random.Random(3)
-    words = ["open", "close", "read", "write", "<NUM>", "<IP>", "ok", "fail", "x", "y"]
-    masks = []
-    for _ in range(400):
-        toks = ["op"] + [rng.choice(words) for _ in range(5)]
-        masks.append(" ".join(toks))
-    seen, uniq = set(), []
+def brute(masks, share=tpl.SHARE_THRESHOLD):
+    """mask -> template, by the definition, over distinct masks."""
+    groups = collections.defaultdict(set)
     for m in masks:
-        if m not in seen:
-            seen.add(m)
-            uniq.append(m)
-    masked = _masked(spark, uniq)
-    _, m2e = drain_templates(masked)
-    got = {r["template"]: r["event_template"] for r in m2e.collect()}
-    want = dict(zip(uniq, _reference_drain([u.split(" ") for u in uniq])))
-    assert got == want
+        toks = m.split(" ") if m else []
+        first = toks[0] if toks else ""
+        groups[len(toks), "<*>" if any(c.isdigit() for c in first) else first].add(m)
+    out = {}
+    for (n, _), own in groups.items():
+        for m in own:
+            toks = m.split(" ") if m else []
+            out[m] = " ".join(
+                t if sum(o.split(" ")[i] == t for o in own) >= share * len(own) else "<*>"
+                for i, t in enumerate(toks))
+    return out
 
 
-def _plain_tree_drain(masks, sim_th=0.4, wildcard="<*>", max_children=100):
-    """Plain re-statement of the first-token tree over ordered distinct masks."""
-    clusters, out, roots = [], [], {}
-    for m in masks:
-        toks = m.split(" ") if m else []
-        node = roots.setdefault(len(toks), {"children": {}, "own": []})
-        if len(toks) <= 1:
-            leaf = node["own"]
-        else:
-            leaf = node["children"].get(toks[0], node["children"].get(wildcard))
-        best, key = -1, None
-        for ci in (leaf or []):
-            c = clusters[ci]
-            k = (sum(a == b and a != wildcard for a, b in zip(c, toks)),
-                 sum(a == wildcard for a in c))
-            if key is None or k > key:
-                best, key = ci, k
-        ok = best >= 0 and (not toks or key[0] / len(toks) >= sim_th)
-        if ok:
-            clusters[best] = [a if a == b else wildcard for a, b in zip(clusters[best], toks)]
-            out.append(best)
-            continue
-        clusters.append(list(toks))
-        ci = len(clusters) - 1
-        out.append(ci)
-        if len(toks) <= 1:
-            node["own"].append(ci)
-            continue
-        ch, t = node["children"], toks[0]
-        if t in ch:
-            ch[t].append(ci)
-        elif any(x.isdigit() for x in t):
-            ch.setdefault(wildcard, []).append(ci)
-        elif wildcard in ch:
-            if len(ch) < max_children:
-                ch[t] = [ci]
-            else:
-                ch[wildcard].append(ci)
-        elif len(ch) + 1 < max_children:
-            ch[t] = [ci]
-        else:
-            ch[wildcard] = [ci]
-    return [" ".join(clusters[i]) for i in out]
+def frame(spark, masks):
+    return spark.createDataFrame(list(enumerate(masks, start=1)), "line_id long, template string")
 
 
-def test_exact_tree_mode_matches_plain_tree(spark):
-    import random
-    rng = random.Random(5)
-    masks = []
-    # digit-first tokens open the wildcard child; then new literal first
-    # tokens may join wildcard clusters; a small children limit overflows
-    for i in range(300):
-        first = rng.choice([f"t{rng.randint(0, 9)}x", f"w{rng.randint(0, 30)}", "op"])
-        rest = [rng.choice(["a", "b", "<NUM>", "c"]) for _ in range(3)]
-        masks.append(" ".join([first] + rest))
-    seen, uniq = set(), []
-    for m in masks:
-        if m not in seen:
-            seen.add(m)
-            uniq.append(m)
-    masked = _masked(spark, uniq)
-    _, m2e = drain_templates(masked, max_children=8, exact_tree=True)
-    got = {r["template"]: r["event_template"] for r in m2e.collect()}
-    want = dict(zip(uniq, _plain_tree_drain(uniq, max_children=8)))
-    assert got == want
+@pytest.mark.parametrize("share", [0.4, 0.7])
+def test_matches_definition(spark, share):
+    rng = random.Random(3)
+    masks = [" ".join(rng.choice(["open", "close", f"v{rng.randint(0, 40)}", "<NUM>"])
+                      for _ in range(rng.randint(1, 5))) for _ in range(300)] + ["", "", "solo"]
+    mined = tpl.mined_masks(frame(spark, masks), share).collect()
+    want = brute(masks, share)
+    assert {r.template: r.event_template for r in mined} == want
+    count = collections.Counter(masks)
+    assert {r.template: r.occurrences for r in mined} == count
+
+
+def test_ids_follow_first_appearance_and_cover_every_line(spark):
+    masks = ["b x 1", "a y", "b x 2", "b x 3", "a y", "", "c"]
+    mined = tpl.mined_masks(frame(spark, masks))
+    templates, mapping = tpl.mined_from_masks(mined)
+    got = {r.event_template: (r.event_id, r.occurrences, r.first_line_id) for r in templates.collect()}
+    assert got == {"b x <*>": (1, 3, 1), "a y": (2, 2, 2), "": (3, 1, 6), "c": (4, 1, 7)}
+    lines = tpl.assign_events(frame(spark, masks), mapping)
+    assert lines.count() == len(masks)
+
+
+def test_many_first_tokens_change_nothing(spark):
+    """No limit on the number of groups: 500 first words keep their own templates."""
+    masks = [f"{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxy'[i // 100]} one two" for i in range(500)]
+    mined = tpl.mined_masks(frame(spark, masks)).collect()
+    assert all(r.template == r.event_template for r in mined) and len(mined) == 500

@@ -11,8 +11,8 @@ from tests.conftest import SF_SMALL
 
 
 def test_level_rates_stream_equals_batch(spark):
-    stream = live.parse_stream(fixtures.log_lines_from_events(live.event_stream(spark, SF_SMALL)))
-    got = live.run_to_table(live.level_rates(stream), "t-rates")
+    got = live.run_bounded(fixtures.log_lines(spark, SF_SMALL),
+                           lambda s: live.level_rates(live.parse_stream(s)), "t-rates")
     batch = with_masks(parse_lines(fixtures.log_lines(spark, SF_SMALL)))
     want = live.level_rates(batch)
     key = ["window_start", "level"]
@@ -57,11 +57,42 @@ def test_late_rows_dropped(spark, tmp_dir):
     assert res[dt.datetime(2024, 1, 10, 17, 0)] == 1
 
 
-def test_stream_alerts_score_closed_sessions(spark):
+def test_stream_alerts_equal_batch_scoring_of_the_same_sessions(spark):
     import __spark_entry__ as E
-    alerts = E.queries()["stream_alerts"](spark, SF_SMALL)
-    rows = alerts.collect()
-    # isolation-forest alerts always have s > 0.5, so never below LOW
-    assert all(r["severity"] in ("HIGH", "MEDIUM", "LOW") for r in rows)
-    keys = [(r["block_id"], r["session_start"]) for r in rows]
-    assert len(keys) == len(set(keys))
+    from blocklens.plans.catalog import _session_scorer
+    from blocklens.plans.context import LogContext
+    got = E.queries()["stream_alerts"](spark, SF_SMALL)
+    ctx = LogContext.of(spark, SF_SMALL)
+    decision, names = _session_scorer(spark, SF_SMALL)
+    sessions = live.session_counts(live.parse_stream(ctx.lines, ctx.templates),
+                                   [int(n[1:]) for n in names])
+    want = live.score_sessions(sessions, decision, names)
+    key = ["block_id", "session_start"]
+    assert got.select(want.columns).orderBy(key).collect() == want.orderBy(key).collect()
+    assert want.count() > 0
+
+
+def test_a_replayed_batch_changes_nothing(spark, tmp_dir):
+    batch = spark.createDataFrame([("blk_1", dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2), 3, 0, 1.0)],
+                                  "block_id string, session_start timestamp, session_end timestamp, "
+                                  "n_events long, n_unseen long, E1 double")
+    from pyspark.sql import functions as F
+    sink = live.scoring_alert_sink(tmp_dir + "/out", lambda features: F.lit(-0.2) + features[0] * 0, ["E1"])
+    for _ in range(3):
+        sink(batch, 7)
+    assert spark.read.parquet(tmp_dir + "/out").count() == 1
+
+
+def test_lines_of_unseen_templates_count_and_are_listed(spark, tmp_dir):
+    lines = spark.createDataFrame(
+        [(i, f"240101 00000{i} 1 INFO svc: {'known' if i % 2 else 'strange'} blk_5") for i in range(6)],
+        "line_id long, raw_content string")
+    templates = spark.createDataFrame([("known <BLOCK_ID>", 1)], "event_template string, event_id int")
+    got = live.run_bounded(lines, lambda s: live.session_counts(live.parse_stream(s, templates), [1]), "t-unseen")
+    row = got.first()
+    assert (got.count(), row.n_events, row.n_unseen, row.E1) == (1, 6, 3, 3)
+    path = tmp_dir + "/side"
+    live.run_bounded(lines, lambda s: live.parse_stream(s, templates), "t-side",
+                     lambda _: live.unseen_mask_sink(path))
+    side = {r.template: r.n for r in live.read_unseen_masks(spark, path).collect()}
+    assert side["strange <BLOCK_ID>"] == 3 and "known <BLOCK_ID>" not in side
