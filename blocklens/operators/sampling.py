@@ -89,13 +89,25 @@ def stratified_split(df: DataFrame, strata: str = "label", key: str = "block_id"
 
 def stratified_sample(df: DataFrame, size: int = SAMPLE_SIZE, strata: str = "label",
                       key: str = "block_id", seed: int = SEED) -> DataFrame:
-    """Exactly ``size`` rows (when N >= size), class shares kept."""
+    """Exactly ``size`` rows (when N >= size), class shares kept.
+
+    The bucket counts (a map-side aggregate) say in which hash bucket a class's
+    quota ends.  Rows of later buckets are filtered out in the scan's stage, so
+    only about ``size`` rows and the boundary bucket are shuffled and ranked.
+    """
     clean = df.where(F.col(strata).isNotNull())
-    counts = class_counts(clean, strata)
-    quotas = approximate_mode(counts, F.least(F.lit(int(size)), F.col("n_total")), strata)
-    ranked = rank_in_class(clean, strata, key, seed)
-    out = ranked.join(F.broadcast(quotas.select(strata, "quota")), strata)
-    return out.where(F.col("class_rank") <= F.col("quota")).drop("quota", "class_rank")
+    keyed = clean.withColumn("_h", hash_key(key, seed)).withColumn("_b", F.substring("_h", 1, HASH_PREFIX))
+    sizes = keyed.groupBy(strata, "_b").agg(F.count(F.lit(1)).alias("_bn"))
+    per_class = sizes.groupBy(strata).agg(F.sum("_bn").alias("n_c"))
+    quotas = approximate_mode(per_class, F.least(F.lit(int(size)), F.col("n_total")), strata)
+    upto = Window.partitionBy(strata).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    ends = sizes.withColumn("_before", F.coalesce(F.sum("_bn").over(upto), F.lit(0))).join(
+        quotas.select(strata, "quota"), strata).where(F.col("_before") < F.col("quota")) \
+        .groupBy(strata).agg(F.max("_b").alias("_end"), F.max("quota").alias("_quota"))
+    near = keyed.join(ends, strata).where(F.col("_b") <= F.col("_end"))
+    order = Window.partitionBy(strata).orderBy("_h", key)
+    return near.withColumn("_r", F.row_number().over(order)).where(
+        F.col("_r") <= F.col("_quota")).drop("_r", "_h", "_b", "_end", "_quota")
 
 
 def _check_quotas(quotas: DataFrame, strata: str) -> DataFrame:
