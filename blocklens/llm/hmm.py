@@ -234,7 +234,8 @@ def log_likelihoods(model: Model, sizes: np.ndarray, c: np.ndarray, cls: np.ndar
     seen = np.empty((len(c), len(model.start)))
     seen[grid.place] = model.emissions(c, cls)
     _, scale = grid.forward(model, seen)
-    return np.bincount(grid.text, np.log10(scale[grid.place]), len(sizes))
+    # rounding may not make a probability exceed one
+    return np.minimum(np.bincount(grid.text, np.log10(scale[grid.place]), len(sizes)), 0.0)
 
 
 def add_counts(counts: Counts, model: Model, sizes: np.ndarray, c: np.ndarray, cls: np.ndarray) -> None:
