@@ -22,7 +22,6 @@ columns are ignored.
 from __future__ import annotations
 
 import math
-import os
 import zlib
 from bisect import bisect_left
 
@@ -39,7 +38,7 @@ END_ID = 0
 NODES = 2000
 #: fillings looked at and kept for one node
 FILLINGS_SEEN, FILLINGS_KEPT = 400, 6
-CACHED_CHUNKS = 400_000
+CACHED_CHUNKS = 600_000
 #: pieces of one length that one task ranks
 RANKED_ROWS = 50_000
 
@@ -218,27 +217,58 @@ def places(patterns: list[Pattern]) -> list[tuple[int, int, int, int, int, int]]
 
 
 def _encoder(file_text: str):
-    """text -> little-endian 32-bit ids, through the library and a cache of chunks."""
+    """text -> little-endian 32-bit ids, by the library's own steps and a cache.
+
+    White space separates tokens, so chunks are encoded one by one: normalised,
+    cut into words and merged by the library.  A plain word with marks behind
+    it is two chunks to the cache, and case in ASCII is folded beforehand where
+    it cannot matter (the library folds it too, after composing characters).
+    """
     from tokenizers import Tokenizer
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     library = Tokenizer.from_str(file_text)
     library.no_truncation()
     library.no_padding()
+    shape, cut, merge = library.normalizer, library.pre_tokenizer, library.model
+    special = [t.content.encode() for t in library.get_added_tokens_decoder().values()]
     cache: dict[bytes, bytes] = {}
 
+    def pack(ids) -> bytes:
+        return b"".join([i.to_bytes(4, "little") for i in ids])
+
+    def plain(word: bytes) -> bytes:
+        """A chunk without special tokens."""
+        if word.isalpha():      # ASCII letters, which stand for themselves
+            return pack([t.id for t in merge.tokenize(word.lower().decode())])
+        pieces = cut.pre_tokenize_str(shape.normalize_str(word.decode()))
+        return pack([t.id for w, _ in pieces for t in merge.tokenize(w)])
+
+    def known(chunk: bytes) -> bytes:
+        got = cache.get(chunk)
+        if got is None:
+            got = plain(chunk)
+            if len(chunk) <= 64:
+                if len(cache) >= CACHED_CHUNKS:
+                    cache.clear()
+                cache[chunk] = got
+        return got
+
+    def miss(chunk: bytes) -> bytes:
+        word = chunk.rstrip(b".,;:!?")
+        if word and word != chunk and word.isalpha() and word.islower():
+            return known(word) + known(chunk[len(word):])
+        return known(chunk)
+
     def encode(text: str) -> bytes:
-        chunks = text.encode().split()      # white space separates tokens
-        known = list(map(cache.get, chunks))
-        if None in known:
-            missing = list({c for c, k in zip(chunks, known) if k is None})
-            made = library.encode_batch([c.decode() for c in missing], add_special_tokens=False)
-            new = {c: b"".join([i.to_bytes(4, "little") for i in e.ids])
-                   for c, e in zip(missing, made)}
-            known = [new[c] if k is None else k for c, k in zip(chunks, known)]
-            if len(cache) + len(new) > CACHED_CHUNKS:
-                cache.clear()
-            cache.update((c, k) for c, k in new.items() if len(c) <= 64)
-        return b"".join(known)
+        data = text.encode()
+        if any(s in data for s in special):
+            return pack(library.encode(text, add_special_tokens=False).ids)
+        try:        # no combining characters: folding before composing is the same
+            text.encode("latin-1")
+            data = data.lower()
+        except UnicodeEncodeError:
+            pass
+        chunks = data.split()
+        return b"".join([cache.get(c) or miss(c) for c in chunks])
     return encode
 
 
