@@ -52,7 +52,7 @@ def clusters(seed, dims=16, spread=0.12):
     return [(i, v) for i, v in enumerate(rows)]
 
 
-@pytest.mark.parametrize("seed,cells,block", [(1, None, ed.BLOCK), (2, 5, 7), (3, 12, 3), (4, 1, 10)])
+@pytest.mark.parametrize("seed,cells,block", [(1, None, ed.BLOCK), (2, 5, 7), (3, 12, 3)])
 def test_matches_all_pairs(spark, monkeypatch, seed, cells, block):
     """However many cells and blocks there are, no link is lost."""
     monkeypatch.setattr(ed, "BATCH", 16)

@@ -47,7 +47,7 @@ def test_fingerprint_is_the_engines_hash(spark):
     assert np.int64(row.h) == np.uint64(sh.fingerprint("One two THREE")).astype(np.int64)
 
 
-@pytest.mark.parametrize("limit,bucket", [(3, sh.BUCKET), (3, 3), (2, 2), (0, 2)])
+@pytest.mark.parametrize("limit,bucket", [(3, sh.BUCKET), (3, 3), (1, 2)])
 def test_links_connect_what_brute_force_connects(spark, limit, bucket):
     """Dense clusters, also with keys split by the finer level."""
     from blocklens.llm.common import connected_components

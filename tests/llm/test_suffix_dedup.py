@@ -84,7 +84,7 @@ def passages(seed, n=40):
     return rows + [(n, rows[3][1]), (n + 1, rows[3][1]), (n + 2, "ab" * 60), (n + 3, "ba" * 70)]
 
 
-@pytest.mark.parametrize("seed,hot", [(1, sd.HOT), (2, 2), (3, 1)])
+@pytest.mark.parametrize("seed,hot", [(1, sd.HOT), (2, 1)])
 def test_matches_brute_force(make_docs, seed, hot):
     rows = passages(seed)
     got = sd.suffix_dedup(make_docs(rows), 30, 13, hot).collect()
@@ -131,4 +131,5 @@ def test_cut_repeats_keeps_columns_and_drops_emptied_texts(make_docs):
     assert got[1][0].strip() == "start" and got[2][0].strip() == "end" and 5 not in got
     assert got[3] == ("clean text", 10) and got[4] == (None, None)
     assert got[1][1] == len(got[1][0])
+    assert {(r.kind, r.length, r.part) for r in out.collect()} == {("k", "l", "x")}
     assert sd.cut_repeats(make_docs([])).count() == 0 and sd.suffix_dedup(make_docs([])).count() == 0
