@@ -44,11 +44,11 @@ from blocklens.llm.common import BROADCAST_IDS, drop_stage, session, stage, text
 LENGTH = 200
 GRAM = 100
 #: unsettled places of a gram up to which one task sorts them
-HOT = 4096
+HOT = 1024
 #: window starts worked on at once
 CHUNK = 1 << 20
-#: lists by text are broadcast up to this many entries (16 bytes each)
-BROADCAST_ENTRIES = 4_000_000
+#: lists by text are broadcast up to this many entries (about 50 bytes each)
+BROADCAST_ENTRIES = 1_000_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -256,13 +256,14 @@ def _window_names(length: int, gram: int):
     return run
 
 
-def _listed(docs: DataFrame, lists: DataFrame, entries: int, how: str) -> DataFrame:
+def _listed(docs: DataFrame, lists: DataFrame, entries: int, how: str,
+            kind: str = "kind") -> DataFrame:
     """Texts with their row of ``lists`` (doc_id, kind, ...); the lists are
     broadcast while they hold few entries, else Spark shuffles both sides."""
     lists = lists.withColumnsRenamed({"doc_id": "_id", "kind": "_kind"})
     if entries <= BROADCAST_ENTRIES and lists.count() <= BROADCAST_IDS:
         lists = F.broadcast(lists)
-    on = docs["doc_id"].eqNullSafe(lists["_id"]) & (docs["kind"] == lists["_kind"])
+    on = docs["doc_id"].eqNullSafe(lists["_id"]) & (docs[kind] == lists["_kind"])
     return docs.join(lists, on, how).drop("_id", "_kind")
 
 
@@ -282,7 +283,9 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
         .select("num", "s.name", "s.reach", "s.place")
     twice = stage(places.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
                   .select("name"), "grams")
+    texts_of = stage(sampled.select("doc_id", "kind", "num"), "searched")
     shared = stage(places.join(twice.hint("merge"), "name"), "shared")
+    drop_stage(sampled)
     # distinct reaches of each gram: one place stands for all with the same bytes
     reaches = stage(shared.groupBy("name", "reach").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("num", "place")).alias("one")), "reaches")
@@ -297,7 +300,6 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
     # suffix tuples: one place of each reach, where a gram has several
     tuples = reaches.join(several.select("name").hint("merge"), "name").select(
         "name", "one.num", "one.place")
-    texts_of = sampled.select("doc_id", "kind", "num")
     listed = stage(tuples.groupBy("num").agg(
         F.collect_list(F.struct("name", "place")).alias("places")).join(texts_of, "num"), "tuples")
     entries = listed.agg(F.coalesce(F.sum(F.size("places")), F.lit(0))).first()[0]
@@ -332,6 +334,17 @@ def spans_of(first: np.ndarray, last: np.ndarray, length: int) -> list[tuple[int
     return list(zip(begin[edge].tolist(), end[np.append(edge[1:], len(end)) - 1].tolist()))
 
 
+def _merged(length: int):
+    """Starts and ends of ranges -> those of the maximal runs of removed bytes."""
+    def run(frames):
+        for frame in frames:
+            spans = [spans_of(a, b, length) for a, b in zip(frame["first"], frame["last"])]
+            frame["first"] = [[a for a, _ in own] for own in spans]
+            frame["last"] = [[b - length for _, b in own] for own in spans]
+            yield frame
+    return run
+
+
 def _without(text: str, ranges, length: int) -> tuple[bytes, list[tuple[int, int]], int]:
     """(bytes left, removed spans, bytes there were)."""
     data = text.encode()
@@ -367,7 +380,12 @@ def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
         .where("skip is null").select("doc_id", "kind", "text")
     texts_of, ranges = repeated_starts(search, length, gram, hot)
     found = ranges.groupBy("num").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
-    found = found.join(texts_of, "num").select("doc_id", "kind", "ranges")
+    found = found.join(texts_of, "num").select(
+        "doc_id", "kind", F.transform("ranges", lambda r: r["first"]).alias("first"),
+        F.transform("ranges", lambda r: r["last"]).alias("last")).mapInPandas(
+        _merged(length), "doc_id {}, kind int, first array<long>, last array<long>".format(
+            rows.schema["doc_id"].dataType.simpleString()))
+    found = found.select("doc_id", "kind", F.arrays_zip("first", "last").alias("ranges"))
     whole = copies.select("doc_id", "kind", F.array(F.struct(
         F.lit(0).cast("long").alias("first"), (F.col("n_bytes") - length).cast("long")
         .alias("last"))).alias("ranges")).distinct()
@@ -415,9 +433,9 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Data
         return pd.Series([_without(t, r, length)[0].decode("utf-8", "ignore")
                           for t, r in zip(text, ranges)])
 
-    rows = docs.withColumn("kind", F.hash(F.coalesce("text", F.lit(""))))
+    rows = docs.withColumn("_hash", F.hash(F.coalesce("text", F.lit(""))))
     lists = lists.withColumnRenamed("ranges", "_ranges")
-    rows = _listed(rows, lists, entries, "left")
+    rows = _listed(rows, lists, entries, "left", "_hash")
     rows = rows.withColumn("_cut", F.when(F.col("_ranges").isNull(), F.col("text")).otherwise(
         cut(F.coalesce("text", F.lit("")), "_ranges")))
     rows = rows.where(F.col("_ranges").isNull() | F.col("_cut").rlike(r"[^\x20\x09-\x0D]"))
