@@ -18,7 +18,7 @@ sentences, each sentence too; those of ``SHINGLE`` words or more count.
 Of equal texts only the one with the smallest doc_id takes part; the others
 are repeats from end to end.  A band with many members is split into blocks of
 ``BLOCK``, whose pairs are separate groups of rows; a group sends on a
-spanning forest of its links.
+spanning forest of its links, never all pairs.
 
 Defined results: null text counts as empty; texts without a paragraph of five
 words stay whole unless they are copies; rows equal in doc_id and text are one
@@ -187,27 +187,52 @@ def _shared(frame: pd.DataFrame) -> pd.DataFrame:
     return frame[np.repeat(mixed, size)].drop_duplicates()
 
 
-def _link(frame: pd.DataFrame) -> pd.DataFrame:
-    """Members of one group (name, grams) -> links at the similarity, as a forest."""
-    names = frame["name"].to_numpy()
-    grams = [np.asarray(g, np.int64) for g in frame["grams"]]
+def _link(names: np.ndarray, grams: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links at the similarity among the members of one group, as a forest."""
     size = np.array([len(g) for g in grams])
-    every = np.concatenate(grams)
-    start = np.cumsum(size) - size
     left, out = np.arange(len(names)), []
+    every, start = None, None
     while len(left) > 1:
         queue, left = [int(left[0])], left[1:]
         while queue and len(left):
             node = queue.pop()
             if len(left) < 8:
-                common = np.array([len(np.intersect1d(grams[node], grams[i], True)) for i in left])
+                own = set(grams[node].tolist())
+                common = np.array([len(own.intersection(grams[i].tolist())) for i in left])
             else:
+                if every is None:
+                    every, start = np.concatenate(grams), np.cumsum(size) - size
                 common = np.add.reduceat(np.isin(every, grams[node]), start, dtype=np.int64)[left]
             near = common >= SIMILARITY * (size[node] + size[left] - common) - 1e-9
             out += [(names[node], names[i]) for i in left[near]]
             queue += left[near].tolist()
             left = left[~near]
-    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+    return out
+
+
+def _links(frames):
+    """Rows sorted by group -> links; many small groups share a call."""
+    def of(frame: pd.DataFrame) -> pd.DataFrame:
+        group = frame[["key", "x", "y"]].to_numpy()
+        edge = np.flatnonzero(np.concatenate(([True], (group[1:] != group[:-1]).any(axis=1), [True])))
+        names, grams = frame["name"].to_numpy(), frame["grams"].to_numpy()
+        found = [pair for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()) if b - a > 1
+                 for pair in _link(names[a:b], list(grams[a:b]))]
+        return pd.DataFrame(list(set(found)), columns=["a", "b"], dtype="int64")
+
+    held = None
+    for frame in frames:
+        if held is not None and len(held):
+            frame = pd.concat([held, frame], ignore_index=True)
+        if not len(frame):
+            continue
+        last = (frame[["key", "x", "y"]].to_numpy() == frame[["key", "x", "y"]].iloc[-1].to_numpy()).all(axis=1)
+        cut = int(last.argmax())        # the last group may go on in the next frame
+        held = frame.iloc[cut:]
+        if cut:
+            yield of(frame.iloc[:cut])
+    if held is not None and len(held):
+        yield of(held)
 
 
 def link_paragraphs(docs: DataFrame, places: DataFrame) -> DataFrame:
@@ -249,7 +274,8 @@ def link_paragraphs(docs: DataFrame, places: DataFrame) -> DataFrame:
         "key", "name", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     rows = rows.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"),
                        "name").join(found.hint("merge"), "name")
-    return rows.groupBy("key", "x", "y").applyInPandas(_link, "a long, b long").distinct()
+    return rows.repartition(parts, "key", "x", "y").sortWithinPartitions("key", "x", "y").mapInPandas(
+        _links, "a long, b long").distinct()
 
 
 def repeats(docs: DataFrame) -> tuple[DataFrame, int]:
