@@ -12,6 +12,8 @@ sentences, each sentence too; those of ``SHINGLE`` words or more count.
    shingles; 0.8 or more links them.
 3. Connected components of equal and linked paragraphs are the groups.  The
    occurrence with the smallest (doc_id, place) stays, all others are repeats.
+   A line and a sentence in it are one passage: they are neither linked nor
+   repeats of one another.
 4. Runs of repeats side by side go if they hold ``RUN_WORDS`` words, so a
    short line that many documents share stays where it stands alone.
 
@@ -79,17 +81,25 @@ class Paragraphs:
         self.pieces = pieces                    # (first byte, end, first word, end)
         self.line_of = line_of
         self.words = np.fromiter((xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))
-        # units: every piece of enough words, then every line of several pieces
+        # units: every piece of enough words, then every line of several pieces with
+        # words; a line's only piece with words is the line, its end included
         lines: dict[int, list[int]] = {}
         for i, n in enumerate(line_of):
             lines.setdefault(n, []).append(i)
-        self.units = [(i, i, a, b, "line" if len(lines[line_of[i]]) == 1 else "sentence")
+        several = {n for n, own in lines.items()
+                   if sum(pieces[i][3] > pieces[i][2] for i in own) > 1}
+        self.units = [(i, i, a, b, "sentence") if line_of[i] in several else
+                      (lines[line_of[i]][0], lines[line_of[i]][-1], a, b, "line")
                       for i, (_, _, a, b) in enumerate(pieces) if b - a >= SHINGLE]
-        for own in lines.values():
+        for n, own in lines.items():
             a, b = pieces[own[0]][2], pieces[own[-1]][3]
-            if len(own) > 1 and b - a >= SHINGLE:
+            if n in several and b - a >= SHINGLE:
                 self.units.append((own[0], own[-1], a, b, "line"))
 
+    def overlap(self, u: int, v: int) -> bool:
+        """Whether two units have a piece in common."""
+        return self.units[u][0] <= self.units[v][1] and self.units[v][0] <= self.units[u][1]
+
     def names(self) -> np.ndarray:
         """One hash for each unit's words."""
         from xxhash import xxh64_intdigest
@@ -187,8 +197,13 @@ def _shared(frame: pd.DataFrame) -> pd.DataFrame:
     return frame[np.repeat(mixed, size)].drop_duplicates()
 
 
-def _link(names: np.ndarray, grams: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links at the similarity among the members of one group, as a forest."""
+def _link(names: np.ndarray, grams: list[np.ndarray], home: np.ndarray, first: np.ndarray,
+          last: np.ndarray) -> list[tuple[int, int]]:
+    """Links at the similarity among the members of one group, as a forest.
+
+    Names that stand once, in the same text (``home``, 0 for others) and on
+    common pieces, are the same passage and not linked.
+    """
     size = np.array([len(g) for g in grams])
     left, out = np.arange(len(names)), []
     every, start = None, None
@@ -204,6 +219,8 @@ def _link(names: np.ndarray, grams: list[np.ndarray]) -> list[tuple[int, int]]:
                     every, start = np.concatenate(grams), np.cumsum(size) - size
                 common = np.add.reduceat(np.isin(every, grams[node]), start, dtype=np.int64)[left]
             near = common >= SIMILARITY * (size[node] + size[left] - common) - 1e-9
+            near &= ~((home[node] != 0) & (home[left] == home[node])
+                      & (first[left] <= last[node]) & (first[node] <= last[left]))
             out += [(names[node], names[i]) for i in left[near]]
             queue += left[near].tolist()
             left = left[~near]
@@ -216,8 +233,9 @@ def _links(frames):
         group = frame[["key", "x", "y"]].to_numpy()
         edge = np.flatnonzero(np.concatenate(([True], (group[1:] != group[:-1]).any(axis=1), [True])))
         names, grams = frame["name"].to_numpy(), frame["grams"].to_numpy()
+        home, first, last = (frame[c].to_numpy() for c in ("home", "first", "last"))
         found = [pair for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()) if b - a > 1
-                 for pair in _link(names[a:b], list(grams[a:b]))]
+                 for pair in _link(names[a:b], list(grams[a:b]), home[a:b], first[a:b], last[a:b])]
         return pd.DataFrame(list(set(found)), columns=["a", "b"], dtype="int64")
 
     held = None
@@ -246,11 +264,13 @@ def link_paragraphs(docs: DataFrame, places: DataFrame) -> DataFrame:
                 .mapInPandas(_collisions, "key long, name long").distinct(), "collisions")
     asked = stage(met.select("name").distinct(), "colliding")
     one = places.join(asked.hint("merge"), "name").groupBy("name").agg(
-        F.min(F.struct("doc_id", "place")).alias("one"))
-    lists = stage(one.select("name", "one.*").groupBy(
-        "doc_id", F.shiftright("place", 32).cast("int").alias("kind")).agg(
-        F.collect_list(F.struct("name", F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
-                                .alias("unit"))).alias("wanted")), "wanted")
+        F.min(F.struct("doc_id", "place")).alias("one"), F.count(F.lit(1)).alias("n"))
+    kind = F.shiftright("place", 32).cast("int")
+    lists = stage(one.select("name", "n", "one.*").groupBy("doc_id", kind.alias("kind")).agg(
+        F.collect_list(F.struct(
+            "name", F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("unit"),
+            F.when(F.col("n") == 1, F.xxhash64("doc_id", kind)).otherwise(F.lit(0)).alias("home")
+        )).alias("wanted")), "wanted")
     entries = lists.agg(F.coalesce(F.sum(F.size("wanted")), F.lit(0))).first()[0]
 
     def grams(frames):
@@ -259,12 +279,13 @@ def link_paragraphs(docs: DataFrame, places: DataFrame) -> DataFrame:
             for text, wanted in zip(frame["text"], frame["wanted"]):
                 own = Paragraphs(text)
                 for w in wanted:
-                    _, _, a, b, _ = own.units[w["unit"]]
-                    rows.append((w["name"], np.unique(shingles(own.words[a:b]).view(np.int64))))
-            yield pd.DataFrame(rows, columns=["name", "grams"])
+                    first, last, a, b, _ = own.units[w["unit"]]
+                    rows.append((w["name"], np.unique(shingles(own.words[a:b]).view(np.int64)),
+                                 w["home"], first, last))
+            yield pd.DataFrame(rows, columns=["name", "grams", "home", "first", "last"])
 
     found = _listed(docs, lists, entries, "inner").select("text", "wanted").mapInPandas(
-        grams, "name long, grams array<long>")
+        grams, "name long, grams array<long>, home long, first int, last int")
     found = stage(found.dropDuplicates(["name"]), "grams")
     # a key's members in blocks: every pair of blocks is one group
     size = stage(met.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")),
@@ -280,7 +301,8 @@ def link_paragraphs(docs: DataFrame, places: DataFrame) -> DataFrame:
 
 def repeats(docs: DataFrame) -> tuple[DataFrame, int]:
     """(doc_id, kind, units) of texts with repeated paragraphs, -1 for a whole
-    text, and the number of entries; kind is hash(text)."""
+    text, and the number of entries; kind is hash(text).  A unit whose keeper is
+    in the same text has the keeper's number + 1 in its upper 32 bits."""
     rows = texts(docs).withColumn("kind", F.hash("text"))
     ids = stage(rows.select("doc_id", "kind", F.unhex(F.sha2("text", 256)).alias("sha")), "texts")
     groups = stage(ids.groupBy("sha").agg(
@@ -314,13 +336,25 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, int]:
     known = stage(known.join(first.hint("merge"), "component").select("name", "keep"), "keepers")
     again = places.join(known.hint("merge"), "name").where(
         ~F.struct("doc_id", "place").eqNullSafe(F.col("keep")))
-    units = again.groupBy("doc_id", F.shiftright("place", 32).cast("int").alias("kind")).agg(
-        F.collect_list(F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")).alias("units"))
-    lists = stage(units.unionByName(copies.withColumn("units", F.array(F.lit(-1)))), "repeats")
+    kind = F.shiftright("place", 32).cast("int")
+    low = F.lit(0xFFFFFFFF)
+    at_home = F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (
+        kind == F.shiftright("keep.place", 32).cast("int"))
+    unit = F.col("place").bitwiseAND(low).bitwiseOR(F.when(at_home, F.shiftleft(
+        F.col("keep.place").bitwiseAND(low) + 1, 32)).otherwise(F.lit(0)))
+    units = again.groupBy("doc_id", kind.alias("kind")).agg(F.collect_list(unit).alias("units"))
+    lists = stage(units.unionByName(copies.withColumn("units", F.array(F.lit(-1).cast("long")))),
+                  "repeats")
     drop_stage(listed)
     return lists, lists.agg(F.coalesce(F.sum(F.size("units")), F.lit(0))).first()[0]
 
 
+def repeated_units(own: Paragraphs, units) -> list[int]:
+    """Units as ``repeats`` lists them, without those that overlap their keeper."""
+    pairs = [(int(u) & 0xFFFFFFFF, int(u) >> 32) for u in units]
+    return [u for u, keeper in pairs if not keeper or not own.overlap(u, keeper - 1)]
+
+
 def removed_spans(own: Paragraphs, units, run_words: int = RUN_WORDS) -> list[tuple[int, int]]:
     """Byte spans of runs of repeated paragraphs with enough words.
 
@@ -364,6 +398,7 @@ def paragraph_dedup(docs: DataFrame, run_words: int = RUN_WORDS, with_text: bool
             for doc_id, text, units in zip(frame["doc_id"], frame["text"], frame["units"]):
                 data, spans, own = text.encode(), [], Paragraphs(text)
                 if units is not None and len(units):
+                    units = units if min(units) < 0 else repeated_units(own, units)
                     spans = removed_spans(own, units, run_words)
                 at, kept = 0, []
                 for a, b in spans:
