@@ -3,6 +3,8 @@
 Passages are copied as whole paragraphs, but also into the middle of other
 ones.  So a text's paragraphs are its lines and, in lines of several
 sentences, each sentence too; those of ``SHINGLE`` words or more count.
+Shorter neighbours are merged: from each of them on, as many as make
+``MERGED`` words are a paragraph, which only equals or does not.
 
 1. A paragraph's 5-word shingles are hashed and min-hashed.  Signatures are
    cut into bands (``BANDS``: lines get 9 of 3 values, which finds a pair of
@@ -15,7 +17,8 @@ sentences, each sentence too; those of ``SHINGLE`` words or more count.
    A line and a sentence in it are one passage: they are neither linked nor
    repeats of one another.
 4. Runs of repeats side by side go if they hold ``RUN_WORDS`` words, so a
-   short line that many documents share stays where it stands alone.
+   short line that many documents share stays where it stands alone.  A text
+   that is repeats from end to end goes whatever its length.
 
 Of equal texts only the one with the smallest doc_id takes part; the others
 are repeats from end to end.  A band with many members is split into blocks of
@@ -45,6 +48,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: (bands, values a band) of lines and of sentences
 BANDS = {"line": (9, 3), "sentence": (4, 2)}
 RUN_WORDS = 28
+#: least words of short neighbouring pieces that make one paragraph
+MERGED = 14
 BLOCK = 1024
 SEED = 1
 #: tokens whose signatures are taken at once
@@ -95,6 +100,17 @@ class Paragraphs:
             a, b = pieces[own[0]][2], pieces[own[-1]][3]
             if n in several and b - a >= SHINGLE:
                 self.units.append((own[0], own[-1], a, b, "line"))
+        # runs of pieces too short to be units: from each piece on, merged
+        short = [b - a < SHINGLE for _, _, a, b in pieces]
+        j = 0
+        for i, (_, _, a, b) in enumerate(pieces):
+            if not short[i] or a == b:
+                continue
+            j = max(i, j)
+            while j < len(pieces) and short[j] and pieces[j][3] - a < MERGED:
+                j += 1
+            if j < len(pieces) and short[j]:
+                self.units.append((i, j, a, pieces[j][3], "merged"))
 
     def overlap(self, u: int, v: int) -> bool:
         """Whether two units have a piece in common."""
@@ -129,12 +145,15 @@ def band_keys(own: list[Paragraphs]) -> tuple[np.ndarray, np.ndarray]:
         for _, _, a, b, kind in p.units:
             first.append(a + s)
             end.append(b + s - SHINGLE + 1)
-            lines.append(kind == "line")
-    if not first:
+            lines.append(kind)
+    name, kinds = np.concatenate(names), np.array(lines)
+    # merged paragraphs of neighbouring offsets are alike: no near copies of them
+    banded = np.flatnonzero(kinds != "merged") if len(kinds) else []
+    if not len(banded):
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    name, line = np.concatenate(names), np.array(lines)
+    name, line = name[banded], kinds[banded] == "line"
     grams = shingles(words)
-    first, end = np.array(first), np.array(end)
+    first, end = np.array(first)[banded], np.array(end)[banded]
     draw = np.random.default_rng(SEED)
     keys, of = [], []
     values = max(b * r for b, r in BANDS.values())
@@ -358,7 +377,9 @@ def repeated_units(own: Paragraphs, units) -> list[int]:
 def removed_spans(own: Paragraphs, units, run_words: int = RUN_WORDS) -> list[tuple[int, int]]:
     """Byte spans of runs of repeated paragraphs with enough words.
 
-    Pieces too short to be a paragraph go along when repeats stand on both sides.
+    Pieces too short to be a paragraph, less than ``MERGED`` words in all, go
+    along when repeats stand on both sides.  A text whose words are all in the
+    run goes whatever its length.
     """
     if len(units) and min(units) < 0:
         return [(0, own.size)] if own.size else []
@@ -366,17 +387,19 @@ def removed_spans(own: Paragraphs, units, run_words: int = RUN_WORDS) -> list[tu
     for u in units:
         a, b, *_ = own.units[u]
         repeated[a:b + 1] = True
-    spans, run, words = [], [], 0
+    spans, run, gap = [], [], 0
 
     def close():
         while run and not repeated[run[-1]]:
             run.pop()
-        if run and sum(own.pieces[i][3] - own.pieces[i][2] for i in run) >= run_words:
+        words = sum(own.pieces[i][3] - own.pieces[i][2] for i in run)
+        if run and (words >= run_words or words == len(own.words)):
             spans.append((own.pieces[run[0]][0], own.pieces[run[-1]][1]))
         run.clear()
 
     for i, (_, _, a, b) in enumerate(own.pieces):
-        if repeated[i] or (run and b - a < SHINGLE):
+        gap = 0 if repeated[i] else gap + b - a
+        if repeated[i] or (run and b - a < SHINGLE and gap < MERGED):
             run.append(i)
         else:
             close()

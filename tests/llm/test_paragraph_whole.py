@@ -29,3 +29,31 @@ def test_a_line_is_no_repeat_of_the_sentence_in_it(make_docs):
     got = dedup(make_docs, rows)
     assert got[1].n_removed == got[3].n_removed == 0 and got[3].n_repeated == 0
     assert got[2].n_removed >= len(line) - 5
+
+
+def test_a_passage_of_short_pieces_goes(make_docs):
+    """Also inside other text, at another offset; the first one stays."""
+    rng = random.Random(3)
+    pieces = [" ".join(words(rng, 1 + i % 3)) + "!!" for i in range(40)]
+    own = [" ".join(w + "!!" for w in words(rng, 20)) for _ in range(4)]
+    rows = [(1, " ".join([own[0], *pieces, own[1]])), (2, " ".join([own[2], *pieces, own[3]]))]
+    got = dedup(make_docs, rows)
+    assert got[1].n_removed == 0
+    assert got[2].n_removed >= 0.9 * len(" ".join(pieces))
+    assert own[2] in got[2].kept and own[3] in got[2].kept
+
+
+def test_unique_short_pieces_between_repeats_stay():
+    rng = random.Random(4)
+    repeat = " ".join(words(rng, 30)) + "."
+    unique = " ".join(w + "!" for w in words(rng, 40))
+    own = pd_.Paragraphs(f"{repeat} {unique} {repeat}")
+    again = [u for u, x in enumerate(own.units) if x[4] == "sentence"]
+    assert [own.size - sum(b - a for a, b in pd_.removed_spans(own, again))] == [len(unique) + 1]
+
+
+def test_a_near_copy_of_a_short_text_goes(make_docs):
+    rng = random.Random(5)
+    text = words(rng, 24)
+    got = dedup(make_docs, [(1, " ".join(text) + "."), (2, " ".join(text[:-1] + ["other"]) + ".")])
+    assert got[1].n_removed == 0 and got[2].kept == ""
