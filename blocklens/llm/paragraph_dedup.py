@@ -7,9 +7,10 @@ Shorter neighbours are merged: from each of them on, as many as make
 ``MERGED`` words are a paragraph, which only equals or does not.
 
 1. A paragraph's 5-word shingles are hashed and min-hashed.  Signatures are
-   cut into bands (``BANDS``: lines get 9 of 3 values, which finds a pair of
-   similarity 0.8 with probability 0.998, sentences 4 of 2 values with 0.98;
-   equal paragraphs always meet).  Paragraphs that share a band collide.
+   cut into bands (``BANDS``: all get 4 of 2 values, which finds a pair of
+   similarity 0.8 with probability 0.98, also a line and a sentence; lines get
+   9 of 3 values too, so two lines are found with 0.998 or more; equal
+   paragraphs always meet).  Paragraphs that share a band collide.
 2. Colliding paragraphs are compared by the Jaccard similarity of their
    shingles; 0.8 or more links them.
 3. Connected components of equal and linked paragraphs are the groups.  The
@@ -45,8 +46,8 @@ from blocklens.llm.common import connected_components, drop_stage, session, stag
 from blocklens.llm.suffix_dedup import _listed
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: (bands, values a band) of lines and of sentences
-BANDS = {"line": (9, 3), "sentence": (4, 2)}
+#: (bands, values a band) of all units, and those that lines have besides
+BANDS = {"all": (4, 2), "line": (9, 3)}
 RUN_WORDS = 28
 #: least words of short neighbouring pieces that make one paragraph
 MERGED = 14
@@ -158,22 +159,31 @@ def band_keys(own: list[Paragraphs]) -> tuple[np.ndarray, np.ndarray]:
     keys, of = [], []
     values = max(b * r for b, r in BANDS.values())
     factors = draw.integers(0, 1 << 63, (values, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    order = np.argsort(first, kind="stable")
+    name, line = name[order], line[order]
+    ranges = np.stack((first[order], end[order]), axis=1)
+    needed = np.ones(len(name), bool)
+    wide = BANDS["all"][0] * BANDS["all"][1]
+    low = []                # minima by value; those that only lines need stand beside them
+    for i in range(values):
+        if i == wide:
+            needed = line
+            if not needed.any():
+                break
+        mul, add = factors[i]
+        hashed = np.append(_mix(grams * mul + add), np.uint64(0))
+        low.append(np.minimum.reduceat(hashed, ranges[needed].ravel())[::2])
     for kind, (bands, rows) in BANDS.items():
-        chosen = np.flatnonzero(line == (kind == "line"))
-        if not len(chosen):
+        own = line if kind == "line" else np.ones(len(name), bool)
+        if not own.any():
             continue
-        ranges = np.stack((first[chosen], end[chosen]), axis=1)
-        order = np.argsort(ranges[:, 0], kind="stable")
-        chosen, ranges = chosen[order], ranges[order]
         for band in range(bands):
-            key = np.full(len(chosen), band, np.uint64)
-            for r in range(rows):
-                mul, add = factors[band * rows + r]
-                hashed = np.append(_mix(grams * mul + add), np.uint64(0))
-                low = np.minimum.reduceat(hashed, ranges.ravel())[::2]
-                key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + low)
+            key = np.full(int(own.sum()), band, np.uint64)
+            for i in range(band * rows, (band + 1) * rows):
+                value = low[i][own] if i < wide else low[i]
+                key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + value)
             keys.append(key.view(np.int64))
-            of.append(name[chosen])
+            of.append(name[own])
     return np.concatenate(keys), np.concatenate(of)
 
 
@@ -305,7 +315,7 @@ def link_paragraphs(docs: DataFrame, places: DataFrame) -> DataFrame:
 
     found = _listed(docs, lists, entries, "inner").select("text", "wanted").mapInPandas(
         grams, "name long, grams array<long>, home long, first int, last int")
-    found = stage(found.dropDuplicates(["name"]), "grams")
+    found = found.dropDuplicates(["name"])      # dealt by name, as the join below needs it
     # a key's members in blocks: every pair of blocks is one group
     size = stage(met.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")),
                  "key-sizes")

@@ -57,3 +57,28 @@ def test_a_near_copy_of_a_short_text_goes(make_docs):
     text = words(rng, 24)
     got = dedup(make_docs, [(1, " ".join(text) + "."), (2, " ".join(text[:-1] + ["other"]) + ".")])
     assert got[1].n_removed == 0 and got[2].kept == ""
+
+
+def test_lines_and_sentences_have_a_family_of_keys_in_common():
+    """A near copy meets whether it is a whole line or a sentence in one."""
+    rng, hits = random.Random(6), 0
+    for _ in range(100):
+        text = words(rng, 32)
+        line = pd_.Paragraphs(" ".join(text))
+        inside = pd_.Paragraphs(" ".join(words(rng, 20)) + ". " + " ".join(text[:-1] + ["other"]) + ". Yes.")
+        inside.units = [u for u in inside.units if u[:2] == (1, 1)]
+        a, b = pd_.band_keys([line])[0], pd_.band_keys([inside])[0]
+        hits += bool(set(a.tolist()) & set(b.tolist()))
+    assert hits >= 95
+
+
+def test_a_near_copy_of_a_line_inside_another_line_goes(make_docs):
+    rng = random.Random(7)
+    rows = []
+    for i in range(6):
+        text = words(rng, 40)
+        rows += [(i, " ".join(text)),
+                 (100 + i, " ".join(words(rng, 12)) + ". " + " ".join(text[:-1] + ["other"]) + ". "
+                  + " ".join(words(rng, 12)) + ".")]
+    got = dedup(make_docs, rows)
+    assert all(got[i].n_removed == 0 and got[100 + i].n_removed > 250 for i in range(6))
