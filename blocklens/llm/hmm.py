@@ -15,9 +15,11 @@ expected counts, which are summed across partitions and make the next model.
   their last letters; the table E is bounded by ``FREQUENT`` + ``ENDINGS``.
   One class is the end of a text, one symbol stands for any unknown word; its
   probability is the state's share of words seen once (Good-Turing).
-* Training starts from seeded noise with a few rounds over a bounded, hashed
-  choice of parts (``WARM_TOKENS``); ``PASSES`` rounds over all training texts
-  follow.  Counts are summed in fixed point, so the order of tasks is no matter.
+* Training starts from seeded noise with a sweep of ``WARM_ROUNDS`` rounds, each
+  over another hashed share of the training texts (incremental EM: the counts of
+  all shares so far make the next model, so every text weighs the same);
+  ``PASSES`` rounds over all training texts follow, at any size of the input.
+  Counts are summed in fixed point, so the order of tasks is no matter.
 
 Defined results: null text counts as empty (the end token alone); a null
 doc_id is scored, not learned from, and its held_out is null; without training
@@ -38,7 +40,7 @@ STATES = 8
 FREQUENT, ENDINGS = 16_384, 16_384
 #: tokens after which a part closes, and tokens worked on at once
 PART_TOKENS, CHUNK_TOKENS = 1_000_000, 250_000
-WARM_TOKENS, WARM_ROUNDS, PASSES = 2_000_000, 12, 3
+WARM_ROUNDS, PASSES = 12, 3
 #: pseudo-tokens of the class distribution added to every state
 PRIOR = 100.0
 #: expected counts are sent as whole multiples of 1 / FIXED
@@ -47,7 +49,7 @@ SEED = 4
 TRAIN, HELD_OUT, NO_ID = 0, 1, 2
 
 _PARTS = ("part long, tokens long, doc_ids array<long>, folds array<int>, sizes array<int>, "
-          "ids binary, words array<string>, counts array<long>")
+          "hashes array<int>, ids binary, words array<string>, counts array<long>")
 
 
 def words_of(text: str) -> list[bytes]:
@@ -69,13 +71,14 @@ def _parts(part_tokens: int):
             train = np.repeat(np.array(folds) == TRAIN, sizes)
             return pd.DataFrame({
                 "part": [part], "tokens": [len(numbers)], "doc_ids": [docs], "folds": [folds],
-                "sizes": [sizes], "ids": [zstandard.ZstdCompressor(3).compress(numbers.tobytes())],
+                "sizes": [sizes], "hashes": [hashes], "ids": [zstandard.ZstdCompressor(3).compress(numbers.tobytes())],
                 "words": [[w.decode() for w in known]],
                 "counts": [np.bincount(numbers[train], minlength=len(known))]})
 
-        known, held, docs, folds, tokens = {b"": 0}, [], [], [], 0
+        known, held, docs, folds, hashes, tokens = {b"": 0}, [], [], [], [], 0
         for frame in frames:
-            for doc_id, text, fold in zip(frame["doc_id"], frame["text"], frame["fold"]):
+            for doc_id, text, fold, hashed in zip(frame["doc_id"], frame["text"], frame["fold"],
+                                                  frame["hash"]):
                 words = words_of(text)
                 got = list(map(known.get, words))
                 if None in got:
@@ -84,10 +87,11 @@ def _parts(part_tokens: int):
                 held.append(np.array(got, np.uint32))
                 docs.append(None if pd.isna(doc_id) else int(doc_id))
                 folds.append(int(fold))
+                hashes.append(int(hashed))
                 tokens += len(got)
                 if tokens >= part_tokens:
                     yield close()
-                    known, held, docs, folds, tokens = {b"": 0}, [], [], [], 0
+                    known, held, docs, folds, hashes, tokens = {b"": 0}, [], [], [], [], 0
                     part += 1
         if held:
             yield close()
@@ -108,7 +112,8 @@ def prepare(docs: DataFrame, folds: int = 7, held_out: int = 2, part_tokens: int
     session(docs)
     fold = F.crc32(F.col("doc_id").cast("string")) % folds == held_out
     rows = texts(docs).withColumn("fold", F.when(F.col("doc_id").isNull(), NO_ID)
-                                  .when(fold, HELD_OUT).otherwise(TRAIN))
+                                  .when(fold, HELD_OUT).otherwise(TRAIN)) \
+        .withColumn("hash", F.hash("doc_id"))
     parts = stage(rows.mapInPandas(_parts(part_tokens), _PARTS), "hmm-parts")
     entry = F.explode(F.arrays_zip("words", "counts", F.sequence(
         F.lit(0), F.size("words") - 1).alias("number"))).alias("e")
@@ -188,6 +193,10 @@ class Counts:
         self.emit = np.zeros((classes, states))
         self.once = np.zeros(states)
 
+    def add(self, other: "Counts") -> None:
+        for name in ("start", "move", "emit", "once"):
+            getattr(self, name)[:] += getattr(other, name)
+
 
 class Lattice:
     """Texts side by side: position t of all texts longer than t is one block."""
@@ -254,8 +263,9 @@ def add_counts(counts: Counts, model: Model, sizes: np.ndarray, c: np.ndarray, c
     counts.once += gamma[c == 1].sum(axis=0)
 
 
-def _documents(frames, folds: tuple[int, ...]):
-    """(part row, chosen texts, sizes, counts, classes) in chunks of similar length."""
+def _documents(frames, folds: tuple[int, ...], turn: int = 0, turns: int = 1):
+    """(part row, chosen texts, sizes, counts, classes) in chunks of similar length;
+    of ``turns`` hashed shares of the texts the one numbered ``turn``."""
     import zstandard
     for frame in frames:
         for row in frame.itertuples():
@@ -264,7 +274,8 @@ def _documents(frames, folds: tuple[int, ...]):
             begin = np.cumsum(sizes) - sizes
             c = np.frombuffer(row.c, "<i8")
             cls = np.frombuffer(row.cls, "<i4")
-            chosen = np.flatnonzero(np.isin(np.asarray(row.folds), folds))
+            chosen = np.flatnonzero(np.isin(np.asarray(row.folds), folds)
+                                    & (np.asarray(row.hashes, np.int64) % turns == turn))
             chosen = chosen[np.argsort(sizes[chosen], kind="stable")]
             edge = np.cumsum(sizes[chosen]) // CHUNK_TOKENS
             for own in np.split(chosen, np.flatnonzero(np.diff(edge)) + 1):
@@ -275,14 +286,27 @@ def _documents(frames, folds: tuple[int, ...]):
                     yield row, own, n, c[tokens], cls[tokens]
 
 
-def _expect(model: Model):
+def _gathered(chunks):
+    """(sizes, counts, classes) of several chunks at once, up to ``CHUNK_TOKENS``."""
+    held, tokens = [], 0
+    for _, _, *chunk in chunks:
+        if held and tokens + len(chunk[1]) > CHUNK_TOKENS:
+            yield tuple(map(np.concatenate, zip(*held)))
+            held, tokens = [], 0
+        held.append(chunk)
+        tokens += len(chunk[1])
+    if held:
+        yield tuple(map(np.concatenate, zip(*held)))
+
+
+def _expect(model: Model, turn: int = 0, turns: int = 1):
     """Parts -> this task's expected counts, one row for each class it met and
     one for each state's start, moves and words seen once."""
     states, classes = len(model.start), len(model.emit)
 
     def run(frames):
         counts, some = Counts(states, classes), False
-        for _, _, sizes, c, cls in _documents(frames, (TRAIN,)):
+        for sizes, c, cls in _gathered(_documents(frames, (TRAIN,), turn, turns)):
             add_counts(counts, model, sizes, c, cls)
             some = True
         if some:
@@ -296,37 +320,43 @@ def _expect(model: Model):
     return run
 
 
-def baum_welch(ready: DataFrame, model: Model) -> Model:
-    """One round over ``ready``: counts summed across partitions, then a new model."""
+def expected(ready: DataFrame, model: Model, turn: int = 0, turns: int = 1) -> Counts | None:
+    """Counts of one share of the training texts, summed across partitions."""
     states, classes = len(model.start), len(model.emit)
     names = [f"s{k}" for k in range(states)]
-    sent = ready.mapInPandas(_expect(model), "kind long, " + ", ".join(f"{n} long" for n in names))
+    sent = ready.mapInPandas(_expect(model, turn, turns),
+                             "kind long, " + ", ".join(f"{n} long" for n in names))
     total = sent.groupBy("kind").agg(*[F.sum(n).alias(n) for n in names]).toPandas()
     if not len(total):
-        return model
+        return None
     kind, rows = total["kind"].to_numpy(), total[names].to_numpy() / FIXED
     counts = Counts(states, classes)
     own = rows[np.argsort(kind)][:2 + states]
     counts.start, counts.once, counts.move = own[0], own[1], own[2:]
     counts.emit[kind[kind >= 0]] = rows[kind >= 0]
-    return Model.counted(counts, model.sizes_given)
+    return counts
+
+
+def baum_welch(ready: DataFrame, model: Model) -> Model:
+    """One round over all training texts of ``ready``, then a new model."""
+    counts = expected(ready, model)
+    return model if counts is None else Model.counted(counts, model.sizes_given)
 
 
 def train(ready: DataFrame, tokens: int, sizes: np.ndarray, states: int = STATES,
           warm_rounds: int = WARM_ROUNDS, passes: int = PASSES) -> Model:
-    """Warm rounds over a bounded choice of parts, then passes over everything."""
+    """A sweep of ``warm_rounds`` shares, then passes; every text is in each of them."""
     model = Model.noise(states, sizes, tokens)
     if not tokens:
         return model
-    some, left = [], WARM_TOKENS
-    for r in ready.select("part", "tokens").orderBy(F.xxhash64("part"), "part").limit(64).collect():
-        if not some or r["tokens"] <= left:
-            some.append(r["part"])
-            left -= r["tokens"]
-    warm = stage(ready.where(F.col("part").isin(some)).repartition(len(some), "part"), "hmm-warm")
-    for frame in [warm] * warm_rounds + [ready] * passes:
-        model = baum_welch(frame, model)
-    drop_stage(warm)
+    seen = Counts(states, len(sizes))
+    for turn in range(warm_rounds):
+        counts = expected(ready, model, turn, warm_rounds)
+        if counts is not None:
+            seen.add(counts)
+            model = Model.counted(seen, sizes)
+    for _ in range(passes):
+        model = baum_welch(ready, model)
     return model
 
 
