@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blocklens.llm import bpe, embedding_dedup, exact_dedup, hmm, language_id, packing, paragraph_dedup, simhash, suffix_dedup, warc
+from blocklens.llm import bpe, embedding_dedup, exact_dedup, hmm, language_id, packing, paragraph_dedup, simhash, suffix_dedup, warc, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -120,6 +120,11 @@ WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened coordinates of every vector along the first 16 components."""
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_paragraph_dedup": op1_paragraph_dedup,
@@ -132,6 +137,7 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_language_id": op9_language_id,
         "op10_exact_dedup": op10_exact_dedup,
+        "op13_whitening": op13_whitening,
     }
 
 
