@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blocklens.llm import bpe, embedding_dedup, exact_dedup, hmm, language_id, packing, paragraph_dedup, simhash, suffix_dedup, warc, whitening
+from blocklens.llm import bpe, embedding_dedup, exact_dedup, hmm, language_id, packing, paragraph_dedup, simhash, suffix_dedup, warc, whitening, winnowing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -120,6 +120,65 @@ WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op12_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Winnowed fingerprint of every document and of its edited text."""
+    return winnowing.winnow_documents(_table(spark, sf_dir, "documents"))
+
+
+def _op12_sql() -> str:
+    """Winnowing by its definition: one row a code point, windows over rows."""
+    gram, window, prime, base = winnowing.GRAM, winnowing.WINDOW, winnowing.PRIME, winnowing.BASE
+    rolled = " + ".join(f"lead(c, {j}) OVER w * {pow(base, gram - 1 - j, prime)}::BIGINT % {prime}"
+                        for j in range(gram))
+    return f"""
+WITH ordered AS (
+  SELECT doc_id, coalesce(text, '') AS t, count(*) OVER () AS n,
+         row_number() OVER (ORDER BY doc_id DESC NULLS LAST) AS r FROM documents
+), paired AS (
+  SELECT a.doc_id, a.t, b.t AS follow,
+         left(a.t, length(a.t) - length(a.t) // 2) || left(b.t, length(a.t) // 2) AS edited
+  FROM ordered a JOIN ordered b ON b.r = a.r % a.n + 1
+), texts AS (
+  SELECT t FROM paired UNION SELECT edited FROM paired
+), codes AS (
+  SELECT t, unnest(list_transform(string_split(t, ''), lambda x: unicode(x)))::BIGINT AS c,
+         generate_subscripts(string_split(t, ''), 1) - 1 AS at
+  FROM texts WHERE t <> ''
+), hashed AS (
+  SELECT t, at, length(t) AS n, ({rolled}) % {prime} AS h FROM codes
+  WINDOW w AS (PARTITION BY t ORDER BY at)
+), keyed AS (
+  SELECT t, at, n, h * 4294967296 + (4294967295 - at) AS k FROM hashed WHERE h IS NOT NULL
+), chosen AS (
+  SELECT t, at, n, min(k) OVER (PARTITION BY t ORDER BY at
+                                ROWS BETWEEN CURRENT ROW AND {window - 1} FOLLOWING) AS k FROM keyed
+  QUALIFY at <= greatest(n - {gram + window - 1}, 0)
+), short AS (
+  SELECT t, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(t, ''),
+           lambda x: unicode(x)::BIGINT)), lambda h, c: (h * {base} + c) % {prime})
+           * 4294967296 + 4294967295 AS k
+  FROM texts WHERE t <> '' AND length(t) < {gram}
+), entries AS (
+  SELECT DISTINCT t, k FROM chosen UNION ALL SELECT t, k FROM short
+), prints AS (
+  SELECT t, list(DISTINCT k >> 32) AS hashes,
+         sha256(string_agg((4294967295 - (k & 4294967295)) || ':' || (k >> 32), ','
+                           ORDER BY 4294967295 - (k & 4294967295))) AS print
+  FROM entries GROUP BY t
+  UNION ALL SELECT '', [], sha256('')
+)
+SELECT p.doc_id, length(p.t)::BIGINT AS n_chars, sha256(p.edited) AS edited_sha256,
+       a.print AS fingerprint, e.print AS edited_fingerprint,
+       CASE WHEN len(a.hashes) + len(e.hashes) = 0 THEN 1.0::DOUBLE
+            ELSE len(list_intersect(a.hashes, e.hashes))::DOUBLE
+                 / len(list_distinct(list_concat(a.hashes, e.hashes))) END AS near_edited,
+       CASE WHEN len(a.hashes) + len(f.hashes) = 0 THEN 1.0::DOUBLE
+            ELSE len(list_intersect(a.hashes, f.hashes))::DOUBLE
+                 / len(list_distinct(list_concat(a.hashes, f.hashes))) END AS near_next
+FROM paired p JOIN prints a ON a.t = p.t JOIN prints e ON e.t = p.edited JOIN prints f ON f.t = p.follow
+"""
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whitened coordinates of every vector along the first 16 components."""
     return whitening.whiten(_table(spark, sf_dir, "embeddings"))
@@ -137,9 +196,11 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_language_id": op9_language_id,
         "op10_exact_dedup": op10_exact_dedup,
+        "op12_winnowing": op12_winnowing,
         "op13_whitening": op13_whitening,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_embedding_dedup": OP2_SQL, "op6_warc": OP6_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op2_embedding_dedup": OP2_SQL, "op6_warc": OP6_SQL, "op10_exact_dedup": OP10_SQL,
+            "op12_winnowing": _op12_sql()}
