@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blocklens.llm import bpe, embedding_dedup, exact_dedup, hmm, language_id, packing, paragraph_dedup, simhash, suffix_dedup, warc, whitening, winnowing
+from blocklens.llm import bpe, embedding_dedup, exact_dedup, hmm, language_id, packing, paragraph_dedup, prefix_trie, simhash, suffix_dedup, warc, whitening, winnowing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -120,6 +120,60 @@ WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct opening of the rebuilt conversations."""
+    return prefix_trie.conversation_trie(_table(spark, sf_dir, "conversations"))
+
+
+OP11_SQL = """
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS place
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base,
+         xor(list_reduce(list_prepend(4294967295::BIGINT,
+               list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+             lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)),
+               lambda r, i: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END)),
+             4294967295) % 6 AS h
+  FROM turns GROUP BY conv_id
+), rebuilt AS (
+  SELECT c.conv_id, 0 AS part, t.place, t.role, t.text
+  FROM convs c JOIN turns t ON t.conv_id = c.base AND t.place < c.h
+  UNION ALL SELECT c.conv_id, 1, t.place, t.role, t.text
+  FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.place >= c.h
+), paths AS (
+  SELECT conv_id, row_number() OVER own AS depth, length(text) AS chars,
+         list(sha256(to_json([role, text]))) OVER own AS path
+  FROM rebuilt WINDOW own AS (PARTITION BY conv_id ORDER BY part, place)
+  UNION ALL SELECT conv_id, 0, 0, [] FROM convs
+), ends AS (
+  SELECT conv_id, max(depth) AS depth FROM paths GROUP BY conv_id
+), nodes AS (
+  SELECT p.path, p.depth, min(p.conv_id) AS conv_id, count(*) AS n_convs, any_value(p.chars) AS chars,
+         sha256(coalesce(string_agg(p.conv_id::VARCHAR, ',' ORDER BY p.conv_id)
+                           FILTER (p.depth = e.depth), '')) AS ends_sha256
+  FROM paths p JOIN ends e USING (conv_id) GROUP BY p.path, p.depth
+), linked AS (
+  SELECT n.*, u.conv_id AS parent_conv_id,
+         (SELECT count(*) FROM nodes c WHERE c.depth = n.depth + 1 AND c.path[:n.depth] = n.path) AS n_children
+  FROM nodes n LEFT JOIN nodes u ON u.depth = n.depth - 1 AND u.path = n.path[:n.depth - 1]
+), above AS (
+  SELECT path, depth, path AS top, depth AS top_depth FROM linked
+  UNION ALL SELECT l.path, l.depth, l.path[:d], d
+  FROM linked l, unnest(range(l.depth)) AS r(d)
+), subtree AS (
+  SELECT a.top, a.top_depth, count(*) FILTER (l.n_children = 0) AS n_leaves,
+         sum((l.n_convs - 1) * l.chars) AS saved_tokens
+  FROM above a JOIN linked l ON l.path = a.path AND l.depth = a.depth GROUP BY a.top, a.top_depth
+)
+SELECT l.conv_id, l.depth::BIGINT AS depth, l.parent_conv_id, l.n_convs, l.n_children, s.n_leaves,
+       s.saved_tokens::BIGINT AS saved_tokens, l.ends_sha256
+FROM linked l JOIN subtree s ON s.top = l.path AND s.top_depth = l.depth
+"""
+
+
 def op12_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Winnowed fingerprint of every document and of its edited text."""
     return winnowing.winnow_documents(_table(spark, sf_dir, "documents"))
@@ -139,33 +193,36 @@ WITH ordered AS (
          left(a.t, length(a.t) - length(a.t) // 2) || left(b.t, length(a.t) // 2) AS edited
   FROM ordered a JOIN ordered b ON b.r = a.r % a.n + 1
 ), texts AS (
-  SELECT t FROM paired UNION SELECT edited FROM paired
+  SELECT t, row_number() OVER () AS id, length(t) AS n
+  FROM (SELECT t FROM paired UNION SELECT edited FROM paired)
 ), codes AS (
-  SELECT t, unnest(list_transform(string_split(t, ''), lambda x: unicode(x)))::BIGINT AS c,
-         generate_subscripts(string_split(t, ''), 1) - 1 AS at
-  FROM texts WHERE t <> ''
+  SELECT id, n, unnest(list_transform(string_split(t, ''), lambda x: unicode(x)))::BIGINT AS c,
+         generate_subscripts(string_split(t, ''), 1) - 1 AS pos
+  FROM texts WHERE n > 0
 ), hashed AS (
-  SELECT t, at, length(t) AS n, ({rolled}) % {prime} AS h FROM codes
-  WINDOW w AS (PARTITION BY t ORDER BY at)
+  SELECT id, pos, n, ({rolled}) % {prime} AS h FROM codes
+  WINDOW w AS (PARTITION BY id ORDER BY pos)
 ), keyed AS (
-  SELECT t, at, n, h * 4294967296 + (4294967295 - at) AS k FROM hashed WHERE h IS NOT NULL
+  SELECT id, pos, n, h * 4294967296 + (4294967295 - pos) AS k FROM hashed WHERE h IS NOT NULL
 ), chosen AS (
-  SELECT t, at, n, min(k) OVER (PARTITION BY t ORDER BY at
-                                ROWS BETWEEN CURRENT ROW AND {window - 1} FOLLOWING) AS k FROM keyed
-  QUALIFY at <= greatest(n - {gram + window - 1}, 0)
+  SELECT id, pos, n, min(k) OVER (PARTITION BY id ORDER BY pos
+                                  ROWS BETWEEN CURRENT ROW AND {window - 1} FOLLOWING) AS k FROM keyed
+  QUALIFY pos <= greatest(n - {gram + window - 1}, 0)
 ), short AS (
-  SELECT t, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(t, ''),
+  SELECT id, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(t, ''),
            lambda x: unicode(x)::BIGINT)), lambda h, c: (h * {base} + c) % {prime})
            * 4294967296 + 4294967295 AS k
-  FROM texts WHERE t <> '' AND length(t) < {gram}
+  FROM texts WHERE n BETWEEN 1 AND {gram - 1}
 ), entries AS (
-  SELECT DISTINCT t, k FROM chosen UNION ALL SELECT t, k FROM short
-), prints AS (
-  SELECT t, list(DISTINCT k >> 32) AS hashes,
+  SELECT DISTINCT id, k FROM chosen UNION ALL SELECT id, k FROM short
+), printed AS (
+  SELECT id, list(DISTINCT k >> 32) AS hashes,
          sha256(string_agg((4294967295 - (k & 4294967295)) || ':' || (k >> 32), ','
                            ORDER BY 4294967295 - (k & 4294967295))) AS print
-  FROM entries GROUP BY t
-  UNION ALL SELECT '', [], sha256('')
+  FROM entries GROUP BY id
+), prints AS (
+  SELECT t, coalesce(hashes, []) AS hashes, coalesce(print, sha256('')) AS print
+  FROM texts LEFT JOIN printed USING (id)
 )
 SELECT p.doc_id, length(p.t)::BIGINT AS n_chars, sha256(p.edited) AS edited_sha256,
        a.print AS fingerprint, e.print AS edited_fingerprint,
@@ -196,6 +253,7 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_language_id": op9_language_id,
         "op10_exact_dedup": op10_exact_dedup,
+        "op11_prefix_trie": op11_prefix_trie,
         "op12_winnowing": op12_winnowing,
         "op13_whitening": op13_whitening,
     }
@@ -203,4 +261,4 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {"op2_embedding_dedup": OP2_SQL, "op6_warc": OP6_SQL, "op10_exact_dedup": OP10_SQL,
-            "op12_winnowing": _op12_sql()}
+            "op11_prefix_trie": OP11_SQL, "op12_winnowing": _op12_sql()}
