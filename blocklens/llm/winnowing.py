@@ -1,9 +1,10 @@
 """Document fingerprints by winnowing, with DataFrame functions alone.
 
 1. *Rolling hashes.*  Every ``GRAM`` successive code points have the polynomial
-   (Karp-Rabin) hash modulo ``PRIME``.  The recurrence is rolled by doubling
-   steps: the hash of four neighbours is their hashes times powers of the
-   base, added, so no state is carried from place to place.
+   (Karp-Rabin) hash modulo ``PRIME``.  The recurrence is rolled by doubling:
+   the hash of 2 m code points is that of the first m times a power of the
+   base plus that of the next m, for all places at once, so no state is
+   carried from place to place.
 2. *Windows.*  Of every ``WINDOW`` successive hashes the least is kept, of
    equal ones the rightmost, with its position.  Any passage of ``GRAM`` +
    ``WINDOW`` - 1 code points that two texts share gives them a common hash.
@@ -57,23 +58,29 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def _power(n: int) -> int:
-    return pow(BASE, n, PRIME)
+def _doubled(values: Column, stride: int, both) -> Column:
+    """``both`` of every value and the one ``stride`` behind it (null beyond the last)."""
+    return F.zip_with(values, F.slice(values, F.lit(stride + 1), F.size(values)), both)
 
 
-def _steps(values: Column, count: Column, stride: int, four) -> Column:
-    """``four`` of the values at i, i + stride, ... for i below ``count``."""
-    return F.transform(F.sequence(F.lit(0), count - 1), lambda i: four(
-        *[F.get(values, i + j * stride) for j in range(4)]))
+def _rolled(codes: Column, grams: Column) -> Column:
+    """Hashes of all grams: those of 2 m code points from those of m, until ``GRAM``."""
+    def level(values: Column, m: int) -> Column:
+        if m == GRAM:
+            return F.slice(values, F.lit(1), grams)
+        power = F.lit(pow(BASE, m, PRIME)).cast("long")
+        twice = _doubled(values, m, lambda a, b: (a * power + b) % F.lit(PRIME).cast("long"))
+        return _let(twice, lambda v: level(v, 2 * m))
+    return level(codes, 1)
 
 
-def _hash_of_chars(a: Column, b: Column, c: Column, d: Column) -> Column:
-    return (a * F.lit(_power(3)) + b * F.lit(_power(2)) + c * F.lit(_power(1)) + d) % F.lit(PRIME)
-
-
-def _hash_of_fours(a: Column, b: Column, c: Column, d: Column) -> Column:
-    return ((a * F.lit(_power(12)) + b * F.lit(_power(8))) % F.lit(PRIME)
-            + c * F.lit(_power(4)) + d) % F.lit(PRIME)
+def _least(entries: Column, windows: Column) -> Column:
+    """Least entry of every window, from those of half its size."""
+    def level(values: Column, m: int) -> Column:
+        if m == WINDOW:
+            return F.slice(values, F.lit(1), windows)
+        return _let(_doubled(values, m, lambda a, b: F.least(a, b)), lambda v: level(v, 2 * m))
+    return level(entries, 1)
 
 
 def _selected(text: Column, offset: Column, whole: Column) -> Column:
@@ -84,20 +91,17 @@ def _selected(text: Column, offset: Column, whole: Column) -> Column:
         grams = n - (GRAM - 1)
 
         def keys() -> Column:
-            hashes = _let(_steps(codes, n - 3, 1, _hash_of_chars),
-                          lambda fours: _steps(fours, grams, 4, _hash_of_fours))
-            return F.transform(hashes, lambda h, i: h * F.lit(HIGH) + (F.lit(HIGH - 1) - offset - i))
-
-        def windows(entries: Column) -> Column:
-            return _let(_steps(entries, grams - 3, 1, F.least),
-                        lambda fours: _steps(fours, grams - (WINDOW - 1), 4, F.least))
+            return _let(F.lit(HIGH - 1) - offset, lambda last: F.transform(
+                _rolled(codes, grams), lambda h, i: h * F.lit(HIGH) + (last - i)))
 
         short = F.aggregate(codes, F.lit(0).cast("long"), lambda h, c: (h * F.lit(BASE) + c) % F.lit(PRIME))
-        return F.when(n >= GUARANTEE, F.array_distinct(_let(keys(), windows))) \
+        return F.when(n >= GUARANTEE, F.array_distinct(_let(keys(), lambda k: _least(
+            k, grams - (WINDOW - 1))))) \
             .when((n == 0) | ~whole, F.array().cast("array<bigint>")) \
             .when(n >= GRAM, F.array(F.array_min(keys()))) \
             .otherwise(F.array(short * F.lit(HIGH) + F.lit(HIGH - 1)))
-    return _let(F.transform(F.filter(F.split(text, ""), lambda c: c != ""),
+    # an empty text is split into one empty string
+    return _let(F.transform(F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, "")),
                             lambda c: F.ascii(c).cast("long")), of)
 
 
