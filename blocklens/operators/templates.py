@@ -5,8 +5,9 @@ the lines to their *distinct* masks with a partial (map-side) aggregation, and
 only then run anything order-dependent.  Two miners share that front end:
 
 * :func:`mask_templates` -- the masked string itself is the template (T3).
-* :func:`mined_masks` -- masks grouped by token count and first token; a token
-  that too few masks of the group share becomes a wildcard (T2).
+* :func:`mined_masks` -- masks grouped by token count and first token, groups
+  that agree in too little split place by place; a place in which a group does
+  not agree becomes a wildcard (T2).
 
 Event ids are the rank of the template's first line (``first_line_id``),
 computed with :func:`blocklens.operators.ordinals.dense_ordinal`.  Lines get
@@ -21,10 +22,13 @@ from pyspark.sql import functions as F
 
 from blocklens.functions import parsing as P
 from blocklens.operators.ordinals import dense_ordinal
+from blocklens.session import written
 
 # --- fixed values: the miner's defaults ---------------------------------------
 SHARE_THRESHOLD = 0.4
 # ------------------------------------------------------------------------------
+#: different tokens for each mask beyond which a place is a variable
+WORDS_PER_MASK = 0.5
 
 
 def with_masks(parsed: DataFrame, masks=P.MASKS) -> DataFrame:
@@ -69,39 +73,67 @@ def assign_events(masked: DataFrame, mask_to_event: DataFrame) -> DataFrame:
 
 
 def _token_groups(masks: DataFrame) -> DataFrame:
-    """Distinct masks with their tokens and group: the token count and the first
-    token (one wildcard group for first tokens that hold a digit)."""
+    """Distinct masks with their tokens and first group: the token count and the
+    first token (one wildcard group for first tokens that hold a digit)."""
     toks = F.when(F.col("template") == "", F.array().cast("array<string>")) \
         .otherwise(F.split("template", " "))
     first = F.coalesce(F.try_element_at(toks, F.lit(1)), F.lit(""))
     key = F.when(first.rlike(P.java_regex(r"\d")), F.lit(P.WILDCARD)).otherwise(first)
-    return masks.select("template", "first_line_id", "occurrences", toks.alias("tokens"),
-                        F.size(toks).alias("n_tokens"), key.alias("first_token"))
+    return masks.select("template", "first_line_id", "occurrences", toks.alias("tokens"), F.md5(
+        F.concat(F.size(toks).cast("string"), F.lit(" "), key).cast("binary")).alias("group"))
 
 
-def mined_masks(masked: DataFrame, share: float = SHARE_THRESHOLD) -> DataFrame:
-    """``(template, first_line_id, occurrences, event_template)`` for every
-    distinct mask.
+def _places(groups: DataFrame) -> DataFrame:
+    """(group, place, words, masks, token): distinct tokens of a group at a place,
+    how many masks the group has, and the token where it is the only one."""
+    long = groups.select("group", F.posexplode("tokens").alias("place", "token"))
+    counts = long.groupBy("group", "place", "token").agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy("group", "place").agg(
+        F.count(F.lit(1)).alias("words"), F.sum("n").alias("masks"), F.min("token").alias("token"))
+
 
-    Masks of a group agree on their fixed words and differ in their variables.
-    A token stays where at least ``share`` of its group's masks have it at that
-    place, and is a wildcard elsewhere.  Counts are partial aggregates over the
-    long form (group, place, token); no group meets in one task.
+def mined_masks(masked: DataFrame, share: float = SHARE_THRESHOLD,
+                words_per_mask: float = WORDS_PER_MASK) -> DataFrame:
+    """``(template, first_line_id, occurrences, event_template)`` for every
+    distinct mask, by iterative partitioning.
+
+    Masks start in groups by token count and first token.  A group whose masks
+    agree in at least ``share`` of their places is one template: the tokens they
+    agree in, wildcards elsewhere.  Any other group is split by the tokens of
+    the place that has the fewest different ones (of several the leftmost), so
+    that a rare kind of line keeps a template of its own beside a frequent one.
+    A place with more different tokens than ``words_per_mask`` for each mask is
+    a variable; a group with no other places to split by is a template as well.
+
+    A level is one partial aggregation over (group, place, token) of the groups
+    still open, and there are at most as many levels as tokens in a line; no
+    group meets in one task.
     """
-    grouped = _token_groups(distinct_masks(masked))
-    group = ["n_tokens", "first_token"]
-    sizes = grouped.groupBy(*group).agg(F.count(F.lit(1)).alias("n_masks"))
-    long = grouped.select("template", *group, F.posexplode("tokens").alias("place", "token"))
-    counts = long.groupBy(*group, "place", "token").agg(F.count(F.lit(1)).alias("n"))
-    fixed = counts.join(sizes, group).where(F.col("n") >= F.lit(share) * F.col("n_masks")) \
-        .select(*group, "place", "token", F.lit(True).alias("fixed"))
-    kept = long.join(fixed, [*group, "place", "token"], "left").groupBy("template").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(
-            "place", F.when(F.col("fixed"), F.col("token")).otherwise(F.lit(P.WILDCARD))
-            .alias("word")))), lambda x: x["word"]), " ").alias("event_template"))
-    return grouped.select("template", "first_line_id", "occurrences").join(
-        kept, "template", "left").withColumn(
-        "event_template", F.coalesce("event_template", F.lit("")))
+    live, done = written(_token_groups(distinct_masks(masked)), "mask-groups"), None
+    while True:
+        place = F.struct("words", "place")
+        judged = _places(live).groupBy("group").agg(
+            F.count(F.lit(1)).alias("n_tokens"), F.count_if(F.col("words") == 1).alias("fixed"),
+            F.min(F.when(F.col("words") > 1, place)).alias("best"), F.max("masks").alias("masks"))
+        split = judged.where(F.col("fixed") < F.lit(share) * F.col("n_tokens")).where(
+            F.col("best.words") <= F.lit(words_per_mask) * F.col("masks")).select("group", "best.place")
+        split = written(split, "mask-splits")
+        if split.limit(1).count() == 0:
+            done = live if done is None else done.unionByName(live)
+            break
+        kept = live.join(split, "group", "left_anti")
+        done = kept if done is None else done.unionByName(kept)
+        live = written(live.join(split, "group").withColumn("group", F.md5(F.concat_ws(
+            " ", "group", F.col("place").cast("string"), F.get("tokens", F.col("place"))).cast("binary")))
+            .drop("place"), "mask-groups")
+    done = written(done, "mask-clusters")
+    words = F.struct("place", F.when(F.col("words") == 1, F.col("token")).otherwise(
+        F.lit(P.WILDCARD)).alias("word"))
+    named = _places(done).groupBy("group").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(words)), lambda x: x["word"]), " ").alias("event_template"))
+    return done.join(named, "group", "left").select(
+        "template", "first_line_id", "occurrences",
+        F.coalesce("event_template", F.lit("")).alias("event_template"))
 
 
 def mined_from_masks(mined: DataFrame) -> tuple[DataFrame, DataFrame]:

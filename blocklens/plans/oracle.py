@@ -12,7 +12,7 @@ from __future__ import annotations
 from blocklens.functions import parsing as P
 from blocklens.functions import text as TX
 from blocklens.operators import sequences as SEQ
-from blocklens.operators.templates import SHARE_THRESHOLD
+from blocklens.operators.templates import SHARE_THRESHOLD, WORDS_PER_MASK
 
 # The lookahead-free IP pattern is shared; DuckDB (RE2) reads \d \w \s \b as
 # ASCII classes, which agree with the Unicode reading on ASCII logs.
@@ -104,7 +104,7 @@ labeled AS (
   SELECT s.*, l.label FROM block_seq s LEFT JOIN block_labels l USING (block_id)
 )"""
 
-BASE = "WITH " + LOG_LINES.strip() + ",\n" + PARSED.strip() + "\n"
+BASE = "WITH RECURSIVE " + LOG_LINES.strip() + ",\n" + PARSED.strip() + "\n"
 
 
 def _with(*extra: str) -> str:
@@ -637,39 +637,50 @@ FROM all_preds GROUP BY approach"""
 
 def _mined_sql(source: str) -> str:
     """CTEs from ``source`` (line_id, template): mined(template, occurrences,
-    first_line_id, event_template) and mined_templates with their ids."""
+    first_line_id, event_template) and mined_templates with their ids.  A level
+    of the recursion is one round of splits; rows that are not open are final."""
     return f"""
 distinct_masks AS (
-  SELECT template, min(line_id) AS first_line_id, count(*) AS occurrences
+  SELECT template, min(line_id) AS first_line_id, count(*) AS occurrences,
+         CASE WHEN template = '' THEN [] ELSE string_split(template, ' ') END AS tokens
   FROM {source} GROUP BY template
 ),
-mask_tokens AS (
-  SELECT *, CASE WHEN template = '' THEN [] ELSE string_split(template, ' ') END AS tokens
-  FROM distinct_masks
-),
-mask_groups AS (
-  SELECT *, len(tokens) AS n_tokens,
+partitioned AS (
+  SELECT template, tokens, len(tokens) || ' ' ||
          CASE WHEN regexp_matches(coalesce(tokens[1], ''), '[0-9]') THEN {_q(P.WILDCARD)}
-              ELSE coalesce(tokens[1], '') END AS first_token
-  FROM mask_tokens
-),
-mask_words AS (
-  SELECT template, n_tokens, first_token, unnest(tokens) AS token,
-         generate_subscripts(tokens, 1) AS place
-  FROM mask_groups
-),
-mask_kept AS (
-  SELECT template, place,
-         CASE WHEN count(*) OVER (PARTITION BY n_tokens, first_token, place, token)
-                   >= {SHARE_THRESHOLD} * count(*) OVER (PARTITION BY n_tokens, first_token, place)
-              THEN token ELSE {_q(P.WILDCARD)} END AS word
-  FROM mask_words
+              ELSE coalesce(tokens[1], '') END AS grp, true AS live
+  FROM distinct_masks
+  UNION ALL
+  SELECT p.template, p.tokens,
+         CASE WHEN s.place IS NULL THEN p.grp ELSE p.grp || ' ' || s.place || ' ' || p.tokens[s.place] END,
+         s.place IS NOT NULL
+  FROM partitioned p LEFT JOIN (
+    SELECT grp, min(place) FILTER (words = least_words) AS place
+    FROM (
+      SELECT grp, place, words, masks, count(*) OVER own AS n_tokens,
+             count(*) FILTER (words = 1) OVER own AS fixed,
+             min(words) FILTER (words > 1) OVER own AS least_words
+      FROM (
+        SELECT grp, place, count(DISTINCT token) AS words, count(*) AS masks
+        FROM (SELECT grp, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS place
+              FROM partitioned WHERE live)
+        GROUP BY grp, place)
+      WINDOW own AS (PARTITION BY grp))
+    WHERE fixed < {SHARE_THRESHOLD} * n_tokens AND least_words <= {WORDS_PER_MASK} * masks
+    GROUP BY grp) s USING (grp)
+  WHERE p.live
+),
+clusters AS (SELECT template, tokens, grp FROM partitioned WHERE NOT live),
+cluster_words AS (
+  SELECT grp, place, CASE WHEN count(DISTINCT token) = 1 THEN min(token) ELSE {_q(P.WILDCARD)} END AS word
+  FROM (SELECT grp, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS place FROM clusters)
+  GROUP BY grp, place
 ),
 mined AS (
-  SELECT g.template, g.first_line_id, g.occurrences, coalesce(k.event_template, '') AS event_template
-  FROM mask_groups g LEFT JOIN (
-    SELECT template, string_agg(word, ' ' ORDER BY place) AS event_template
-    FROM mask_kept GROUP BY template) k USING (template)
+  SELECT d.template, d.first_line_id, d.occurrences, coalesce(k.event_template, '') AS event_template
+  FROM distinct_masks d JOIN clusters c USING (template) LEFT JOIN (
+    SELECT grp, string_agg(word, ' ' ORDER BY place) AS event_template
+    FROM cluster_words GROUP BY grp) k USING (grp)
 ),
 mined_templates AS (
   SELECT CAST(row_number() OVER (ORDER BY min(first_line_id)) AS INTEGER) AS event_id,
@@ -698,7 +709,7 @@ SELECT block_id, string_agg(CAST(event_id AS VARCHAR), ' ' ORDER BY line_id) AS
 FROM mined_lines WHERE block_id IS NOT NULL AND block_id <> '' GROUP BY block_id"""
 
 ORACLE["document_mined_templates"] = f"""
-WITH doc_lines AS (
+WITH RECURSIVE doc_lines AS (
   SELECT doc_id, i AS line_no, string_split(text, chr(10))[i] AS content
   FROM documents, generate_series(1, len(string_split(text, chr(10)))) AS t(i)
 ),

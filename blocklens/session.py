@@ -12,7 +12,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Configuration we rely on.  AQE re-plans joins from measured sizes (this is the
 # "checked size" behind most broadcasts), coalesces small shuffle partitions and
@@ -90,6 +90,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(root, "scratch", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as a scratch table in the shared folder and read back:
+    a lineage cut that survives lost executors."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 _SHIPPED: set[str] = set()
 
 
