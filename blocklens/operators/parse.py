@@ -68,6 +68,27 @@ def parse_stats(lines: DataFrame, with_templates: bool = False) -> DataFrame:
     return staged.agg(*aggs)
 
 
+def observed_lines(lines: DataFrame, observation) -> DataFrame:
+    """``lines`` with the run's figures as metrics of whatever pass reads them:
+    n_lines, n_processed and n_unmatched (P2, T6), last (latest event time).
+
+    ``observation`` is an ``Observation`` of a batch, or a name on a stream,
+    whose figures stand in the query's progress.
+    """
+    j = P.header_joined(F.col("raw_content"))
+    ok = j != F.col("raw_content")
+    field = lambda i: F.try_element_at(F.split(j, ":", 6), F.lit(i))
+    at = F.when(ok, P.event_timestamp(field(1), field(2)))
+    return lines.observe(observation, F.count(F.lit(1)).alias("n_lines"), F.count_if(ok).alias("n_processed"),
+                         F.count_if(~ok).alias("n_unmatched"), F.max(at).alias("last"))
+
+
+def parse_figures() -> list:
+    """Figures of parsed lines (with unmatched ones), for the pass that writes them."""
+    return [F.count_if("matched").alias("n_processed"), F.count_if(~F.col("matched")).alias("n_unmatched"),
+            F.count_if(F.col("block_id").isNotNull()).alias("n_with_block")]
+
+
 def drop_unkeyed(parsed: DataFrame, key: str = "block_id") -> DataFrame:
     """Rows with a usable key (neither NULL nor empty)."""
     k = F.col(key)

@@ -56,15 +56,11 @@ def q_parse_header(spark, sf_dir):
 
 @query("parse_stats")
 def q_parse_stats(spark, sf_dir):
-    """Matched, unmatched, keyed lines and distinct masks, aggregated
-    from the parsed-line stage (the same figures as
-    :func:`blocklens.operators.parse.parse_stats` on the raw lines)."""
-    p = LogContext.of(spark, sf_dir).parsed_all
-    return p.agg(F.count_if("matched").alias("n_processed"),
-                 F.count_if(~F.col("matched")).alias("n_unmatched"),
-                 F.count_if(F.col("block_id").isNotNull()).alias("n_with_block"),
-                 F.count_distinct(F.when(F.col("matched"), F.col("template")))
-                 .alias("n_templates"))
+    """Line counts observed by the pass that wrote the parsed lines, and
+    the size of the template table; no second scan of the lines."""
+    ctx = LogContext.of(spark, sf_dir)
+    size = ctx.templates.agg(F.count(F.lit(1)).alias("n_templates"))
+    return ctx.parse_figures.crossJoin(size)       # one row each
 
 
 @query("extract_block_id")
@@ -100,6 +96,22 @@ def q_assign_events(spark, sf_dir):
                     "event_time")
 
 
+@query("approx_distinct_blocks")
+def q_approx_distinct_blocks(spark, sf_dir):
+    """G6, the approximate form: one sketch a day, merged for the whole log; the
+    estimates are held against the exact counts."""
+    from blocklens.operators import distinct
+    p = LogContext.of(spark, sf_dir).parsed
+    sketches = distinct.daily_sketches(p, "event_date", "block_id")
+    estimates = distinct.estimates(sketches, "event_date").unionByName(
+        distinct.merged_estimate(sketches).withColumn("event_date", F.lit("all")))
+    exact = p.groupBy("event_date").agg(F.count_distinct("block_id").alias("n_blocks")).unionByName(
+        p.agg(F.lit("all").alias("event_date"), F.count_distinct("block_id").alias("n_blocks")))
+    return exact.join(estimates, "event_date").select(
+        "event_date", "n_blocks",
+        (F.abs(F.col("estimate") - F.col("n_blocks")) <= distinct.error_bound(F.col("n_blocks"))).alias("within_bound"))
+
+
 @query("distinct_blocks")
 def q_distinct_blocks(spark, sf_dir):
     p = LogContext.of(spark, sf_dir).parsed
@@ -662,6 +674,55 @@ def q_stream_block_sessions(spark, sf_dir):
                             lambda s: live.block_sessions(live.parse_stream(s)), "sessions")
 
 
+@query("stream_severity_rates")
+def q_stream_severity_rates(spark, sf_dir):
+    """Alerts per severity in sliding hours: block sessions of the log stream,
+    graded by the stored isolation-forest alerts, then windows over session ends;
+    two stateful operators in one streaming query."""
+    from blocklens.operators.alerts import alert_table
+    from blocklens.streaming import live
+    ctx = LogContext.of(spark, sf_dir)
+    graded = ctx.store.materialize("graded_blocks", lambda: alert_table(
+        _preds(spark, sf_dir, "isolation_forest"), "isolation_forest").select(
+        "block_id", F.col("risk").alias("severity")))
+    return live.run_bounded(ctx.lines, lambda s: live.severity_rates(live.graded_sessions(
+        live.windowed_sessions(live.parse_stream(s)), graded)), "severity-rates")
+
+
+@query("template_versions")
+def q_template_versions(spark, sf_dir):
+    """A dictionary grown by two mining runs over the halves of the log."""
+    from blocklens.operators.dictionary import TemplateDictionary
+    from blocklens.session import scratch_path
+    masked = LogContext.of(spark, sf_dir).masked
+    half = F.lit(masked.agg(F.expr("max(line_id) div 2")).first()[0])
+    grown = TemplateDictionary(spark, scratch_path(spark, "dictionary"))
+    grown.add_run(masked.where(F.col("line_id") <= half))
+    grown.add_run(masked.where(F.col("line_id") > half))
+    return grown.templates().select("event_id", "event_template", "since_version", "replaced_by", "occurrences")
+
+
+@query("stream_dictionary")
+def q_stream_dictionary(spark, sf_dir):
+    """E1, the next mining run: a stream parsed against the templates of the INFO
+    lines leaves unseen masks in a side table, which the next run adds; the
+    stream's lines then all have an event."""
+    from blocklens.operators.dictionary import TemplateDictionary
+    from blocklens.session import scratch_path
+    from blocklens.streaming import live
+    ctx = LogContext.of(spark, sf_dir)
+    grown = TemplateDictionary(spark, scratch_path(spark, "dictionary"))
+    grown.add_run(ctx.masked.where(F.col("level") == "INFO"))
+    path = scratch_path(spark, "unseen")
+    live.run_bounded(ctx.lines, lambda s: live.parse_stream(s, grown.templates()), "dictionary",
+                     lambda _: live.unseen_mask_sink(path))
+    unseen = live.read_unseen_masks(spark, path).where(~F.col("template").startswith("end of input "))
+    firsts = ctx.masked.groupBy("template").agg(F.min("line_id").alias("first_line_id"))
+    grown.add_masks(unseen.join(firsts, "template").select("template", "first_line_id", F.col("n").alias("occurrences")))
+    return tpl_ops.assign_events(ctx.masked, grown.mask_to_event()).groupBy("event_id", "event_template").agg(
+        F.count(F.lit(1)).alias("n_lines"))
+
+
 @query("stream_unseen_masks")
 def q_stream_unseen(spark, sf_dir):
     """The stream parsed against templates frozen from the INFO lines; the

@@ -49,10 +49,18 @@ class LogContext:
 
     @cached_property
     def parsed_all(self) -> DataFrame:
-        """Every line parsed + masked, unmatched ones flagged (S5), written once:
-        the run statistics and all later stages read this one pass."""
-        return self.store.materialize("parsed", lambda: tpl_ops.with_masks(
-            parse_ops.parse_lines(self.lines, keep_unmatched=True)))
+        """Every line parsed + masked, unmatched ones flagged (S5), written once."""
+        return self._parsed_pass[0]
+
+    @property
+    def parse_figures(self) -> DataFrame:
+        """The run's line counts, observed while the parsed lines were written."""
+        return self._parsed_pass[1]
+
+    @cached_property
+    def _parsed_pass(self) -> tuple[DataFrame, DataFrame]:
+        return self.store.observed("parsed", lambda: tpl_ops.with_masks(
+            parse_ops.parse_lines(self.lines, keep_unmatched=True)), parse_ops.parse_figures())
 
     @cached_property
     def parsed(self) -> DataFrame:

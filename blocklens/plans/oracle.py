@@ -600,6 +600,40 @@ FROM (
         FROM ts_lines WHERE block_id IS NOT NULL)
 ) GROUP BY block_id, sid"""
 
+ORACLE["stream_severity_rates"] = _with(PREDS, EVENT_TS, """
+sessions AS (""" + ORACLE["stream_block_sessions"].split(EVENT_TS.strip())[1].strip() + """
+),
+graded AS (
+  SELECT block_id, CASE WHEN s >= 0.8 THEN 'HIGH' WHEN s >= 0.6 THEN 'MEDIUM' WHEN s >= 0.4 THEN 'LOW'
+                        ELSE 'NORMAL' END AS severity
+  FROM (SELECT block_id, greatest(0.0, least(1.0, 0.5 - score)) AS s FROM if_preds
+        WHERE classification = 'Anomaly')
+),
+placed AS (
+  SELECT severity, time_bucket(INTERVAL 30 minute, session_end - INTERVAL 1 microsecond) AS slot
+  FROM sessions JOIN graded USING (block_id)
+)""") + """
+SELECT slot - k * INTERVAL 30 minute AS window_start, slot - k * INTERVAL 30 minute + INTERVAL 1 hour AS window_end,
+       severity, count(*) AS n_alerts
+FROM placed, range(2) AS r(k) GROUP BY ALL"""
+
+ORACLE["approx_distinct_blocks"] = BASE + """
+SELECT event_date, count(DISTINCT block_id) AS n_blocks, true AS within_bound FROM parsed GROUP BY event_date
+UNION ALL SELECT 'all', count(DISTINCT block_id), true FROM parsed"""
+
+ORACLE["template_versions"] = BASE + """
+SELECT event_id, event_template,
+       CAST(CASE WHEN first_line_id <= (SELECT max(line_id) // 2 FROM masked) THEN 1 ELSE 2 END AS INTEGER)
+         AS since_version, CAST(NULL AS INTEGER) AS replaced_by, occurrences
+FROM templates"""
+
+ORACLE["stream_dictionary"] = BASE + """
+SELECT CAST(row_number() OVER (ORDER BY version, first_line_id) AS INTEGER) AS event_id,
+       template AS event_template, n_lines
+FROM (SELECT template, min(CASE WHEN level = 'INFO' THEN 1 ELSE 2 END) AS version, count(*) AS n_lines,
+             coalesce(min(line_id) FILTER (level = 'INFO'), min(line_id)) AS first_line_id
+      FROM masked GROUP BY template)"""
+
 ORACLE["raw_scan"] = BASE + "SELECT line_id, raw_content FROM log_lines"
 
 ORACLE["label_scan"] = BASE + "SELECT block_id, label FROM block_labels"

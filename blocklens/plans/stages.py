@@ -18,7 +18,7 @@ import os
 import threading
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from blocklens.session import shared_root
@@ -93,6 +93,19 @@ class StageStore:
                 w.parquet(p)
         return (self.spark.read.schema(schema) if schema else self.spark.read).parquet(p)
 
+    def observed(self, name: str, build, figures: list) -> tuple[DataFrame, DataFrame]:
+        """Stage ``name`` and a row of ``figures`` (whole-number aggregates of its
+        rows), observed by the pass that writes it; the row completes the stage."""
+        p, side = self.path(name), self.path(name + "_figures")
+        with _lock_for(p):
+            if not is_complete(self.spark, side):
+                seen = Observation(name)
+                build().observe(seen, *figures).write.mode("overwrite").parquet(p)
+                row = seen.get
+                self.spark.createDataFrame([tuple(row.values())], ", ".join(f"{c} long" for c in row)) \
+                    .coalesce(1).write.mode("overwrite").parquet(side)
+        return self.spark.read.parquet(p), self.spark.read.parquet(side)
+
     def timed(self, name: str, build) -> DataFrame:
         """Stage ``name`` of scored rows with ``inference_time_sec`` per row.
 

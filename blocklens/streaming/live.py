@@ -8,7 +8,9 @@ streaming DataFrame:
   :func:`unseen_mask_sink` writes them to a side table for the next mining run.
 * E2 :func:`block_sessions` -- per-block activity sessions
   (``session_window``), late data bounded by a watermark.
-* E3 :func:`level_rates` -- tumbling / sliding window counts per level.
+* E3 :func:`level_rates` -- tumbling / sliding window counts per level;
+  :func:`severity_rates` -- alerts per severity and window, a second stateful
+  operator behind the sessions of the same query.
 * E4 :func:`idempotent_alert_sink` -- ``foreachBatch`` writer that replaces
   the output of a batch id, so a replayed micro-batch after a failure cannot
   duplicate alerts.
@@ -22,8 +24,9 @@ result equals the batch query.  Checkpoints go below the shared folder.
 from __future__ import annotations
 
 import os
+from datetime import timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from blocklens.operators import parse as parse_ops
@@ -34,6 +37,7 @@ from blocklens.sources import fixtures
 WATERMARK = "1 day"
 SESSION_GAP = "30 minutes"
 RATE_WINDOW = "1 hour"
+ALERT_WINDOW, ALERT_SLIDE = "1 hour", "30 minutes"
 
 
 def event_stream(spark: SparkSession, sf_dir: str, max_files: int | None = None) -> DataFrame:
@@ -98,6 +102,59 @@ def block_sessions(parsed: DataFrame, gap: str = SESSION_GAP,
                     F.col("s.end").cast("timestamp_ntz").alias("session_end"), "n"))
 
 
+def windowed_sessions(parsed: DataFrame, gap: str = SESSION_GAP, watermark: str = WATERMARK,
+                      *aggs) -> DataFrame:
+    """E2 with the window itself: (session, block_id, n_events, ...).  The window
+    carries the event time on, so a further time window can follow in the same
+    query."""
+    keyed = parsed.where(F.col("block_id").isNotNull())
+    return keyed.withWatermark("event_ts", watermark).groupBy(
+        F.session_window("event_ts", gap).alias("session"), "block_id").agg(
+        F.count(F.lit(1)).alias("n_events"), *aggs)
+
+
+def severity_rates(sessions: DataFrame, window: str = ALERT_WINDOW, slide: str | None = ALERT_SLIDE) -> DataFrame:
+    """Alerts per (sliding window, severity).
+
+    ``sessions`` (session, severity, ...) are the alerts, one row per session
+    that was found anomalous; a session counts where it ends.  On a stream this
+    is the second stateful operator of the query: sessions reach it when the
+    watermark closes them, and it writes a window once no open session can
+    still end in it.
+    """
+    at = F.window_time("session")
+    w = F.window(at, window, slide) if slide else F.window(at, window)
+    return sessions.groupBy(w.alias("w"), "severity").agg(F.count(F.lit(1)).alias("n_alerts")).select(
+        F.col("w.start").cast("timestamp_ntz").alias("window_start"),
+        F.col("w.end").cast("timestamp_ntz").alias("window_end"), "severity", "n_alerts")
+
+
+def graded_sessions(sessions: DataFrame, graded: DataFrame) -> DataFrame:
+    """Sessions of blocks that stored alerts (block_id, severity) name (stream-static join)."""
+    return sessions.join(graded.select("block_id", "severity"), "block_id")
+
+
+def scored_sessions(parsed: DataFrame, decision, feature_names: list[str], gap: str = SESSION_GAP,
+                    watermark: str = WATERMARK) -> DataFrame:
+    """Sessions that a frozen isolation forest finds anomalous, scored inside the
+    stream from their event counts: (session, block_id, n_events, score, severity)."""
+    from blocklens.functions import scores as S
+    from blocklens.operators.iforest import class_of_score, features_array
+    counts = [F.count_if(F.col("event_id") == int(n[1:])).alias(n) for n in feature_names]
+    sessions = windowed_sessions(parsed, gap, watermark, *counts)
+    scored = sessions.withColumn("decision", decision(features_array(sessions, feature_names)))
+    norm = S.normalize_isolation_score(F.col("decision"))
+    return scored.where(class_of_score(F.col("decision")) == "Anomaly").select(
+        "session", "block_id", "n_events", S.round_score(norm).alias("score"),
+        S.severity(norm).alias("severity"))
+
+
+def observed_totals(query, name: str) -> dict[str, int]:
+    """Line counts of all micro-batches of a query over :func:`blocklens.operators.parse.observed_lines`."""
+    rows = [p.observedMetrics[name] for p in query.recentProgress if name in p.observedMetrics]
+    return {c: sum(r[c] for r in rows) for c in ("n_lines", "n_processed", "n_unmatched")}
+
+
 #: block of the line that ends a bounded run; its own windows stay open
 SENTINEL_BLOCK = "blk_0"
 
@@ -106,30 +163,29 @@ def run_bounded(lines: DataFrame, build, name: str, sink=None) -> DataFrame | No
     """Stream a bounded set of lines through ``build`` (lines stream -> appended
     rows) to its end and read the result.
 
-    The lines go to a folder as files; a first run takes them, then a sentinel
-    line later than any watermark and gap is added, and a second run from the
-    same checkpoint closes every window.  ``sink(path)`` gives the
-    ``foreachBatch`` body (default: one folder per micro-batch).
+    The lines go to a folder as files, and the pass that writes them observes
+    their latest time; a sentinel line later than any watermark and gap is added
+    as the last file.  One query takes the lines as its first micro-batch and
+    the sentinel, which closes every window, as its second.  ``sink(path)``
+    gives the ``foreachBatch`` body (default: one folder per micro-batch).
     """
     spark = lines.sparkSession
     folder = scratch_path(spark, f"stream-{name}")
-    lines.write.parquet(folder + "/in/data")
-    stream = spark.readStream.schema(lines.schema).parquet(folder + "/in/*")
-    last = parse_ops.parse_lines(spark.read.parquet(folder + "/in/data")).agg(
-        F.max("event_ts").alias("t"))
-    stamp = F.date_format(F.col("t") + F.expr("INTERVAL 3 DAYS"), "yyMMdd HHmmss")
-    sentinel = last.where("t is not null").select(
-        F.lit(None).cast("long").alias("line_id"),
-        F.concat(stamp, F.lit(f" 0 END sentinel: end of input {SENTINEL_BLOCK}")).alias("raw_content"))
+    seen = Observation(f"lines of {name}")
+    parse_ops.observed_lines(lines, seen).write.parquet(folder + "/in/data")
+    last = seen.get["last"]
+    files = max(1, len(spark.read.schema(lines.schema).parquet(folder + "/in/data").inputFiles()))
+    if last is not None:
+        stamp = (last + timedelta(days=3)).strftime("%y%m%d %H%M%S")
+        end = f"{stamp} 0 END sentinel: end of input {SENTINEL_BLOCK}"
+        spark.createDataFrame([(None, end)], "line_id long, raw_content string").coalesce(1) \
+            .write.parquet(folder + "/in/end")
     out = folder + "/out"
-    body = (sink or idempotent_alert_sink)(out)
-    for closing in (False, True):
-        if closing:
-            sentinel.write.parquet(folder + "/in/end")
-        query = (build(stream).writeStream.outputMode("append").foreachBatch(body)
-                 .option("checkpointLocation", folder + "/checkpoint")
-                 .trigger(availableNow=True).start())
-        query.awaitTermination()
+    stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", files).parquet(folder + "/in/*")
+    query = (build(stream).writeStream.outputMode("append")
+             .foreachBatch((sink or idempotent_alert_sink)(out))
+             .option("checkpointLocation", folder + "/checkpoint").trigger(availableNow=True).start())
+    query.awaitTermination()
     from blocklens.plans.stages import _fs_exists
     return spark.read.parquet(out).drop("batch_id") if _fs_exists(spark, out) else None
 
@@ -140,6 +196,8 @@ def idempotent_alert_sink(path: str):
     def write(batch: DataFrame, batch_id: int) -> None:
         keys = [c for c in ("block_id", "window_start", "session_start", "level")
                 if c in batch.columns]
+        # a window has a row for each level or severity
+        keys += [c for c in ("severity",) if c in batch.columns and "window_start" in keys]
         rows = batch.dropDuplicates(keys) if keys else batch
         rows.write.mode("overwrite").parquet(
             os.path.join(path, f"batch_id={batch_id}"))

@@ -64,3 +64,23 @@ def test_aborted_run_keeps_finished_chunks(spark, tmp_dir):
     assert 0 < kept < 40
     final = append_resumable(spark, todo, out, lambda r: r.withColumn("v", F.lit(1)), chunks=4)
     assert final.count() == 40 and final.select("block_id").distinct().count() == 40
+
+
+def test_figures_are_observed_by_the_pass_that_writes(spark, tmp_dir):
+    from pyspark.sql import functions as F
+
+    from blocklens.plans.stages import StageStore
+    built = []
+
+    def build():
+        built.append(1)
+        return spark.range(100).withColumn("odd", F.col("id") % 2 == 1)
+    store = StageStore(spark, tmp_dir)
+    figures = [F.count(F.lit(1)).alias("n"), F.count_if("odd").alias("n_odd")]
+    for _ in range(2):
+        rows, row = store.observed("numbers", build, figures)
+        assert rows.count() == 100 and row.first().asDict() == {"n": 100, "n_odd": 50}
+    assert len(built) == 1
+    # a run that died before the figures were written starts over
+    (store_two := StageStore(spark, tmp_dir + "/two")).materialize("numbers", build)
+    assert store_two.observed("numbers", build, figures)[1].first()["n_odd"] == 50 and len(built) == 3

@@ -96,3 +96,62 @@ def test_lines_of_unseen_templates_count_and_are_listed(spark, tmp_dir):
                      lambda _: live.unseen_mask_sink(path))
     side = {r.template: r.n for r in live.read_unseen_masks(spark, path).collect()}
     assert side["strange <BLOCK_ID>"] == 3 and "known <BLOCK_ID>" not in side
+
+
+def _log(rows):
+    return [(i, f"{at:%y%m%d %H%M%S} 1 INFO svc: open {block}") for i, (at, block) in enumerate(rows)]
+
+
+def test_severity_rates_drop_late_lines_and_count_each_session_once(spark, tmp_dir):
+    base = dt.datetime(2024, 1, 10, 12, 0, 0)
+    schema = "line_id long, raw_content string"
+    graded = spark.createDataFrame([("blk_1", "HIGH"), ("blk_2", "HIGH"), ("blk_3", "LOW")],
+                                   "block_id string, severity string")
+    src, out = os.path.join(tmp_dir, "in"), os.path.join(tmp_dir, "out")
+
+    def run(name, rows):
+        spark.createDataFrame(_log(rows), schema).coalesce(1).write.parquet(os.path.join(src, name))
+        stream = spark.readStream.schema(schema).parquet(src + "/*")
+        rates = live.severity_rates(live.graded_sessions(live.windowed_sessions(
+            live.parse_stream(stream), watermark="1 hour"), graded), "1 hour", "30 minutes")
+        rates.writeStream.outputMode("append").format("parquet").option("checkpointLocation", out + "-ck") \
+            .option("path", out).trigger(availableNow=True).start().awaitTermination()
+
+    # blk_1 and blk_2 end 12:30 and 12:40, blk_3 is one session of two lines, blk_9 is no alert
+    run("a", [(base, "blk_1"), (base + dt.timedelta(minutes=10), "blk_2"), (base, "blk_3"),
+              (base + dt.timedelta(minutes=20), "blk_3"), (base, "blk_9")])
+    run("b", [(base + dt.timedelta(hours=9), "blk_9")])
+    # far behind the watermark: dropped; within its hour: counted
+    run("c", [(base + dt.timedelta(minutes=1), "blk_1"), (base + dt.timedelta(hours=8, minutes=30), "blk_2")])
+    run("d", [(base + dt.timedelta(hours=20), "blk_9")])
+    run("e", [(base + dt.timedelta(hours=30), "blk_9")])
+    got = {(r.window_start.strftime("%H:%M"), r.severity): r.n_alerts for r in spark.read.parquet(out).collect()}
+    # a session ends half an hour after its last line; that instant itself is outside
+    assert got == {("12:00", "HIGH"): 2, ("11:30", "HIGH"): 1, ("12:30", "HIGH"): 1, ("12:00", "LOW"): 1,
+                   ("12:30", "LOW"): 1, ("20:00", "HIGH"): 1, ("20:30", "HIGH"): 1}
+
+
+def test_rates_of_sessions_scored_in_the_stream_equal_batch(spark):
+    from blocklens.plans.catalog import _session_scorer
+    from blocklens.plans.context import LogContext
+    ctx = LogContext.of(spark, SF_SMALL)
+    decision, names = _session_scorer(spark, SF_SMALL)
+
+    def rates(lines):
+        return live.severity_rates(live.scored_sessions(live.parse_stream(lines, ctx.templates), decision, names))
+    got = live.run_bounded(ctx.lines, rates, "t-scored")
+    key = ["window_start", "severity"]
+    assert got.orderBy(key).collect() == rates(ctx.lines).orderBy(key).collect()
+    assert got.count() > 0
+
+
+def test_line_counts_are_observed_on_a_stream(spark, tmp_dir):
+    from blocklens.operators.parse import observed_lines
+    rows = _log([(dt.datetime(2024, 1, 1), "blk_1")] * 7) + [(9, "no header")] * 3
+    for i in range(2):
+        spark.createDataFrame(rows, "line_id long, raw_content string").write.parquet(f"{tmp_dir}/in/{i}")
+    stream = spark.readStream.schema("line_id long, raw_content string").parquet(tmp_dir + "/in/*")
+    query = observed_lines(stream, "lines").writeStream.format("noop").option(
+        "checkpointLocation", tmp_dir + "/ck").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert live.observed_totals(query, "lines") == {"n_lines": 20, "n_processed": 14, "n_unmatched": 6}
