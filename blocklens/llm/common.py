@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from blocklens.session import scratch_path, ship_package
 
@@ -23,6 +27,41 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def map_frames(df: DataFrame, run, schema: str) -> DataFrame:
+    """``mapInPandas`` that keeps whole numbers as they are beside a null.
+
+    pandas has no null among its longs, so Spark hands over a long column with
+    a null as doubles, which cannot hold ids above 2**53.  Here such a column
+    arrives as nullable integers, and results are taken column by column.
+    """
+    target = to_arrow_schema(T.StructType.fromDDL(schema))
+
+    def batches_of(batches):
+        def frames():
+            for batch in batches:
+                yield pd.DataFrame({
+                    field.name: column.to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get)
+                    if column.null_count and pa.types.is_int64(field.type) else column.to_pandas()
+                    for field, column in zip(batch.schema, batch.columns)})
+
+        for frame in run(frames()):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(frame[field.name], field.type, from_pandas=True) for field in target],
+                schema=target)
+    return df.mapInArrow(batches_of, schema)
+
+
+_CACHES: dict[str, object] = {}
+
+
+def own_caches(name: str, clear) -> None:
+    """Called when a task of an operator begins: a Python worker that is used
+    again lets go of what it holds for other operators (``clear`` drops ours)."""
+    for other in [k for k in _CACHES if k != name]:
+        _CACHES.pop(other)()
+    _CACHES[name] = clear
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once below ``spark.checkpoint.dir`` and read it back.
 

@@ -24,18 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from blocklens.llm.common import by_ids, keep_rows, session, stage, texts
+from blocklens.llm.common import by_ids, keep_rows, map_frames, session, stage, texts
 
 #: documents of a part: bounds a message and a task's buffer
 PART_DOCS = 65_536
 #: fingerprints that one owner should receive
 OWNER_FINGERPRINTS = 500_000
 
-_PASS = T.StructType([
-    T.StructField("part", T.LongType()), T.StructField("owner", T.IntegerType()),
-    T.StructField("slot", T.IntegerType()), T.StructField("doc_id", T.LongType()),
-    T.StructField("sha", T.BinaryType()), T.StructField("local_copy", T.BooleanType()),
-    T.StructField("row", T.LongType()), T.StructField("message", T.BinaryType())])
+_PASS = ("part long, owner int, slot int, doc_id long, sha binary, local_copy boolean, row long, "
+         "message binary")
 
 
 def rice_encode(values: np.ndarray, span_bits: int) -> bytes:
@@ -149,7 +146,7 @@ def exact_dedup(docs: DataFrame, owners: int | None = None, fingerprint_bits: in
     owners = 1 << (owners - 1).bit_length()
     fp = F.shiftleft(F.xxhash64("text"), 64 - fingerprint_bits)
     hashed = rows.select("doc_id", fp.alias("fp"), F.unhex(F.sha2("text", 256)).alias("sha"))
-    sent = stage(hashed.mapInPandas(_messages(owners), _PASS), "golomb")
+    sent = stage(map_frames(hashed, _messages(owners), _PASS), "golomb")
     ids = sent.where("message is null").select("part", "owner", "slot", "doc_id", "sha",
                                                "local_copy", "row")
     answers = stage(sent.where("message is not null").select("part", "owner", "message")

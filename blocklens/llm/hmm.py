@@ -23,7 +23,8 @@ expected counts, which are summed across partitions and make the next model.
 
 Defined results: null text counts as empty (the end token alone); a null
 doc_id is scored, not learned from, and its held_out is null; without training
-tokens every score is 0; repeated rows count each; other columns are ignored.
+tokens every score is 0; repeated rows count each; other columns are ignored;
+doc_ids are integers.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from blocklens.llm.common import drop_stage, session, stage, texts
+from blocklens.llm.common import drop_stage, map_frames, session, stage, texts
 
 STATES = 8
 FREQUENT, ENDINGS = 16_384, 16_384
@@ -85,7 +86,7 @@ def _parts(part_tokens: int):
                     got = [known.setdefault(w, len(known)) for w in words]
                 got.append(0)
                 held.append(np.array(got, np.uint32))
-                docs.append(None if pd.isna(doc_id) else int(doc_id))
+                docs.append(0 if pd.isna(doc_id) else int(doc_id))       # its fold says NO_ID
                 folds.append(int(fold))
                 hashes.append(int(hashed))
                 tokens += len(got)
@@ -114,7 +115,7 @@ def prepare(docs: DataFrame, folds: int = 7, held_out: int = 2, part_tokens: int
     rows = texts(docs).withColumn("fold", F.when(F.col("doc_id").isNull(), NO_ID)
                                   .when(fold, HELD_OUT).otherwise(TRAIN)) \
         .withColumn("hash", F.hash("doc_id"))
-    parts = stage(rows.mapInPandas(_parts(part_tokens), _PARTS), "hmm-parts")
+    parts = stage(map_frames(rows, _parts(part_tokens), _PARTS), "hmm-parts")
     entry = F.explode(F.arrays_zip("words", "counts", F.sequence(
         F.lit(0), F.size("words") - 1).alias("number"))).alias("e")
     listed = parts.select("part", entry).select(
@@ -367,7 +368,7 @@ def _score(model: Model, tokens: int, types: int):
             base = np.log10((c + 1) / (tokens + types + 1))
             fold = np.asarray(row.folds)[own]
             yield pd.DataFrame({
-                "doc_id": pd.array([row.doc_ids[i] for i in own], dtype="Int64"),
+                "doc_id": pd.array(np.where(fold == NO_ID, None, row.doc_ids[own]), dtype="Int64"),
                 "held_out": pd.array(np.where(fold == NO_ID, None, fold == HELD_OUT), dtype="boolean"),
                 "n_tokens": sizes, "n_known": np.bincount(text, c > 0, len(own)).astype(np.int64),
                 "train_tokens": tokens, "base_score": np.bincount(text, base, len(own)),
@@ -382,7 +383,7 @@ def score_documents(docs: DataFrame, states: int = STATES, folds: int = 7, held_
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)."""
     ready, tokens, types, sizes = prepare(docs, folds, held_out, part_tokens, frequent, endings)
     model = train(ready, tokens, sizes, states, warm_rounds, passes)
-    return ready.mapInPandas(
-        _score(model, tokens, types),
+    return map_frames(
+        ready, _score(model, tokens, types),
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
         "base_score double, score double")

@@ -42,7 +42,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blocklens.llm.common import connected_components, drop_stage, session, stage, texts
+from blocklens.llm.common import connected_components, drop_stage, map_frames, session, stage, texts
 from blocklens.llm.suffix_dedup import _listed
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -348,7 +348,7 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, int]:
                                 "names": [Paragraphs(t).names() for t in frame["text"]]})
 
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    listed = stage(search.mapInPandas(named, f"doc_id {id_type}, kind int, names array<long>")
+    listed = stage(map_frames(search, named, f"doc_id {id_type}, kind int, names array<long>")
                    .dropDuplicates(["doc_id", "kind"]), "paragraphs")
     places = listed.select("doc_id", "kind", F.posexplode("names").alias("unit", "name")).select(
         "name", "doc_id", F.shiftleft(F.col("kind").cast("long"), 32).bitwiseOR(
@@ -451,4 +451,4 @@ def paragraph_dedup(docs: DataFrame, run_words: int = RUN_WORDS, with_text: bool
     schema = (f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, "
               "n_paragraphs long, n_repeated long"
               + ", kept string, spans array<struct<a:long,b:long>>" * with_text)
-    return _listed(rows, lists, entries, "left").select("doc_id", "text", "units").mapInPandas(run, schema)
+    return map_frames(_listed(rows, lists, entries, "left").select("doc_id", "text", "units"), run, schema)

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blocklens.llm.common import connected_components, keep_rows, session, stage, texts
+from blocklens.llm.common import connected_components, keep_rows, map_frames, session, stage, texts
 
 SHINGLE = 3
 MAX_BITS = 3
@@ -71,7 +71,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
     rows = texts(docs)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInPandas(run, f"doc_id {kind}, fp long")
+    return map_frames(rows, run, f"doc_id {kind}, fp long")
 
 
 def _keys(fp: Column) -> Column:

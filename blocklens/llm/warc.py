@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blocklens.llm.common import session, stage
+from blocklens.llm.common import map_frames, session, stage
 from blocklens.session import scratch_path
 
 ARCHIVE_BYTES = 32 << 20
@@ -177,7 +177,7 @@ def write_arc(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -
             yield pd.DataFrame({"archive": [b"\n".join(held)]})
 
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
-    _write_archives(rows.mapInPandas(run, "archive binary"), path, "\n")
+    _write_archives(map_frames(rows, run, "archive binary"), path, "\n")
 
 
 # --- WARC -----------------------------------------------------------------------
@@ -261,9 +261,8 @@ def _list_documents(frames):
                     head, payload = d.split()
                     rows.append((path, d.record_id, d.url, d.date, _page_id(head), len(payload),
                                  hashlib.sha1(payload).hexdigest()))
-            out = pd.DataFrame(rows, columns=["path", "record_id", "url", "date", "page_id",
-                                              "payload_bytes", "digest"])
-            yield out.astype({"page_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["path", "record_id", "url", "date", "page_id",
+                                              "payload_bytes", "digest"], dtype=object)
 
 
 def _convert_archives(frames):
@@ -277,7 +276,7 @@ def _convert_archives(frames):
 def arc_to_warc(spark: SparkSession, arc_path: str, warc_path: str,
                 revisit_bytes: int = REVISIT_BYTES) -> None:
     """Convert every ARC file below ``arc_path``; equal payloads become revisits."""
-    listed = stage(read_archives(spark, arc_path).mapInPandas(_list_documents, _LISTED), "arc-list")
+    listed = stage(map_frames(read_archives(spark, arc_path), _list_documents, _LISTED), "arc-list")
     large = listed.where(F.col("payload_bytes") >= revisit_bytes)
     last = F.max(F.struct("page_id", "record_id", "url", "date")).alias("last")
     groups = stage(large.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), last)
@@ -321,12 +320,11 @@ def _read_records(frames):
                              fields["WARC-Target-URI"], fields["WARC-Date"], _page_id(head), size,
                              base64.b32decode(digest.split(":")[1]).hex(),
                              fields.get("WARC-Refers-To", "<>")[1:-1] or None))
-        out = pd.DataFrame(rows, columns=[c.split()[0] for c in _RECORDS.split(", ")])
-        yield out.astype({"page_id": "Int64", "payload_bytes": "Int64"})
+        yield pd.DataFrame(rows, columns=[c.split()[0] for c in _RECORDS.split(", ")], dtype=object)
 
 
 def read_warc_records(spark: SparkSession, path: str) -> DataFrame:
-    return read_archives(spark, path).mapInPandas(_read_records, _RECORDS)
+    return map_frames(read_archives(spark, path), _read_records, _RECORDS)
 
 
 def archive_pages(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES,
