@@ -90,15 +90,18 @@ def _selected(text: Column, offset: Column, whole: Column) -> Column:
         n = F.size(codes)
         grams = n - (GRAM - 1)
 
+        # as entries, but for a number that is the same in all of the piece
         def keys() -> Column:
-            return _let(F.lit(HIGH - 1) - offset, lambda last: F.transform(
-                _rolled(codes, grams), lambda h, i: h * F.lit(HIGH) + (last - i)))
+            return F.transform(_rolled(codes, grams), lambda h, i: h * F.lit(HIGH) - i)
+
+        def entries(chosen: Column) -> Column:
+            return F.transform(chosen, lambda k: k + (F.lit(HIGH - 1) - offset))
 
         short = F.aggregate(codes, F.lit(0).cast("long"), lambda h, c: (h * F.lit(BASE) + c) % F.lit(PRIME))
-        return F.when(n >= GUARANTEE, F.array_distinct(_let(keys(), lambda k: _least(
-            k, grams - (WINDOW - 1))))) \
+        return F.when(n >= GUARANTEE, entries(F.array_distinct(_let(keys(), lambda k: _least(
+            k, grams - (WINDOW - 1)))))) \
             .when((n == 0) | ~whole, F.array().cast("array<bigint>")) \
-            .when(n >= GRAM, F.array(F.array_min(keys()))) \
+            .when(n >= GRAM, entries(F.array(F.array_min(keys())))) \
             .otherwise(F.array(short * F.lit(HIGH) + F.lit(HIGH - 1)))
     # an empty text is split into one empty string
     return _let(F.transform(F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, "")),
@@ -129,7 +132,10 @@ def _from_windows_below(entries: Column, limit: Column) -> Column:
         first = F.when(i == 0, F.lit(0).cast("long")).when(
             hash_of(entry) <= hash_of(before), position_of(entry) - (WINDOW - 1)).otherwise(
             position_of(before) + 1)
-        return first < limit
+        # the window starts at the entry or up to a window before it
+        at = position_of(entry)
+        return F.when(at < limit, F.lit(True)).when(at - (WINDOW - 1) >= limit, F.lit(False)) \
+            .otherwise(first < limit)
     return F.filter(entries, elected)
 
 
@@ -148,14 +154,17 @@ def spliced(text: Column, entries: Column, kept: Column, other: Column, other_en
         F.transform(_from_windows_below(other_entries, taken - edge), lambda e: e - kept)))
 
 
+def hashes(entries: Column) -> Column:
+    """The set of an entry list's hashes."""
+    return F.array_distinct(F.transform(entries, hash_of))
+
+
 def likeness(a: Column, b: Column) -> Column:
-    """Jaccard similarity of the hashes of two fingerprints (0 to 1)."""
-    def sets(both: Column) -> Column:
-        common = F.size(F.array_intersect(both["a"], both["b"]))
-        union = F.size(both["a"]) + F.size(both["b"]) - common
+    """Jaccard similarity of two sets of hashes (0 to 1)."""
+    def of(common: Column) -> Column:
+        union = F.size(a) + F.size(b) - common
         return F.when(union == 0, F.lit(1.0)).otherwise(common / union)
-    return _let(F.struct(F.array_distinct(F.transform(a, hash_of)).alias("a"),
-                         F.array_distinct(F.transform(b, hash_of)).alias("b")), sets)
+    return _let(F.size(F.array_intersect(a, b)), of)
 
 
 def digest(entries: Column) -> Column:
@@ -225,8 +234,8 @@ def with_next(docs: DataFrame, derive=None, bucket: int = BUCKET) -> DataFrame:
 def winnow_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next), one row per document."""
-    paired = with_next(docs, lambda text: F.struct(
-        winnow(text).alias("entries"), F.char_length(text).alias("n")))
+    paired = with_next(docs, lambda text: _let(winnow(text), lambda entries: F.struct(
+        entries.alias("entries"), hashes(entries).alias("hashes"), F.char_length(text).alias("n"))))
     half = F.floor(F.col("own.n") / 2).cast("int")
     sized = paired.withColumn("kept", F.col("own.n") - half).withColumn(
         "taken", F.least(half, F.col("next.own.n")))
@@ -240,7 +249,7 @@ def winnow_documents(docs: DataFrame) -> DataFrame:
         .alias("edited_sha256"),
         digest(F.col("own.entries")).alias("fingerprint"),
         digest(F.col("edited")).alias("edited_fingerprint"),
-        likeness(F.col("own.entries"), F.col("edited")).alias("near_edited"),
-        likeness(F.col("own.entries"), F.col("next.own.entries")).alias("near_next"), "copies")
+        _let(hashes(F.col("edited")), lambda e: likeness(F.col("own.hashes"), e)).alias("near_edited"),
+        likeness(F.col("own.hashes"), F.col("next.own.hashes")).alias("near_next"), "copies")
     return out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))) \
         .drop("copies", "copy")

@@ -124,7 +124,7 @@ def test_shared_passage_of_guaranteed_length_is_found(spark):
     passage = "".join(rng.choice("abcdefgh ") for _ in range(wn.GUARANTEE))
     pairs = [(prose(rng, 20) + passage + prose(rng, 15), prose(rng, 9) + passage + prose(rng, 31)) for _ in range(40)]
     df = spark.createDataFrame([(a, b) for a, b in pairs], "a string, b string")
-    assert df.select(wn.likeness(wn.winnow(F.col("a")), wn.winnow(F.col("b"))).alias("s")).where("s = 0").count() == 0
+    assert df.select(wn.likeness(wn.hashes(wn.winnow(F.col("a"))), wn.hashes(wn.winnow(F.col("b")))).alias("s")).where("s = 0").count() == 0
 
 
 def test_no_python_on_the_main_path(spark, make_docs):
