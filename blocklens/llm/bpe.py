@@ -25,10 +25,12 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from blocklens.llm.common import session, texts
+from blocklens.llm.common import map_frames, own_caches, session, texts
 
-#: cached chunks, words and token pairs of a worker; a full cache starts anew
-CACHED_CHUNKS, CACHED_WORDS, CACHED_PAIRS = 400_000, 200_000, 1_000_000
+#: cached chunks and token pairs of a worker; a full cache starts anew
+CACHED_CHUNKS, CACHED_PAIRS = 400_000, 1_000_000
+#: marks that make words of their own behind a plain word
+MARKS = b".,;:!?"
 NEVER = 1 << 60
 #: below this character every Unicode version agrees on letters, digits and cases
 LATIN = "\u0250"
@@ -86,7 +88,7 @@ class Codec:
             if t not in self._parts or self.compatible(*self._parts[t][:2], below=self._parts[t][2]):
                 self._automaton.add_word(span, (t, len(span)))
         self._automaton.make_automaton()
-        self._word_ids: dict[bytes, list[int]] = {}
+        self._specials = [s.encode() for s in self.special]
         self._chunks: dict[bytes, tuple[bytes, bytes, int]] = {}
 
     # --- pairs ------------------------------------------------------------
@@ -127,9 +129,6 @@ class Codec:
 
     def word(self, data: bytes) -> list[int]:
         """The ids of one word, given in bytes."""
-        got = self._word_ids.get(data)
-        if got is not None:
-            return got
         symbols = "".join([self._plain[b] for b in data[:-1]]) + self._ended[data[-1]]
         last: list[int] = [-1] * len(symbols)
         size: list[int] = [0] * len(symbols)
@@ -155,10 +154,6 @@ class Codec:
             ids.append(last[at])
             at -= size[at]
         ids.reverse()
-        if len(data) <= 64:
-            if len(self._word_ids) >= CACHED_WORDS:
-                self._word_ids.clear()
-            self._word_ids[data] = ids
         return ids
 
     def _ordinary(self, text: str) -> list[int]:
@@ -182,26 +177,48 @@ class Codec:
 
     # --- whole texts --------------------------------------------------------
 
-    def _chunk(self, chunk: bytes) -> tuple[bytes, bytes, int]:
+    def _known(self, chunk: bytes) -> tuple[bytes, bytes, int]:
         """One chunk's ids in decimal, its decoded text, its number of ids."""
-        ids = self.encode(chunk.decode())
-        got = (" ".join(map(str, ids)).encode(), self.decode(ids).encode(), len(ids))
-        if len(chunk) <= 64:
-            if len(self._chunks) >= CACHED_CHUNKS:
-                self._chunks.clear()
-            self._chunks[chunk] = got
+        got = self._chunks.get(chunk)
+        if got is None:
+            # ASCII letters alone are one word and stand for themselves
+            plain = chunk.isalpha() and not self._special.search(chunk.decode())
+            ids = self.word(chunk.lower()) if plain else self.encode(chunk.decode())
+            got = (" ".join(map(str, ids)).encode(), self.decode(ids).encode(), len(ids))
+            if len(chunk) <= 64:
+                if len(self._chunks) >= CACHED_CHUNKS:
+                    self._chunks.clear()
+                self._chunks[chunk] = got
         return got
 
+    def _chunk(self, chunk: bytes) -> tuple[bytes, bytes, int]:
+        """The same; a plain word with marks behind it is looked up as two."""
+        word = chunk.rstrip(MARKS)
+        if word and len(word) < len(chunk) and word.isalpha() and not self._special.search(chunk.decode()):
+            a, b = self._known(word), self._known(chunk[len(word):])
+            return a[0] + b" " + b[0], a[1] + b" " + b[1], a[2] + b[2]
+        return self._known(chunk)
+
     def round_trip(self, text: str) -> tuple[bytes, bytes, int]:
         """A text's ids in decimal, joined by blanks; the text decoded from
         them; their number."""
-        chunks = text.encode().split()      # white space in ASCII only
+        data = text.encode()
+        folded = data.lower()
+        if not any([s in data or s in folded for s in self._specials]):
+            try:    # no combining characters: case may be folded before composing
+                text.encode("latin-1")
+                data = folded
+            except UnicodeEncodeError:
+                pass
+        chunks = data.split()               # white space in ASCII only
         known = list(map(self._chunks.get, chunks))
         if None in known:
             known = [k or self._chunk(c) for k, c in zip(known, chunks)]
         known = [k for k in known if k[2]]
-        return (b" ".join([k[0] for k in known]), b" ".join([k[1] for k in known]),
-                sum([k[2] for k in known]))
+        if not known:
+            return b"", b"", 0
+        ids, decoded, n = zip(*known)
+        return b" ".join(ids), b" ".join(decoded), sum(n)
 
 
 _CODECS: dict[str, Codec] = {}
@@ -209,6 +226,7 @@ _CODECS: dict[str, Codec] = {}
 
 def codec(file_text: str) -> Codec:
     """One codec per worker and file, with its caches."""
+    own_caches("bpe", _CODECS.clear)
     key = hashlib.sha1(file_text.encode()).hexdigest()
     if key not in _CODECS:
         _CODECS[key] = Codec(file_text)
@@ -230,7 +248,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
     rows = texts(docs)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInPandas(run, f"doc_id {kind}, ids array<int>, decoded string")
+    return map_frames(rows, run, f"doc_id {kind}, ids array<int>, decoded string")
 
 
 def digest_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -250,5 +268,5 @@ def digest_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
     rows = texts(docs)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInPandas(
-        run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_frames(
+        rows, run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -69,7 +69,6 @@ def test_every_pair_of_a_prefix_is_checked_by_plain_merging(both):
 
 def test_small_caches_change_nothing(word_bpe, monkeypatch, both):
     monkeypatch.setattr(bpe, "CACHED_CHUNKS", 3)
-    monkeypatch.setattr(bpe, "CACHED_WORDS", 2)
     monkeypatch.setattr(bpe, "CACHED_PAIRS", 5)
     own = bpe.Codec(open(word_bpe, encoding="utf-8").read())
     same((own, both[1]), "one two three, four five six. one two seven eight nine ten")
