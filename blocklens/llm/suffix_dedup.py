@@ -23,7 +23,10 @@ Suffixes longer than ``LENGTH`` bytes never matter, so the recursion of the
 general algorithm ends after one level.  Equal texts are settled beforehand:
 all but one representative leave the search, so a group of copies is one text.
 A gram that stands in more than ``HOT`` unsettled places is not sorted in one
-task: its windows are hashed and counted, each on its own.
+task: a window around it has either the next half of the bytes before the gram
+or the next half of those behind it, so its tuples are dealt twice, by the gram
+with the one and by the gram with the other, and again until a group is small
+or is one window.  Names of reaches and groups have 128 bits.
 
 Defined results: null text counts as empty; texts below ``LENGTH`` bytes stay
 whole; rows equal in text are copies of one another, whatever their doc_id;
@@ -39,7 +42,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blocklens.llm.common import BROADCAST_IDS, drop_stage, session, stage, texts
+from blocklens.llm.common import BROADCAST_IDS, drop_stage, map_frames, own_caches, session, stage, texts
 
 LENGTH = 200
 GRAM = 100
@@ -71,6 +74,7 @@ _TABLES: list[_Tables] = []
 
 
 def _tables() -> _Tables:
+    own_caches("suffix_dedup", _TABLES.clear)
     if not _TABLES:
         _TABLES.append(_Tables(CHUNK + 4096))
     return _TABLES[0]
@@ -121,27 +125,38 @@ def elected(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nda
 def _sampled(length: int, gram: int):
     """Texts -> their sampled suffixes: gram name, name of the whole reach, place."""
     from xxhash import xxh3_64_intdigest as name
+    from xxhash import xxh3_128_digest as digest
 
     def run(frames):
         for frame in frames:
-            names, reaches, places = [], [], []
+            names, reaches, others, places = [], [], [], []
             for text in frame["text"]:
                 data = text.encode()
                 at, first, last = elected(data, length, gram)
                 n = len(at)
                 names.append(np.fromiter((name(data[p:p + gram]) for p in at.tolist()), np.uint64, n)
                              .view(np.int64))
-                reaches.append(np.fromiter(
-                    (name(data[a:b + length], b - a) for a, b in zip(first.tolist(), last.tolist())),
-                    np.uint64, n).view(np.int64))
+                both = np.frombuffer(b"".join(
+                    [digest(data[a:b + length], b - a) for a, b in zip(first.tolist(), last.tolist())]),
+                    "<i8").reshape(n, 2)
+                reaches.append(both[:, 0])
+                others.append(both[:, 1])
                 places.append((at << 16) | ((at - first) << 8) | (at - last))
             yield pd.DataFrame({"doc_id": frame["doc_id"], "kind": frame["kind"], "name": names,
-                                "reach": reaches, "place": places})
+                                "reach": reaches, "other": others, "place": places})
     return run
 
 
+#: a suffix tuple: its group (a digest of the gram and of the bytes before and
+#: behind it that all of the group have), how many those are, and its text
+_TUPLE = ["key", "left", "right", "num", "place", "before", "behind"]
+_TUPLE_SCHEMA = ("key binary, left int, right int, num long, place long, before binary, behind binary")
+
+
 def _contexts(length: int, gram: int):
     """Texts with listed places -> the bytes before and behind each gram."""
+    from xxhash import xxh3_128_digest as digest
+
     def run(frames):
         for frame in frames:
             rows = []
@@ -150,9 +165,9 @@ def _contexts(length: int, gram: int):
                 for p in places:
                     place = int(p["place"])
                     at, back, least = place >> 16, place >> 8 & 0xFF, place & 0xFF
-                    rows.append((p["name"], num, place, data[at - back:at],
+                    rows.append((digest(data[at:at + gram]), 0, 0, num, place, data[at - back:at],
                                  data[at + gram:at - least + length]))
-            yield pd.DataFrame(rows, columns=["name", "num", "place", "before", "behind"])
+            yield pd.DataFrame(rows, columns=_TUPLE)
     return run
 
 
@@ -219,8 +234,9 @@ def _sorted_runs(length: int, gram: int):
     def of(frame: pd.DataFrame) -> pd.DataFrame:
         place = frame["place"].to_numpy(np.int64)
         at, back, least = place >> 16, place >> 8 & 0xFF, place & 0xFF
+        key = frame["key"].to_numpy()
         row, step = induce(frame["before"].tolist(), frame["behind"].tolist(), back, least,
-                           frame["name"].to_numpy(np.int64), need)
+                           np.cumsum(np.concatenate(([False], key[1:] != key[:-1]))), need)
         return pd.DataFrame({"num": frame["num"].to_numpy()[row], "start": at[row] - step})
 
     def run(frames):
@@ -229,8 +245,8 @@ def _sorted_runs(length: int, gram: int):
             held = frame if held is None or not len(held) else pd.concat([held, frame], ignore_index=True)
             if not len(held):
                 continue
-            name = held["name"].to_numpy()
-            cut = int((name == name[-1]).argmax())      # the last gram may go on
+            key = held["key"].to_numpy()
+            cut = int((key == key[-1]).argmax())        # the last group may go on
             if cut:
                 yield of(held.iloc[:cut].reset_index(drop=True))
                 held = held.iloc[cut:].reset_index(drop=True)
@@ -239,20 +255,32 @@ def _sorted_runs(length: int, gram: int):
     return run
 
 
-def _window_names(length: int, gram: int):
-    """Suffix tuples -> a 128-bit name for each of their windows."""
+def _halved(length: int, gram: int):
+    """Suffix tuples of a crowded group -> the same under finer keys.
+
+    Windows start between ``left`` and ``need`` - ``right`` bytes before their
+    grams.  Those in the upper half have more bytes before the gram in common,
+    those in the lower half more bytes behind it; a tuple goes to the halves in
+    which it has windows.
+    """
     from xxhash import xxh3_128_digest as digest
+    need = length - gram
 
     def run(frames):
         for frame in frames:
             rows = []
-            for name, num, place, before, behind in frame[
-                    ["name", "num", "place", "before", "behind"]].itertuples(index=False):
-                at, back, least = place >> 16, place >> 8 & 0xFF, place & 0xFF
-                for step in range(least, back + 1):
-                    text = before[len(before) - step:] + behind[:length - gram - step]
-                    rows.append((name, step, digest(text), num, at - step))
-            yield pd.DataFrame(rows, columns=["name", "step", "text", "num", "start"])
+            for key, left, right, num, place, before, behind in frame[_TUPLE].itertuples(index=False):
+                back, least = place >> 8 & 0xFF, place & 0xFF
+                low, high = max(least, left), min(back, need - right)
+                upper = left + (need - left - right + 1) // 2
+                if high >= upper:
+                    rows.append((digest(key + b"<" + before[len(before) - upper:]), upper, right,
+                                 num, place, before, behind))
+                if low < upper:
+                    more = need - upper + 1
+                    rows.append((digest(key + b">" + behind[:more]), left, more,
+                                 num, place, before, behind))
+            yield pd.DataFrame(rows, columns=_TUPLE)
     return run
 
 
@@ -275,22 +303,23 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
     ``docs`` is (doc_id, kind, text).
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    sampled = docs.mapInPandas(
-        _sampled(length, gram),
-        f"doc_id {id_type}, kind int, name array<long>, reach array<long>, place array<long>")
+    sampled = map_frames(
+        docs, _sampled(length, gram),
+        f"doc_id {id_type}, kind long, name array<long>, reach array<long>, other array<long>, "
+        "place array<long>")
     sampled = stage(sampled.withColumn("num", F.monotonically_increasing_id()), "sampled")
-    places = sampled.select("num", F.explode(F.arrays_zip("name", "reach", "place")).alias("s")) \
-        .select("num", "s.name", "s.reach", "s.place")
+    places = sampled.select("num", F.explode(F.arrays_zip("name", "reach", "other", "place")).alias("s")) \
+        .select("num", "s.name", "s.reach", "s.other", "s.place")
     twice = stage(places.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
                   .select("name"), "grams")
     texts_of = stage(sampled.select("doc_id", "kind", "num"), "searched")
     shared = stage(places.join(twice.hint("merge"), "name"), "shared")
     drop_stage(sampled)
     # distinct reaches of each gram: one place stands for all with the same bytes
-    reaches = stage(shared.groupBy("name", "reach").agg(
+    reaches = stage(shared.groupBy("name", "reach", "other").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("num", "place")).alias("one")), "reaches")
-    settled = shared.join(reaches.where("n > 1").select("name", "reach").hint("merge"),
-                          ["name", "reach"])
+    settled = shared.join(reaches.where("n > 1").select("name", "reach", "other").hint("merge"),
+                          ["name", "reach", "other"])
     several = stage(reaches.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
                     .where("n > 1"), "several")
     at = F.shiftright("place", 16)
@@ -304,23 +333,27 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
         F.collect_list(F.struct("name", "place")).alias("places")).join(texts_of, "num"), "tuples")
     entries = listed.agg(F.coalesce(F.sum(F.size("places")), F.lit(0))).first()[0]
     around = stage(_listed(docs, listed, entries, "inner").select("text", "num", "places").mapInPandas(
-        _contexts(length, gram),
-        "name long, num long, place long, before binary, behind binary"), "contexts")
+        _contexts(length, gram), _TUPLE_SCHEMA), "contexts")
     for table in (shared, reaches):
         drop_stage(table)
-    many = stage(several.where(F.col("n") > hot).select("name"), "hot-grams")
     parts = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    cool = around.join(many, "name", "left_anti").repartition(parts, "name") \
-        .sortWithinPartitions("name", "behind")
-    starts = cool.mapInPandas(_sorted_runs(length, gram), "num long, start long")
-    if many.count():
-        windows = stage(around.join(many, "name", "left_semi").mapInPandas(
-            _window_names(length, gram),
-            "name long, step int, text binary, num long, start long"), "hot-windows")
-        key = ["name", "step", "text"]
-        again = stage(windows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
-                      .where("n > 1").select(*key), "hot-twice")
-        starts = starts.union(windows.join(again.hint("merge"), key).select("num", "start"))
+    starts = None
+    while True:     # ends when a group is one window: after log2(length - gram) + 1 rounds at most
+        sizes = around.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+        many = stage(sizes.where(F.col("n") > hot).select("key"), "hot-groups")
+        crowded = many.count() > 0
+        cool = around.join(many.hint("merge"), "key", "left_anti") if crowded else around
+        found = cool.repartition(parts, "key").sortWithinPartitions("key", "behind").mapInPandas(
+            _sorted_runs(length, gram), "num long, start long")
+        starts = found if starts is None else starts.union(found)
+        if not crowded:
+            break
+        rest = around.join(many.hint("merge"), "key", "left_semi")
+        # of a crowded group that is one window every member stands twice
+        whole = F.col("left") + F.col("right") == length - gram
+        starts = starts.union(rest.where(whole).select(
+            "num", (F.shiftright("place", 16) - F.col("left")).alias("start")))
+        around = stage(rest.where(~whole).mapInPandas(_halved(length, gram), _TUPLE_SCHEMA), "halves")
     starts = starts.select("num", F.col("start").alias("first"), F.col("start").alias("last"))
     return texts_of, settled.union(starts)
 
@@ -363,8 +396,8 @@ def _without(text: str, ranges, length: int) -> tuple[bytes, list[tuple[int, int
 def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
              hot: int = HOT) -> tuple[DataFrame, int]:
     """(doc_id, kind, ranges) of all texts that lose bytes, and the number of
-    ranges; kind is hash(text)."""
-    rows = texts(docs).withColumn("kind", F.hash("text"))
+    ranges; kind is xxhash64(text)."""
+    rows = texts(docs).withColumn("kind", F.xxhash64("text"))
     ids = stage(rows.select("doc_id", "kind", F.octet_length("text").alias("n_bytes"),
                             F.unhex(F.sha2("text", 256)).alias("sha")), "texts")
     groups = stage(ids.where(F.col("n_bytes") >= length).groupBy("sha").agg(
@@ -380,10 +413,10 @@ def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
         .where("skip is null").select("doc_id", "kind", "text")
     texts_of, ranges = repeated_starts(search, length, gram, hot)
     found = ranges.groupBy("num").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
-    found = found.join(texts_of, "num").select(
+    found = map_frames(found.join(texts_of, "num").select(
         "doc_id", "kind", F.transform("ranges", lambda r: r["first"]).alias("first"),
-        F.transform("ranges", lambda r: r["last"]).alias("last")).mapInPandas(
-        _merged(length), "doc_id {}, kind int, first array<long>, last array<long>".format(
+        F.transform("ranges", lambda r: r["last"]).alias("last")),
+        _merged(length), "doc_id {}, kind long, first array<long>, last array<long>".format(
             rows.schema["doc_id"].dataType.simpleString()))
     found = found.select("doc_id", "kind", F.arrays_zip("first", "last").alias("ranges"))
     whole = copies.select("doc_id", "kind", F.array(F.struct(
@@ -401,7 +434,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: i
     ``with_bytes`` adds kept (binary) and spans."""
     session(docs)
     lists, entries = removals(docs, length, gram, hot)
-    rows = texts(docs).withColumn("kind", F.hash("text"))
+    rows = texts(docs).withColumn("kind", F.xxhash64("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def run(frames):
@@ -418,8 +451,8 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: i
 
     schema = (f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
               + ", kept binary, spans array<struct<a:long,b:long>>" * with_bytes)
-    return _listed(rows, lists, entries, "left").select("doc_id", "text", "ranges").mapInPandas(
-        run, schema)
+    return map_frames(_listed(rows, lists, entries, "left").select("doc_id", "text", "ranges"),
+                      run, schema)
 
 
 def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -433,7 +466,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Data
         return pd.Series([_without(t, r, length)[0].decode("utf-8", "ignore")
                           for t, r in zip(text, ranges)])
 
-    rows = docs.withColumn("_hash", F.hash(F.coalesce("text", F.lit(""))))
+    rows = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
     lists = lists.withColumnRenamed("ranges", "_ranges")
     rows = _listed(rows, lists, entries, "left", "_hash")
     rows = rows.withColumn("_cut", F.when(F.col("_ranges").isNull(), F.col("text")).otherwise(
