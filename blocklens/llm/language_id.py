@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blocklens.llm.common import session, stage
+from blocklens.llm.common import own_caches, session, stage
 
 DIMENSIONS = 512
 SEED = 9
@@ -31,6 +31,8 @@ SEED = 9
 LANGUAGES_PER_PASS = 1024
 #: texts whose trigrams are bundled together, and the characters after which a chunk closes
 CHUNK_DOCS, CHUNK_CHARS = 256, 1_500_000
+#: trigrams whose vectors are held at once
+VECTORS = 2048
 #: above this many distinct characters, trigrams are numbered by sorting
 DENSE_LETTERS = 96
 
@@ -72,6 +74,7 @@ _TABLES: dict[int, _Letters] = {}
 
 
 def _letters(dimensions: int) -> _Letters:
+    own_caches("language_id", _TABLES.clear)
     return _TABLES.setdefault(dimensions, _Letters(dimensions))
 
 
@@ -125,9 +128,11 @@ def bundles(texts: list[str], dimensions: int = DIMENSIONS) -> np.ndarray:
     if not len(gram):
         return out
     distinct, number = _numbered(gram, base)
-    for at in range(0, len(distinct), 16_384):      # bounds the vectors held at once
-        n = min(16_384, len(distinct) - at)
-        own = (number >= at) & (number < at + n) if n < len(distinct) else slice(None)
+    order = np.argsort(number, kind="stable") if len(distinct) > VECTORS else slice(None)
+    owner, number = owner[order], number[order]
+    for at in range(0, len(distinct), VECTORS):
+        n = min(VECTORS, len(distinct) - at)
+        own = slice(*np.searchsorted(number, (at, at + n))) if len(distinct) > VECTORS else slice(None)
         counts = np.bincount(owner[own] * n + number[own] - at, minlength=len(texts) * n)
         vectors = _vectors(distinct[at:at + n], alphabet, base, letters).astype(np.float32)
         out += counts.reshape(len(texts), n).astype(np.float32) @ vectors
@@ -158,8 +163,8 @@ def _profile(dimensions: int):
                 distinct, number = _numbered(gram, base)
                 counts = np.bincount(number)
                 sums = np.zeros(dimensions)
-                for at in range(0, len(distinct), 16_384):
-                    part = slice(at, at + 16_384)
+                for at in range(0, len(distinct), VECTORS):
+                    part = slice(at, at + VECTORS)
                     sums += counts[part].astype(np.float64) @ _vectors(
                         distinct[part], alphabet, base, letters).astype(np.float64)
                 total[lang] = total.get(lang, 0) + sums.astype(np.int64)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from blocklens.llm.common import session, stage, texts
+from blocklens.llm.common import map_frames, own_caches, session, stage, texts
 
 CAPACITY = 2048
 END_ID = 0
@@ -38,7 +38,8 @@ END_ID = 0
 NODES = 2000
 #: fillings looked at and kept for one node
 FILLINGS_SEEN, FILLINGS_KEPT = 400, 6
-CACHED_CHUNKS = 600_000
+#: what a worker's cache of chunks may hold, and what an entry takes beside its bytes
+CACHE_BYTES, ENTRY_BYTES = 64 << 20, 200
 #: pieces of one length that one task ranks
 RANKED_ROWS = 50_000
 
@@ -231,6 +232,7 @@ def _encoder(file_text: str):
     shape, cut, merge = library.normalizer, library.pre_tokenizer, library.model
     special = [t.content.encode() for t in library.get_added_tokens_decoder().values()]
     cache: dict[bytes, bytes] = {}
+    held = 0
 
     def pack(ids) -> bytes:
         return b"".join([i.to_bytes(4, "little") for i in ids])
@@ -247,8 +249,11 @@ def _encoder(file_text: str):
         if got is None:
             got = plain(chunk)
             if len(chunk) <= 64:
-                if len(cache) >= CACHED_CHUNKS:
+                nonlocal held
+                held += ENTRY_BYTES + len(chunk) + len(got)
+                if held > CACHE_BYTES:
                     cache.clear()
+                    held = ENTRY_BYTES + len(chunk) + len(got)
                 cache[chunk] = got
         return got
 
@@ -277,6 +282,7 @@ _ENCODERS: dict[int, object] = {}
 
 def encoder(file_text: str):
     """One encoder per worker and file, with its cache."""
+    own_caches("packing", _ENCODERS.clear)
     key = zlib.crc32(file_text.encode())
     if key not in _ENCODERS:
         _ENCODERS[key] = _encoder(file_text)
@@ -303,8 +309,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
 
     rows = texts(docs)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInPandas(
-        run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return map_frames(
+        rows, run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID,
