@@ -78,8 +78,11 @@ def vector_schema() -> T.StructType:
 def count_matrix_wide(long_counts: DataFrame, split_ids: DataFrame,
                       names: list[str]) -> DataFrame:
     """G3 wide form, an export: ``block_id, split, label`` and one column for each
-    of ``names`` (0 where absent).  Every block of ``split_ids`` appears."""
-    wide = long_counts.groupBy("block_id").pivot("feature_name", names).agg(F.sum("n"))
+    of ``names`` (0 where absent).  Every block of ``split_ids`` appears.  A count
+    of a feature that is not among ``names`` fails the job."""
+    short = F.raise_error(F.concat(F.lit("the export has no column for "), "feature_name"))
+    named = F.when(F.col("feature_name").isin(*names), F.col("feature_name")).otherwise(short.cast("string"))
+    wide = long_counts.withColumn("feature_name", named).groupBy("block_id").pivot("feature_name", names).agg(F.sum("n"))
     full = split_ids.select("block_id", "split", "label").join(wide, "block_id", "left")
     return full.select("block_id", "split", "label",
                        *[F.coalesce(F.col(f"`{n}`"), F.lit(0)).cast("long").alias(n)

@@ -11,7 +11,9 @@ Spark ML has no isolation forest, so it is expressed as Spark jobs:
   non-constant feature and a uniform threshold in [min, max).
 * **score** -- the model is a node table (at most T x (2 psi - 1) rows); it is
   broadcast once as NumPy arrays and a ``pandas_udf`` walks all trees for an
-  Arrow batch of rows at a time.
+  Arrow batch of rows at a time.  Sparse count vectors are grouped first, so a
+  vector is walked once however many blocks have it, and stay sparse: a tree
+  sees only the columns that it splits by.
 
 Score s(x) = 2 ** (-E[h(x)] / c(psi)); decision = 0.5 - s (lower = more
 anomalous); Anomaly iff decision < 0.  Liu, Ting & Zhou (ICDM 2008).
@@ -47,12 +49,29 @@ def average_path_length(n):
     return out
 
 
-def _grow(n_features: int, max_depth: int, seed: int):
+def compressed(indices, values, features: np.ndarray) -> np.ndarray:
+    """The columns ``features`` (sorted) of rows given by their entries, dense."""
+    sizes = [len(i) for i in indices]
+    x = np.zeros((len(sizes), len(features)))
+    if sum(sizes) and len(features):
+        flat = np.concatenate([np.asarray(i, dtype=np.int64) for i in indices])
+        at = np.minimum(np.searchsorted(features, flat), len(features) - 1)
+        own = features[at] == flat
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        x[row[own], at[own]] = np.concatenate([np.asarray(v, dtype=float) for v in values])[own]
+    return x
+
+
+def _grow(max_depth: int, seed: int):
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["row_idx", "block_id"], kind="mergesort")
         tree_id = int(pdf["tree_id"].iloc[0])
-        x = np.vstack(pdf["features"].to_numpy()).astype(float) if len(pdf) else \
-            np.zeros((0, n_features))
+        if "indices" in pdf:        # only features that some row of the sample has can split it
+            used = np.unique(np.concatenate([np.asarray(i, dtype=np.int64) for i in pdf["indices"]]))
+            x = compressed(pdf["indices"], pdf["values"], used)
+        else:
+            x = np.vstack(pdf["features"].to_numpy()).astype(float)
+            used = np.arange(x.shape[1])
         rng = np.random.default_rng([seed, tree_id])
         nodes = []   # node_id, feature, threshold, left, right, leaf_value, depth, n
 
@@ -77,7 +96,7 @@ def _grow(n_features: int, max_depth: int, seed: int):
             go_left = sub[:, f] <= thr
             left = build(idx[go_left], depth + 1)
             right = build(idx[~go_left], depth + 1)
-            nodes[node_id] = (node_id, f, thr, left, right, 0.0, depth, len(idx))
+            nodes[node_id] = (node_id, int(used[f]), thr, left, right, 0.0, depth, len(idx))
             return node_id
 
         build(np.arange(len(x)), 0)
@@ -97,6 +116,12 @@ def features_array(wide: DataFrame, feature_names: list[str] | None) -> F.Column
     return F.array(*[F.col(f"`{n}`").cast("double") for n in feature_names])
 
 
+def is_sparse(rows: DataFrame) -> bool:
+    """Whether ``features`` has the layout of a sparse vector (indices, values)."""
+    field = rows.schema["features"].dataType if "features" in rows.columns else None
+    return isinstance(field, T.StructType)
+
+
 def sample_per_tree(rows: DataFrame, n_rows: int, n_trees: int, psi: int, seed: int,
                     key: str = "block_id", oversample: float = 4.0) -> DataFrame:
     """Exactly ``psi`` distinct rows per tree, uniformly without replacement.
@@ -140,8 +165,9 @@ def train_isolation_forest(spark: SparkSession, wide: DataFrame, feature_names:
     """
     from blocklens.session import ship_package
     ship_package(spark)
-    normal = wide.where((F.col("split") == split) & (F.col("label") == "Normal")) \
-        .select("block_id", features_array(wide, feature_names).alias("features"))
+    values = (F.col("features.indices"), F.col("features.values")) if is_sparse(wide) else (
+        features_array(wide, feature_names).alias("features"),)
+    normal = wide.where((F.col("split") == split) & (F.col("label") == "Normal")).select("block_id", *values)
     n = normal.count()                      # one number (partial count)
     psi = int(min(max_samples, n))
     if psi < 1:
@@ -149,10 +175,8 @@ def train_isolation_forest(spark: SparkSession, wide: DataFrame, feature_names:
     sampled = sample_per_tree(normal, n, n_trees, psi, seed) \
         .withColumnRenamed("u", "row_idx")
     max_depth = int(math.ceil(math.log2(max(psi, 2))))
-    width = len(feature_names) if feature_names is not None else \
-        len(normal.select("features").first()[0])
     nodes = sampled.groupBy("tree_id").applyInPandas(
-        _grow(width, max_depth, seed), schema=NODE_SCHEMA)
+        _grow(max_depth, seed), schema=NODE_SCHEMA)
     return nodes, psi
 
 
@@ -188,22 +212,37 @@ class _Forest:
         uniq, inverse = np.unique(x, axis=0, return_inverse=True)
         return self._walk(uniq)[inverse.reshape(-1)]
 
-    def _walk(self, x: np.ndarray) -> np.ndarray:
-        n = len(x)
+    def decision_of_entries(self, indices, values) -> np.ndarray:
+        """Decision scores of rows given by their entries, at any width: a tree
+        sees only the columns that it splits by (at most psi - 1)."""
+        n = len(indices)
         total = np.zeros(n)
-        rows = np.arange(n)
         for ti in range(self.feature.shape[0]):
-            node = np.zeros(n, dtype=np.int64)
-            while True:
-                f = self.feature[ti, node]
-                active = f >= 0
-                if not active.any():
-                    break
-                xa = x[rows[active], f[active]]
-                go_left = xa <= self.threshold[ti, node[active]]
-                node[active] = np.where(go_left, self.left[ti, node[active]],
-                                        self.right[ti, node[active]])
-            total += self.value[ti, node]
+            used = np.unique(self.feature[ti][self.feature[ti] >= 0])
+            column = np.where(self.feature[ti] >= 0, np.searchsorted(used, self.feature[ti]), -1)
+            total += self._leaf_values(ti, compressed(indices, values, used), column)
+        return self._score(total)
+
+    def _walk(self, x: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(x))
+        for ti in range(self.feature.shape[0]):
+            total += self._leaf_values(ti, x, self.feature[ti])
+        return self._score(total)
+
+    def _leaf_values(self, ti: int, x: np.ndarray, feature: np.ndarray) -> np.ndarray:
+        """Where the rows of ``x`` end in tree ``ti``; ``feature`` names x's columns."""
+        rows, node = np.arange(len(x)), np.zeros(len(x), dtype=np.int64)
+        while True:
+            f = feature[node]
+            active = f >= 0
+            if not active.any():
+                return self.value[ti, node]
+            xa = x[rows[active], f[active]]
+            go_left = xa <= self.threshold[ti, node[active]]
+            node[active] = np.where(go_left, self.left[ti, node[active]],
+                                    self.right[ti, node[active]])
+
+    def _score(self, total: np.ndarray) -> np.ndarray:
         mean_h = total / self.feature.shape[0]
         return 0.5 - np.power(2.0, -mean_h / self.c_psi)
 
@@ -224,6 +263,18 @@ def forest_scorer(spark: SparkSession, nodes: DataFrame, psi: int):
     return decision
 
 
+def entry_scorer(spark: SparkSession, nodes: DataFrame, psi: int):
+    """``(indices array<int>, values array<double>) -> decision score``."""
+    from blocklens.session import ship_package
+    ship_package(spark)
+    bc = spark.sparkContext.broadcast(_Forest(nodes.toPandas(), psi))       # bounded, as above
+
+    @F.pandas_udf(T.DoubleType())
+    def decision(indices: pd.Series, values: pd.Series) -> pd.Series:
+        return pd.Series(bc.value.decision_of_entries(indices.tolist(), values.tolist()))
+    return decision
+
+
 def class_of_score(score: F.Column) -> F.Column:
     return F.when(score < 0, F.lit("Anomaly")).otherwise(F.lit("Normal"))
 
@@ -231,10 +282,18 @@ def class_of_score(score: F.Column) -> F.Column:
 def score_isolation_forest(spark: SparkSession, nodes: DataFrame, psi: int, wide: DataFrame,
                            feature_names: list[str] | None, split: str | None = "test") -> DataFrame:
     """``(block_id, score, classification, label)``; score = decision."""
-    decision = forest_scorer(spark, nodes, psi)
     part = wide if split is None else wide.where(F.col("split") == split)
-    scored = part.select("block_id", "label",
-                         decision(features_array(wide, feature_names)).alias("score"))
+    if is_sparse(wide):
+        # equal vectors are one row before any tree is walked: blocks are many, vectors few
+        entries = ["features.indices", "features.values"]
+        rows = part.select("block_id", "label", *entries)
+        distinct = rows.select("indices", "values").distinct()
+        scores = distinct.withColumn("score", entry_scorer(spark, nodes, psi)("indices", "values"))
+        scored = rows.join(scores, ["indices", "values"]).select("block_id", "label", "score")
+    else:
+        decision = forest_scorer(spark, nodes, psi)
+        scored = part.select("block_id", "label",
+                             decision(features_array(wide, feature_names)).alias("score"))
     return scored.select("block_id", "score", class_of_score(F.col("score")).alias("classification"),
                          "label")
 

@@ -104,10 +104,13 @@ def stratified_sample(df: DataFrame, size: int = SAMPLE_SIZE, strata: str = "lab
     ends = sizes.withColumn("_before", F.coalesce(F.sum("_bn").over(upto), F.lit(0))).join(
         quotas.select(strata, "quota"), strata).where(F.col("_before") < F.col("quota")) \
         .groupBy(strata).agg(F.max("_b").alias("_end"), F.max("quota").alias("_quota"))
-    near = keyed.join(ends, strata).where(F.col("_b") <= F.col("_end"))
-    order = Window.partitionBy(strata).orderBy("_h", key)
-    return near.withColumn("_r", F.row_number().over(order)).where(
-        F.col("_r") <= F.col("_quota")).drop("_r", "_h", "_b", "_end", "_quota")
+    near = keyed.join(ends, strata).where(F.col("_b") <= F.col("_end")).join(
+        sizes.select(strata, "_b", F.coalesce(F.sum("_bn").over(upto), F.lit(0)).alias("_before")),
+        [strata, "_b"])
+    # ranked within a hash bucket, behind the rows of the buckets before it
+    order = Window.partitionBy(strata, "_b").orderBy("_h", key)
+    return near.withColumn("_r", F.col("_before") + F.row_number().over(order)).where(
+        F.col("_r") <= F.col("_quota")).select(df.columns)
 
 
 def _check_quotas(quotas: DataFrame, strata: str) -> DataFrame:

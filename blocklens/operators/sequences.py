@@ -9,7 +9,7 @@ block, and that is the output row itself.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from blocklens.operators.parse import drop_unkeyed
@@ -22,17 +22,48 @@ def block_events(assigned: DataFrame) -> DataFrame:
     return drop_unkeyed(assigned).select("block_id", "line_id", "event_id")
 
 
+def sequence_chunks(assigned: DataFrame, chunk_bits: int = CHUNK_BITS) -> DataFrame:
+    """G1 for blocks of any size: ``(block_id, chunk, first_position, events)``.
+
+    A chunk holds the events of a block within ``2**chunk_bits`` successive line
+    ids, in line order; ``first_position`` is the 1-based position of its first
+    event in the block, a prefix sum over the sizes of the block's chunks.  No
+    row and no task holds a whole block.
+    """
+    pieces = block_events(assigned).groupBy("block_id", F.shiftright("line_id", chunk_bits).alias("chunk")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("line_id", "event_id"))),
+                    lambda e: e["event_id"]).alias("events"))
+    before = Window.partitionBy("block_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    return pieces.withColumn("first_position", F.coalesce(
+        F.sum(F.size("events")).over(before), F.lit(0)) + 1).select(
+        "block_id", "chunk", "first_position", "events")
+
+
+def chunk_positions(chunks: DataFrame) -> DataFrame:
+    """``(block_id, position, event_id)`` from chunks (narrow)."""
+    return chunks.select("block_id", "first_position", F.posexplode("events").alias("_at", "event_id")).select(
+        "block_id", (F.col("first_position") + F.col("_at")).alias("position"), "event_id")
+
+
+def text_chunks(chunks: DataFrame, templates: DataFrame, unknown: str | None = None) -> DataFrame:
+    """F5 for blocks of any size: ``(block_id, chunk, first_position, text)``, the
+    numbered template lines of each chunk; a block's text is its chunks' in order."""
+    rows = chunks.select("block_id", "chunk", "first_position", F.posexplode("events").alias("_at", "event_id"))
+    named = rows.join(templates.select("event_id", "event_template"), "event_id", "left")
+    line = F.concat(F.lit("Event "), (F.col("first_position") + F.col("_at")).cast("string"), F.lit(": "),
+                    F.coalesce(F.col("event_template"), F.lit(unknown or UNKNOWN_TEMPLATE)))
+    return named.groupBy("block_id", "chunk", "first_position").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("_at", line.alias("l")))), lambda x: x["l"]), "\n").alias("text"))
+
+
 def block_sequences(assigned: DataFrame, chunk_bits: int = CHUNK_BITS) -> DataFrame:
-    """``(block_id, events array<int>, sequence_length int)``, events in line order."""
-    ev = block_events(assigned)
-    pieces = ev.groupBy("block_id", F.shiftright("line_id", chunk_bits).alias("_chunk")).agg(
-        F.array_sort(F.collect_list(F.struct("line_id", "event_id"))).alias("_p"))
-    blocks = pieces.groupBy("block_id").agg(
-        F.array_sort(F.collect_list(F.struct("_chunk", "_p"))).alias("_ps"))
-    events = F.flatten(F.transform("_ps", lambda piece: F.transform(
-        piece["_p"], lambda e: e["event_id"])))
-    return blocks.select("block_id", events.alias("events")).withColumn(
-        "sequence_length", F.size("events"))
+    """The export of :func:`sequence_chunks`, one row a block: ``(block_id,
+    events array<int>, sequence_length int)``, events in line order."""
+    chunks = sequence_chunks(assigned, chunk_bits).drop("first_position")
+    blocks = chunks.groupBy("block_id").agg(
+        F.array_sort(F.collect_list(F.struct("chunk", "events"))).alias("_ps"))
+    return blocks.select("block_id", F.flatten(F.transform("_ps", lambda p: p["events"])).alias("events")) \
+        .withColumn("sequence_length", F.size("events"))
 
 
 def ordered_sequences(rows: DataFrame, key: str, order: list[str], value: str,

@@ -127,6 +127,25 @@ def q_block_sequences(spark, sf_dir):
     return s.select("block_id", "event_sequence", "sequence_length")
 
 
+#: line ids of a chunk in the chunked queries (2**6), so that blocks have several
+SHOWN_CHUNK_BITS = 6
+
+
+@query("chunk_positions")
+def q_chunk_positions(spark, sf_dir):
+    """G1 in chunks: the position of every event of a block, without a row that
+    holds a whole block."""
+    chunks = seq_ops.sequence_chunks(LogContext.of(spark, sf_dir).assigned, SHOWN_CHUNK_BITS)
+    return seq_ops.chunk_positions(chunks)
+
+
+@query("text_chunks")
+def q_text_chunks(spark, sf_dir):
+    """F5 in chunks: numbered template lines, chunk by chunk."""
+    ctx = LogContext.of(spark, sf_dir)
+    return seq_ops.text_chunks(seq_ops.sequence_chunks(ctx.assigned, SHOWN_CHUNK_BITS), ctx.templates)
+
+
 @query("sequences_labeled")
 def q_sequences_labeled(spark, sf_dir):
     s = seq_ops.with_sequence_text(LogContext.of(spark, sf_dir).labeled)
@@ -635,6 +654,41 @@ def q_text_classify(spark, sf_dir):
     return _recorded(spark, sf_dir)
 
 
+@query("stream_text_classify")
+def q_stream_text_classify(spark, sf_dir):
+    """S12/D8 as a stream: blocks arrive in files and are classified batch by
+    batch; the first run dies between the answer and the commit of its second
+    batch, the next one resumes; read back."""
+    from pyspark.errors import StreamingQueryException
+
+    from blocklens.operators.text_classifier import classify_recorded
+    from blocklens.session import scratch_path
+    from blocklens.sources import fixtures
+    from blocklens.streaming import resume
+    folder = scratch_path(spark, "stream-classify")
+    blocks = _preds(spark, sf_dir, "llm").select("block_id", "label")
+    resume.in_parts(blocks, 4).write.parquet(folder + "/in")
+    answers = LogContext.of(spark, sf_dir).store.materialize(
+        "model_answers", lambda: fixtures.model_answers(spark, sf_dir))
+
+    def die(batch_id):
+        if batch_id == 1:
+            raise RuntimeError("stopped between answer and commit")
+
+    def run(after):
+        query = resume.classify_stream(
+            resume.file_stream(spark, folder + "/in", blocks.schema), folder + "/out", folder + "/checkpoint",
+            lambda batch: classify_recorded(batch, answers), after)
+        query.awaitTermination()
+
+    try:
+        run(die)
+    except StreamingQueryException:
+        pass
+    run(None)
+    return resume.read_answers(spark, folder + "/out")
+
+
 @query("classify_failures")
 def q_classify_failures(spark, sf_dir):
     from blocklens.operators.text_classifier import failure_count

@@ -98,12 +98,12 @@ class LogContext:
 
     @cached_property
     def sequences(self) -> DataFrame:
-        return self.store.materialize(self._p + "sequences",
-                                      lambda: seq_ops.block_sequences(self.assigned))
+        return self.store.bucketed(self._p + "sequences",
+                                   lambda: seq_ops.block_sequences(self.assigned))
 
     @cached_property
     def labels(self) -> DataFrame:
-        return self.store.materialize(
+        return self.store.bucketed(
             "labels", lambda: fixtures.block_labels_from_parsed(self.parsed))
 
     @cached_property
@@ -125,7 +125,7 @@ class LogContext:
     def split_ids(self) -> DataFrame:
         """(block_id, label, split) -- exact stratified 80/20, written once."""
         from blocklens.operators.sampling import stratified_split
-        return self.store.materialize(self._p + "split_ids", lambda: stratified_split(self.block_ids))
+        return self.store.bucketed(self._p + "split_ids", lambda: stratified_split(self.block_ids))
 
     @cached_property
     def sample_ids(self) -> DataFrame:
@@ -168,6 +168,12 @@ class LogContext:
             lambda: sparse_counts(self.long_counts, self.split_ids, self.vocabulary),
             schema=vector_schema())
 
+    @cached_property
+    def vector_rows(self) -> DataFrame:
+        """The same vectors as plain structs (type, size, indices, values)."""
+        self.vectors
+        return self.spark.read.parquet(self.store.path(self._p + "vectors"))
+
     @cached_property
     def rf_model(self):
         from blocklens.operators.forest import stored_forest
@@ -176,7 +182,7 @@ class LogContext:
     @cached_property
     def iforest(self) -> tuple[DataFrame, int]:
         from blocklens.operators.iforest import stored_isolation_forest
-        return stored_isolation_forest(self.store, self._p + "iforest_nodes", self.vectors)
+        return stored_isolation_forest(self.store, self._p + "iforest_nodes", self.vector_rows)
 
     @cached_property
     def detector_predictions(self) -> dict[str, DataFrame]:
@@ -187,7 +193,7 @@ class LogContext:
         return {
             "isolation_forest": self.store.timed(
                 self._p + "iforest_predictions",
-                lambda: score_isolation_forest(self.spark, nodes, psi, self.vectors, None)),
+                lambda: score_isolation_forest(self.spark, nodes, psi, self.vector_rows, None)),
             "random_forest": self.store.timed(
                 self._p + "rf_predictions",
                 lambda: predict_random_forest(self.rf_model, self.vectors, None))}

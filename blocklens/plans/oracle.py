@@ -621,6 +621,22 @@ ORACLE["approx_distinct_blocks"] = BASE + """
 SELECT event_date, count(DISTINCT block_id) AS n_blocks, true AS within_bound FROM parsed GROUP BY event_date
 UNION ALL SELECT 'all', count(DISTINCT block_id), true FROM parsed"""
 
+CHUNKED = _with("""
+chunked AS (
+  SELECT block_id, event_id, event_template, line_id >> 6 AS chunk,
+         row_number() OVER (PARTITION BY block_id ORDER BY line_id) AS position
+  FROM assigned WHERE block_id IS NOT NULL AND block_id <> ''
+)""")
+
+ORACLE["chunk_positions"] = CHUNKED + "SELECT block_id, position, event_id FROM chunked"
+
+ORACLE["text_chunks"] = CHUNKED + """
+SELECT block_id, chunk, min(position) AS first_position,
+       string_agg('Event ' || position || ': ' || event_template, chr(10) ORDER BY position) AS text
+FROM chunked GROUP BY block_id, chunk"""
+
+ORACLE["stream_text_classify"] = ORACLE["text_classify"]
+
 ORACLE["template_versions"] = BASE + """
 SELECT event_id, event_template,
        CAST(CASE WHEN first_line_id <= (SELECT max(line_id) // 2 FROM masked) THEN 1 ELSE 2 END AS INTEGER)

@@ -90,8 +90,9 @@ class DetectionRun:
     # phase 7a / 7b: detectors
     def isolation_forest(self, vectors: DataFrame) -> DataFrame:
         def build():
-            nodes, psi = iforest.stored_isolation_forest(self.store, "iforest_model", vectors)
-            return iforest.score_isolation_forest(self.spark, nodes, psi, vectors, None)
+            rows = self.spark.read.parquet(self.store.path("features"))      # as plain structs
+            nodes, psi = iforest.stored_isolation_forest(self.store, "iforest_model", rows)
+            return iforest.score_isolation_forest(self.spark, nodes, psi, rows, None)
         return self.store.timed("predictions_isolation_forest", build)
 
     def random_forest(self, vectors: DataFrame) -> DataFrame:

@@ -109,19 +109,45 @@ class StageStore:
     def timed(self, name: str, build) -> DataFrame:
         """Stage ``name`` of scored rows with ``inference_time_sec`` per row.
 
-        The rows are written and timed, then rewritten with the time in one
-        atomic step; a run that dies in between scores (and times) again.
+        The rows are written once; the time of that job and the rows it counted
+        stand in a side table, which completes the stage, so a run that dies in
+        between scores (and times) again.
         """
-        p, draft = self.path(name), self.path(name + "_draft")
+        p, side = self.path(name), self.path(name + "_time")
         with _lock_for(p):
-            if not is_complete(self.spark, p):
+            if not is_complete(self.spark, side):
+                seen = Observation(name)
                 began = time.perf_counter()
-                build().write.mode("overwrite").parquet(draft)
+                build().observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(p)
                 spent = time.perf_counter() - began
-                rows = self.spark.read.parquet(draft)
-                rows.withColumn("inference_time_sec", F.lit(spent / max(1, rows.count()))) \
-                    .write.mode("overwrite").parquet(p)
-        return self.spark.read.parquet(p)
+                self.spark.createDataFrame([(spent / max(1, seen.get["n"]),)], "seconds double") \
+                    .coalesce(1).write.mode("overwrite").parquet(side)
+        seconds = self.spark.read.parquet(side).first()["seconds"]
+        return self.spark.read.parquet(p).withColumn("inference_time_sec", F.lit(seconds))
+
+    def bucketed(self, name: str, build, key: str = "block_id", buckets: int | None = None) -> DataFrame:
+        """Stage ``name`` dealt into ``buckets`` by ``key`` (default: as many as
+        shuffle partitions) and sorted by it.
+
+        Spark knows the layout, so joins and groupings by ``key`` among stages of
+        equally many buckets need no shuffle, and a filter on one key reads one
+        bucket.  The table is registered for the session; a later session
+        registers the files that are there.
+        """
+        n = buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        p = self.path(f"{name}_in_{n}")
+        table = "stage_" + hashlib.sha1(p.encode()).hexdigest()[:20]
+        with _lock_for(p):
+            if not is_complete(self.spark, p):
+                self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+                build().repartition(n, key).write.mode("overwrite").option("path", p).format("parquet") \
+                    .bucketBy(n, key).sortBy(key).saveAsTable(table)
+            elif not self.spark.catalog.tableExists(table):
+                columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}"
+                                    for f in self.spark.read.parquet(p).schema)
+                self.spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY (`{key}`) "
+                               f"SORTED BY (`{key}`) INTO {n} BUCKETS LOCATION '{p}'")
+        return self.spark.table(table)
 
     def write_once(self, name: str, df: DataFrame) -> DataFrame:
         """Refuse to replace a complete stage; what a write that died has

@@ -1,11 +1,13 @@
 """Isolation forest and random forest on synthetic count features."""
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from blocklens.operators.forest import (feature_importances, predict_random_forest,
                                         train_random_forest)
+from blocklens.operators import iforest
 from blocklens.operators.iforest import score_isolation_forest, train_isolation_forest
 
 NAMES = ["E1", "E2", "E3"]
@@ -129,3 +131,43 @@ def test_a_vocabulary_of_thousands_has_one_form(spark, tmp_dir):
     assert predict_random_forest(model, vec, None).count() == 10
     nodes, psi = train_isolation_forest(spark, vec, None, n_trees=3)
     assert score_isolation_forest(spark, nodes, psi, vec, None).count() == 10
+
+
+def test_sparse_scores_equal_dense_ones_and_equal_vectors_are_walked_once(spark):
+    """The same forest and scores from entries as from dense rows."""
+    rng = np.random.default_rng(4)
+    dense = [(f"blk_{i}", "train" if i % 4 else "test", "Normal", rng.integers(0, 3, 12).astype(float).tolist())
+             for i in range(300)]
+    wide = spark.createDataFrame(
+        [(b, s, lab, *x) for b, s, lab, x in dense],
+        "block_id string, split string, label string, " + ", ".join(f"E{k} double" for k in range(12)))
+    sparse = spark.createDataFrame(
+        [(b, s, lab, (0, 12, [k for k, v in enumerate(x) if v], [v for v in x if v])) for b, s, lab, x in dense],
+        "block_id string, split string, label string, "
+        "features struct<type:tinyint,size:int,indices:array<int>,values:array<double>>")
+    names = [f"E{k}" for k in range(12)]
+    a_nodes, a_psi = iforest.train_isolation_forest(spark, wide, names, n_trees=20, max_samples=64)
+    b_nodes, b_psi = iforest.train_isolation_forest(spark, sparse, None, n_trees=20, max_samples=64)
+    key = ["tree_id", "node_id"]
+    assert a_psi == b_psi and a_nodes.orderBy(key).collect() == b_nodes.orderBy(key).collect()
+    want = {r.block_id: r.score for r in iforest.score_isolation_forest(spark, a_nodes, a_psi, wide, names, None).collect()}
+    got = {r.block_id: r.score for r in iforest.score_isolation_forest(spark, b_nodes, b_psi, sparse, None, None).collect()}
+    assert got == want
+
+
+def test_a_vocabulary_of_a_million_events(spark):
+    """Rows stay sparse in training and scoring: dense ones would take 8 MB each."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(1500):
+        at = sorted(rng.choice(1_000_000, 6, replace=False).tolist()) if i % 3 else [5, 77, 999_999]
+        rows.append((f"blk_{i}", "train", "Normal", (0, 1_000_000, at, [float(1 + i % 2)] * len(at))))
+    sparse = spark.createDataFrame(
+        rows, "block_id string, split string, label string, "
+              "features struct<type:tinyint,size:int,indices:array<int>,values:array<double>>")
+    nodes, psi = iforest.train_isolation_forest(spark, sparse, None, n_trees=10)
+    scores = {r.block_id: r.score for r in iforest.score_isolation_forest(
+        spark, nodes, psi, sparse, None, None).collect()}
+    assert len(scores) == 1500
+    # a third of all blocks have one of two vectors and their scores
+    assert len({round(scores[f"blk_{i}"], 12) for i in range(0, 1500, 3)}) <= 2
