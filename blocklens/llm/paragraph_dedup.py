@@ -7,12 +7,14 @@ Shorter neighbours are merged: from each of them on, as many as make
 ``MERGED`` words are a paragraph, which only equals or does not.
 
 1. A paragraph's 5-word shingles are hashed and min-hashed.  Signatures are
-   cut into bands (``BANDS``: all get 4 of 2 values, which finds a pair of
-   similarity 0.8 with probability 0.98, also a line and a sentence; lines get
-   9 of 3 values too, so two lines are found with 0.998 or more; equal
-   paragraphs always meet).  Paragraphs that share a band collide.
-2. Colliding paragraphs are compared by the Jaccard similarity of their
-   shingles; 0.8 or more links them.
+   cut into ``BANDS`` bands of ``ROWS`` values, one family for lines and
+   sentences; five of two find a pair of similarity 0.8 with probability 0.994
+   (equal paragraphs always meet).  Paragraphs that share a band collide.
+2. A colliding paragraph that agrees with no other of its band in ``AGREE`` of
+   the ten values (six bits of each travel with the band key) goes no further;
+   of the pairs of similarity 0.8 that leaves out less than one in a thousand.
+   The others are compared by the Jaccard similarity of their shingles; 0.8 or
+   more links them.
 3. Connected components of equal and linked paragraphs are the groups.  The
    occurrence with the smallest (doc_id, place) stays, all others are repeats.
    A line and a sentence in it are one passage: they are neither linked nor
@@ -46,8 +48,10 @@ from blocklens.llm.common import connected_components, drop_stage, map_frames, s
 from blocklens.llm.suffix_dedup import _listed
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: (bands, values a band) of all units, and those that lines have besides
-BANDS = {"all": (4, 2), "line": (9, 3)}
+BANDS, ROWS = 5, 2
+#: bits of a value in a sketch, values that two sketches must have in common, and
+#: members of a band up to which its sketches are compared
+SKETCH_BITS, AGREE, COMPARED = 6, 4, 4096
 RUN_WORDS = 28
 #: least words of short neighbouring pieces that make one paragraph
 MERGED = 14
@@ -136,55 +140,48 @@ def shingles(words: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(own: list[Paragraphs]) -> tuple[np.ndarray, np.ndarray]:
-    """(band key, unit name) of every unit of some texts."""
+def band_keys(own: list[Paragraphs]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(band key, unit name, sketch) of every unit of some texts."""
     words = np.concatenate([p.words for p in own] + [np.zeros(SHINGLE, np.uint64)])
     shift = np.cumsum([0] + [len(p.words) for p in own])
-    first, end, names, lines = [], [], [], []
+    first, end, names, kinds = [], [], [], []
     for p, s in zip(own, shift.tolist()):
         names.append(p.names())
         for _, _, a, b, kind in p.units:
             first.append(a + s)
             end.append(b + s - SHINGLE + 1)
-            lines.append(kind)
-    name, kinds = np.concatenate(names), np.array(lines)
+            kinds.append(kind)
+    name = np.concatenate(names)
     # merged paragraphs of neighbouring offsets are alike: no near copies of them
-    banded = np.flatnonzero(kinds != "merged") if len(kinds) else []
+    banded = np.flatnonzero(np.array(kinds) != "merged") if len(kinds) else []
     if not len(banded):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    name, line = name[banded], kinds[banded] == "line"
-    grams = shingles(words)
-    first, end = np.array(first)[banded], np.array(end)[banded]
-    draw = np.random.default_rng(SEED)
-    keys, of = [], []
-    values = max(b * r for b, r in BANDS.values())
-    factors = draw.integers(0, 1 << 63, (values, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    name, first, end = name[banded], np.array(first)[banded], np.array(end)[banded]
     order = np.argsort(first, kind="stable")
-    name, line = name[order], line[order]
-    ranges = np.stack((first[order], end[order]), axis=1)
-    needed = np.ones(len(name), bool)
-    wide = BANDS["all"][0] * BANDS["all"][1]
-    low = []                # minima by value; those that only lines need stand beside them
-    for i in range(values):
-        if i == wide:
-            needed = line
-            if not needed.any():
-                break
-        mul, add = factors[i]
-        hashed = np.append(_mix(grams * mul + add), np.uint64(0))
-        low.append(np.minimum.reduceat(hashed, ranges[needed].ravel())[::2])
-    for kind, (bands, rows) in BANDS.items():
-        own = line if kind == "line" else np.ones(len(name), bool)
-        if not own.any():
-            continue
-        for band in range(bands):
-            key = np.full(int(own.sum()), band, np.uint64)
-            for i in range(band * rows, (band + 1) * rows):
-                value = low[i][own] if i < wide else low[i]
-                key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + value)
-            keys.append(key.view(np.int64))
-            of.append(name[own])
-    return np.concatenate(keys), np.concatenate(of)
+    name, ranges = name[order], np.stack((first[order], end[order]), axis=1).ravel()
+    grams = shingles(words)
+    factors = np.random.default_rng(SEED).integers(
+        0, 1 << 63, (BANDS * ROWS, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    keys, sketch = [], np.zeros(len(name), np.uint64)
+    for band in range(BANDS):
+        key = np.full(len(name), band, np.uint64)
+        for mul, add in factors[band * ROWS:(band + 1) * ROWS]:
+            low = np.minimum.reduceat(np.append(_mix(grams * mul + add), np.uint64(0)), ranges)[::2]
+            key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + low)
+            # the low bits of a least value are as good as random
+            sketch = sketch << np.uint64(SKETCH_BITS) | low & np.uint64((1 << SKETCH_BITS) - 1)
+        keys.append(key.view(np.int64))
+    return np.concatenate(keys), np.tile(name, BANDS), np.tile(sketch.view(np.int64), BANDS)
+
+
+def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many of their values pairs of sketches (unsigned) have in common."""
+    differ = a ^ b
+    any_bit = differ.copy()
+    for i in range(1, SKETCH_BITS):
+        any_bit |= differ >> np.uint64(i)
+    lowest = np.uint64(sum(1 << (SKETCH_BITS * i) for i in range(BANDS * ROWS)))
+    return BANDS * ROWS - np.bitwise_count(any_bit & lowest)
 
 
 def _bands(frames):
@@ -194,13 +191,14 @@ def _bands(frames):
             held.append(Paragraphs(text))
             tokens += len(held[-1].words)
             if tokens >= CHUNK_TOKENS or i + 1 == len(frame):
-                key, name = band_keys(held)
-                yield pd.DataFrame({"key": key, "name": name}).drop_duplicates()
+                key, name, sketch = band_keys(held)
+                yield pd.DataFrame({"key": key, "name": name, "sketch": sketch}).drop_duplicates()
                 held, tokens = [], 0
 
 
 def _collisions(frames):
-    """Rows sorted by key -> the rows of keys that several names share."""
+    """Rows sorted by key -> the rows of keys that several names share, without
+    those that are like no other of their key."""
     held = None
     for frame in frames:
         if held is not None and len(held):
@@ -217,13 +215,29 @@ def _collisions(frames):
 
 
 def _shared(frame: pd.DataFrame) -> pd.DataFrame:
-    key, name = frame["key"].to_numpy(), frame["name"].to_numpy()
+    frame = frame.drop_duplicates(["key", "name"])
+    key, sketch = frame["key"].to_numpy(), frame["sketch"].to_numpy().view(np.uint64)
     if not len(key):
-        return frame
+        return frame[["key", "name"]]
     edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     size = np.diff(np.append(edge, len(key)))
-    mixed = np.minimum.reduceat(name, edge) != np.maximum.reduceat(name, edge)
-    return frame[np.repeat(mixed, size)].drop_duplicates()
+    group_size = np.repeat(size, size)
+    like = np.zeros(len(key), bool)
+    near = 16           # neighbours in all small groups at once
+    for d in range(1, min(near, int(size.max()))):
+        pair = np.flatnonzero(key[d:] == key[:-d])
+        pair = pair[agreement(sketch[pair], sketch[pair + d]) >= AGREE]
+        like[pair] = like[pair + d] = True
+    for start, n in zip(edge[size > near].tolist(), size[size > near].tolist()):
+        own = sketch[start:start + n]
+        if n > COMPARED:        # all go on; their shingles are compared in blocks
+            like[start:start + n] = True
+            continue
+        for i in np.flatnonzero(~like[start:start + n]).tolist():
+            alike = agreement(own, own[i]) >= AGREE
+            if alike.sum() > 1:
+                like[start:start + n] |= alike
+    return frame.loc[like & (group_size > 1), ["key", "name"]]
 
 
 def _link(names: np.ndarray, grams: list[np.ndarray], home: np.ndarray, first: np.ndarray,
@@ -288,7 +302,7 @@ def link_paragraphs(docs: DataFrame, places: DataFrame) -> DataFrame:
     ``docs``: (doc_id, kind, text); ``places``: (name, doc_id, place) of all.
     """
     parts = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    banded = docs.mapInPandas(_bands, "key long, name long")
+    banded = docs.mapInPandas(_bands, "key long, name long, sketch long")
     met = stage(banded.repartition(parts, "key").sortWithinPartitions("key")
                 .mapInPandas(_collisions, "key long, name long").distinct(), "collisions")
     asked = stage(met.select("name").distinct(), "colliding")

@@ -120,8 +120,8 @@ def test_signatures_of_equal_paragraphs_meet_and_shares_follow_similarity():
             # replacing a suffix of the words replaces a suffix of the shingles
             keep = round(124 * 2 * similarity / (1 + similarity))
             other = words[:keep] + ["".join(rng.choice("ijklmnop") for _ in range(6)) for _ in range(124 - keep)]
-            a, _ = pd_.band_keys([pd_.Paragraphs(" ".join(words))])
-            b, _ = pd_.band_keys([pd_.Paragraphs(" ".join(other))])
+            a, *_ = pd_.band_keys([pd_.Paragraphs(" ".join(words))])
+            b, *_ = pd_.band_keys([pd_.Paragraphs(" ".join(other))])
             hits[similarity][0] += bool(set(a.tolist()) & set(b.tolist()))
             hits[similarity][1] += 1
     assert hits[0.8][0] >= 0.97 * hits[0.8][1] and hits[0.3][0] < 0.5 * hits[0.3][1]
