@@ -50,7 +50,7 @@ SEED = 4
 TRAIN, HELD_OUT, NO_ID = 0, 1, 2
 
 _PARTS = ("part long, tokens long, doc_ids array<long>, folds array<int>, sizes array<int>, "
-          "hashes array<int>, ids binary, words array<string>, counts array<long>")
+          "shares array<int>, words array<string>, counts array<long>")
 
 
 def words_of(text: str) -> list[bytes]:
@@ -58,8 +58,12 @@ def words_of(text: str) -> list[bytes]:
     return text.encode().lower().split()
 
 
-def _parts(part_tokens: int):
-    """Documents -> parts; number 0 of a part's dictionary is the end token."""
+def _parts(part_tokens: int, shares: int):
+    """Documents -> parts; number 0 of a part's dictionary is the end token.
+
+    A part's documents stand by hashed share, the numbers of each share in a
+    column of their own (ids0, ids1, ...), so a round over one share reads no more.
+    """
     import zstandard
 
     def run(frames):
@@ -67,16 +71,22 @@ def _parts(part_tokens: int):
         part = TaskContext.get().partitionId() << 24
 
         def close():
-            numbers = np.concatenate(held)
-            sizes = np.array([len(h) for h in held])
-            train = np.repeat(np.array(folds) == TRAIN, sizes)
-            return pd.DataFrame({
-                "part": [part], "tokens": [len(numbers)], "doc_ids": [docs], "folds": [folds],
-                "sizes": [sizes], "hashes": [hashes], "ids": [zstandard.ZstdCompressor(3).compress(numbers.tobytes())],
-                "words": [[w.decode() for w in known]],
-                "counts": [np.bincount(numbers[train], minlength=len(known))]})
-
-        known, held, docs, folds, hashes, tokens = {b"": 0}, [], [], [], [], 0
+            order = np.argsort(share, kind="stable")
+            numbers = [held[i] for i in order]
+            sizes = np.array([len(h) for h in numbers])
+            own = np.array(folds)[order]
+            every = np.concatenate(numbers)
+            many = np.bincount(np.array(share), minlength=shares)
+            ends = np.concatenate(([0], np.cumsum(sizes)))[np.concatenate(([0], np.cumsum(many)))]
+            row = {
+                "part": [part], "tokens": [len(every)], "doc_ids": [np.array(docs, np.int64)[order]],
+                "folds": [own], "sizes": [sizes], "shares": [many], "words": [[w.decode() for w in known]],
+                "counts": [np.bincount(every[np.repeat(own == TRAIN, sizes)], minlength=len(known))]}
+            pack = zstandard.ZstdCompressor(3).compress
+            return pd.DataFrame(row | {f"ids{k}": [pack(every[ends[k]:ends[k + 1]].tobytes())]
+                                       for k in range(shares)})
+
+        known, held, docs, folds, share, tokens = {b"": 0}, [], [], [], [], 0
         for frame in frames:
             for doc_id, text, fold, hashed in zip(frame["doc_id"], frame["text"], frame["fold"],
                                                   frame["hash"]):
@@ -88,11 +98,11 @@ def _parts(part_tokens: int):
                 held.append(np.array(got, np.uint32))
                 docs.append(0 if pd.isna(doc_id) else int(doc_id))       # its fold says NO_ID
                 folds.append(int(fold))
-                hashes.append(int(hashed))
+                share.append(int(hashed) % shares)
                 tokens += len(got)
                 if tokens >= part_tokens:
                     yield close()
-                    known, held, docs, folds, hashes, tokens = {b"": 0}, [], [], [], [], 0
+                    known, held, docs, folds, share, tokens = {b"": 0}, [], [], [], [], 0
                     part += 1
         if held:
             yield close()
@@ -101,21 +111,24 @@ def _parts(part_tokens: int):
 
 def _packed(frame: pd.DataFrame) -> pd.DataFrame:
     """A part's dictionary, ordered by number, in two binary columns."""
-    frame = frame.sort_values("number")
+    import zstandard
+    frame, pack = frame.sort_values("number"), zstandard.ZstdCompressor(1).compress
     return pd.DataFrame({"part": frame["part"].iloc[:1].to_numpy(),
-                         "c": [frame["c"].to_numpy("<i8").tobytes()],
-                         "cls": [frame["cls"].to_numpy("<i4").tobytes()]})
+                         "c": [pack(frame["c"].to_numpy("<i8").tobytes())],
+                         "cls": [pack(frame["cls"].to_numpy("<i4").tobytes())]})
 
 
 def prepare(docs: DataFrame, folds: int = 7, held_out: int = 2, part_tokens: int = PART_TOKENS,
-            frequent: int = FREQUENT, endings: int = ENDINGS):
+            frequent: int = FREQUENT, endings: int = ENDINGS, shares: int = WARM_ROUNDS):
     """(parts with counts and classes, N, V, class sizes S as an array)."""
     session(docs)
     fold = F.crc32(F.col("doc_id").cast("string")) % folds == held_out
     rows = texts(docs).withColumn("fold", F.when(F.col("doc_id").isNull(), NO_ID)
                                   .when(fold, HELD_OUT).otherwise(TRAIN)) \
         .withColumn("hash", F.hash("doc_id"))
-    parts = stage(map_frames(rows, _parts(part_tokens), _PARTS), "hmm-parts")
+    shares = max(1, shares)
+    parts = stage(map_frames(rows, _parts(part_tokens, shares), _PARTS + "".join(
+        f", ids{k} binary" for k in range(shares))), "hmm-parts")
     entry = F.explode(F.arrays_zip("words", "counts", F.sequence(
         F.lit(0), F.size("words") - 1).alias("number"))).alias("e")
     listed = parts.select("part", entry).select(
@@ -157,6 +170,7 @@ class Model:
     def __init__(self, start, move, emit, unknown, sizes):
         self.start, self.move, self.emit, self.unknown = start, move, emit, unknown
         self.sizes_given, self.sizes = sizes, np.maximum(sizes, 1.0)
+        self._once = emit * (1 - unknown) / self.sizes[:, None]       # a word of count zero
 
     @classmethod
     def noise(cls, states: int, sizes: np.ndarray, tokens: int) -> "Model":
@@ -180,9 +194,10 @@ class Model:
 
     def emissions(self, c: np.ndarray, cls: np.ndarray) -> np.ndarray:
         """P(token | state) for tokens given by count and class (-1: unknown)."""
-        share = (c + 1) / self.sizes[cls]
-        known = (1 - self.unknown) * self.emit[cls] * share[:, None]
-        return np.where((cls < 0)[:, None], self.unknown, known)
+        out = self._once[cls] * (c + 1.0)[:, None]
+        if (cls < 0).any():
+            out[cls < 0] = self.unknown
+        return out
 
 
 class Counts:
@@ -210,81 +225,96 @@ class Lattice:
         self.width = len(sizes) - np.cumsum(ends)[:-1]          # texts longer than t
         self.at = np.concatenate(([0], np.cumsum(self.width)))
         step = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        self.text = np.repeat(np.arange(len(sizes)), sizes)
-        self.place = self.at[step] + np.repeat(rank, sizes)     # of each token, text by text
-        later = step > 0
-        self.later = self.place[later]
-        self.before = self.at[step[later] - 1] + np.repeat(rank, sizes)[later]
+        # of each token, text by text
+        self.place = self.at[step] + np.repeat(rank, sizes)
+        self.text = np.empty(len(step), np.int64)
+        self.text[self.place] = np.repeat(np.arange(len(sizes)), sizes)
+
+    def spread(self, values: np.ndarray) -> np.ndarray:
+        """Values given text by text, block by block."""
+        out = np.empty_like(values)
+        out[self.place] = values
+        return out
 
     def forward(self, model: Model, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Scaled forward variables and scales, block by block."""
         alpha, scale = np.empty_like(seen), np.empty(len(seen))
-        for t, n in enumerate(self.width):
-            a, b = self.at[t], self.at[t] + n
-            last = self.at[t - 1] if t else 0
-            now = (alpha[last:last + n] @ model.move if t else model.start) * seen[a:b]
-            total = now.sum(axis=1)
-            alpha[a:b] = now / total[:, None]
-            scale[a:b] = total
+        ones, last = np.ones(seen.shape[1]), 0
+        for a, n in zip(self.at.tolist(), self.width.tolist()):
+            now = alpha[a:a + n]
+            np.multiply(alpha[last:last + n] @ model.move if a else model.start, seen[a:a + n], out=now)
+            total = now @ ones
+            now /= total[:, None]
+            scale[a:a + n] = total
+            last = a
         return alpha, scale
 
-    def backward(self, model: Model, seen: np.ndarray, scale: np.ndarray) -> np.ndarray:
-        beta = np.ones_like(seen)
-        back = model.move.T
-        for t in range(len(self.width) - 1, 0, -1):
-            a, n = self.at[t], self.width[t]
-            ahead = seen[a:a + n] * beta[a:a + n] / scale[a:a + n, None]
-            beta[self.at[t - 1]:self.at[t - 1] + n] = ahead @ back
-        return beta
+    def backward(self, model: Model, seen: np.ndarray, alpha: np.ndarray,
+                 scale: np.ndarray) -> np.ndarray:
+        """Posteriors of the states, in the place of ``alpha``, and the expected moves."""
+        move, back, later = np.zeros_like(model.move), model.move.T, None
+        for t in range(len(self.width) - 1, -1, -1):
+            a, n = int(self.at[t]), int(self.width[t])
+            beta = np.ones((n, len(back)))
+            if later is not None:
+                beta[:len(later)] = later
+            if t:
+                ahead = seen[a:a + n] * beta
+                ahead /= scale[a:a + n, None]
+                before = int(self.at[t - 1])
+                move += alpha[before:before + n].T @ ahead
+                later = ahead @ back
+            alpha[a:a + n] *= beta
+        return model.move * move
 
 
 def log_likelihoods(model: Model, sizes: np.ndarray, c: np.ndarray, cls: np.ndarray) -> np.ndarray:
     """log10 probability of each text; tokens are given text by text."""
     grid = Lattice(sizes)
-    seen = np.empty((len(c), len(model.start)))
-    seen[grid.place] = model.emissions(c, cls)
-    _, scale = grid.forward(model, seen)
+    _, scale = grid.forward(model, model.emissions(grid.spread(c), grid.spread(cls)))
     # rounding may not make a probability exceed one
-    return np.minimum(np.bincount(grid.text, np.log10(scale[grid.place]), len(sizes)), 0.0)
+    return np.minimum(np.bincount(grid.text, np.log10(scale), len(sizes)), 0.0)
 
 
 def add_counts(counts: Counts, model: Model, sizes: np.ndarray, c: np.ndarray, cls: np.ndarray) -> None:
     """Forward-backward over some texts; adds their expected counts."""
     grid = Lattice(sizes)
-    seen = np.empty((len(c), len(model.start)))
-    seen[grid.place] = model.emissions(c, cls)
-    alpha, scale = grid.forward(model, seen)
-    beta = grid.backward(model, seen, scale)
-    ahead = seen * beta / scale[:, None]
-    counts.move += model.move * (alpha[grid.before].T @ ahead[grid.later])
-    gamma = (alpha * beta)[grid.place]
-    counts.start += (alpha * beta)[:grid.width[0]].sum(axis=0)
-    for k in range(gamma.shape[1]):
-        counts.emit[:, k] += np.bincount(cls, gamma[:, k], len(counts.emit))
+    c, cls = grid.spread(c), grid.spread(cls.astype(np.int64))
+    seen = model.emissions(c, cls)
+    gamma, scale = grid.forward(model, seen)
+    counts.move += grid.backward(model, seen, gamma, scale)
+    counts.start += gamma[:grid.width[0]].sum(axis=0)
+    classes, states = counts.emit.shape
+    cell = (cls[:, None] * states + np.arange(states)).ravel()
+    counts.emit += np.bincount(cell, gamma.ravel(), classes * states).reshape(classes, states)
     counts.once += gamma[c == 1].sum(axis=0)
 
 
-def _documents(frames, folds: tuple[int, ...], turn: int = 0, turns: int = 1):
-    """(part row, chosen texts, sizes, counts, classes) in chunks of similar length;
-    of ``turns`` hashed shares of the texts the one numbered ``turn``."""
+def _documents(frames, folds: tuple[int, ...], shares: list[int] | None = None):
+    """(part row, chosen texts, sizes, counts, classes) in chunks of similar length,
+    of some of the hashed shares of the texts or of all."""
     import zstandard
+    unpack = zstandard.ZstdDecompressor().decompress
     for frame in frames:
         for row in frame.itertuples():
-            ids = np.frombuffer(zstandard.ZstdDecompressor().decompress(row.ids), np.uint32)
-            sizes = np.asarray(row.sizes, np.int64)
+            every = np.asarray(row.sizes, np.int64)
+            edge = np.concatenate(([0], np.cumsum(np.asarray(row.shares, np.int64))))
+            some = range(len(edge) - 1) if shares is None else shares
+            ids = np.concatenate([np.frombuffer(unpack(getattr(row, f"ids{k}")), np.uint32) for k in some])
+            rows = np.concatenate([np.arange(edge[k], edge[k + 1]) for k in some])
+            sizes = every[rows]
             begin = np.cumsum(sizes) - sizes
-            c = np.frombuffer(row.c, "<i8")
-            cls = np.frombuffer(row.cls, "<i4")
-            chosen = np.flatnonzero(np.isin(np.asarray(row.folds), folds)
-                                    & (np.asarray(row.hashes, np.int64) % turns == turn))
+            c = np.frombuffer(unpack(row.c), "<i8")
+            cls = np.frombuffer(unpack(row.cls), "<i4")
+            chosen = np.flatnonzero(np.isin(np.asarray(row.folds)[rows], folds))
             chosen = chosen[np.argsort(sizes[chosen], kind="stable")]
-            edge = np.cumsum(sizes[chosen]) // CHUNK_TOKENS
-            for own in np.split(chosen, np.flatnonzero(np.diff(edge)) + 1):
+            cut = np.cumsum(sizes[chosen]) // CHUNK_TOKENS
+            for own in np.split(chosen, np.flatnonzero(np.diff(cut)) + 1):
                 if len(own):
                     n = sizes[own]
                     at = np.repeat(begin[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
                     tokens = ids[at]
-                    yield row, own, n, c[tokens], cls[tokens]
+                    yield row, rows[own], n, c[tokens], cls[tokens]
 
 
 def _gathered(chunks):
@@ -300,14 +330,14 @@ def _gathered(chunks):
         yield tuple(map(np.concatenate, zip(*held)))
 
 
-def _expect(model: Model, turn: int = 0, turns: int = 1):
+def _expect(model: Model, shares: list[int] | None = None):
     """Parts -> this task's expected counts, one row for each class it met and
     one for each state's start, moves and words seen once."""
     states, classes = len(model.start), len(model.emit)
 
     def run(frames):
         counts, some = Counts(states, classes), False
-        for sizes, c, cls in _gathered(_documents(frames, (TRAIN,), turn, turns)):
+        for sizes, c, cls in _gathered(_documents(frames, (TRAIN,), shares)):
             add_counts(counts, model, sizes, c, cls)
             some = True
         if some:
@@ -321,12 +351,17 @@ def _expect(model: Model, turn: int = 0, turns: int = 1):
     return run
 
 
-def expected(ready: DataFrame, model: Model, turn: int = 0, turns: int = 1) -> Counts | None:
-    """Counts of one share of the training texts, summed across partitions."""
+def share_columns(ready: DataFrame) -> list[str]:
+    return [c for c in ready.columns if c.startswith("ids")]
+
+
+def expected(ready: DataFrame, model: Model, shares: list[int] | None = None) -> Counts | None:
+    """Counts of the training texts, or of some shares of them, summed across partitions."""
     states, classes = len(model.start), len(model.emit)
     names = [f"s{k}" for k in range(states)]
-    sent = ready.mapInPandas(_expect(model, turn, turns),
-                             "kind long, " + ", ".join(f"{n} long" for n in names))
+    ids = share_columns(ready) if shares is None else [f"ids{k}" for k in shares]
+    sent = ready.select("folds", "sizes", "shares", "c", "cls", *ids).mapInPandas(
+        _expect(model, shares), "kind long, " + ", ".join(f"{n} long" for n in names))
     total = sent.groupBy("kind").agg(*[F.sum(n).alias(n) for n in names]).toPandas()
     if not len(total):
         return None
@@ -351,8 +386,9 @@ def train(ready: DataFrame, tokens: int, sizes: np.ndarray, states: int = STATES
     if not tokens:
         return model
     seen = Counts(states, len(sizes))
-    for turn in range(warm_rounds):
-        counts = expected(ready, model, turn, warm_rounds)
+    every = range(len(share_columns(ready)))
+    for turn in range(min(warm_rounds, len(every))):
+        counts = expected(ready, model, list(every[turn::warm_rounds]))
         if counts is not None:
             seen.add(counts)
             model = Model.counted(seen, sizes)
@@ -381,7 +417,8 @@ def score_documents(docs: DataFrame, states: int = STATES, folds: int = 7, held_
                     endings: int = ENDINGS, warm_rounds: int = WARM_ROUNDS,
                     passes: int = PASSES) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)."""
-    ready, tokens, types, sizes = prepare(docs, folds, held_out, part_tokens, frequent, endings)
+    ready, tokens, types, sizes = prepare(docs, folds, held_out, part_tokens, frequent, endings,
+                                           warm_rounds)
     model = train(ready, tokens, sizes, states, warm_rounds, passes)
     return map_frames(
         ready, _score(model, tokens, types),
