@@ -23,10 +23,12 @@ Suffixes longer than ``LENGTH`` bytes never matter, so the recursion of the
 general algorithm ends after one level.  Equal texts are settled beforehand:
 all but one representative leave the search, so a group of copies is one text.
 A gram that stands in more than ``HOT`` unsettled places is not sorted in one
-task: a window around it has either the next half of the bytes before the gram
-or the next half of those behind it, so its tuples are dealt twice, by the gram
-with the one and by the gram with the other, and again until a group is small
-or is one window.  Names of reaches and groups have 128 bits.
+task.  What all places of such a group have in common before and behind the gram
+follows from the least and the greatest context; the windows within it stand
+twice, as one range a place.  The other windows have more bytes before the gram
+or more behind it than all have in common, so the tuples are dealt by the gram
+with the one and by the gram with the other, and again until groups are small.
+Names of reaches and groups have 128 bits.
 
 Defined results: null text counts as empty; texts below ``LENGTH`` bytes stay
 whole; rows equal in text are copies of one another, whatever their doc_id;
@@ -39,7 +41,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blocklens.llm.common import BROADCAST_IDS, drop_stage, map_frames, own_caches, session, stage, texts
@@ -255,35 +257,59 @@ def _sorted_runs(length: int, gram: int):
     return run
 
 
-def _halved(length: int, gram: int):
-    """Suffix tuples of a crowded group -> the same under finer keys.
+def _narrowed(need: int):
+    """Suffix tuples of crowded groups -> the same under finer keys.
 
     Windows start between ``left`` and ``need`` - ``right`` bytes before their
-    grams.  Those in the upper half have more bytes before the gram in common,
-    those in the lower half more bytes behind it; a tuple goes to the halves in
-    which it has windows.
+    grams; all of a group have ``l`` bytes before the gram and ``r`` behind it
+    in common.  Windows within that are settled; those that start earlier go
+    under a key with one byte more before the gram, those that start later
+    under one with a byte more behind it.  If no window lies within, the earlier
+    and the later half of them part.
     """
     from xxhash import xxh3_128_digest as digest
-    need = length - gram
 
     def run(frames):
         for frame in frames:
             rows = []
-            for key, left, right, num, place, before, behind in frame[_TUPLE].itertuples(index=False):
+            for key, left, right, num, place, before, behind, l, r in frame[
+                    _TUPLE + ["l", "r"]].itertuples(index=False):
                 back, least = place >> 8 & 0xFF, place & 0xFF
                 low, high = max(least, left), min(back, need - right)
-                upper = left + (need - left - right + 1) // 2
+                if need - r <= l:
+                    upper, more = l + 1, r + 1
+                else:
+                    upper = left + (need - left - right + 1) // 2
+                    more = need - upper + 1
                 if high >= upper:
                     rows.append((digest(key + b"<" + before[len(before) - upper:]), upper, right,
                                  num, place, before, behind))
-                if low < upper:
-                    more = need - upper + 1
+                if low <= need - more:
                     rows.append((digest(key + b">" + behind[:more]), left, more,
                                  num, place, before, behind))
             yield pd.DataFrame(rows, columns=_TUPLE)
     return run
 
 
+def _common(a: Column, b: Column) -> Column:
+    """Bytes that two hexadecimal strings share at their beginnings."""
+    upto = F.sequence(F.lit(0), F.least(F.length(a), F.length(b)))
+    same = F.filter(upto, lambda i: F.substring(a, F.lit(1), i) == F.substring(b, F.lit(1), i))
+    return F.floor(F.array_max(same) / 2).cast("int")
+
+
+def crowded_groups(around: DataFrame, hot: int) -> DataFrame:
+    """(key, l, r) of groups with more than ``hot`` tuples: the bytes that all
+    have in common before and behind the gram (what the least and the greatest
+    of some strings share, all share)."""
+    before, behind = F.reverse(F.hex("before")), F.hex("behind")
+    sizes = around.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"), F.min(before).alias("b0"), F.max(before).alias("b1"),
+        F.min(behind).alias("a0"), F.max(behind).alias("a1")).where(F.col("n") > hot)
+    return sizes.select("key", _common(F.col("b0"), F.col("b1")).alias("l"),
+                        _common(F.col("a0"), F.col("a1")).alias("r"))
+
+
 def _listed(docs: DataFrame, lists: DataFrame, entries: int, how: str,
             kind: str = "kind") -> DataFrame:
     """Texts with their row of ``lists`` (doc_id, kind, ...); the lists are
@@ -337,25 +363,29 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
     for table in (shared, reaches):
         drop_stage(table)
     parts = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    starts = None
-    while True:     # ends when a group is one window: after log2(length - gram) + 1 rounds at most
-        sizes = around.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-        many = stage(sizes.where(F.col("n") > hot).select("key"), "hot-groups")
+    need, ranges = length - gram, [settled]
+    while True:     # every turn leaves each crowded group fewer windows
+        many = stage(crowded_groups(around, hot), "hot-groups")
         crowded = many.count() > 0
         cool = around.join(many.hint("merge"), "key", "left_anti") if crowded else around
         found = cool.repartition(parts, "key").sortWithinPartitions("key", "behind").mapInPandas(
             _sorted_runs(length, gram), "num long, start long")
-        starts = found if starts is None else starts.union(found)
+        ranges.append(stage(found.select(
+            "num", F.col("start").alias("first"), F.col("start").alias("last")), "starts"))
         if not crowded:
             break
-        rest = around.join(many.hint("merge"), "key", "left_semi")
-        # of a crowded group that is one window every member stands twice
-        whole = F.col("left") + F.col("right") == length - gram
-        starts = starts.union(rest.where(whole).select(
-            "num", (F.shiftright("place", 16) - F.col("left")).alias("start")))
-        around = stage(rest.where(~whole).mapInPandas(_halved(length, gram), _TUPLE_SCHEMA), "halves")
-    starts = starts.select("num", F.col("start").alias("first"), F.col("start").alias("last"))
-    return texts_of, settled.union(starts)
+        rest = stage(around.join(many.hint("merge"), "key"), "hot-rows")
+        at, back, least = (F.shiftright("place", 16), F.shiftright("place", 8).bitwiseAND(F.lit(0xFF)),
+                           F.col("place").bitwiseAND(F.lit(0xFF)))
+        low = F.greatest(least, F.col("left"), need - F.col("r"))
+        high = F.least(back, need - F.col("right"), F.col("l"))
+        ranges.append(rest.where(low <= high).select("num", (at - high).alias("first"), (at - low).alias("last")))
+        old, around = around, stage(rest.mapInPandas(_narrowed(need), _TUPLE_SCHEMA), "narrowed")
+        drop_stage(old)
+    out = ranges[0]
+    for more in ranges[1:]:
+        out = out.unionByName(more)
+    return texts_of, out
 
 
 def spans_of(first: np.ndarray, last: np.ndarray, length: int) -> list[tuple[int, int]]:
