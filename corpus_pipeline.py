@@ -9,6 +9,12 @@ one before kept.
 
 Each stage's result is written as Parquet in the shared folder and read back,
 so a lost executor costs no more than tasks of the stage that runs.
+
+Defined results: a null text is in no language and goes with the first stage,
+as do texts without a letter; a null doc_id is an id like any other and sorts
+below them; rows that share a doc_id are judged one by one, equal rows count as
+copies; an empty table leaves every stage empty; further columns of documents
+come along until packing, whatever their names.
 """
 
 from __future__ import annotations
