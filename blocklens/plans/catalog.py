@@ -614,6 +614,36 @@ def q_detector_crosstab(spark, sf_dir):
     return out.select("model", "label", "n")
 
 
+@query("rf_confusion")
+def q_rf_confusion(spark, sf_dir):
+    """Labels against the random forest's classes on the test split.  A
+    block's label follows from one of its counts, so the classes are known."""
+    from blocklens.operators.metrics import crosstab
+    return crosstab(LogContext.of(spark, sf_dir).detector_predictions["random_forest"])
+
+
+@query("rf_alerts")
+def q_rf_alerts(spark, sf_dir):
+    """A3 on the random forest's predictions: who is alerted, with which events."""
+    from blocklens.operators.alerts import generate_alerts
+    ctx = LogContext.of(spark, sf_dir)
+    a = generate_alerts(ctx.detector_predictions["random_forest"], "random_forest", ctx.sequences)
+    return a.select("block_id", "classification", "model", F.array_join("events", " ").alias("events"),
+                    (F.col("score") >= 0.5).alias("above_half"),
+                    F.col("severity").isin("HIGH", "MEDIUM", "LOW").alias("graded"))
+
+
+@query("iforest_crosstab_by_score")
+def q_iforest_crosstab_by_score(spark, sf_dir):
+    """Labels of the test split against the sign of the stored score and the
+    stored class; rows where the two part would show."""
+    p = LogContext.of(spark, sf_dir).detector_predictions["isolation_forest"]
+    by_sign = F.when(F.col("score") < 0, F.lit("Anomaly")).otherwise(F.lit("Normal"))
+    return p.groupBy("label").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(by_sign == F.col("classification")).alias("n_as_signed"),
+        F.count_if(F.col("score").between(-0.5, 0.5)).alias("n_in_range"))
+
+
 @query("rf_train")
 def q_rf_train(spark, sf_dir):
     from blocklens.operators.forest import describe_trees

@@ -793,6 +793,20 @@ SELECT model, label, count(*) AS n
 FROM split_ids, (VALUES ('isolation_forest'), ('random_forest')) AS m(model)
 WHERE split = 'test' GROUP BY model, label"""
 
+# the label of a block follows from its number of failed writes, which is one feature
+ORACLE["rf_confusion"] = _with(SPLIT) + """
+SELECT label, label AS classification, count(*) AS n FROM split_ids WHERE split = 'test' GROUP BY label"""
+
+ORACLE["rf_alerts"] = _with(SPLIT) + """
+SELECT s.block_id, 'ANOMALY' AS classification, 'random_forest' AS model,
+       array_to_string(list_transform(b.events, lambda e: 'E' || e), ' ') AS events,
+       true AS above_half, true AS graded
+FROM split_ids s JOIN block_seq b USING (block_id) WHERE s.split = 'test' AND s.label = 'Anomaly'"""
+
+ORACLE["iforest_crosstab_by_score"] = _with(SPLIT) + """
+SELECT label, count(*) AS n, count(*) AS n_as_signed, count(*) AS n_in_range
+FROM split_ids WHERE split = 'test' GROUP BY label"""
+
 ORACLE["stream_unseen_masks"] = BASE + """
 SELECT template, count(*) AS n FROM masked
 WHERE template NOT IN (SELECT template FROM masked WHERE level = 'INFO') GROUP BY template"""
