@@ -155,10 +155,10 @@ class DetectionRun:
 
     def rerun_reports(self) -> dict[str, DataFrame]:
         seqs = self.spark.read.parquet(self.store.path("block_sequences"))
-        preds = {}
-        for m in MODELS:
-            if self.store.exists(f"predictions_{m}"):
-                preds[m] = self.spark.read.parquet(self.store.path(f"predictions_{m}"))
+        found = {m: self.store.read_timed(f"predictions_{m}") for m in MODELS if m != "llm"}
+        if self.store.exists("predictions_llm"):
+            found["llm"] = self.spark.read.parquet(self.store.path("predictions_llm"))
+        preds = {m: p for m, p in found.items() if p is not None}
         sample = (self.spark.read.parquet(self.store.path("text_sample_ids"))
                   if self.store.exists("text_sample_ids") else None)
         return self.report(preds, seqs, sample)

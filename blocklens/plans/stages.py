@@ -122,8 +122,14 @@ class StageStore:
                 spent = time.perf_counter() - began
                 self.spark.createDataFrame([(spent / max(1, seen.get["n"]),)], "seconds double") \
                     .coalesce(1).write.mode("overwrite").parquet(side)
-        seconds = self.spark.read.parquet(side).first()["seconds"]
-        return self.spark.read.parquet(p).withColumn("inference_time_sec", F.lit(seconds))
+        return self.read_timed(name)
+
+    def read_timed(self, name: str) -> DataFrame | None:
+        """The rows of a complete :meth:`timed` stage with their time; else None."""
+        if not self.exists(name + "_time"):
+            return None
+        seconds = self.spark.read.parquet(self.path(name + "_time")).first()["seconds"]
+        return self.spark.read.parquet(self.path(name)).withColumn("inference_time_sec", F.lit(seconds))
 
     def bucketed(self, name: str, build, key: str = "block_id", buckets: int | None = None) -> DataFrame:
         """Stage ``name`` dealt into ``buckets`` by ``key`` (default: as many as
