@@ -58,7 +58,7 @@ def test_run_gives_the_last_stages_rows(spark):
 def test_queries_are_registered():
     import __spark_entry__ as e
     names = set(e.queries())
-    assert {f"op{n}_" for n in range(1, 11)} == {q[:q.index("_") + 1] for q in names if q.startswith("op")}
+    assert {f"op{n}_" for n in range(1, 14)} == {q[:q.index("_") + 1] for q in names if q.startswith("op")}
     assert "pipeline" in names and set(e.oracle_sql()) <= names
 
 
