@@ -16,10 +16,22 @@ from blocklens.session import scratch_path, ship_package
 BROADCAST_IDS = 2_000_000
 
 
+#: rows of an Arrow batch: whole texts travel in them, on both sides of the pipe
+BATCH_ROWS, BATCH_SETTING = 2_000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def session(df: DataFrame) -> SparkSession:
-    """The frame's session, with the package made importable on executors."""
-    ship_package(df.sparkSession)
-    return df.sparkSession
+    """The frame's session, with the package made importable on executors.
+
+    Arrow batches are bounded to ``BATCH_ROWS`` rows where the session has
+    Spark's default of 10,000, which are some 100 MB of texts a task; a setting
+    of the user's own stays.
+    """
+    spark = df.sparkSession
+    ship_package(spark)
+    if spark.conf.get(BATCH_SETTING) == "10000":
+        spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
+    return spark
 
 
 def texts(docs: DataFrame) -> DataFrame:

@@ -30,9 +30,9 @@ SEED = 9
 #: prototypes compared in one pass; more languages take more passes
 LANGUAGES_PER_PASS = 1024
 #: texts whose trigrams are bundled together, and the characters after which a chunk closes
-CHUNK_DOCS, CHUNK_CHARS = 256, 1_500_000
-#: trigrams whose vectors are held at once
-VECTORS = 2048
+CHUNK_DOCS, CHUNK_CHARS = 128, 1_500_000
+#: trigrams that a chunk's texts are counted by, and whose vectors are held, at once
+COUNTED, VECTORS = 16_384, 2048
 #: above this many distinct characters, trigrams are numbered by sorting
 DENSE_LETTERS = 96
 
@@ -128,14 +128,13 @@ def bundles(texts: list[str], dimensions: int = DIMENSIONS) -> np.ndarray:
     if not len(gram):
         return out
     distinct, number = _numbered(gram, base)
-    order = np.argsort(number, kind="stable") if len(distinct) > VECTORS else slice(None)
-    owner, number = owner[order], number[order]
-    for at in range(0, len(distinct), VECTORS):
-        n = min(VECTORS, len(distinct) - at)
-        own = slice(*np.searchsorted(number, (at, at + n))) if len(distinct) > VECTORS else slice(None)
-        counts = np.bincount(owner[own] * n + number[own] - at, minlength=len(texts) * n)
-        vectors = _vectors(distinct[at:at + n], alphabet, base, letters).astype(np.float32)
-        out += counts.reshape(len(texts), n).astype(np.float32) @ vectors
+    for at in range(0, len(distinct), COUNTED):
+        n = min(COUNTED, len(distinct) - at)
+        own = (number >= at) & (number < at + n) if n < len(distinct) else slice(None)
+        counts = np.bincount(owner[own] * n + number[own] - at, minlength=len(texts) * n).reshape(len(texts), n)
+        for some in range(0, n, VECTORS):
+            vectors = _vectors(distinct[at + some:at + min(some + VECTORS, n)], alphabet, base, letters)
+            out += counts[:, some:some + VECTORS].astype(np.float32) @ vectors.astype(np.float32)
     return out
 
 
