@@ -86,3 +86,31 @@ def test_many_first_tokens_change_nothing(spark):
     masks = [f"{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxy'[i // 100]} one two" for i in range(500)]
     mined = tpl.mined_masks(frame(spark, masks)).collect()
     assert all(r.template == r.event_template for r in mined) and len(mined) == 500
+
+
+@pytest.mark.parametrize("together", [0, 7])
+def test_groups_of_any_size_are_judged_alike(spark, together):
+    """Groups beyond ``together`` masks are counted place by place, smaller ones in a row."""
+    rng = random.Random(5)
+    masks = [" ".join(rng.choice(["open", "close", f"v{rng.randint(0, 9)}", "<*>"])
+                      for _ in range(rng.randint(1, 5))) for _ in range(200)] + ["", "solo"]
+    mined = tpl.mined_masks(frame(spark, masks), together=together).collect()
+    assert {r.template: r.event_template for r in mined} == brute(masks)
+
+
+def test_levels_leave_one_copy_of_the_masks(spark):
+    """The table of a level goes when the next one stands, and every mask that settles
+    is written once."""
+    import glob
+
+    from blocklens.session import ensure_checkpoint_dir
+    root = ensure_checkpoint_dir(spark).removeprefix("file:") + "/scratch/"
+    before = set(glob.glob(root + "*"))
+    masks = [f"{a} {b} {c} {i}x {i}y {i}z" for i, (a, b, c) in enumerate(
+        (a, b, c) for _ in range(8) for a in "kl" for b in "mn" for c in "op")]
+    mined = tpl.mined_masks(frame(spark, masks), 0.9).collect()
+    assert {r.template: r.event_template for r in mined} == brute(masks, 0.9)
+    left = [p[len(root):].rsplit("-", 1)[0] for p in set(glob.glob(root + "*")) - before]
+    assert left.count("mask-splits") > 2 and left.count("mask-groups") == 1
+    kept = [p for p in set(glob.glob(root + "*")) - before if "mask-clusters" in p or "mask-groups" in p]
+    assert sum(spark.read.schema("template string").parquet(p).count() for p in kept) == len(set(masks))
