@@ -171,3 +171,15 @@ def test_a_vocabulary_of_a_million_events(spark):
     assert len(scores) == 1500
     # a third of all blocks have one of two vectors and their scores
     assert len({round(scores[f"blk_{i}"], 12) for i in range(0, 1500, 3)}) <= 2
+
+
+def test_random_forest_deals_many_rows_out(spark, wide, monkeypatch):
+    """Training rows in one part are dealt to tasks of a bounded number of rows."""
+    from pyspark.ml.classification import RandomForestClassifier
+    fit, seen = RandomForestClassifier.fit, []
+    monkeypatch.setattr(RandomForestClassifier, "fit", lambda self, data: (
+        seen.append([len(rows) for rows in data.rdd.glom().collect()]), fit(self, data))[1])
+    model = train_random_forest(wide.coalesce(1), NAMES, numTrees=20, task_rows=100)
+    assert sum(seen[0]) == 480 and len(seen[0]) >= 5 and max(seen[0]) < 200
+    pred = predict_random_forest(model, wide, NAMES).toPandas()
+    assert (pred["classification"] == pred["label"]).all()
