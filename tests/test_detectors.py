@@ -183,3 +183,14 @@ def test_random_forest_deals_many_rows_out(spark, wide, monkeypatch):
     assert sum(seen[0]) == 480 and len(seen[0]) >= 5 and max(seen[0]) < 200
     pred = predict_random_forest(model, wide, NAMES).toPandas()
     assert (pred["classification"] == pred["label"]).all()
+
+
+def test_one_detector_is_scored_without_the_other(spark):
+    from blocklens.plans.context import LogContext
+    from blocklens.plans.stages import StageStore
+    ctx = LogContext(spark, "/root/testdata/sf0.001")
+    ctx.store = StageStore(spark, ctx.store.root + "-one-detector")
+    assert ctx.iforest_predictions.count() > 0
+    assert not ctx.store.exists("rf_model/metadata") and not ctx.store.exists("rf_predictions")
+    assert set(ctx.detector_predictions) == {"isolation_forest", "random_forest"}
+    assert ctx.store.exists("rf_model/metadata")
