@@ -47,6 +47,8 @@ PRIOR = 100.0
 #: expected counts are sent as whole multiples of 1 / FIXED
 FIXED = 1 << 20
 SEED = 4
+#: positions after which forward and backward variables are scaled again
+RESCALE = 8
 TRAIN, HELD_OUT, NO_ID = 0, 1, 2
 
 _PARTS = ("part long, tokens long, doc_ids array<long>, folds array<int>, sizes array<int>, "
@@ -58,6 +60,14 @@ def words_of(text: str) -> list[bytes]:
     return text.encode().lower().split()
 
 
+class _Numbers(dict):
+    """Word -> number, the next free one for a word not met before."""
+
+    def __missing__(self, word):
+        self[word] = number = len(self)
+        return number
+
+
 def _parts(part_tokens: int, shares: int):
     """Documents -> parts; number 0 of a part's dictionary is the end token.
 
@@ -86,23 +96,21 @@ def _parts(part_tokens: int, shares: int):
             return pd.DataFrame(row | {f"ids{k}": [pack(every[ends[k]:ends[k + 1]].tobytes())]
                                        for k in range(shares)})
 
-        known, held, docs, folds, share, tokens = {b"": 0}, [], [], [], [], 0
+        known, held, docs, folds, share, tokens = _Numbers({b"": 0}), [], [], [], [], 0
         for frame in frames:
             for doc_id, text, fold, hashed in zip(frame["doc_id"], frame["text"], frame["fold"],
                                                   frame["hash"]):
                 words = words_of(text)
-                got = list(map(known.get, words))
-                if None in got:
-                    got = [known.setdefault(w, len(known)) for w in words]
-                got.append(0)
-                held.append(np.array(got, np.uint32))
+                words.append(b"")
+                got = np.fromiter(map(known.__getitem__, words), np.uint32, len(words))
+                held.append(got)
                 docs.append(0 if pd.isna(doc_id) else int(doc_id))       # its fold says NO_ID
                 folds.append(int(fold))
                 share.append(int(hashed) % shares)
                 tokens += len(got)
                 if tokens >= part_tokens:
                     yield close()
-                    known, held, docs, folds, share, tokens = {b"": 0}, [], [], [], [], 0
+                    known, held, docs, folds, share, tokens = _Numbers({b"": 0}), [], [], [], [], 0
                     part += 1
         if held:
             yield close()
@@ -137,7 +145,7 @@ def prepare(docs: DataFrame, folds: int = 7, held_out: int = 2, part_tokens: int
     same = Window.partitionBy("word")
     counted = stage(listed.select(
         "part", "number", F.sum("n").over(same).alias("c"),
-        (F.row_number().over(same.orderBy("part")) == 1).alias("first"),
+        (F.col("part") == F.min("part").over(same)).alias("first"),
         F.xxhash64("word").alias("hash"), (F.col("word") == "").alias("end"),
         F.pmod(F.xxhash64(F.expr("right(word, 3)")), F.lit(endings)).cast("int").alias("ending"),
     ), "hmm-words")
@@ -170,7 +178,10 @@ class Model:
     def __init__(self, start, move, emit, unknown, sizes):
         self.start, self.move, self.emit, self.unknown = start, move, emit, unknown
         self.sizes_given, self.sizes = sizes, np.maximum(sizes, 1.0)
-        self._once = emit * (1 - unknown) / self.sizes[:, None]       # a word of count zero
+        # a word of count zero; the last row is the unknown symbol
+        once = np.vstack([emit * (1 - unknown) / self.sizes[:, None], unknown])
+        self._top = once.max(axis=1)
+        self._rows = once / np.maximum(self._top, 1e-300)[:, None]
 
     @classmethod
     def noise(cls, states: int, sizes: np.ndarray, tokens: int) -> "Model":
@@ -194,10 +205,15 @@ class Model:
 
     def emissions(self, c: np.ndarray, cls: np.ndarray) -> np.ndarray:
         """P(token | state) for tokens given by count and class (-1: unknown)."""
-        out = self._once[cls] * (c + 1.0)[:, None]
-        if (cls < 0).any():
-            out[cls < 0] = self.unknown
-        return out
+        seen, top = self.relative(c, cls)
+        return seen * top[:, None]
+
+    def relative(self, c: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Emissions as shares of the token's greatest one, and that."""
+        known = cls >= 0
+        if not known.all():
+            cls, c = np.where(known, cls, len(self.emit)), np.where(known, c, 0)
+        return np.take(self._rows, cls, axis=0), self._top[cls] * (c + 1.0)
 
 
 class Counts:
@@ -218,76 +234,98 @@ class Lattice:
     """Texts side by side: position t of all texts longer than t is one block."""
 
     def __init__(self, sizes: np.ndarray):
-        order = np.argsort(-sizes, kind="stable")
-        rank = np.empty(len(sizes), np.int64)
-        rank[order] = np.arange(len(sizes))
+        self.order = np.argsort(-sizes, kind="stable")
         ends = np.bincount(sizes, minlength=sizes.max() + 1)
         self.width = len(sizes) - np.cumsum(ends)[:-1]          # texts longer than t
         self.at = np.concatenate(([0], np.cumsum(self.width)))
-        step = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        # of each token, text by text
-        self.place = self.at[step] + np.repeat(rank, sizes)
-        self.text = np.empty(len(step), np.int64)
-        self.text[self.place] = np.repeat(np.arange(len(sizes)), sizes)
+        # of each place, block by block: its text by length, its token's number text by text
+        self.rank = np.arange(self.at[-1]) - np.repeat(self.at[:-1], self.width)
+        begin = (np.cumsum(sizes) - sizes)[self.order]
+        self.token = begin[self.rank] + np.repeat(np.arange(len(self.width)), self.width)
 
     def spread(self, values: np.ndarray) -> np.ndarray:
         """Values given text by text, block by block."""
-        out = np.empty_like(values)
-        out[self.place] = values
+        return values[self.token]
+
+    def by_text(self, values: np.ndarray) -> np.ndarray:
+        """Sums over each text of values given block by block."""
+        out = np.empty(len(self.order))
+        out[self.order] = np.bincount(self.rank, values, len(self.order))
         return out
 
     def forward(self, model: Model, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Scaled forward variables and scales, block by block."""
-        alpha, scale = np.empty_like(seen), np.empty(len(seen))
-        ones, last = np.ones(seen.shape[1]), 0
-        for a, n in zip(self.at.tolist(), self.width.tolist()):
+        """Forward variables, scaled at every ``RESCALE``-th position, block by block,
+        and the logarithms of what they were divided by."""
+        alpha, logs, last = np.empty_like(seen), np.zeros(len(seen)), 0
+        ones = np.ones(seen.shape[1])
+        for t, (a, n) in enumerate(zip(self.at.tolist(), self.width.tolist())):
             now = alpha[a:a + n]
-            np.multiply(alpha[last:last + n] @ model.move if a else model.start, seen[a:a + n], out=now)
-            total = now @ ones
-            now /= total[:, None]
-            scale[a:a + n] = total
-            last = a
-        return alpha, scale
-
-    def backward(self, model: Model, seen: np.ndarray, alpha: np.ndarray,
-                 scale: np.ndarray) -> np.ndarray:
-        """Posteriors of the states, in the place of ``alpha``, and the expected moves."""
-        move, back, later = np.zeros_like(model.move), model.move.T, None
-        for t in range(len(self.width) - 1, -1, -1):
-            a, n = int(self.at[t]), int(self.width[t])
-            beta = np.ones((n, len(back)))
-            if later is not None:
-                beta[:len(later)] = later
             if t:
-                ahead = seen[a:a + n] * beta
-                ahead /= scale[a:a + n, None]
-                before = int(self.at[t - 1])
-                move += alpha[before:before + n].T @ ahead
-                later = ahead @ back
-            alpha[a:a + n] *= beta
-        return model.move * move
+                np.matmul(alpha[last:last + n], model.move, out=now)
+            else:
+                now[:] = model.start
+            now *= seen[a:a + n]
+            if t % RESCALE == 0:
+                total = now @ ones
+                now /= total[:, None]
+                logs[a:a + n] = np.log10(total)
+            last = a
+        return alpha, logs
+
+    def ends(self) -> np.ndarray:
+        """The places of the texts' last tokens."""
+        out = np.empty(len(self.order), np.int64)
+        out[self.rank] = np.arange(len(self.rank))      # the last place of a text stays
+        return out
+
+    def backward(self, model: Model, seen: np.ndarray, alpha: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Posteriors of the states, block by block, and the expected moves;
+        overwrites ``seen`` and ``alpha``."""
+        beta, back = np.ones_like(seen), np.ascontiguousarray(model.move.T)
+        ones = np.ones(seen.shape[1])
+        at, width = self.at.tolist(), self.width.tolist()
+        for t in range(len(width) - 1, 0, -1):
+            a, n, before = at[t], width[t], at[t - 1]
+            ahead = seen[a:a + n]
+            ahead *= beta[a:a + n]
+            if t % RESCALE == 0:
+                ahead /= (ahead @ ones)[:, None]
+            np.matmul(ahead, back, out=beta[before:before + n])
+        beta *= alpha
+        each = (1 / (beta @ ones))[:, None]
+        beta *= each
+        alpha *= each
+        # a token's predecessor stands a block before, at the same rank
+        first = width[0]
+        before = np.arange(first, len(seen)) - np.repeat(self.width[:-1], self.width[1:])
+        move = np.take(alpha, before, axis=0).T @ seen[first:]
+        return beta, model.move * move
 
 
 def log_likelihoods(model: Model, sizes: np.ndarray, c: np.ndarray, cls: np.ndarray) -> np.ndarray:
     """log10 probability of each text; tokens are given text by text."""
     grid = Lattice(sizes)
-    _, scale = grid.forward(model, model.emissions(grid.spread(c), grid.spread(cls)))
+    seen, top = model.relative(grid.spread(c), grid.spread(cls))
+    alpha, logs = grid.forward(model, seen)
+    logs += np.log10(top)
+    ends = grid.ends()
+    logs[ends] += np.log10(alpha[ends].sum(axis=1))
     # rounding may not make a probability exceed one
-    return np.minimum(np.bincount(grid.text, np.log10(scale), len(sizes)), 0.0)
+    return np.minimum(grid.by_text(logs), 0.0)
 
 
 def add_counts(counts: Counts, model: Model, sizes: np.ndarray, c: np.ndarray, cls: np.ndarray) -> None:
     """Forward-backward over some texts; adds their expected counts."""
     grid = Lattice(sizes)
     c, cls = grid.spread(c), grid.spread(cls.astype(np.int64))
-    seen = model.emissions(c, cls)
-    gamma, scale = grid.forward(model, seen)
-    counts.move += grid.backward(model, seen, gamma, scale)
+    seen, _ = model.relative(c, cls)
+    alpha, _ = grid.forward(model, seen)
+    gamma, move = grid.backward(model, seen, alpha)
+    counts.move += move
     counts.start += gamma[:grid.width[0]].sum(axis=0)
-    classes, states = counts.emit.shape
-    cell = (cls[:, None] * states + np.arange(states)).ravel()
-    counts.emit += np.bincount(cell, gamma.ravel(), classes * states).reshape(classes, states)
-    counts.once += gamma[c == 1].sum(axis=0)
+    for emit, own in zip(counts.emit.T, gamma.T):
+        emit += np.bincount(cls, own, len(emit))
+    counts.once += (c == 1).astype(float) @ gamma
 
 
 def _documents(frames, folds: tuple[int, ...], shares: list[int] | None = None):
