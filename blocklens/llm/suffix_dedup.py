@@ -75,16 +75,17 @@ class _Tables:
 _TABLES: list[_Tables] = []
 
 
-def _tables() -> _Tables:
+def _tables(n: int) -> _Tables:
+    """At least ``n`` powers; as many as the longest texts of the worker's tasks need."""
     own_caches("suffix_dedup", _TABLES.clear)
-    if not _TABLES:
-        _TABLES.append(_Tables(CHUNK + 4096))
+    if not _TABLES or len(_TABLES[0].up) < n:
+        _TABLES[:] = [_Tables(max(n, min(CHUNK + 4096, max(1 << 14, 1 << n.bit_length()))))]
     return _TABLES[0]
 
 
 def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     """A mixed rolling hash of every ``gram``-byte substring."""
-    t = _tables()
+    t = _tables(len(data))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * t.up[:len(data)], out=sums[1:])
     h = (sums[gram:] - sums[:-gram]) * t.down[:len(data) - gram + 1]
