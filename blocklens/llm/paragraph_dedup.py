@@ -10,7 +10,10 @@ Shorter neighbours are merged: from each of them on, as many as make
    cut into bands (``BANDS``: all get 4 of 2 values, which finds a pair of
    similarity 0.8 with probability 0.98, also a line and a sentence; lines get
    9 of 3 values too, so two lines are found with 0.998 or more; equal
-   paragraphs always meet).  Paragraphs that share a band collide.
+   paragraphs always meet).  Paragraphs that share a band collide.  A bit map of
+   64 bits of a paragraph's shingles bounds from below how many two of them do
+   not share; who is too far from all others of its band leaves it, and bands
+   left with the same paragraphs are one.
 2. Colliding paragraphs are compared by the Jaccard similarity of their
    shingles; 0.8 or more links them.
 3. Connected components of equal and linked paragraphs are the groups.  The
@@ -39,6 +42,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,6 +59,8 @@ BLOCK = 1024
 SEED = 1
 #: tokens whose signatures are taken at once
 CHUNK_TOKENS = 500_000
+#: rows of sorted keys looked at together, and words whose hashes a task keeps
+ROWS, KEPT_WORDS = 1 << 16, 200_000
 
 _END = re.compile(rb"[.!?]+(?=[ \t-\r]|$)|\n")
 
@@ -64,11 +70,24 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(27))
 
 
+class _Hashes(dict):
+    """Hash of each word met; lets go of all when it holds many."""
+
+    def __missing__(self, word):
+        from xxhash import xxh64_intdigest
+        if len(self) >= KEPT_WORDS:
+            self.clear()
+        self[word] = value = xxh64_intdigest(word, SEED)
+        return value
+
+
+_HASHES = _Hashes()
+
+
 class Paragraphs:
     """Lines and sentences of one text, as ranges of bytes and of words."""
 
     def __init__(self, text: str):
-        from xxhash import xxh64_intdigest
         data = text.encode()
         low = data.lower()
         ends = [m.end() for m in _END.finditer(low)]
@@ -86,7 +105,7 @@ class Paragraphs:
         self.size = len(data)
         self.pieces = pieces                    # (first byte, end, first word, end)
         self.line_of = line_of
-        self.words = np.fromiter((xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))
+        self.words = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
         # units: every piece of enough words, then every line of several pieces with
         # words; a line's only piece with words is the line, its end included
         lines: dict[int, list[int]] = {}
@@ -136,6 +155,26 @@ def shingles(words: np.ndarray) -> np.ndarray:
     return out
 
 
+def bit_maps(own: list[Paragraphs]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Of each text's units: one bit for each shingle's hash modulo 64, and the
+    number of shingles, repeats included."""
+    grams = shingles(np.concatenate([p.words for p in own] + [np.zeros(SHINGLE, np.uint64)]))
+    bits = np.append(np.uint64(1) << (grams & np.uint64(63)), np.uint64(0))
+    maps, sizes, shift = [], [], 0
+    for p in own:
+        n = np.array([max(b - a - SHINGLE + 1, 0) for _, _, a, b, _ in p.units], np.int64)
+        at = np.array([a for _, _, a, _, _ in p.units], np.int64) + shift
+        held = np.zeros(len(n), np.uint64)
+        some = np.flatnonzero(n)
+        if len(some):
+            ranges = np.stack((at[some], at[some] + n[some]), axis=1)
+            held[some] = np.bitwise_or.reduceat(bits, ranges.ravel())[::2]
+        maps.append(held.view(np.int64))
+        sizes.append(n)
+        shift += len(p.words)
+    return maps, sizes
+
+
 def band_keys(own: list[Paragraphs]) -> tuple[np.ndarray, np.ndarray]:
     """(band key, unit name) of every unit of some texts."""
     words = np.concatenate([p.words for p in own] + [np.zeros(SHINGLE, np.uint64)])
@@ -199,31 +238,78 @@ def _bands(frames):
                 held, tokens = [], 0
 
 
-def _collisions(frames):
-    """Rows sorted by key -> the rows of keys that several names share."""
-    held = None
-    for frame in frames:
-        if held is not None and len(held):
-            frame = pd.concat([held, frame], ignore_index=True)
-        if not len(frame):
+def _runs(batches):
+    """Arrow batches sorted by key, the name second -> the columns of whole keys,
+    some ``ROWS`` rows at a time; of a key that goes on a name is held once."""
+    held, rows, wait = [], 0, ROWS
+    for batch in batches:
+        held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+        rows += batch.num_rows
+        if rows < wait:
             continue
-        key = frame["key"].to_numpy()
-        cut = int(np.searchsorted(key, key[-1]))
-        # of the run that may go on, one row of each name is enough
-        held = frame.iloc[cut:].drop_duplicates()
-        yield _shared(frame.iloc[:cut])
-    if held is not None and len(held):
-        yield _shared(held)
+        every = [np.concatenate(c) for c in zip(*held)]
+        cut = int(np.searchsorted(every[0], every[0][-1]))
+        if cut:
+            yield [c[:cut] for c in every]
+        once = cut + np.unique(every[1][cut:], return_index=True)[1]
+        held, rows = [[c[once] for c in every]], len(once)
+        wait = max(ROWS, 2 * rows)
+    if rows:
+        yield [np.concatenate(c) for c in zip(*held)]
 
 
-def _shared(frame: pd.DataFrame) -> pd.DataFrame:
-    key, name = frame["key"].to_numpy(), frame["name"].to_numpy()
-    if not len(key):
-        return frame
+def _edges(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First row and number of rows of each run of equal keys."""
     edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    size = np.diff(np.append(edge, len(key)))
-    mixed = np.minimum.reduceat(name, edge) != np.maximum.reduceat(name, edge)
-    return frame[np.repeat(mixed, size)].drop_duplicates()
+    return edge, np.diff(np.append(edge, len(key)))
+
+
+def _batch(**columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in columns.items()})
+
+
+def _collisions(batches):
+    """Rows sorted by key -> the rows of keys that several names share, each once."""
+    for key, name in _runs(batches):
+        edge, size = _edges(key)
+        mixed = np.minimum.reduceat(name, edge) != np.maximum.reduceat(name, edge)
+        some = np.repeat(mixed, size)
+        key, name = key[some], name[some]
+        order = np.lexsort((name, key))
+        key, name = key[order], name[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1])
+        yield _batch(key=key[new], name=name[new])
+
+
+def _near(batches):
+    """(key, name, bits, grams) sorted by key -> (group, name) of the names that
+    may be alike another one of their key.
+
+    Every bit that two maps do not share stands for a shingle that one of them
+    lacks.  Keys left with the same names are one group, named by the sum of
+    their hashes; a key of more than ``BLOCK`` names stays as it is.
+    """
+    most = (1 - SIMILARITY) / (1 + SIMILARITY) + 1e-9     # of all shingles, that two do not share
+    for key, name, bits, grams in _runs(batches):
+        bits = bits.view(np.uint64)
+        edge, size = _edges(key)
+        left = np.repeat(np.arange(len(key))[edge] + size, size) - np.arange(len(key)) - 1
+        large = np.repeat(size > BLOCK, size)
+        near, apart = large.copy(), 1
+        one = np.flatnonzero((left >= apart) & ~large)
+        while len(one):
+            other = one + apart
+            alike = np.bitwise_count(bits[one] ^ bits[other]) <= most * (grams[one] + grams[other])
+            near[one[alike]] = near[other[alike]] = True
+            apart += 1
+            one = one[left[one] >= apart]
+        key, name, large = key[near], name[near], large[near]
+        if len(key):
+            edge, size = _edges(key)
+            group = np.repeat(np.add.reduceat(_mix(name.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)),
+                                              edge).view(np.int64), size)
+            yield _batch(key=np.where(large, key, group), name=name)
 
 
 def _link(names: np.ndarray, grams: list[np.ndarray], home: np.ndarray, first: np.ndarray,
@@ -285,17 +371,27 @@ def _links(frames):
 def link_paragraphs(docs: DataFrame, places: DataFrame) -> DataFrame:
     """(a, b): links between names of different paragraphs.
 
-    ``docs``: (doc_id, kind, text); ``places``: (name, doc_id, place) of all.
+    ``docs``: (doc_id, kind, text); ``places``: (name, doc_id, place, bits, grams)
+    of all.
     """
     parts = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     banded = docs.mapInPandas(_bands, "key long, name long")
     met = stage(banded.repartition(parts, "key").sortWithinPartitions("key")
-                .mapInPandas(_collisions, "key long, name long").distinct(), "collisions")
+                .mapInArrow(_collisions, "key long, name long"), "collisions")
     asked = stage(met.select("name").distinct(), "colliding")
-    one = places.join(asked.hint("merge"), "name").groupBy("name").agg(
-        F.min(F.struct("doc_id", "place")).alias("one"), F.count(F.lit(1)).alias("n"))
+    # of a name all places have the same words
+    one = stage(places.join(asked.hint("merge"), "name").groupBy("name").agg(
+        F.min(F.struct("doc_id", "place")).alias("one"), F.count(F.lit(1)).alias("n"),
+        F.min("bits").alias("bits"), F.min("grams").alias("grams")), "colliding-places")
+    near = met.join(one.select("name", "bits", "grams").hint("merge"), "name").select(
+        "key", "name", "bits", "grams")
+    near = stage(near.repartition(parts, "key").sortWithinPartitions("key")
+                 .mapInArrow(_near, "key long, name long").distinct(), "near")
+    drop_stage(met)
+    met = near
+    one = one.select("name", "n", "one.*").join(met.select("name").distinct().hint("merge"), "name")
     kind = F.shiftright("place", 32).cast("int")
-    lists = stage(one.select("name", "n", "one.*").groupBy("doc_id", kind.alias("kind")).agg(
+    lists = stage(one.groupBy("doc_id", kind.alias("kind")).agg(
         F.collect_list(F.struct(
             "name", F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("unit"),
             F.when(F.col("n") == 1, F.xxhash64("doc_id", kind)).otherwise(F.lit(0)).alias("home")
@@ -307,9 +403,10 @@ def link_paragraphs(docs: DataFrame, places: DataFrame) -> DataFrame:
             rows = []
             for text, wanted in zip(frame["text"], frame["wanted"]):
                 own = Paragraphs(text)
+                every = shingles(own.words).view(np.int64)
                 for w in wanted:
                     first, last, a, b, _ = own.units[w["unit"]]
-                    rows.append((w["name"], np.unique(shingles(own.words[a:b]).view(np.int64)),
+                    rows.append((w["name"], np.unique(every[a:b - SHINGLE + 1]),
                                  w["home"], first, last))
             yield pd.DataFrame(rows, columns=["name", "grams", "home", "first", "last"])
 
@@ -344,15 +441,22 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, int]:
 
     def named(frames):
         for frame in frames:
+            if not len(frame):
+                continue
+            own = [Paragraphs(t) for t in frame["text"]]
+            bits, grams = bit_maps(own)
             yield pd.DataFrame({"doc_id": frame["doc_id"], "kind": frame["kind"],
-                                "names": [Paragraphs(t).names() for t in frame["text"]]})
+                                "names": [p.names() for p in own], "bits": bits, "grams": grams})
 
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    listed = stage(map_frames(search, named, f"doc_id {id_type}, kind int, names array<long>")
+    listed = stage(map_frames(search, named, f"doc_id {id_type}, kind int, names array<long>, "
+                              "bits array<long>, grams array<long>")
                    .dropDuplicates(["doc_id", "kind"]), "paragraphs")
-    places = listed.select("doc_id", "kind", F.posexplode("names").alias("unit", "name")).select(
+    places = listed.select("doc_id", "kind", "bits", "grams",
+                           F.posexplode("names").alias("unit", "name")).select(
         "name", "doc_id", F.shiftleft(F.col("kind").cast("long"), 32).bitwiseOR(
-            F.col("unit").cast("long")).alias("place"))
+            F.col("unit").cast("long")).alias("place"),
+        F.col("bits")[F.col("unit")].alias("bits"), F.col("grams")[F.col("unit")].alias("grams"))
     links = stage(link_paragraphs(search, places), "links")
     parts = stage(connected_components(links), "components")
     known = places.groupBy("name").agg(F.count(F.lit(1)).alias("n"),
