@@ -38,7 +38,6 @@ are ignored.
 from __future__ import annotations
 
 import hashlib
-import re
 
 import numpy as np
 import pandas as pd
@@ -59,10 +58,13 @@ BLOCK = 1024
 SEED = 1
 #: tokens whose signatures are taken at once
 CHUNK_TOKENS = 500_000
-#: rows of sorted keys looked at together, and words whose hashes a task keeps
-ROWS, KEPT_WORDS = 1 << 16, 200_000
+#: rows of sorted keys looked at together
+ROWS = 1 << 16
+#: bytes of a word that its hash takes from the table
+PLACES = 64
 
-_END = re.compile(rb"[.!?]+(?=[ \t-\r]|$)|\n")
+_SPACE, _STOP = (np.isin(np.arange(256), list(c)) for c in (b" \t\n\v\f\r", b".!?"))
+_TABLE = np.random.default_rng(SEED).integers(0, 1 << 64, PLACES * 256, dtype=np.uint64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -70,18 +72,21 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(27))
 
 
-class _Hashes(dict):
-    """Hash of each word met; lets go of all when it holds many."""
-
-    def __missing__(self, word):
+def _hashed_words(low: bytes, raw: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and hash of each word: the sum of a random number for each of
+    its bytes at its place (tabulation), of a longer word than that its XXH64."""
+    edge = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])))).reshape(-1, 2)
+    first, size = edge[:, 0], edge[:, 1] - edge[:, 0]
+    if not len(first):
+        return first, np.empty(0, np.uint64)
+    own = np.cumsum(size) - size
+    place = np.arange(own[-1] + size[-1]) - np.repeat(own, size)
+    out = np.add.reduceat(_TABLE[np.minimum(place, PLACES - 1) * 256 + raw[~space]], own)
+    long = np.flatnonzero(size > PLACES)
+    if len(long):
         from xxhash import xxh64_intdigest
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        self[word] = value = xxh64_intdigest(word, SEED)
-        return value
-
-
-_HASHES = _Hashes()
+        out[long] = [xxh64_intdigest(low[a:b], SEED) for a, b in edge[long].tolist()]
+    return first, out
 
 
 class Paragraphs:
@@ -90,46 +95,59 @@ class Paragraphs:
     def __init__(self, text: str):
         data = text.encode()
         low = data.lower()
-        ends = [m.end() for m in _END.finditer(low)]
-        if not ends or ends[-1] < len(low):
-            ends.append(len(low))
-        pieces, words, line_of, line = [], [], [], 0
-        at = 0
-        for end in ends:
-            own = low[at:end].split()
-            pieces.append((at, end, len(words), len(words) + len(own)))
-            line_of.append(line)
-            words += own
-            line += low[end - 1:end] == b"\n"
-            at = end
+        raw = np.frombuffer(low, np.uint8)
+        space, feed = _SPACE[raw], raw == 10
+        # pieces end after .!? before white space, or after a line feed: never in a word
+        close = _STOP[raw]
+        close[:-1] &= space[1:]
+        close |= feed
+        ends = np.flatnonzero(close) + 1
+        if not len(ends) or ends[-1] < len(low):
+            ends = np.append(ends, len(low))
+        at, self.words = _hashed_words(low, raw, space)
+        starts = np.append(0, ends[:-1])
+        last = np.searchsorted(at, ends)
+        pieces = list(zip(starts.tolist(), ends.tolist(), np.append(0, last[:-1]).tolist(), last.tolist()))
+        fed = feed[ends - 1] if len(low) else np.zeros(1, bool)
+        line_of = (np.cumsum(fed) - fed).tolist()
+        lines = [0] + (np.flatnonzero(fed) + 1).tolist()        # each line's first piece
+        if lines[-1] < len(pieces):
+            lines.append(len(pieces))
         self.size = len(data)
         self.pieces = pieces                    # (first byte, end, first word, end)
         self.line_of = line_of
-        self.words = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
         # units: every piece of enough words, then every line of several pieces with
         # words; a line's only piece with words is the line, its end included
-        lines: dict[int, list[int]] = {}
-        for i, n in enumerate(line_of):
-            lines.setdefault(n, []).append(i)
-        several = {n for n, own in lines.items()
-                   if sum(pieces[i][3] > pieces[i][2] for i in own) > 1}
-        self.units = [(i, i, a, b, "sentence") if line_of[i] in several else
-                      (lines[line_of[i]][0], lines[line_of[i]][-1], a, b, "line")
-                      for i, (_, _, a, b) in enumerate(pieces) if b - a >= SHINGLE]
-        for n, own in lines.items():
-            a, b = pieces[own[0]][2], pieces[own[-1]][3]
-            if n in several and b - a >= SHINGLE:
-                self.units.append((own[0], own[-1], a, b, "line"))
+        self.units, whole, short = [], [], []
+        for i, j in zip(lines, lines[1:]):
+            if j - i == 1:
+                a, b = pieces[i][2:]
+                if b - a >= SHINGLE:
+                    self.units.append((i, i, a, b, "line"))
+                elif b > a:
+                    short.append(i)
+                continue
+            own = [k for k in range(i, j) if pieces[k][3] > pieces[k][2]]
+            for k in own:
+                a, b = pieces[k][2:]
+                if b - a < SHINGLE:
+                    short.append(k)
+                elif len(own) > 1:
+                    self.units.append((k, k, a, b, "sentence"))
+                else:
+                    self.units.append((i, j - 1, a, b, "line"))
+            a, b = pieces[i][2], pieces[j - 1][3]
+            if len(own) > 1 and b - a >= SHINGLE:
+                whole.append((i, j - 1, a, b, "line"))
+        self.units += whole
         # runs of pieces too short to be units: from each piece on, merged
-        short = [b - a < SHINGLE for _, _, a, b in pieces]
         j = 0
-        for i, (_, _, a, b) in enumerate(pieces):
-            if not short[i] or a == b:
-                continue
+        for i in short:
+            a = pieces[i][2]
             j = max(i, j)
-            while j < len(pieces) and short[j] and pieces[j][3] - a < MERGED:
+            while j < len(pieces) and pieces[j][3] - pieces[j][2] < SHINGLE and pieces[j][3] - a < MERGED:
                 j += 1
-            if j < len(pieces) and short[j]:
+            if j < len(pieces) and pieces[j][3] - pieces[j][2] < SHINGLE:
                 self.units.append((i, j, a, pieces[j][3], "merged"))
 
     def overlap(self, u: int, v: int) -> bool:

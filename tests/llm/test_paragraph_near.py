@@ -68,3 +68,21 @@ def test_sentences_that_share_a_phrase_only_are_not_sent_on(spark, monkeypatch):
     got = {r.doc_id: r.n_repeated for r in pd_.paragraph_dedup(docs).collect()}
     assert sorted(r.doc_id for r in sent["wanted"]) == [60, 61]
     assert got == {i: int(i == 61) for i in range(62)}
+
+
+def test_words_and_pieces_as_split_by_hand():
+    draw = random.Random(1)
+    bits = ["a ", "bb ", "c. ", "d! e ", "\n", "\n\n", ". ", "...", "x y z w v u. ", "\t", "é. ", "\x0b",
+            "y" * 64 + " ", "y" * 65 + " ", "y" * 66 + ". ", "one two three four five six "]
+    number, back = {}, {}
+    for text in ["", ".", "\n", "a b c.", "..\n"] + [
+            "".join(draw.choice(bits) for _ in range(draw.randrange(60))) for _ in range(500)]:
+        own, low = pd_.Paragraphs(text), text.encode().lower()
+        words = low.split()
+        assert len(own.words) == len(words)
+        for word, value in zip(words, own.words.tolist()):
+            assert number.setdefault(word, value) == value and back.setdefault(value, word) == word
+        for first, end, a, b in own.pieces:
+            assert low[first:end].split() == words[a:b]
+        assert [p[0] for p in own.pieces] == [0] + [p[1] for p in own.pieces[:-1]]
+        assert own.pieces[-1][1] == own.size == len(low)
