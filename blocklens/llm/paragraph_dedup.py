@@ -38,6 +38,7 @@ are ignored.
 from __future__ import annotations
 
 import hashlib
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -60,11 +61,8 @@ SEED = 1
 CHUNK_TOKENS = 500_000
 #: rows of sorted keys looked at together
 ROWS = 1 << 16
-#: bytes of a word that its hash takes from the table
-PLACES = 64
 
 _SPACE, _STOP = (np.isin(np.arange(256), list(c)) for c in (b" \t\n\v\f\r", b".!?"))
-_TABLE = np.random.default_rng(SEED).integers(0, 1 << 64, PLACES * 256, dtype=np.uint64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -72,27 +70,11 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(27))
 
 
-def _hashed_words(low: bytes, raw: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First byte and hash of each word: the sum of a random number for each of
-    its bytes at its place (tabulation), of a longer word than that its XXH64."""
-    edge = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])))).reshape(-1, 2)
-    first, size = edge[:, 0], edge[:, 1] - edge[:, 0]
-    if not len(first):
-        return first, np.empty(0, np.uint64)
-    own = np.cumsum(size) - size
-    place = np.arange(own[-1] + size[-1]) - np.repeat(own, size)
-    out = np.add.reduceat(_TABLE[np.minimum(place, PLACES - 1) * 256 + raw[~space]], own)
-    long = np.flatnonzero(size > PLACES)
-    if len(long):
-        from xxhash import xxh64_intdigest
-        out[long] = [xxh64_intdigest(low[a:b], SEED) for a, b in edge[long].tolist()]
-    return first, out
-
-
 class Paragraphs:
     """Lines and sentences of one text, as ranges of bytes and of words."""
 
     def __init__(self, text: str):
+        from xxhash import xxh64_intdigest
         data = text.encode()
         low = data.lower()
         raw = np.frombuffer(low, np.uint8)
@@ -104,7 +86,11 @@ class Paragraphs:
         ends = np.flatnonzero(close) + 1
         if not len(ends) or ends[-1] < len(low):
             ends = np.append(ends, len(low))
-        at, self.words = _hashed_words(low, raw, space)
+        words = low.split()
+        self.words = np.fromiter(map(xxh64_intdigest, words, repeat(SEED)), np.uint64, len(words))
+        begin = ~space
+        begin[1:] &= space[:-1]
+        at = np.flatnonzero(begin)              # each word's first byte
         starts = np.append(0, ends[:-1])
         last = np.searchsorted(at, ends)
         pieces = list(zip(starts.tolist(), ends.tolist(), np.append(0, last[:-1]).tolist(), last.tolist()))
