@@ -38,7 +38,6 @@ are ignored.
 from __future__ import annotations
 
 import hashlib
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -57,84 +56,144 @@ RUN_WORDS = 28
 MERGED = 14
 BLOCK = 1024
 SEED = 1
-#: tokens whose signatures are taken at once
-CHUNK_TOKENS = 500_000
-#: rows of sorted keys looked at together
-ROWS = 1 << 16
-
-_SPACE, _STOP = (np.isin(np.arange(256), list(c)) for c in (b" \t\n\v\f\r", b".!?"))
+#: characters of texts that are cut, and tokens whose signatures are taken, at once
+CHUNK_CHARS, CHUNK_TOKENS = 1 << 20, 500_000
+#: rows of sorted keys looked at together, and of groups with their shingles
+ROWS, LINK_ROWS = 1 << 16, 1 << 12
+#: members from which on a group is compared by arrays
+FEW = 8
+
+#: of each byte, whether it is one of these
+_SPACE, _STOP = (bytes(b in own for b in range(256)) for own in (b" \t\n\v\f\r", b".!?"))
+
+
+def _mix(x: np.ndarray, spare: np.ndarray | None = None) -> np.ndarray:
+    """Mixes ``x`` in place; ``spare`` is room of its size."""
+    spare = np.right_shift(x, np.uint64(31), out=spare)
+    np.bitwise_xor(x, spare, out=x)
+    np.multiply(x, np.uint64(0x7FB5D329728EA185), out=x)
+    np.right_shift(x, np.uint64(27), out=spare)
+    return np.bitwise_xor(x, spare, out=x)
+
+
+def _word_hashes(low: bytes, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """XXH64 of the words that begin ``at``: those under 32 bytes, which take one
+    pass over their bytes, by arrays, all others one by one."""
+    from xxhash import xxh64_intdigest
+    one, two, three, four, five = (np.uint64(x) for x in (
+        0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    room = low + bytes(8)
+    eight, quad = (np.ndarray((len(low) + 1,), t, room, strides=(1,)) for t in ("<u8", "<u4"))
+    raw = np.frombuffer(room, np.uint8)
+
+    def turned(x, n):
+        return (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+
+    out = np.uint64(SEED) + five + size.astype(np.uint64)
+    for i in range(3):
+        some = np.flatnonzero((size >= 8 * (i + 1)) & (size < 32))
+        if not len(some):
+            break
+        lane = turned(eight[at[some] + 8 * i] * two, 31) * one
+        out[some] = turned(out[some] ^ lane, 27) * one + four
+    some = np.flatnonzero(size & 4)
+    out[some] = turned(out[some] ^ (quad[at[some] + (size[some] & ~7)].astype(np.uint64) * one), 23) * two + three
+    for i in range(3):
+        some = np.flatnonzero((size & 3) > i)
+        out[some] = turned(out[some] ^ (raw[at[some] + (size[some] & ~3) + i].astype(np.uint64) * five), 11) * one
+    out = (out ^ (out >> np.uint64(33))) * two
+    out = (out ^ (out >> np.uint64(29))) * three
+    out ^= out >> np.uint64(32)
+    for i in np.flatnonzero(size >= 32).tolist():
+        out[i] = xxh64_intdigest(low[at[i]:at[i] + size[i]], SEED)
+    return out
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-    return x ^ (x >> np.uint64(27))
+def _cut(texts: list[str], hashes: bool = True):
+    """(size, words, their hashes, pieces, units) of each of some texts, cut
+    together: one space stands between them."""
+    data = [t.encode() for t in texts]
+    sizes = np.array([len(d) for d in data], np.int64)
+    since = np.cumsum(sizes + 1) - sizes - 1            # each text's first byte
+    low, full = b" ".join(data).lower(), sizes > 0
+    raw = np.frombuffer(low, np.uint8)
+    space, stop = (np.frombuffer(low.translate(table), bool) for table in (_SPACE, _STOP))
+    # pieces end after .!? before white space, or after a line feed: never in a word
+    close = raw == 10
+    close[:-1] |= stop[:-1] & space[1:]
+    close[(since + sizes)[full] - 1] = True
+    ends = np.sort(np.concatenate((np.flatnonzero(close) + 1, since[~full])))
+    of = np.searchsorted(since, ends, "right") - 1      # each piece's text
+    new = np.append(True, of[1:] != of[:-1])
+    starts = np.append(0, ends[:-1])
+    starts[new] = since
+    begin = ~space
+    begin[1:] &= space[:-1]
+    at = np.flatnonzero(begin)                          # each word's first byte
+    last = np.searchsorted(at, ends)
+    first = np.append(0, last[:-1])
+    words = last - first
+    fed = full[of]
+    fed[fed] = raw[ends[fed] - 1] == 10
+    head = np.flatnonzero(new | np.append(True, fed[:-1]))      # each line's first piece
+    tail = np.append(head[1:], len(ends)) - 1
+    line = np.repeat(np.arange(len(head)), tail - head + 1)
+    own = np.add.reduceat((words > 0).astype(np.int64), head)
+    # units: every piece of enough words, then every line of several pieces with
+    # words; a line's only piece with words is the line, its end included
+    long = np.flatnonzero(words >= SHINGLE)
+    sole = own[line[long]] == 1
+    whole = np.flatnonzero((own > 1) & (last[tail] - first[head] >= SHINGLE))
+    # runs of pieces too short to be units: from each piece on, merged
+    short = np.flatnonzero((words > 0) & (words < SHINGLE))
+    to = np.searchsorted(last, first[short] + MERGED)
+    bound = np.append(np.flatnonzero(new)[1:], len(ends))[of[short]]
+    ok = to < np.minimum(np.append(long, len(ends))[np.searchsorted(long, short)], bound)
+    short, to = short[ok], to[ok]
+    x = np.concatenate((np.where(sole, head[line[long]], long), head[whole], short))
+    y = np.concatenate((np.where(sole, tail[line[long]], long), tail[whole], to))
+    a = np.concatenate((first[long], first[head[whole]], first[short]))
+    b = np.concatenate((last[long], last[tail[whole]], last[to]))
+    kind = np.concatenate((np.where(sole, 0, 1), np.zeros(len(whole), np.int64), np.full(len(short), 2)))
+    order = np.argsort(of[x], kind="stable")
+    x, y, a, b, kind = (c[order] for c in (x, y, a, b, kind))
+    piece_at = np.append(np.flatnonzero(new), len(ends))
+    unit_at = np.searchsorted(of[x], np.arange(len(data) + 1))
+    word_at = np.append(first[piece_at[:-1]], len(at))
+    back, ahead, down = since[of], word_at[of], word_at[of[x]]
+    pieces = list(zip(*(c.tolist() for c in (starts - back, ends - back, first - ahead, last - ahead))))
+    kinds = np.array(["line", "sentence", "merged"], object)[kind]
+    units = list(zip(*(c.tolist() for c in (x - piece_at[of[x]], y - piece_at[of[x]], a - down, b - down, kinds))))
+    hashed = None
+    if hashes:
+        over = ~space
+        over[:-1] &= space[1:]
+        hashed = _word_hashes(low, at, np.flatnonzero(over) + 1 - at)
+    bounds = (c.tolist() for c in (sizes, word_at, word_at[1:], piece_at, piece_at[1:], unit_at, unit_at[1:]))
+    for size, w, w_end, p, p_end, u, u_end in zip(*bounds):
+        yield size, w_end - w, hashed[w:w_end] if hashes else None, pieces[p:p_end], units[u:u_end]
 
 
 class Paragraphs:
     """Lines and sentences of one text, as ranges of bytes and of words."""
 
-    def __init__(self, text: str):
-        from xxhash import xxh64_intdigest
-        data = text.encode()
-        low = data.lower()
-        raw = np.frombuffer(low, np.uint8)
-        space, feed = _SPACE[raw], raw == 10
-        # pieces end after .!? before white space, or after a line feed: never in a word
-        close = _STOP[raw]
-        close[:-1] &= space[1:]
-        close |= feed
-        ends = np.flatnonzero(close) + 1
-        if not len(ends) or ends[-1] < len(low):
-            ends = np.append(ends, len(low))
-        words = low.split()
-        self.words = np.fromiter(map(xxh64_intdigest, words, repeat(SEED)), np.uint64, len(words))
-        begin = ~space
-        begin[1:] &= space[:-1]
-        at = np.flatnonzero(begin)              # each word's first byte
-        starts = np.append(0, ends[:-1])
-        last = np.searchsorted(at, ends)
-        pieces = list(zip(starts.tolist(), ends.tolist(), np.append(0, last[:-1]).tolist(), last.tolist()))
-        fed = feed[ends - 1] if len(low) else np.zeros(1, bool)
-        line_of = (np.cumsum(fed) - fed).tolist()
-        lines = [0] + (np.flatnonzero(fed) + 1).tolist()        # each line's first piece
-        if lines[-1] < len(pieces):
-            lines.append(len(pieces))
-        self.size = len(data)
-        self.pieces = pieces                    # (first byte, end, first word, end)
-        self.line_of = line_of
-        # units: every piece of enough words, then every line of several pieces with
-        # words; a line's only piece with words is the line, its end included
-        self.units, whole, short = [], [], []
-        for i, j in zip(lines, lines[1:]):
-            if j - i == 1:
-                a, b = pieces[i][2:]
-                if b - a >= SHINGLE:
-                    self.units.append((i, i, a, b, "line"))
-                elif b > a:
-                    short.append(i)
-                continue
-            own = [k for k in range(i, j) if pieces[k][3] > pieces[k][2]]
-            for k in own:
-                a, b = pieces[k][2:]
-                if b - a < SHINGLE:
-                    short.append(k)
-                elif len(own) > 1:
-                    self.units.append((k, k, a, b, "sentence"))
-                else:
-                    self.units.append((i, j - 1, a, b, "line"))
-            a, b = pieces[i][2], pieces[j - 1][3]
-            if len(own) > 1 and b - a >= SHINGLE:
-                whole.append((i, j - 1, a, b, "line"))
-        self.units += whole
-        # runs of pieces too short to be units: from each piece on, merged
-        j = 0
-        for i in short:
-            a = pieces[i][2]
-            j = max(i, j)
-            while j < len(pieces) and pieces[j][3] - pieces[j][2] < SHINGLE and pieces[j][3] - a < MERGED:
-                j += 1
-            if j < len(pieces) and pieces[j][3] - pieces[j][2] < SHINGLE:
-                self.units.append((i, j, a, pieces[j][3], "merged"))
+    def __init__(self, text: str, parts=None):
+        #: pieces: (first byte, end, first word, end);
+        #: units: (first piece, last, first word, end, kind)
+        self.size, self.n_words, self.words, self.pieces, self.units = parts or next(_cut([text]))
+
+    @classmethod
+    def of(cls, texts: list[str], hashes: bool = True) -> list[Paragraphs]:
+        """Those of some texts, ``CHUNK_CHARS`` characters cut together; words are
+        hashed if ``hashes``."""
+        out, held, chars = [], [], 0
+        for i, text in enumerate(texts):
+            held.append(text)
+            chars += len(text)
+            if chars >= CHUNK_CHARS or i + 1 == len(texts):
+                out += [cls(t, parts) for t, parts in zip(held, _cut(held, hashes))]
+                held, chars = [], 0
+        return out
 
     def overlap(self, u: int, v: int) -> bool:
         """Whether two units have a piece in common."""
@@ -164,40 +223,40 @@ def bit_maps(own: list[Paragraphs]) -> tuple[list[np.ndarray], list[np.ndarray]]
     number of shingles, repeats included."""
     grams = shingles(np.concatenate([p.words for p in own] + [np.zeros(SHINGLE, np.uint64)]))
     bits = np.append(np.uint64(1) << (grams & np.uint64(63)), np.uint64(0))
-    maps, sizes, shift = [], [], 0
-    for p in own:
-        n = np.array([max(b - a - SHINGLE + 1, 0) for _, _, a, b, _ in p.units], np.int64)
-        at = np.array([a for _, _, a, _, _ in p.units], np.int64) + shift
-        held = np.zeros(len(n), np.uint64)
-        some = np.flatnonzero(n)
-        if len(some):
-            ranges = np.stack((at[some], at[some] + n[some]), axis=1)
-            held[some] = np.bitwise_or.reduceat(bits, ranges.ravel())[::2]
-        maps.append(held.view(np.int64))
-        sizes.append(n)
-        shift += len(p.words)
-    return maps, sizes
+    first, end, count = _ranges(own)
+    sizes, held = np.maximum(end - first, 0), np.zeros(len(first), np.uint64)
+    some = sizes > 0
+    if some.any():
+        held[some] = np.bitwise_or.reduceat(bits, np.stack((first, end), axis=1)[some].ravel())[::2]
+    cuts = np.cumsum(count)[:-1]
+    return np.split(held.view(np.int64), cuts), np.split(sizes, cuts)
+
+
+def _ranges(own: list[Paragraphs]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First shingle and end of all units, in the texts' words side by side, and
+    the number of units of each text."""
+    count = np.array([len(p.units) for p in own], np.int64)
+    size = np.array([len(p.words) for p in own], np.int64)
+    at = np.array([(u[2], u[3]) for p in own for u in p.units], np.int64).reshape(-1, 2)
+    at += np.repeat(np.cumsum(size) - size, count)[:, None]
+    return at[:, 0], at[:, 1] - SHINGLE + 1, count
 
 
 def band_keys(own: list[Paragraphs]) -> tuple[np.ndarray, np.ndarray]:
-    """(band key, unit name) of every unit of some texts."""
+    """(band key, unit name) of every unit of some texts, each once."""
     words = np.concatenate([p.words for p in own] + [np.zeros(SHINGLE, np.uint64)])
-    shift = np.cumsum([0] + [len(p.words) for p in own])
-    first, end, names, lines = [], [], [], []
-    for p, s in zip(own, shift.tolist()):
-        names.append(p.names())
-        for _, _, a, b, kind in p.units:
-            first.append(a + s)
-            end.append(b + s - SHINGLE + 1)
-            lines.append(kind)
-    name, kinds = np.concatenate(names), np.array(lines)
+    first, end, _ = _ranges(own)
+    kinds = np.array([u[4] for p in own for u in p.units])
     # merged paragraphs of neighbouring offsets are alike: no near copies of them
     banded = np.flatnonzero(kinds != "merged") if len(kinds) else []
     if not len(banded):
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    name, line = name[banded], kinds[banded] == "line"
+    name, line = np.concatenate([p.names() for p in own])[banded], kinds[banded] == "line"
+    # a name that stands several times, as a line if it is one anywhere
+    name, one, number = np.unique(name, return_index=True, return_inverse=True)
+    line = np.bincount(number, line) > 0
+    first, end = first[banded][one], end[banded][one]
     grams = shingles(words)
-    first, end = np.array(first)[banded], np.array(end)[banded]
     draw = np.random.default_rng(SEED)
     keys, of = [], []
     values = max(b * r for b, r in BANDS.values())
@@ -207,6 +266,8 @@ def band_keys(own: list[Paragraphs]) -> tuple[np.ndarray, np.ndarray]:
     ranges = np.stack((first[order], end[order]), axis=1)
     needed = np.ones(len(name), bool)
     wide = BANDS["all"][0] * BANDS["all"][1]
+    hashed, spare = np.zeros(len(grams) + 1, np.uint64), np.empty(len(grams), np.uint64)
+    mixed = hashed[:-1]
     low = []                # minima by value; those that only lines need stand beside them
     for i in range(values):
         if i == wide:
@@ -214,7 +275,9 @@ def band_keys(own: list[Paragraphs]) -> tuple[np.ndarray, np.ndarray]:
             if not needed.any():
                 break
         mul, add = factors[i]
-        hashed = np.append(_mix(grams * mul + add), np.uint64(0))
+        np.multiply(grams, mul, out=mixed)
+        np.add(mixed, add, out=mixed)
+        _mix(mixed, spare)
         low.append(np.minimum.reduceat(hashed, ranges[needed].ravel())[::2])
     for kind, (bands, rows) in BANDS.items():
         own = line if kind == "line" else np.ones(len(name), bool)
@@ -230,15 +293,16 @@ def band_keys(own: list[Paragraphs]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(of)
 
 
-def _bands(frames):
-    for frame in frames:
+def _bands(batches):
+    for batch in batches:
         held, tokens = [], 0
-        for i, text in enumerate(frame["text"]):
-            held.append(Paragraphs(text))
-            tokens += len(held[-1].words)
-            if tokens >= CHUNK_TOKENS or i + 1 == len(frame):
+        every = Paragraphs.of(batch.column(0).to_pylist())
+        for i, own in enumerate(every):
+            held.append(own)
+            tokens += len(own.words)
+            if tokens >= CHUNK_TOKENS or i + 1 == len(every):
                 key, name = band_keys(held)
-                yield pd.DataFrame({"key": key, "name": name}).drop_duplicates()
+                yield _batch(key=key, name=name)
                 held, tokens = [], 0
 
 
@@ -346,30 +410,69 @@ def _link(names: np.ndarray, grams: list[np.ndarray], home: np.ndarray, first: n
     return out
 
 
-def _links(frames):
-    """Rows sorted by group -> links; many small groups share a call."""
-    def of(frame: pd.DataFrame) -> pd.DataFrame:
-        group = frame[["key", "x", "y"]].to_numpy()
-        edge = np.flatnonzero(np.concatenate(([True], (group[1:] != group[:-1]).any(axis=1), [True])))
-        names, grams = frame["name"].to_numpy(), frame["grams"].to_numpy()
-        home, first, last = (frame[c].to_numpy() for c in ("home", "first", "last"))
-        found = [pair for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()) if b - a > 1
-                 for pair in _link(names[a:b], list(grams[a:b]), home[a:b], first[a:b], last[a:b])]
-        return pd.DataFrame(list(set(found)), columns=["a", "b"], dtype="int64")
-
-    held = None
-    for frame in frames:
-        if held is not None and len(held):
-            frame = pd.concat([held, frame], ignore_index=True)
-        if not len(frame):
+def _link_few(names: list, grams: list[set], home: list, first: list, last: list) -> list[tuple[int, int]]:
+    """``_link`` for a few members, each other pair looked at by sets."""
+    left, out = list(range(len(names))), []
+    while len(left) > 1:
+        queue, left = [left[0]], left[1:]
+        while queue and left:
+            node, apart = queue.pop(), []
+            own, n = grams[node], len(grams[node])
+            for i in left:
+                common = len(own & grams[i])
+                if common >= SIMILARITY * (n + len(grams[i]) - common) - 1e-9 and not (
+                        home[node] != 0 and home[i] == home[node]
+                        and first[i] <= last[node] and first[node] <= last[i]):
+                    out.append((names[node], names[i]))
+                    queue.append(i)
+                else:
+                    apart.append(i)
+            left = apart
+    return out
+
+
+def _links(batches):
+    """Arrow batches sorted by group -> links; many small groups share a call."""
+    def edges(table: pa.Table) -> np.ndarray:
+        new = np.append(True, np.zeros(len(table) - 1, bool))
+        for c in ("key", "x", "y"):
+            column = table[c].to_numpy()
+            new[1:] |= column[1:] != column[:-1]
+        return np.flatnonzero(new)
+
+    def of(table: pa.Table) -> pa.RecordBatch:
+        edge = np.append(edges(table), len(table)).tolist()
+        lists = table["grams"].combine_chunks()
+        at, values = lists.offsets.to_numpy().tolist(), lists.values.to_numpy()
+        name, home, first, last = (table[c].to_numpy() for c in ("name", "home", "first", "last"))
+        rows = [c.tolist() for c in (name, home, first, last)]
+        found = set()
+        for a, b in zip(edge, edge[1:]):
+            if 1 < b - a < FEW:
+                few = values[at[a]:at[b]].tolist()
+                grams = [set(few[at[i] - at[a]:at[i + 1] - at[a]]) for i in range(a, b)]
+                found.update(_link_few(rows[0][a:b], grams, *(r[a:b] for r in rows[1:])))
+            elif b - a > 1:
+                grams = [values[at[i]:at[i + 1]] for i in range(a, b)]
+                found.update((int(x), int(y)) for x, y in _link(
+                    name[a:b], grams, home[a:b], first[a:b], last[a:b]))
+        return _batch(a=[x for x, _ in found], b=[y for _, y in found])
+
+    held, rows, wait = [], 0, LINK_ROWS
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows < wait:
             continue
-        last = (frame[["key", "x", "y"]].to_numpy() == frame[["key", "x", "y"]].iloc[-1].to_numpy()).all(axis=1)
-        cut = int(last.argmax())        # the last group may go on in the next frame
-        held = frame.iloc[cut:]
+        table = pa.Table.from_batches(held)
+        cut = int(edges(table)[-1])         # the last group may go on in the next batch
         if cut:
-            yield of(frame.iloc[:cut])
-    if held is not None and len(held):
-        yield of(held)
+            yield of(table.slice(0, cut))
+        rest = table.slice(cut)
+        held, rows = rest.to_batches(), len(rest)
+        wait = max(LINK_ROWS, 2 * rows)
+    if rows:
+        yield of(pa.Table.from_batches(held))
 
 
 def link_paragraphs(docs: DataFrame, places: DataFrame) -> DataFrame:
@@ -379,7 +482,7 @@ def link_paragraphs(docs: DataFrame, places: DataFrame) -> DataFrame:
     of all.
     """
     parts = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    banded = docs.mapInPandas(_bands, "key long, name long")
+    banded = docs.select("text").mapInArrow(_bands, "key long, name long")
     met = stage(banded.repartition(parts, "key").sortWithinPartitions("key")
                 .mapInArrow(_collisions, "key long, name long"), "collisions")
     asked = stage(met.select("name").distinct(), "colliding")
@@ -402,19 +505,33 @@ def link_paragraphs(docs: DataFrame, places: DataFrame) -> DataFrame:
         )).alias("wanted")), "wanted")
     entries = lists.agg(F.coalesce(F.sum(F.size("wanted")), F.lit(0))).first()[0]
 
-    def grams(frames):
-        for frame in frames:
-            rows = []
-            for text, wanted in zip(frame["text"], frame["wanted"]):
-                own = Paragraphs(text)
-                every = shingles(own.words).view(np.int64)
-                for w in wanted:
-                    first, last, a, b, _ = own.units[w["unit"]]
-                    rows.append((w["name"], np.unique(every[a:b - SHINGLE + 1]),
-                                 w["home"], first, last))
-            yield pd.DataFrame(rows, columns=["name", "grams", "home", "first", "last"])
-
-    found = _listed(docs, lists, entries, "inner").select("text", "wanted").mapInPandas(
+    def grams(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own, wanted = Paragraphs.of(batch.column(0).to_pylist()), batch.column(1)
+            count = np.diff(wanted.offsets.to_numpy())
+            name, unit, home = (c.to_numpy() for c in wanted.flatten().flatten())
+            text = np.repeat(np.arange(len(own)), count)
+            rows = np.array([own[t].units[u][:4] for t, u in zip(text.tolist(), unit.tolist())],
+                            np.int64).reshape(-1, 4)
+            # shingles of each unit, sorted, each once
+            size = np.array([len(p.words) for p in own], np.int64)
+            every = shingles(np.concatenate([p.words for p in own] + [np.zeros(SHINGLE, np.uint64)])).view(np.int64)
+            held = np.maximum(rows[:, 3] - rows[:, 2] - SHINGLE + 1, 0)
+            at = (np.cumsum(size) - size)[text] + rows[:, 2] - (np.cumsum(held) - held)
+            row = np.repeat(np.arange(len(rows)), held)
+            value = every[np.arange(len(row)) + at[row]]
+            order = np.lexsort((value, row))
+            value = value[order]
+            new = np.append(True, (value[1:] != value[:-1]) | (row[1:] != row[:-1]))[:len(value)]
+            offsets = np.append(0, np.cumsum(np.bincount(row[new], minlength=len(rows)))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(name), pa.ListArray.from_arrays(pa.array(offsets), pa.array(value[new])),
+                 pa.array(home), pa.array(rows[:, 0], pa.int32()), pa.array(rows[:, 1], pa.int32())],
+                ["name", "grams", "home", "first", "last"])
+
+    found = _listed(docs, lists, entries, "inner").select("text", "wanted").mapInArrow(
         grams, "name long, grams array<long>, home long, first int, last int")
     found = found.dropDuplicates(["name"])      # dealt by name, as the join below needs it
     # a key's members in blocks: every pair of blocks is one group
@@ -425,7 +542,7 @@ def link_paragraphs(docs: DataFrame, places: DataFrame) -> DataFrame:
         "key", "name", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     rows = rows.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"),
                        "name").join(found.hint("merge"), "name")
-    return rows.repartition(parts, "key", "x", "y").sortWithinPartitions("key", "x", "y").mapInPandas(
+    return rows.repartition(parts, "key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(
         _links, "a long, b long").distinct()
 
 
@@ -447,7 +564,7 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, int]:
         for frame in frames:
             if not len(frame):
                 continue
-            own = [Paragraphs(t) for t in frame["text"]]
+            own = Paragraphs.of(frame["text"].tolist())
             bits, grams = bit_maps(own)
             yield pd.DataFrame({"doc_id": frame["doc_id"], "kind": frame["kind"],
                                 "names": [p.names() for p in own], "bits": bits, "grams": grams})
@@ -511,7 +628,7 @@ def removed_spans(own: Paragraphs, units, run_words: int = RUN_WORDS) -> list[tu
         while run and not repeated[run[-1]]:
             run.pop()
         words = sum(own.pieces[i][3] - own.pieces[i][2] for i in run)
-        if run and (words >= run_words or words == len(own.words)):
+        if run and (words >= run_words or words == own.n_words):
             spans.append((own.pieces[run[0]][0], own.pieces[run[-1]][1]))
         run.clear()
 
@@ -535,9 +652,9 @@ def paragraph_dedup(docs: DataFrame, run_words: int = RUN_WORDS, with_text: bool
 
     def run(frames):
         for frame in frames:
-            out = []
-            for doc_id, text, units in zip(frame["doc_id"], frame["text"], frame["units"]):
-                data, spans, own = text.encode(), [], Paragraphs(text)
+            out, every = [], Paragraphs.of(frame["text"].tolist(), hashes=False)
+            for doc_id, text, units, own in zip(frame["doc_id"], frame["text"], frame["units"], every):
+                data, spans = text.encode(), []
                 if units is not None and len(units):
                     units = units if min(units) < 0 else repeated_units(own, units)
                     spans = removed_spans(own, units, run_words)
